@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm import mixing, packing, quality_rules, secret_scans
+from folioscan.llm import mixing, ngram_join, packing, quality_rules, secret_scans
 from folioscan.llm.shared import fresh_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -20,6 +20,16 @@ def rule_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.judged(docs, keep=COLUMNS).where("kept").select(*COLUMNS)
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (5-word shingles, Jaccard 0.8 or more) the document with the smallest id.
+
+    A row repeated with its id stays once; of rows without an id only equal texts count as copies.
+    """
+    found = ngram_join.joined(docs, percent=80, size=5)
+    losers = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(losers, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+
+
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mask; n_chars follows the text where it changed."""
     found = secret_scans.scanned(docs, keep=COLUMNS, mask=True)
@@ -39,7 +49,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs)
 
 
-STAGES = [("quality_rules", rule_out), ("secret_scans", mask_secrets), ("mixing", mix), ("packing", pack)]
+STAGES = [("quality_rules", rule_out), ("ngram_join", one_of_each), ("secret_scans", mask_secrets), ("mixing", mix), ("packing", pack)]
 ORACLE_SQL = None  # a random field and a dynamic program are beyond SQL; tests/llm compares with brute force
 
 

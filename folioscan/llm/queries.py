@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import license_scans, mixing, neighbours, packing, quality_rules, secret_scans, substring_dedup, token_counts, url_filters
+from folioscan.llm import license_scans, mixing, neighbours, ngram_join, packing, quality_rules, secret_scans, substring_dedup, token_counts, url_filters
 from folioscan.llm.shared import read_table
 
 
@@ -38,6 +38,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicated(read_table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(read_table(spark, sf_dir, "documents")).drop("cid")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judged(read_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -47,7 +51,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_url_filters, op3_license_scans, op4_secret_scans, op5_mixing, op6_neighbours, op7_substring_dedup, op9_quality_rules, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_url_filters, op3_license_scans, op4_secret_scans, op5_mixing, op6_neighbours, op7_substring_dedup, op8_ngram_join, op9_quality_rules, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
