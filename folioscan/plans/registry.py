@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.plans import text_queries
+from folioscan.plans import graph_queries, table_queries, text_queries
 
-BOOKS = (text_queries.BOOK,)
+BOOKS = (text_queries.BOOK, table_queries.BOOK, graph_queries.BOOK)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
