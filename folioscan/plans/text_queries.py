@@ -37,7 +37,7 @@ def text_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(table(spark, sf_dir, "documents"), T.text_only(F.replace(F.replace("text", F.lit("o"), F.lit("\x1b")), F.lit("e"), F.lit("\t"))))
 
 
-@query("SELECT doc_id, length(h) AS n, md5(h) AS md5 FROM (SELECT doc_id, replace(replace(replace(text, 'o', ' '), 'the', chr(10)), 'an', chr(10)) AS h FROM documents)")
+@query("SELECT doc_id, length(h) AS n, md5(h) AS md5 FROM (SELECT doc_id, replace(replace(replace(replace(replace(text, 'o', ' '), 'the', chr(13) || chr(10)), 'an', chr(13)), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS h FROM documents)")
 def text_printable(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = F.replace(F.replace(F.replace("text", F.lit("o"), F.lit("\x1b")), F.lit("the"), F.lit("\r\n")), F.lit("an"), F.lit("\r"))
     return _digest(table(spark, sf_dir, "documents"), T.printable(odd))
