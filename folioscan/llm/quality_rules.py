@@ -45,7 +45,7 @@ class Rule:
 RULES = (
     Rule("n_words", least=50, most=1_000_000),
     Rule("mean_word_chars", least=2, most=40),
-    Rule("symbol_ratio", most=0.5),
+    Rule("symbols_per_word", most=0.3),
     Rule("stop_word_ratio", most=0.95),
     Rule("dup_line_ratio", most=0.7),
     Rule("bullet_line_ratio", most=0.95),
@@ -108,7 +108,7 @@ def _measures() -> dict[str, Column]:
     return {
         "n_words": F.col("n_words"),
         "mean_word_chars": ratio("word_chars", "n_words"),
-        "symbol_ratio": ratio("n_symbols", "word_chars"),
+        "symbols_per_word": ratio("n_symbols", "n_words"),
         "stop_word_ratio": ratio("n_stop_words", "n_words"),
         "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
         "bullet_line_ratio": ratio("n_bullet_lines", "n_lines"),
@@ -137,7 +137,7 @@ def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
     """DuckDB SQL for op9_quality_rules."""
     ratio = lambda a, b: f"(CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0.0 END)"
     measures = {
-        "n_words": "n_words", "mean_word_chars": ratio("word_chars", "n_words"), "symbol_ratio": ratio("n_symbols", "word_chars"),
+        "n_words": "n_words", "mean_word_chars": ratio("word_chars", "n_words"), "symbols_per_word": ratio("n_symbols", "n_words"),
         "stop_word_ratio": ratio("n_stop_words", "n_words"), "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
         "bullet_line_ratio": ratio("n_bullet_lines", "n_lines"), "repeat_word_ratio": ratio("n_repeat_words", "n_words"),
     }
