@@ -127,3 +127,15 @@ def kept_groups(rows: DataFrame, owner: str, key: str, at: str, most: int) -> Da
     """owner, key, latest, kept: the newest ``most`` groups of an owner stay."""
     g = rows.groupBy(owner, key).agg(F.max(at).alias("latest"))
     return g.withColumn("kept", F.row_number().over(W.partitionBy(owner).orderBy(F.desc("latest"), F.desc(key))) <= most)
+
+
+def ratios_at(pairs: DataFrame, key: str, a: str, b: str, deltas: list[float]) -> DataFrame:
+    """key, delta, ratio of array pairs at several deltas."""
+    each = F.array(*(F.struct(F.lit(d).alias("delta"), array_difference(F.col(a), F.col(b), d)["ratio"].alias("ratio")) for d in deltas))
+    return pairs.select(key, F.explode(each).alias("r")).select(key, "r.*")
+
+
+def recent_items(rows: DataFrame, owner: str, item: str, at: str, most: int) -> DataFrame:
+    """owner, item, latest, rank: distinct items of an owner, most recent first, at most so many."""
+    g = rows.groupBy(owner, item).agg(F.max(at).alias("latest"))
+    return g.withColumn("rank", F.row_number().over(W.partitionBy(owner).orderBy(F.desc("latest"), item))).where(F.col("rank") <= most)

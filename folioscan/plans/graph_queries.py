@@ -130,9 +130,9 @@ def stream_crash_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.crash_streaks(X.log_lines(spark, sf_dir))
 
 
-@query("""WITH l AS (SELECT user_id AS session, max(event_id) // 10 AS request FROM events WHERE event_type = 'click' GROUP BY user_id) SELECT session, request, event_id FROM (SELECT user_id AS session, event_id // 10 AS request, event_id FROM events WHERE event_type = 'view') SEMI JOIN l USING (session, request)""")
+@query("""WITH l AS (SELECT user_id AS session, max(event_id) // 1000 AS request FROM events WHERE event_type = 'click' GROUP BY user_id) SELECT session, request, event_id FROM (SELECT user_id AS session, event_id // 1000 AS request, event_id FROM events WHERE event_type = 'view') SEMI JOIN l USING (session, request)""")
 def stream_latest_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = X.table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.floor(F.col("event_id") / 10).alias("request"), "event_id", "event_type")
+    e = X.table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.floor(F.col("event_id") / 1000).alias("request"), "event_id", "event_type")
     return logs.latest_requests(e.where("event_type = 'click'"), e.where("event_type = 'view'")).select("session", "request", "event_id")
 
 
@@ -187,6 +187,18 @@ def streaming_byte_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ran(spark, logs.stream_budget(_lines(_streamed(spark, sf_dir, "events")), 500), "streaming-budget")
 
 
+@query("SELECT pid, seq, line FROM log_lines QUALIFY row_number() OVER (PARTITION BY pid ORDER BY seq DESC) <= 20", using=("log_lines",))
+def streaming_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.newest_tail(_ran(spark, logs.stream_tail(_lines(_streamed(spark, sf_dir, "events")), 20), "streaming-tail"))
+
+
+@query("""WITH l AS (SELECT user_id AS session, max(event_id) // 1000 AS request FROM events WHERE event_type = 'click' GROUP BY user_id) SELECT session, request, event_id FROM (SELECT user_id AS session, event_id // 1000 AS request, event_id FROM events WHERE event_type = 'view') SEMI JOIN l USING (session, request)""")
+def streaming_latest_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _streamed(spark, sf_dir, "events").where("event_type IN ('click', 'view')")
+    e = e.select(F.col("user_id").alias("session"), F.floor(F.col("event_id") / 1000).alias("request"), "event_id", (F.col("event_type") == "click").alias("asks"))
+    return _ran(spark, logs.stream_latest(e), "streaming-latest")
+
+
 @query("""SELECT id, text_len, version, linearized FROM (SELECT doc_id AS id, length(text) AS text_len, CASE WHEN doc_id % 4 <> 3 THEN '1.' || (doc_id % 8) END AS version, doc_id % 2 = 0 AS linearized FROM documents)""")
 def source_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers of raw files made of the documents."""

@@ -484,6 +484,17 @@ def gate_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "os", "most", "ratio", (F.col("same_size") & (F.col("ratio") <= F.col("most"))).alias("passed"))
 
 
+@query(" UNION ALL ".join(f"(WITH {_PAIR_SQL.replace('DELTA', str(d))} SELECT vec_id, {d}::DOUBLE AS delta, CASE WHEN same_size THEN differing::DOUBLE / n ELSE 1.0 END AS ratio FROM df)" for d in (0.01, 0.02, 0.05, 0.1, 0.2, 0.4)))
+def gate_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differing shares at six thresholds."""
+    return report.ratios_at(_pairs(spark, sf_dir), "vec_id", "a", "b", [0.01, 0.02, 0.05, 0.1, 0.2, 0.4])
+
+
+@query("""SELECT user_id, props, latest, row_number() OVER (PARTITION BY user_id ORDER BY latest DESC, props)::INT AS rank FROM (SELECT user_id, props, max(event_id) AS latest FROM events GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY latest DESC, props) <= 15""")
+def report_recent_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.recent_items(X.table(spark, sf_dir, "events"), "user_id", "props", "event_id", 15)
+
+
 _TEXT_PAIRS = """tx AS (SELECT doc_id, lang, source, substr(regexp_replace(text, '[\\s\\x{85}\\p{Z}]+', '', 'g'), 1, 300) AS t FROM documents WHERE lang = 'en'),
 tp AS (SELECT doc_id, t AS a, lag(t) OVER (PARTITION BY lang, source ORDER BY doc_id) AS b FROM tx),
 td AS (SELECT doc_id, CASE WHEN greatest(length(a), length(b)) >= 30 THEN levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END AS distance FROM tp WHERE b IS NOT NULL AND NOT regexp_matches(a || b, '[^\\x00-\\x7f]'))"""

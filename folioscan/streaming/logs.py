@@ -93,3 +93,44 @@ def stream_capped(found: DataFrame, most: int = LIMITS.hits) -> DataFrame:
         yield rows[["doc_id", "page", "first"]]
 
     return found.select("doc_id", "page", "first").groupBy("doc_id").applyInPandasWithState(step, "doc_id long, page int, first int", "count int", "append", "NoTimeout")
+
+
+def stream_tail(lines: DataFrame, most: int = LIMITS.tail_lines) -> DataFrame:
+    """pid, version, seq, line: the last lines of a process each time lines arrive; version counts its lines so far.
+
+    The state holds at most ``most`` lines of a process.  The rows of a process with its
+    largest version are its tail.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        count, seqs, texts = state.get if state.exists else (0, [], [])
+        new = pd.concat(list(frames)).sort_values("seq")
+        count += len(new)
+        held = sorted([*zip(seqs, texts, strict=True), *zip(new["seq"].tolist(), new["line"].tolist(), strict=True)])[-most:]
+        state.update((count, [s for s, _ in held], [t for _, t in held]))
+        yield pd.DataFrame({"pid": key[0], "version": count, "seq": [s for s, _ in held], "line": [t for _, t in held]})
+
+    return lines.select("pid", "seq", "line").groupBy("pid").applyInPandasWithState(step, "pid long, version long, seq long, line string", "count long, seqs array<long>, texts array<string>", "append", "NoTimeout")
+
+
+def newest_tail(versions: DataFrame) -> DataFrame:
+    last = versions.groupBy("pid").agg(F.max("version").alias("version"))
+    return versions.join(last, ["pid", "version"]).select("pid", "seq", "line")
+
+
+def stream_latest(messages: DataFrame) -> DataFrame:
+    """session, request, event_id of answers that still fit the session's latest request when they come.
+
+    messages: session, request, event_id, asks (whether it is a request).  The latest
+    request of a session is its state; answers to older ones are dropped.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames))
+        asked = rows[rows["asks"]]["request"]
+        latest = max([*(state.get if state.exists else ()), *([int(asked.max())] if len(asked) else [])], default=None)
+        if latest is not None:
+            state.update((latest,))
+        yield rows[~rows["asks"] & (rows["request"] == latest)][["session", "request", "event_id"]]
+
+    return messages.groupBy("session").applyInPandasWithState(step, "session long, request long, event_id long", "request long", "append", "NoTimeout")
