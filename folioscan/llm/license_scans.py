@@ -203,3 +203,27 @@ def with_char_spans(text: str, spans: Sequence[tuple[int, int]]) -> list[tuple[i
     """Word spans of a text as spans of code points."""
     at = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))]
     return [(at[a][0], at[b - 1][1]) for a, b in spans if b > a]
+
+
+def template_pattern(template: str) -> str:
+    """A template as a pattern over words that each follow one blank."""
+    out = ""
+    for mark, plain in re.findall(r"<<(.*?)>>|((?:(?!<<).)+)", template, re.S):
+        kind, _, options = mark.partition(";")
+        limits = dict(o.split("=") for o in options.split(";") if o)
+        out += {"beginOptional": "(?:", "endOptional": ")?", "var": f"(?: [^ ]+){{{limits.get('min', 0)},{limits.get('max', 0)}}}"}.get(kind, "") if mark else "".join(f" {w.decode()}" for w in words_of(plain))
+    return out + "(?: |$)"
+
+
+def oracle_sql(templates: Sequence[tuple[str, str]] = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES) -> str:
+    """DuckDB SQL for op3_license_scans."""
+    places = " UNION ALL ".join(f"SELECT k, i - 1 AS pos, '{label}' AS label FROM p WHERE " + " AND ".join(f"w[i + {j}] = '{word}'" for j, word in enumerate(phrase.split())) for phrase, label in phrases)
+    tests = ", ".join(f"CASE WHEN regexp_matches(j, '{template_pattern(t)}') THEN '{label}' END" for label, t in templates)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p AS (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+b AS (SELECT k, count(*) AS n, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS l FROM ({places}) GROUP BY k),
+t AS (SELECT k, doc_id, len(w)::BIGINT AS n_words, list_filter([{tests}], lambda x: x IS NOT NULL) AS m FROM (SELECT *, ' ' || array_to_string(w, ' ') AS j FROM d))
+SELECT doc_id, n_words, coalesce(n, 0)::BIGINT AS n_base, first_word, last_word, coalesce(array_to_string(l, ','), '') AS base_labels, coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(l, []), m))), ','), '') AS labels,
+CASE WHEN len(m) > 0 THEN 1.0 WHEN n > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM t LEFT JOIN b USING (k)
+"""

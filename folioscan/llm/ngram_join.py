@@ -301,3 +301,17 @@ def _dealt(parts: int):
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), batch.column("cid"), batch.column("n")], ["part", "cid", "n"])
 
     return run
+
+
+def oracle_sql(percent: int = PERCENT, size: int = SHINGLE) -> str:
+    """DuckDB SQL for op8_ngram_join."""
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT k, array_to_string(w[i:i + {size - 1}], ' ') AS g FROM (SELECT k, w, unnest(range(1, greatest(len(w) - {size - 2}, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+c AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.k <> b.k GROUP BY a.k, b.k),
+e AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+r AS (SELECT k, k AS to_k FROM d UNION SELECT r.k, e.b FROM r JOIN e ON r.to_k = e.a),
+m AS (SELECT r.k, min(d.doc_id) AS component_id FROM r JOIN d ON d.k = r.to_k GROUP BY r.k)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d LEFT JOIN n USING (k) JOIN m USING (k)
+"""

@@ -244,3 +244,16 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, ba
     removed = F.when(gone, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0).cast("long")))
     sha = F.when(gone, F.lit(EMPTY_SHA)).otherwise(F.coalesce("kept", "sha"))
     return out.select(*keep, "n_words", removed.alias("n_removed"), sha.alias("kept_sha256"))
+
+
+def oracle_sql(window: int = WINDOW) -> str:
+    """DuckDB SQL for op7_substring_dedup."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+x AS (SELECT k, i, array_to_string(w[i:i + {window - 1}], ' ') AS g FROM (SELECT k, w, unnest(range(1, greatest(len(w) - {window - 2}, 1))) AS i FROM d)),
+c AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY g) AS n FROM x) WHERE n > 1),
+p AS (SELECT DISTINCT k, unnest(range(i, i + {window})) AS p FROM c),
+a AS (SELECT k, w[p] AS t, p FROM (SELECT k, w, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN p USING (k, p)),
+s AS (SELECT k, count(*) AS n, string_agg(t, ' ' ORDER BY p) AS kept FROM a GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (k)
+"""
