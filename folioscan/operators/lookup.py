@@ -66,10 +66,10 @@ def named_destinations(wanted: DataFrame, dests: DataFrame, name_tree: DataFrame
 
 def destination_pages(found: DataFrame, page_objects: DataFrame) -> DataFrame:
     """key, page: by object, or by an index that exists; else null (unresolved)."""
-    count = page_objects.agg(F.count("*").alias("_n"))
+    pages = page_objects.count()
     by_object = page_objects.select(F.col("num").alias("value"), F.lit("ref").alias("value_kind"), F.col("page").alias("_p"))
-    rows = found.join(by_object, ["value", "value_kind"], "left").crossJoin(F.broadcast(count))  # count is one row
-    index = F.when((F.col("value_kind") == "index") & F.col("value").between(0, F.col("_n") - 1), F.col("value"))
+    rows = found.join(by_object, ["value", "value_kind"], "left")
+    index = F.when((F.col("value_kind") == "index") & F.col("value").between(0, pages - 1), F.col("value"))
     return rows.select("key", "is_name", F.coalesce("_p", index).alias("page"))
 
 
