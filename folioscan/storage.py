@@ -1,4 +1,7 @@
-"""Tables in the folder that driver and executors share."""
+"""Tables in the folder that driver and executors share.
+
+They stay there after a session, as checkpoints do by default; the folder's owner expires them.
+"""
 
 from __future__ import annotations
 
@@ -8,12 +11,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folders of applications without spark.checkpoint.dir, as in tests.
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a temporary folder where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        name = spark.sparkContext.applicationId
+        folder = _OWN[name] = _OWN.get(name) or tempfile.mkdtemp(prefix="spark-shared-")
     return folder.rstrip("/")
 
 
