@@ -222,7 +222,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, ba
     sketch = stored(texts.mapInArrow(_sketched(keep, window, anchor), f"{fields}, tid long, n_words long, sha string, fps array<long>, spots array<long>"), "substring-sketch")
     batch = F.pmod("tid", F.lit(batches))
     shared = [index.add(sketch.where(batch == b).select(F.explode("fps").alias("fp"))) for b in range(batches)]
-    shared = reduce(DataFrame.union, shared).distinct()
+    shared = stored(reduce(DataFrame.union, shared).distinct(), "shared-fingerprints")  # a plain side of the join, so that Spark can split the hot fingerprints of the other
     places = sketch.select("tid", F.explode(F.arrays_zip("fps", "spots")).alias("b")).select("tid", F.col("b.fps").alias("fp"), F.col("b.spots").alias("spot"))
     alive = places.join(shared, "fp").groupBy("tid").agg(F.collect_set(F.struct("fp", "spot")).alias("b"))
     alive = alive.select("tid", F.col("b.fp").alias("fps"), F.col("b.spot").alias("spots"))
