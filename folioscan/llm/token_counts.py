@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm.shared import fresh_path, text_of
+from folioscan.llm.shared import fresh_path, stored, text_of
 
 LIMIT = 512
 TOKENIZER = "byte_bpe_50k.json"
@@ -127,12 +127,13 @@ def counted(docs: DataFrame, cache: str | None = None, tokenizer: str | None = N
     version = version_of(path)
     cache = cache or fresh_path(spark, "token-cache")
     spark.createDataFrame([], SCHEMA).write.mode("append").parquet(cache)
-    stored = read_cache(spark, cache).where(F.col("version") == version).select("digest", "n_tokens")
+    held = read_cache(spark, cache).where(F.col("version") == version).select("digest", "n_tokens")
     texts = docs.select(text_of().alias("text"))
-    texts = texts.withColumn("digest", F.unhex(F.sha2(F.col("text"), 256)))
-    misses = texts.join(stored.select("digest"), "digest", "left_anti").dropDuplicates(["digest"])
+    texts = texts.withColumn("digest", F.unhex(F.sha2(F.col("text"), 256))).dropDuplicates(["digest"])  # copies meet before the shuffle
+    misses = texts.join(held.select("digest"), "digest", "left_anti")
     misses.mapInArrow(_encoded(path, version), SCHEMA).write.mode("append").parquet(cache)
     rows = docs.select(*keep, text_of().alias("_t"))
     rows = rows.select(*keep, F.octet_length("_t").cast("long").alias("n_bytes"), F.unhex(F.sha2(F.col("_t"), 256)).alias("digest"))
-    stored = read_cache(spark, cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return rows.join(stored, "digest", "left").select(*keep, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    held = read_cache(spark, cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    known = stored(held, "token-counts")  # a plain side of the join, so that Spark can split a hot digest of the other
+    return rows.join(known, "digest", "left").select(*keep, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
