@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscan.llm.shared import n_words_of, text_of
+from folioscan.llm.shared import n_words_of, stored, text_of
 
 MAX_LENGTH = 2048
 BUCKETS = 16
@@ -63,6 +63,7 @@ def packed(docs: DataFrame, max_length: int = MAX_LENGTH, buckets: int = BUCKETS
     rows = docs.select(*keep, tokens.cast("long").alias("_n"))
     rows = rows.where("_n > 0").select(*keep, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / max_length))).alias("piece"))
     rows = rows.select(*keep, "piece", (F.col("piece") * max_length).alias("first_token"), F.least(F.col("_n") - F.col("piece") * max_length, F.lit(max_length)).cast("long").alias("n_tokens"))
+    rows = stored(rows, "packing-pieces")  # lengths are read three times, texts once
     histogram = rows.groupBy("n_tokens").count().orderBy("n_tokens").collect()  # at most max_length rows
     bounds = best_boundaries(np.array([r[0] for r in histogram]), np.array([r[1] for r in histogram]), buckets)
     bucket, length = F.lit(None).cast("int"), F.lit(None).cast("long")
