@@ -33,6 +33,10 @@ def test_both_ways_of_comparing_windows(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
-def test_running_text_is_kept(some):
-    rows = judged(some).where("n_words >= 50 and not base_failed").collect()
-    assert sum(r["kept"] for r in rows) / len(rows) > 0.95
+def test_labelled_documents(spark):
+    """Documents labelled good that pass the base rule stay; those labelled bad go."""
+    sf = "/root/testdata/sf0.1"
+    rows = judged(spark.read.parquet(f"{sf}/documents.parquet")).where("not base_failed").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("quality", "kept").count().collect()
+    found = {(r["quality"], r["kept"]): r["count"] for r in rows}
+    assert found.get((1, False), 0) <= 0.01 * found[(1, True)]
+    assert found.get((0, True), 0) <= 0.05 * found[(0, False)]
