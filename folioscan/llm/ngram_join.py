@@ -278,6 +278,7 @@ def joined(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, block:
     live = stored(lists.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(_divided(percent), LIVE), "ngram-live")
     short = live.select("cid", F.explode("short").alias("element"))
     least = short.groupBy("element").agg(F.min("cid").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
+    least = stored(least, "ngram-least")  # a plain side of the join, so that Spark can split the hot elements of the other
     groups = components(short.join(least, "element").select(F.col("cid").alias("a"), "b"))
     members = live.join(groups.select(F.col("node").alias("cid"), "root"), "cid")
     totals = groups.join(live.select(F.col("cid").alias("node"), "m"), "node").groupBy("root").agg(F.greatest(F.ceil(F.sum("m") / block), F.lit(1)).cast("int").alias("blocks"))
