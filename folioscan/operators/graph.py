@@ -51,6 +51,7 @@ def chain_ranks(nexts: DataFrame, key: str, node: str, following: str) -> DataFr
 
 def reached(edges: DataFrame, roots: DataFrame, depth: int = LIMITS.depth) -> DataFrame:
     """node, level: what the roots reach, each node once, at its smallest level."""
+    edges = stored(edges.select("src", "dst"), "edges")  # read once for each level
     level = stored(roots.select("node").distinct().withColumn("level", F.lit(0)), "frontier")
     seen = level
     for k in range(1, depth):
