@@ -5,7 +5,9 @@ The trees are grown on the driver from a bounded sample of distinct vectors
 halfway between two of its vectors drawn at random.  Every vector of the table
 is then sent to its leaf in each tree.  A query walks all trees through one
 shared priority queue, nearest branch first, until the leaves it has reached
-hold SEARCH vectors; those are ranked by their exact cosine.
+hold a fixed SHARE of what all trees hold, and SEARCH vectors at least; those are
+ranked by their exact cosine.  The share, not a number, keeps the recall as a
+table grows, with the same number of leaves a query however large they are.
 
 Equal vectors are one class, of which the TOP + 1 smallest ids are kept: no
 other member can be among the TOP nearest of any query.  Leaves of more than
@@ -38,6 +40,7 @@ TREES = 10
 SAMPLE = 16_384
 LEAF = 96
 SEARCH = 44_000
+SHARE = 0.086
 BLOCK = 4096
 EVERY = 50
 
@@ -109,6 +112,11 @@ def leaves_near(q: np.ndarray, forest: list[Tree], sizes: list[np.ndarray], sear
     return out
 
 
+def budget(members: int) -> int:
+    """Vectors that a query searches, of so many in the leaves of all trees."""
+    return max(SEARCH, int(np.ceil(SHARE * members)))
+
+
 def exact_cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Of rows of q with rows of x; each value depends on its two vectors alone."""
     norm = lambda a: np.sqrt((a * a).sum(axis=1))
@@ -136,8 +144,11 @@ def nearest_in_block(key: tuple, members: pd.DataFrame, probes: pd.DataFrame, to
     return pd.concat(out) if out else pd.DataFrame({"qid": pd.Series(dtype="int64"), "cid": pd.Series(dtype="int64"), "score": pd.Series(dtype=float), "ids": pd.Series(dtype=object)})
 
 
-def nearest(table: DataFrame, every: int = EVERY, top: int = TOP, trees: int = TREES, sample: int = SAMPLE, leaf: int = LEAF, search: int = SEARCH, block: int = BLOCK, seed: int = 7) -> DataFrame:
-    """query_id, rank, vec_id, score for the rows whose vec_id is divisible by ``every``."""
+def nearest(table: DataFrame, every: int = EVERY, top: int = TOP, trees: int = TREES, sample: int = SAMPLE, leaf: int = LEAF, search: int | None = None, block: int = BLOCK, seed: int = 7) -> DataFrame:
+    """query_id, rank, vec_id, score for the rows whose vec_id is divisible by ``every``.
+
+    Each query searches ``search`` members, or if that is None the budget of the counted ones.
+    """
     kind = table.schema["embedding"].dataType.simpleString()
     kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
     vector = F.col("embedding").cast(kind)
@@ -174,6 +185,7 @@ def nearest(table: DataFrame, every: int = EVERY, top: int = TOP, trees: int = T
     for k, n, count in counts:
         sizes[k][n] = count
     shared = spark.sparkContext.broadcast(sizes)
+    search = budget(sum(int(n.sum()) for n in sizes)) if search is None else search
     queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("cid").alias("qid")).distinct()
 
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,11 +201,8 @@ def nearest(table: DataFrame, every: int = EVERY, top: int = TOP, trees: int = T
 
     asked = classes.join(queries.select(F.col("qid").alias("cid")).distinct(), "cid", "left_semi").select("cid", "vector")
     probes = asked.mapInArrow(probing, f"tree int, leaf int, block int, qid long, vector {kind}")
-    blocks = F.lit(None).cast("int")
-    large = {(k, n): -(-int(c) // block) for k, n, c in counts if c > block}
-    for (k, n), b in large.items():
-        blocks = F.when((F.col("tree") == k) & (F.col("leaf") == n), F.pmod(F.xxhash64("cid"), F.lit(b)).cast("int")).otherwise(blocks)
-    members = members.withColumn("block", F.coalesce(blocks, F.lit(0)))
+    large = spark.createDataFrame([(k, n, -(-int(c) // block)) for k, n, c in counts if c > block], "tree int, leaf int, blocks int")
+    members = members.join(F.broadcast(large), ["tree", "leaf"], "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("cid"), "blocks").cast("int"), F.lit(0))).drop("blocks")
     keys = ["tree", "leaf", "block"]
     found = members.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(lambda key, a, b: nearest_in_block(key, a, b, top), "qid long, cid long, score double, ids array<long>")
     ids = found.dropDuplicates(["qid", "cid"]).select("qid", F.explode("ids").alias("vec_id"), "score")

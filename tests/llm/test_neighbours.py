@@ -1,7 +1,9 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
-from folioscan.llm.neighbours import grown, leaves_near, nearest
+from folioscan.llm.neighbours import SEARCH, budget, grown, leaves_near, nearest
 
 
 def brute(rows, every=50, top=5):
@@ -58,3 +60,21 @@ def test_one_queue_reaches_the_own_leaf_first():
         own = {(k, int(t.leaf_of(q[None])[0])) for k, t in enumerate(forest)}
         assert set(leaves_near(q, forest, sizes, 60)[:3]) == own or own <= set(leaves_near(q, forest, sizes, 500))
         assert len(leaves_near(q, forest, sizes, 10**9)) == sum(t.leaves for t in forest)
+
+
+def test_recall_holds_as_the_table_grows(spark, tmp_path):
+    n, every = 102_564, 1000
+    x = np.random.default_rng(3).normal(size=(n, 64))
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float64()))}), tmp_path / "e.parquet")
+    table = spark.read.parquet(str(tmp_path / "e.parquet"))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    got = {}
+    for r in nearest(table, every=every).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, n, every):
+        near = unit @ unit[q]
+        near[q] = -2
+        hits += len(set(np.argpartition(-near, 5)[:5].tolist()) & got[q])
+    assert hits / (5 * len(range(0, n, every))) >= 0.94
+    assert budget(1000) == SEARCH and budget(10 * n) > 2 * SEARCH
