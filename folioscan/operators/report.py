@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscan.functions.text import truncated
+from folioscan.functions.text import comparable, truncated
 from folioscan.limits import LIMITS
+from folioscan.storage import ranged
 
 
 def bounded_list(rows: DataFrame, by: str, order: list[str], value: str, most: int = LIMITS.list_items, chars: int = LIMITS.item_chars) -> DataFrame:
@@ -105,6 +106,33 @@ def text_distance(a: Column, b: Column, least: int = 30) -> Column:
     return F.when(longer >= least, F.levenshtein(a, b) / longer)
 
 
+def neighbours(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """Adds previous: the value of the row before in its group.  A large group is paired range by range, and the first row of a range with the last one before."""
+    rows = ranged(rows, [*by, order], "neighbours")
+    inside = W.partitionBy(*by, "_p").orderBy(order, value)
+    rows = rows.withColumns({"previous": F.lag(value).over(inside), "_r": F.row_number().over(inside)})
+    last = rows.groupBy(*by, "_p").agg(F.max_by(value, F.struct(order, value)).alias("_v"))
+    edge = last.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_p").alias("_q"), F.lag("_v").over(W.partitionBy(*by).orderBy("_p")).alias("_edge"))
+    match = (F.col("_r") == 1) & (F.col("_p") == F.col("_q"))
+    for c in by:
+        match &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    out = rows.join(edge, match, "left").withColumn("previous", F.when(F.col("_r") == 1, F.col("_edge")).otherwise(F.col("previous")))
+    return out.drop("_p", "_r", "_q", "_edge", *(f"_{c}" for c in by))
+
+
+def text_distances(docs: DataFrame) -> DataFrame:
+    """doc_id, distance: each document and the one before it in its language and source, by all comparable characters up to the published bound."""
+    pairs = neighbours(docs.select("doc_id", "lang", "source", comparable(F.col("text")).alias("a")), ["lang", "source"], "doc_id", "a")
+    return pairs.where("a is not null and previous is not null").select("doc_id", text_distance(F.col("a"), F.col("previous")).alias("distance"))
+
+
+def text_report(distances: DataFrame, limit: float = 0.02, least: int = 30) -> DataFrame:
+    """measured, too_short, worst, failures, passed."""
+    d = F.col("distance")
+    failures = F.count_if(d > limit)
+    return distances.agg(F.count("distance").alias("measured"), F.count_if(d.isNull()).alias("too_short"), F.max("distance").alias("worst"), failures.alias("failures"), ((F.count("distance") >= least) & (failures == 0)).alias("passed"))
+
+
 def manifest_problems(manifest: DataFrame) -> DataFrame:
     """id, problem for each rule that a row breaks."""
     c = F.col

@@ -501,11 +501,9 @@ td AS (SELECT doc_id, CASE WHEN greatest(length(a), length(b)) >= 30 THEN levens
 
 
 def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consecutive English documents of a source, by their first 300 comparable characters."""
-    from pyspark.sql import Window as W
-
+    """What the SQL can follow: consecutive English documents of a source, ASCII pairs, by their first 300 comparable characters."""
     d = X.table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "lang", "source", comparable(F.col("text"), 300).alias("a"))
-    d = d.withColumn("b", F.lag("a").over(W.partitionBy("lang", "source").orderBy("doc_id"))).where(F.col("b").isNotNull() & ~F.concat("a", "b").rlike(r"[^\x00-\x7f]"))
+    d = report.neighbours(d, ["lang", "source"], "doc_id", "a").withColumnRenamed("previous", "b").where(F.col("b").isNotNull() & ~F.concat("a", "b").rlike(r"[^\x00-\x7f]"))
     return d.select("doc_id", report.text_distance(F.col("a"), F.col("b")).alias("distance"))
 
 
@@ -516,6 +514,17 @@ def gate_text_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TEXT_PAIRS} SELECT count(distance) AS measured, count(*) FILTER (distance IS NULL) AS too_short, max(distance) AS worst, count(*) FILTER (distance > 0.02) AS failures, count(distance) >= 30 AND count(*) FILTER (distance > 0.02) = 0 AS passed FROM td")
 def gate_text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = F.col("distance")
-    failures = F.count_if(d > 0.02)
-    return _distances(spark, sf_dir).agg(F.count("distance").alias("measured"), F.count_if(d.isNull()).alias("too_short"), F.max("distance").alias("worst"), failures.alias("failures"), ((F.count("distance") >= 30) & (failures == 0)).alias("passed"))
+    return report.text_report(_distances(spark, sf_dir))
+
+
+def gate_text_distances_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All languages and pairs, up to the published bound; DuckDB's levenshtein counts bytes, so there is no SQL."""
+    return report.text_distances(X.table(spark, sf_dir, "documents"))
+
+
+def gate_text_report_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.text_report(gate_text_distances_whole(spark, sf_dir))
+
+
+#: Queries without SQL.
+WITHOUT_SQL = {q.__name__: q for q in (gate_text_distances_whole, gate_text_report_whole)}

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Temporary folders of applications without spark.checkpoint.dir, as in tests.
@@ -33,3 +34,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranged(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """The rows stored with _p, the number of their range in the order of the keys; equal keys share a range."""
+    return stored(df.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id()), label)
