@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscan.limits import LIMITS
-from folioscan.storage import stored
+from folioscan.storage import ranged, stored
 
 
 def walk(nodes: DataFrame, keys: list[str], inherited: list[str], carried: list[str] = (), depth: int = LIMITS.depth) -> DataFrame:
@@ -49,12 +51,12 @@ def chain_ranks(nexts: DataFrame, key: str, node: str, following: str) -> DataFr
     return rows.join(last, key).select(key, F.col("n").alias(node), (F.col("_m") - F.col("d")).alias("rank"))
 
 
-def reached(edges: DataFrame, roots: DataFrame, depth: int = LIMITS.depth) -> DataFrame:
-    """node, level: what the roots reach, each node once, at its smallest level."""
+def reached(edges: DataFrame, roots: DataFrame, levels: int | None = None) -> DataFrame:
+    """node, level: what the roots reach, each node once, at its smallest level; all of it, or the first ``levels`` levels if only those are asked for."""
     edges = stored(edges.select("src", "dst"), "edges")  # read once for each level
     level = stored(roots.select("node").distinct().withColumn("level", F.lit(0)), "frontier")
     seen = level
-    for k in range(1, depth):
+    for k in count(1) if levels is None else range(1, levels):
         new = level.join(edges, level["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         level = stored(new.join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(k)), "frontier")
         if level.isEmpty():
@@ -65,7 +67,11 @@ def reached(edges: DataFrame, roots: DataFrame, depth: int = LIMITS.depth) -> Da
 
 def renumbered(found: DataFrame) -> DataFrame:
     """node, level, place: breadth-first places inside each level, which together with the level give the new number."""
-    return found.withColumn("place", F.row_number().over(W.partitionBy("level").orderBy("node")))
+    rows = ranged(found, ["level", "node"], "renumbered")
+    before = W.partitionBy("level").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    starts = rows.groupBy("level", "_p").agg(F.count("*").alias("_n")).select("level", "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(W.partitionBy("level", "_p").orderBy("node")) + F.col("_start")
+    return rows.join(starts, ["level", "_p"]).withColumn("place", place).drop("_p", "_start")
 
 
 def dereferenced(refs: DataFrame, hops: int = LIMITS.depth) -> DataFrame:
