@@ -31,24 +31,31 @@ def query_problem(text: Column, regex: Column) -> Column:
     )
 
 
-def hits(pages: DataFrame, search: str, keys: tuple[str, ...] = ("doc_id", "page"), limit: int = LIMITS.hits) -> DataFrame:
-    """keys, hay, first, count, match: non-overlapping matches of a pattern that matches no empty text.
+#: Matches whose offsets are summed in one go; the work inside a row grows with its square, over a row in proportion.
+CHUNK = 500
+
+
+def hits(pages: DataFrame, search: str, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
+    """keys, hay, first, count, match: all non-overlapping matches of a pattern that matches no empty text.
 
     Offsets are running sums inside the row, so pages stay where they are: no
-    shuffle, and the same on a stream.  A page yields at most ``limit`` hits, more
-    than which no search returns.
+    shuffle, and the same on a stream.  A page of many matches is summed in chunks.
     """
     rows = pages.select(*keys, haystack(F.col("text")).alias("hay")).where(F.col("hay").rlike(search))
-    found = F.slice(F.regexp_extract_all("hay", F.lit(search), 0), 1, limit)
-    gaps = F.slice(F.split("hay", search, -1), 1, limit)
-    rows = rows.select(*keys, "hay", F.arrays_zip(gaps.alias("gap"), found.alias("match")).alias("parts"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<first:int,match:string>>)").alias("out"))
+    parts = F.arrays_zip(F.split("hay", search, -1).alias("gap"), F.regexp_extract_all("hay", F.lit(search), 0).alias("match"))
+    rows = rows.select(*keys, "hay", F.filter(parts, lambda p: p["match"].isNotNull()).alias("parts"))
+    numbers = F.sequence(F.lit(0), F.floor((F.size("parts") - 1) / CHUNK).cast("int"))
+    rows = rows.where(F.size("parts") > 0).select(*keys, "hay", F.transform(numbers, lambda i: F.slice("parts", i * CHUNK + 1, CHUNK)).alias("chunk"))
+    length = lambda s, p: s + F.length(p["gap"]) + F.length(p["match"])
+    begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    starts = F.aggregate("chunk", begin, lambda s, c: F.struct(F.aggregate(c, s["at"], length).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"]
+    rows = rows.select(*keys, "hay", F.explode(F.arrays_zip("chunk", starts.alias("at"))).alias("c"))
+    start = F.struct(F.col("c.at").alias("at"), F.expr("cast(array() as array<struct<first:int,match:string>>)").alias("out"))
     step = lambda s, p: F.struct(
-        (s["at"] + F.length(p["gap"]) + F.length(p["match"])).alias("at"),
+        length(s["at"], p).alias("at"),
         F.concat(s["out"], F.array(F.struct((s["at"] + F.length(p["gap"])).alias("first"), p["match"].alias("match")))).alias("out"),
     )
-    parts = F.filter("parts", lambda p: p["match"].isNotNull())
-    rows = rows.select(*keys, "hay", F.explode(F.aggregate(parts, start, step)["out"]).alias("h"))
+    rows = rows.select(*keys, "hay", F.explode(F.aggregate("c.chunk", start, step)["out"]).alias("h"))
     return rows.select(*keys, "hay", "h.first", F.length("h.match").alias("count"), "h.match")
 
 
