@@ -3,7 +3,8 @@
 The CRF tags tokens as B (a secret begins), I (it goes on) or O.  Tokens are
 runs of secret-like characters; punctuation and white space only serve as
 context.  A token without a digit, sign or inner capital is plain and its label is
-fixed to O, in training and in decoding; since a fixed label makes the two
+fixed to O, in training and in decoding, unless it stands near a cue word or has
+eight or more characters and is no common word of the training sample; since a fixed label makes the two
 sides of a chain independent, Viterbi decoding of each run of other tokens
 gives the best labelling of the whole text.  Features: shape, length,
 character mix, the words and signs before and after, and the share of such
@@ -23,9 +24,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +52,12 @@ SAMPLE = 1500
 
 #: Tokens that are not plain, each from the start of its run of such characters.
 TOKEN = re.compile(r"(?<![A-Za-z0-9_+/.\-])[A-Za-z_+/.\-]*[0-9_+/][A-Za-z0-9_+/.\-]*|(?<![A-Za-z0-9_+/.\-])[A-Za-z.\-]*[a-z][A-Z][A-Za-z.\-]*", re.A)
+#: Whole runs of letters, dots and hyphens; near a cue word are so many runs before and after it.
+LONG = re.compile(r"(?<![A-Za-z0-9_+/.\-])[.\-]*([A-Za-z][A-Za-z.\-]{6,}[A-Za-z])[.\-]*(?![A-Za-z0-9_+/.\-])", re.A)
+_RUN = re.compile(r"[A-Za-z0-9_+/.\-]+", re.A)
+NEAR = 4
 CUES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "auth", "bearer", "credential", "private", "access")
+_CUE = re.compile(rf"(?<![A-Za-z])(?:{'|'.join(CUES)})s?(?![A-Za-z])", re.I | re.A)
 _WORD_BEFORE = re.compile(r"([A-Za-z_]+)[^A-Za-z0-9]*$", re.A)
 _PLAIN = re.compile(r"[^\W\d_]", re.U)
 LABELS = 3
@@ -108,18 +116,62 @@ def token_features(text: str, start: int, end: int) -> list[str]:
     out = ["bias", f"shape={kind}", f"length={length}", f"shape,length={kind},{length}", f"bits={int(_bits(token) * 2)}", f"digits={int(digits * 4)}", f"changes={int(changes * 4)}", f"cue={cue != 'none'}", f"cue,length={cue != 'none'},{length}", f"sign={signs[-1:]}", f"assigned={'=' in signs or ':' in signs}", f"cue,assigned={cue != 'none'},{'=' in signs or ':' in signs}", f"next={after[:1] if after[:1] in '@.:/\"' else 'other'}"]
     if cue != "none":
         out.append(f"cue={cue}")
+    near = _nearness(text, start, end)
+    out += [f"near={near}", f"near,shape={near != 'none'},{kind}", f"near,length={near != 'none'},{length}"]
+    if kind == "letters" or re.fullmatch(r"[A-Z]+", token):
+        case = "small" if token.islower() else "capitals" if token.isupper() else "title" if token[1:].islower() else "mixed"
+        parts = min(len(re.findall(r"[A-Za-z]+", token)), 4)
+        odd = bool(_ODD.search(token)) or not re.search("[aeiouyAEIOUY]", token)
+        out += [f"odd,length={odd},{length}", f"parts={parts}", f"near,odd,length={near != 'none'},{odd},{length}", f"near,parts={near},{parts}", f"near,case,length={near != 'none'},{case},{length}", f"assigned,odd,parts={'=' in signs or ':' in signs},{odd},{parts}"]
     return out
 
 
-def runs(text: str) -> list[list[tuple[int, int]]]:
-    """The tokens that are not plain, in runs without a plain word between them."""
+_ODD = re.compile("[bcdfghjklmnpqrstvwxz]{5}", re.I)
+
+
+@lru_cache(maxsize=4)
+def _cues(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in _CUE.finditer(text)]
+
+
+def _nearness(text: str, start: int, end: int) -> str:
+    """after or before and how many words lie between, or none."""
+    cues = _cues(text)
+    i = bisect_right(cues, (start, -1))
+    if i and cues[i - 1][1] <= start and start - cues[i - 1][1] < 80 and (n := len(_RUN.findall(text, cues[i - 1][1], start))) < NEAR:
+        return f"after{n}"
+    i = bisect_right(cues, (end, -1))
+    return "before" if i < len(cues) and cues[i][0] - end < 60 and len(_RUN.findall(text, end, cues[i][0])) < NEAR else "none"
+
+
+def candidates(text: str, common: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
+    """The tokens whose labels are free, in order."""
+    found = {m.start(): m.span() for m in TOKEN.finditer(text)}
+    for m in LONG.finditer(text):
+        if m.start() not in found and m[1].lower() not in common:
+            found[m.start()] = m.span(1)
+    all_runs: list[tuple[int, int]] = []
+    for cue in _cues(text):
+        if not all_runs:
+            all_runs = [r.span() for r in _RUN.finditer(text)]
+        i = bisect_right(all_runs, (cue[0], len(text))) - 1
+        for j in range(max(0, i - NEAR), min(len(all_runs), i + NEAR + 1)):
+            a, b = all_runs[j]
+            run = text[a:b]
+            if j != i and a not in found and run.strip(".-"):
+                found[a] = (a + len(run) - len(run.lstrip(".-")), a + len(run.rstrip(".-")))
+    return sorted(found.values())
+
+
+def runs(text: str, common: frozenset[str] = frozenset()) -> list[list[tuple[int, int]]]:
+    """The tokens whose labels are free, in runs without a fixed label between them."""
     out: list[list[tuple[int, int]]] = []
     last = None
-    for m in TOKEN.finditer(text):
-        if last is None or m.start() - last > 16 or _PLAIN.search(text, last, m.start()):
+    for a, b in candidates(text, common):
+        if last is None or _PLAIN.search(text, last, a):
             out.append([])
-        out[-1].append(m.span())
-        last = m.end()
+        out[-1].append((a, b))
+        last = b
     return out
 
 
@@ -130,12 +182,13 @@ def file_feature(n_tokens: int, n_chars: int) -> str:
 
 @dataclass
 class Crf:
-    """Weights of features for each label, and of label pairs."""
+    """Weights of features for each label, and of label pairs; common words, whose labels are fixed."""
 
     names: dict[str, int]
     weights: np.ndarray
     moves: np.ndarray
     first: np.ndarray
+    common: frozenset[str] = frozenset()
 
     def emissions(self, tokens: Sequence[Sequence[str]]) -> np.ndarray:
         out = np.zeros((len(tokens), LABELS))
@@ -145,6 +198,8 @@ class Crf:
 
     def viterbi(self, tokens: Sequence[Sequence[str]]) -> list[int]:
         emitted = self.emissions(tokens)
+        if len(tokens) == 1:
+            return [int((self.first + emitted[0]).argmax())]
         score, back = self.first + emitted[0], []
         for e in emitted[1:]:
             total = score[:, None] + self.moves
@@ -159,14 +214,17 @@ class Crf:
 def trained(examples: Sequence[tuple[list[list[str]], list[int]]], steps: int = 150, rate: float = 0.3, ridge: float = 1e-3) -> Crf:
     """Maximum likelihood with a ridge penalty, by Adagrad on all examples at once; sums run in log space."""
     names = {f: i for i, f in enumerate(sorted({f for tokens, _ in examples for t in tokens for f in t}))}
-    longest, n = max(len(t) for t, _ in examples), len(examples)
-    width = max(len(t) for tokens, _ in examples for t in tokens)
-    at = np.full((n, longest, width), len(names))
-    gold, real = np.zeros((n, longest), int), np.zeros((n, longest), bool)
-    for i, (tokens, labels) in enumerate(examples):
-        for j, (features, label) in enumerate(zip(tokens, labels, strict=True)):
-            at[i, j, : len(features)] = [names[f] for f in features]
-            gold[i, j], real[i, j] = label, True
+    n, width = len(examples), max(len(t) for tokens, _ in examples for t in tokens)
+    by_length: dict[int, list] = {}
+    for (tokens, labels), times in Counter((tuple(map(tuple, t)), tuple(l)) for t, l in examples).items():
+        by_length.setdefault(len(tokens), []).append((tokens, labels, times))
+    groups = []
+    for longest, same in by_length.items():
+        at = np.full((len(same), longest, width), len(names))
+        for i, (tokens, _, _) in enumerate(same):
+            for j, features in enumerate(tokens):
+                at[i, j, : len(features)] = [names[f] for f in features]
+        groups.append((at, np.array([l for _, l, _ in same]), np.array([c for *_, c in same]) / n))
     weights, moves, first = np.zeros((len(names) + 1, LABELS)), np.zeros((LABELS, LABELS)), np.zeros(LABELS)
     moves[_O, _I] = first[_I] = _NEVER
     free = moves > _NEVER
@@ -178,23 +236,26 @@ def trained(examples: Sequence[tuple[list[list[str]], list[int]]], steps: int =
         return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
     for _ in range(steps):
-        emitted = weights[at].sum(axis=2)
-        ahead, behind = np.zeros((n, longest, LABELS)), np.zeros((n, longest, LABELS))
-        ahead[:, 0] = first + emitted[:, 0]
-        for j in range(1, longest):
-            ahead[:, j] = np.where(real[:, j, None], lse(ahead[:, j - 1, :, None] + moves, 1) + emitted[:, j], ahead[:, j - 1])
-        for j in range(longest - 2, -1, -1):
-            behind[:, j] = np.where(real[:, j + 1, None], lse(moves + (emitted[:, j + 1] + behind[:, j + 1])[:, None, :], 2), 0)
-        whole = lse(ahead[:, -1], 1)
-        marginal = np.exp(np.minimum(ahead + behind - whole[:, None, None], 0)) * real[..., None]
-        error = (eye[gold] * real[..., None] - marginal) / n
-        up = [np.zeros_like(weights), np.zeros_like(moves), error[:, 0].sum(axis=0)]
-        for k in range(width):
-            np.add.at(up[0], at[:, :, k], error)
-        for j in range(1, longest):
-            pair = np.exp(np.minimum(ahead[:, j - 1, :, None] + moves + (emitted[:, j] + behind[:, j])[:, None, :] - whole[:, None, None], 0))
-            seen = eye[gold[:, j - 1]][:, :, None] * eye[gold[:, j]][:, None, :]
-            up[1] += ((seen - pair) * real[:, j, None, None]).sum(axis=0) / n
+        up = [np.zeros_like(weights), np.zeros_like(moves), np.zeros_like(first)]
+        for at, gold, share in groups:
+            longest = at.shape[1]
+            emitted = sum(weights[at[:, :, k]] for k in range(width))
+            ahead, behind = np.zeros_like(emitted), np.zeros_like(emitted)
+            ahead[:, 0] = first + emitted[:, 0]
+            for j in range(1, longest):
+                ahead[:, j] = lse(ahead[:, j - 1, :, None] + moves, 1) + emitted[:, j]
+            for j in range(longest - 2, -1, -1):
+                behind[:, j] = lse(moves + (emitted[:, j + 1] + behind[:, j + 1])[:, None, :], 2)
+            whole = lse(ahead[:, -1], 1)
+            marginal = np.exp(np.minimum(ahead + behind - whole[:, None, None], 0))
+            error = (eye[gold] - marginal) * share[:, None, None]
+            up[2] += error[:, 0].sum(axis=0)
+            for k in range(LABELS):
+                up[0][:, k] += np.bincount(at.ravel(), np.repeat(error[:, :, k].ravel(), width), len(weights))
+            for j in range(1, longest):
+                pair = np.exp(np.minimum(ahead[:, j - 1, :, None] + moves + (emitted[:, j] + behind[:, j])[:, None, :] - whole[:, None, None], 0))
+                seen = eye[gold[:, j - 1]][:, :, None] * eye[gold[:, j]][:, None, :]
+                up[1] += ((seen - pair) * share[:, None, None]).sum(axis=0)
         for x, g, s in zip((weights, moves, first), up, sums, strict=True):
             g -= ridge * np.where(x > _NEVER, x, 0)
             s += g * g
@@ -203,9 +264,9 @@ def trained(examples: Sequence[tuple[list[list[str]], list[int]]], steps: int =
     return Crf(names, weights[:-1], moves, first)
 
 
-def examples_of(text: str, places: Sequence[tuple[int, int]]) -> list[tuple[list[list[str]], list[int]]]:
+def examples_of(text: str, places: Sequence[tuple[int, int]], common: frozenset[str] = frozenset()) -> list[tuple[list[list[str]], list[int]]]:
     """Labelled runs of a text; runs of more than 32 tokens are cut there, in training only."""
-    found, out = runs(text), []
+    found, out = runs(text, common), []
     share = file_feature(sum(map(len, found)), len(text))
     for run in found:
         labels = []
@@ -234,22 +295,43 @@ def generated() -> list[tuple[list[list[str]], list[int]]]:
         n = int.from_bytes(digest(i, "number")[:8], "big")
         plain = (f"call +1 ({n % 900 + 100}) 555-{n % 9000 + 1000} today", f"from 10.{n % 250}.{n // 7 % 250}.{n // 11 % 250} again", f"on 20{n % 30:02d}-0{n % 9 + 1}-1{n % 9} at 1{n % 9}:0{n % 9}", f"order {n % 10**10} of {n % 97} parts", f"see src/part{n % 40}/file_{n % 9}.py and x{n % 9}", f"card {n % 10**16:016d} was used", f"mail name.{n % 99}@mail{n % 9}.example.com", f"version {n % 9}.{n % 7}.{n % 31} of model-{n % 50} isoMorph", f"id 00{n % 10**6} in the list, token {n % 99} of the text")
         out += examples_of(plain[i % len(plain)], [])
+        small = "".join("abcdefghijklmnopqrstuvwxyz"[b % 26] for b in raw)
+        words = [WORDS[b % len(WORDS)] for b in raw]
+        secret = (small[: 12 + i % 9], small[: 12 + i % 9].upper(), "-".join(words[: 3 + i % 2]), ".".join(words[: 3 + i % 2]))[i % 4]
+        line = (f"the {cue} is {secret} for now", f"{cue}: {secret}", f"{cue} {secret}", f"the {cue} was {secret}", f'{cue} = "{secret}"', f"use {secret} as {cue}")[i // 4 % 6]
+        at = line.index(secret)
+        out += examples_of(line, [(at, at + len(secret))])
+        a, b, c = (LONG_WORDS[x % len(LONG_WORDS)] for x in raw[:3])
+        plain = (f"the {cue} to {a} is {b} and {c}", f"{cue} {a} for the {b}", f"a {cue} is needed for {a}", f"{a.upper()} AND {b.upper()}", f"the well-known {a} of {b}, a {words[0]}-{words[1]} {c}", f"{cue}: please see {a}", f"{a} {b} {cue}", f"state-of-the-art {a} at www.{words[0]}{words[1]}.com", f"{a.title()} {b.title()}: {c}", f"the {small[:10]} of {a}", f"a {words[0]} {cue} of {a}")
+        out += examples_of(plain[i % len(plain)], [])
     return out
 
 
+WORDS = "apple river stone horse paper cloud green table light ocean tiger music chair brave quiet lemon eagle frost amber north candle garden silver winter".split()
+LONG_WORDS = "information government understanding patience important international development technology agreement administrator performance community production traditional environment successful university management strengths rhythmically".split()
+
+
+def common_words(texts: Sequence[str]) -> frozenset[str]:
+    """Long words of two texts or more."""
+    seen = Counter(w for t in texts for w in {m[1].lower() for m in LONG.finditer(t)})
+    return frozenset(w for w, n in seen.items() if n > 1)
+
+
 def train_on(docs: DataFrame, sample: int = SAMPLE) -> Crf:
     """A model from the distinct texts with the smallest hashes, at most ``sample``, and from generated lines."""
     rows = docs.select(text_of().alias("text")).withColumn("h", F.xxhash64("text"))
     least = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     texts = [] if least is None else [r[0] for r in rows.where(F.col("h") <= least).dropDuplicates(["h"]).orderBy("h").select("text").collect()]
-    examples = generated()
+    examples, common = generated(), common_words(texts)
     for text in texts:
-        examples += examples_of(text, secret_places(text))
-    return trained(examples)
+        examples += examples_of(text, secret_places(text), common)
+    model = trained(examples)
+    model.common = common
+    return model
 
 
 def crf_spans(text: str, model: Crf) -> list[tuple[int, int]]:
-    found, out = runs(text), []
+    found, out = runs(text, model.common), []
     share = file_feature(sum(map(len, found)), len(text))
     for run in found:
         start = None
