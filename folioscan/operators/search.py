@@ -104,12 +104,24 @@ def containing(texts: DataFrame, queries: DataFrame, words: int = 4) -> DataFram
     """query_id, doc_id of the texts that contain a query's text literally.
 
     A word that both hold whole anchors an equi-join; the longest inner word of the
-    query is taken, so only texts with that word are compared.
+    query is taken, so only texts with that word are compared.  Queries without an
+    inner word are anchored by three characters in a row, or by all of fewer.
     """
     inner = lambda c: F.filter(F.split(c, "[^\\p{L}\\p{N}]+"), lambda w: w != "")
     q = queries.select("query_id", F.col("text").alias("needle"))
     whole = F.filter(F.slice(inner("needle"), 2, F.greatest(F.size(inner("needle")) - 2, F.lit(0))), lambda w: w != "")
     anchor = F.element_at(F.array_sort(F.transform(whole, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1)["w"]
+    weak = q.where(F.col("needle").isNotNull() & (F.size(whole) <= 0))
     q = q.where(F.size(whole) > 0).withColumn("anchor", anchor)
     found = texts.select("doc_id", F.explode(F.array_distinct(inner("text"))).alias("anchor")).join(q, "anchor").select("doc_id", "query_id", "needle")
+    sizes = [r[0] for r in weak.select(F.least(F.length("needle"), F.lit(3))).distinct().collect()]  # at most 0 to 3
+    chars = texts.select("doc_id", F.split("text", "").alias("c")) if sizes else None
+    for n in sizes:
+        some = weak.where(F.least(F.length("needle"), F.lit(3)) == n)
+        if n == 0:
+            found = found.union(texts.select("doc_id").crossJoin(some.select("query_id", "needle")))
+            continue
+        grams = F.transform(F.sequence(F.lit(1), F.size("c") - n + 1), lambda i: F.concat(*(F.element_at("c", i + k) for k in range(n))))  # noqa: B023
+        held = chars.where(F.size("c") >= n).select("doc_id", F.explode(F.array_distinct(grams)).alias("anchor"))
+        found = found.union(held.join(some.withColumn("anchor", F.substring("needle", 1, n)), "anchor").select("doc_id", "query_id", "needle"))
     return found.join(texts.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("needle"))).select("query_id", "doc_id").distinct()
