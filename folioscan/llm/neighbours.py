@@ -1,33 +1,38 @@
 """Approximate nearest neighbours: a forest of random-projection trees.
 
 The trees are grown on the driver from a bounded sample of distinct vectors
-(SAMPLE of them, those with the smallest hash); each node splits at the plane
+(SAMPLE of them, those with the smallest keys); each node splits at the plane
 halfway between two of its vectors drawn at random.  Every vector of the table
 is then sent to its leaf in each tree.  A query walks all trees through one
-shared priority queue, nearest branch first, until the leaves it has reached
-hold a fixed SHARE of what all trees hold, and SEARCH vectors at least; those are
-ranked by their exact cosine.  The share, not a number, keeps the recall as a
-table grows, with the same number of leaves a query however large they are.
+shared priority queue until the leaves it has reached hold a fixed SHARE of the
+distinct vectors, and LEAST of them at least; those are ranked by their exact
+cosine.  The queue is ordered by how unlikely it is that a near neighbour lies
+beyond the planes between the query and a leaf: a plane at distance m is
+crossed with the logistic probability 1 / (1 + exp(slope * m)), the slope
+following from the dimensions and from how near neighbours are in the sample.
+The share, not a number, keeps the recall as a table grows.
 
 Equal vectors are one class, of which the TOP + 1 smallest ids are kept: no
-other member can be among the TOP nearest of any query.  Leaves of more than
-BLOCK classes are searched in blocks, so no leaf has to fit into one task.
+other member can be among the TOP nearest of any query.  Leaves next to each
+other form blocks of about BLOCK classes; larger leaves are dealt over several
+blocks, and queries over slices of SLICE, so no leaf, and no set of queries,
+has to fit into one task.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
 components take no part, nor do those of another length than the most frequent
-one (the smaller, if two are as frequent) or with a null id; a repeated row
-counts once; a table with fewer vectors gives fewer neighbours; other columns
-are not looked at.
+one (the smaller, if two are as frequent) or with a null id; very small and very
+large finite components count like others; a repeated row counts once; a table
+with fewer vectors gives fewer neighbours; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -36,12 +41,13 @@ from pyspark.sql import functions as F
 from folioscan.llm.shared import stored
 
 TOP = 5
-TREES = 10
+TREES = 24
 SAMPLE = 16_384
-LEAF = 96
-SEARCH = 44_000
-SHARE = 0.086
-BLOCK = 4096
+LEAF = 6
+LEAST = 1000
+SHARE = 0.25
+BLOCK = 16_384
+SLICE = 16_384
 EVERY = 50
 
 
@@ -65,149 +71,231 @@ class Tree:
 
 
 def grown(x: np.ndarray, rng: np.random.Generator, leaf: int = LEAF) -> Tree:
-    normals, offsets, left, right, leaves = [], [], [], [], 0
-    todo = [(np.arange(len(x)), None, None)]
+    """A tree over unit vectors, all nodes of a level at once; leaves are numbered from left to right."""
+    x = np.asarray(x, np.float32)
+    normals, offsets, children = [], [], []
+    rows, group, n_groups, made = np.arange(len(x)), np.zeros(len(x), np.int64), 1, 0
+    while n_groups:
+        order = np.argsort(group, kind="stable")
+        rows, group = rows[order], group[order]
+        start = np.searchsorted(group, np.arange(n_groups + 1))
+        size = np.diff(start)
+        normal, offset = np.zeros((n_groups, x.shape[1]), np.float32), np.zeros(n_groups, np.float32)
+        side, split = np.zeros(len(rows), bool), np.zeros(n_groups, bool)
+        todo = np.flatnonzero(size > leaf)
+        for _ in range(5):
+            if not len(todo):
+                break
+            i = (rng.random(len(todo)) * size[todo]).astype(np.int64)
+            j = (i + 1 + (rng.random(len(todo)) * (size[todo] - 1)).astype(np.int64)) % size[todo]
+            a, b = x[rows[start[todo] + i]], x[rows[start[todo] + j]]
+            far = np.sqrt(((b - a) ** 2).sum(axis=1))[:, None]
+            normal[todo] = (b - a) / np.where(far > 0, far, 1)
+            offset[todo] = ((a + b) * normal[todo]).sum(axis=1) / 2
+            mine = np.flatnonzero(np.isin(group, todo))
+            side[mine] = np.einsum("ij,ij->i", x[rows[mine]], normal[group[mine]]) > offset[group[mine]]
+            up = np.bincount(group[mine], side[mine], n_groups)[todo] / size[todo]
+            good = (up > 0.02) & (up < 0.98)
+            split[todo[good]] = True
+            todo = todo[~good]
+        inner = np.flatnonzero(split)
+        number = np.full(n_groups, -1)
+        number[inner] = made + np.arange(len(inner))
+        children.append(number)
+        normals.append(normal[inner])
+        offsets.append(offset[inner])
+        made += len(inner)
+        deeper = split[group]
+        place = np.zeros(n_groups, np.int64)
+        place[inner] = 2 * np.arange(len(inner))
+        rows, group, n_groups = rows[deeper], place[group[deeper]] + side[deeper], 2 * len(inner)
+    below = np.concatenate(children[1:]).reshape(-1, 2) if len(children) > 1 else np.zeros((0, 2), np.int64)
+    leaves, todo = 0, [(0, 1), (0, 0)] if made else []
     while todo:
-        rows, parent, side = todo.pop()
-        split = None
-        if len(rows) > leaf:
-            for _ in range(5):
-                a, b = x[rng.choice(rows, 2, replace=False)]
-                normal = b - a
-                offset = float(normal @ (a + b) / 2)
-                up = x[rows] @ normal > offset
-                if 0.02 < up.mean() < 0.98:
-                    split = up
-                    break
-        if split is None:
-            leaves += 1
-            me = -leaves
+        node, right = todo.pop()
+        if (child := int(below[node, right])) >= 0:
+            todo += [(child, 1), (child, 0)]
         else:
-            me = len(offsets)
-            normals.append(normal / np.linalg.norm(normal))
-            offsets.append(offset / np.linalg.norm(normal))
-            left.append(0)
-            right.append(0)
-            todo += [(rows[~split], me, left), (rows[split], me, right)]
-        if parent is not None:
-            side[parent] = me
-    return Tree(np.array(normals).reshape(-1, x.shape[1]), np.array(offsets), np.array(left, np.int64), np.array(right, np.int64), leaves)
-
-
-def leaves_near(q: np.ndarray, forest: list[Tree], sizes: list[np.ndarray], search: int) -> list[tuple[int, int]]:
-    """(tree, leaf) in the order of one queue over all trees, until their vectors number ``search``."""
-    sides = [t.normal @ q - t.offset for t in forest]
-    queue = [(-np.inf, k, 0 if len(t.offset) else -1) for k, t in enumerate(forest)]
-    heapq.heapify(queue)
-    out, held = [], 0
-    while queue and held < search:
-        far, k, node = heapq.heappop(queue)
-        if node < 0:
-            out.append((k, -1 - node))
-            held += int(sizes[k][-1 - node])
-            continue
-        m, t = float(sides[k][node]), forest[k]
-        heapq.heappush(queue, (max(far, -m), k, int(t.right[node])))
-        heapq.heappush(queue, (max(far, m), k, int(t.left[node])))
-    return out
-
-
-def budget(members: int) -> int:
-    """Vectors that a query searches, of so many in the leaves of all trees."""
-    return max(SEARCH, int(np.ceil(SHARE * members)))
+            leaves += 1
+            below[node, right] = -leaves
+    return Tree(np.concatenate(normals).reshape(-1, x.shape[1]), np.concatenate(offsets), below[:, 0], below[:, 1], max(leaves, 1))
+
+
+def slope_of(x: np.ndarray, top: int = TOP) -> float:
+    """Steepness of the chance that a plane parts a vector from its neighbours: from their cosines in the sample."""
+    if len(x) <= top:
+        return 1.0
+    near = -np.partition(-(x[:256] @ x.T), top, axis=1)[:, top]
+    c = float(np.clip(near.mean(), 0.1, 0.95))
+    return 1.702 * math.sqrt(x.shape[1]) * c / math.sqrt(1 - c * c)
+
+
+class Walks:
+    """The trees laid end to end for walks of one queue over all of them."""
+
+    def __init__(self, forest: list[Tree], sizes: list[np.ndarray], slope: float = 1.0):
+        first = np.cumsum([0] + [len(t.offset) for t in forest])
+        leaf = np.cumsum([0] + [t.leaves for t in forest])
+        below = lambda child, k: np.where(child >= 0, child + first[k], child - leaf[k]).tolist()
+        self.left, self.right = ([c for k, t in enumerate(forest) for c in below(getattr(t, side), k)] for side in ("left", "right"))
+        self.roots = [int(first[k]) if len(t.offset) else int(-1 - leaf[k]) for k, t in enumerate(forest)]
+        self.tree, self.leaf = np.repeat(np.arange(len(forest)), [t.leaves for t in forest]), np.concatenate([np.arange(t.leaves) for t in forest])
+        self.sizes = np.concatenate(sizes).tolist()
+        self.normal, self.offset = np.concatenate([t.normal for t in forest]) * slope, np.concatenate([t.offset for t in forest]) * slope
+
+    def leaves_near(self, queries: np.ndarray, search: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query, trees and leaves in the order of the queue, until their vectors number ``search``."""
+        left, right, sizes, push = self.left, self.right, self.sizes, heapq.heappush
+        for margins in queries @ self.normal.T - self.offset:
+            margin = margins.tolist()
+            queue = [(0.0, root) for root in self.roots]
+            heapq.heapify(queue)
+            out, held = [], 0
+            while queue and held < search:
+                cost, node = heapq.heappop(queue)
+                while node >= 0:
+                    m = margin[node]
+                    near, far, m = (right[node], left[node], m) if m > 0 else (left[node], right[node], -m)
+                    cost += math.log1p(math.exp(-m)) if m < 30 else 0.0
+                    push(queue, (cost + m, far))
+                    cost, node = heapq.heappushpop(queue, (cost, near))
+                out.append(-1 - node)
+                held += sizes[-1 - node]
+            yield self.tree[out], self.leaf[out]
+
+
+def budget(vectors: int) -> int:
+    """Members of leaves that a query searches, of so many distinct vectors."""
+    return max(LEAST, math.ceil(SHARE * vectors))
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that their squares neither vanish nor overflow; cosines are the same to the bit."""
+    x = np.asarray(x, float)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
 
 
 def exact_cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Of rows of q with rows of x; each value depends on its two vectors alone."""
+    q, x = scaled(q), scaled(x)
     norm = lambda a: np.sqrt((a * a).sum(axis=1))
     return (q * x).sum(axis=1) / (norm(q) * norm(x))
 
 
-def nearest_in_block(key: tuple, members: pd.DataFrame, probes: pd.DataFrame, top: int = TOP) -> pd.DataFrame:
-    """The top + 1 classes of a block for each query, by cosine, then smallest id."""
-    out = []
-    if len(members) and len(probes):
-        x, cid = np.stack(members["vector"]).astype(float), members["cid"].to_numpy()
-        least = np.array([i[0] for i in members["ids"]])
-        unit = x / np.linalg.norm(x, axis=1)[:, None]
-        for at in range(0, len(probes), 256):
-            part = probes.iloc[at : at + 256]
-            q = np.stack(part["vector"]).astype(float)
-            near = (q / np.linalg.norm(q, axis=1)[:, None]) @ unit.T
-            k = min(top + 1, len(x))
-            edge = -np.partition(-near, k - 1, axis=1)[:, k - 1]
-            for row, name in enumerate(part["qid"]):
-                some = np.flatnonzero(near[row] >= edge[row] - 1e-9)
-                score = exact_cosine(np.broadcast_to(q[row], (len(some), q.shape[1])), x[some])
+def _matrix(values: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+    return np.asarray(values.flatten(), dtype=float).reshape(len(values), -1)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def _searched(top: int):
+    """Of a block: the top + 1 classes in the asked leaves for each query, by cosine, then smallest id."""
+
+    def run(members: pa.Table, probes: pa.Table) -> pa.Table:
+        members = members.sort_by("leaf")
+        leaf, cid, least = (members.column(c).to_numpy() for c in ("leaf", "cid", "least"))
+        found = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),) + (np.zeros(0, np.int64),)]
+        if len(leaf) and probes.num_rows:
+            x, q = _matrix(members.column("vector")), _matrix(probes.column("vector"))
+            ux, uq = _unit(x), _unit(q)
+            for i, (name, wanted) in enumerate(zip(probes.column("qid").to_pylist(), probes.column("leaves").to_pylist(), strict=True)):
+                begin, end = np.searchsorted(leaf, wanted), np.searchsorted(leaf, wanted, side="right")
+                some = np.concatenate([np.arange(a, b) for a, b in zip(begin, end, strict=True)])
+                if not len(some):
+                    continue
+                near = ux[some] @ uq[i]
+                k = min(top + 1, len(some))
+                some = some[near >= -np.partition(-near, k - 1)[k - 1] - 1e-9]
+                score = exact_cosine(q[i][None, :], x[some])
                 best = np.lexsort((least[some], -score))[:k]
-                out.append(pd.DataFrame({"qid": name, "cid": cid[some[best]], "score": score[best], "ids": list(members["ids"].to_numpy()[some[best]])}))
-    return pd.concat(out) if out else pd.DataFrame({"qid": pd.Series(dtype="int64"), "cid": pd.Series(dtype="int64"), "score": pd.Series(dtype=float), "ids": pd.Series(dtype=object)})
+                found.append((np.full(k, name), cid[some[best]], score[best], least[some[best]]))
+        return pa.table({n: pa.array(np.concatenate(v)) for n, v in zip(("qid", "cid", "score", "least"), zip(*found, strict=True), strict=True)})
+
+    return run
 
 
 def nearest(table: DataFrame, every: int = EVERY, top: int = TOP, trees: int = TREES, sample: int = SAMPLE, leaf: int = LEAF, search: int | None = None, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose vec_id is divisible by ``every``.
 
-    Each query searches ``search`` members, or if that is None the budget of the counted ones.
+    Each query searches leaves of ``search`` members, or if that is None the budget of the counted vectors.
     """
+    spark = table.sparkSession
     kind = table.schema["embedding"].dataType.simpleString()
     kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
-    vector = F.col("embedding").cast(kind)
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector")).where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull())
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("vector")).where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull())
     odd = F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    square = F.aggregate("vector", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
-    rows = rows.where(F.coalesce(~odd, F.lit(False))).where((square > 0) & (square < float("inf")))
+    rows = rows.where(F.coalesce(~odd, F.lit(False))).where(F.exists("vector", lambda v: v != 0))
     length = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    rows = rows.where(F.size("vector") == (length[0] if length else 0)).withColumn("cid", F.xxhash64("vector"))
-    few = rows.dropDuplicates(["cid", "vec_id"]).withColumn("r", F.row_number().over(W.partitionBy("cid").orderBy("vec_id"))).where(F.col("r") <= top + 1)
-    classes = stored(few.groupBy("cid").agg(F.first("vector").alias("vector"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "ann-classes")
-    spark = table.sparkSession
-    drawn = [r[0] for r in classes.orderBy("cid").limit(sample).select("vector").collect()]
-    x = np.array(drawn, dtype=float).reshape(len(drawn), length[0] if length else 1)
-    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = rows.where(F.size("vector") == (length[0] if length else 0))
+    rows = rows.withColumn("key", F.concat_ws(":", F.xxhash64("vector"), F.xxhash64(F.lit(seed), "vector")))  # 128 bits
+    few = rows.dropDuplicates(["key", "vec_id"]).withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("vec_id"))).where(F.col("r") <= top + 1)
+    grouped = few.groupBy("key").agg(F.first("vector").alias("vector"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    classes = stored(grouped.select(F.monotonically_increasing_id().alias("cid"), "key", "vector", "ids"), "ann-classes")
+    drawn = classes.orderBy("key").limit(sample).select("vector").toArrow().column("vector")
+    x = _unit(_matrix(drawn)) if len(drawn) else np.zeros((0, length[0] if length else 1))
     rng = np.random.default_rng(seed)
     forest = spark.sparkContext.broadcast([grown(x, rng, leaf) for _ in range(trees)])  # at most sample nodes a tree
-
-    def unit(batch: pa.RecordBatch, column: str) -> np.ndarray:
-        values = batch.column(column)
-        out = np.asarray(values.flatten(), dtype=float).reshape(batch.num_rows, -1)
-        return out / np.linalg.norm(out, axis=1)[:, None]
+    slope = slope_of(x, top)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                u = unit(batch, "vector")
-                for k, tree in enumerate(forest.value):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), k, np.int32)), pa.array(tree.leaf_of(u).astype(np.int32)), *(batch.column(c) for c in ("cid", "vector", "ids"))], ["tree", "leaf", "cid", "vector", "ids"])
+                unit = _unit(_matrix(batch.column("vector"))).astype(np.float32)
+                leaves = np.stack([t.leaf_of(unit) for t in forest.value], axis=1).astype(np.int32)
+                leaves = pa.FixedSizeListArray.from_arrays(pa.array(leaves.ravel()), trees).cast(pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("cid"), leaves], ["cid", "leaves"])
 
-    members = classes.mapInArrow(placed, f"tree int, leaf int, cid long, vector {kind}, ids array<long>")
-    counts = members.groupBy("tree", "leaf").count().collect()  # at most trees * sample rows
+    places = stored(classes.select("cid", "vector").mapInArrow(placed, "cid long, leaves array<int>"), "ann-places")
+    dealt = places.select("cid", F.posexplode("leaves").alias("tree", "leaf"))
+    counts = dealt.groupBy("tree", "leaf").count().collect()  # at most trees * sample rows
     sizes = [np.zeros(t.leaves, np.int64) for t in forest.value]
     for k, n, count in counts:
         sizes[k][n] = count
-    shared = spark.sparkContext.broadcast(sizes)
-    search = budget(sum(int(n.sum()) for n in sizes)) if search is None else search
-    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("cid").alias("qid")).distinct()
+    # leaves next to each other share a block; of a larger leaf each part is a block
+    blocks = [np.cumsum(n) // block for n in sizes]
+    parts = [np.maximum(-(-n // block), 1) for n in sizes]
+    shared = spark.sparkContext.broadcast((sizes, blocks, parts))
+    search = budget(int(sizes[0].sum())) if search is None else search
+    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "key").distinct().join(classes.select("key", F.col("cid").alias("qid")), "key").select("query_id", "qid")
+    asked = stored(classes.join(queries.select(F.col("qid").alias("cid")).distinct(), "cid", "left_semi").select("cid", "vector"), "ann-asked")
+    slices = -(-asked.count() // SLICE) or 1
 
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, blocks, parts = shared.value
+        walks = Walks(forest.value, sizes, slope)
         for batch in batches:
-            out = []
-            for i, q in enumerate(unit(batch, "vector") if batch.num_rows else ()):
-                for k, n in leaves_near(q, forest.value, shared.value, search):
-                    out += [(i, k, n, b) for b in range(-(-int(shared.value[k][n]) // block))]
-            at = np.array(out, dtype=np.int32).reshape(-1, 4)
-            for part in np.array_split(at, max(1, len(at) // 20_000)):
-                pick = pa.array(part[:, 0])
-                yield pa.RecordBatch.from_arrays([*(pa.array(part[:, j]) for j in (1, 2, 3)), batch.column("cid").take(pick), batch.column("vector").take(pick)], ["tree", "leaf", "block", "qid", "vector"])
-
-    asked = classes.join(queries.select(F.col("qid").alias("cid")).distinct(), "cid", "left_semi").select("cid", "vector")
-    probes = asked.mapInArrow(probing, f"tree int, leaf int, block int, qid long, vector {kind}")
-    large = spark.createDataFrame([(k, n, -(-int(c) // block)) for k, n, c in counts if c > block], "tree int, leaf int, blocks int")
-    members = members.join(F.broadcast(large), ["tree", "leaf"], "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("cid"), "blocks").cast("int"), F.lit(0))).drop("blocks")
-    keys = ["tree", "leaf", "block"]
-    found = members.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(lambda key, a, b: nearest_in_block(key, a, b, top), "qid long, cid long, score double, ids array<long>")
-    ids = found.dropDuplicates(["qid", "cid"]).select("qid", F.explode("ids").alias("vec_id"), "score")
+            if not batch.num_rows:
+                continue
+            unit, who = _unit(_matrix(batch.column("vector"))).astype(np.float32), batch.column("cid").to_pylist()
+            for at in range(0, len(unit), 64):
+                out = []
+                for i, (tree, leaf) in enumerate(walks.leaves_near(unit[at : at + 64], search), at):
+                    asks: dict[tuple[int, int, int], list[int]] = {}
+                    for k, n in zip(tree.tolist(), leaf.tolist(), strict=True):
+                        for part in range(int(parts[k][n])):
+                            asks.setdefault((k, int(blocks[k][n]), part), []).append(n)
+                    out += [(*key, who[i] % slices, who[i], sorted(leaves), i) for key, leaves in asks.items()]
+                types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()))
+                columns = [pa.array([o[c] for o in out], t) for c, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([*columns, batch.column("vector").take(pa.array([o[6] for o in out], pa.int32()))], [*KEYS, "qid", "leaves", "vector"])
+
+    probes = asked.mapInArrow(probing, f"tree int, block long, part int, slice int, qid long, leaves array<int>, vector {kind}")
+    layout = spark.createDataFrame([(k, n, int(blocks[k][n]), int(parts[k][n])) for k, n, _ in counts], "tree int, leaf int, block long, parts int")
+    members = dealt.join(F.broadcast(layout), ["tree", "leaf"]).join(classes.select("cid", "vector", F.col("ids")[0].alias("least")), "cid")
+    members = members.withColumns({"part": F.pmod(F.xxhash64("cid"), "parts").cast("int"), "slice": F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))})
+    members = members.select(*KEYS, "leaf", "cid", "vector", "least")
+    found = members.groupBy(*KEYS).cogroup(probes.groupBy(*KEYS)).applyInArrow(_searched(top), "qid long, cid long, score double, least long")
+    best = found.dropDuplicates(["qid", "cid"]).withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "least"))).where(F.col("r") <= top + 1)
+    ids = best.join(classes.select("cid", "ids"), "cid").select("qid", F.explode("ids").alias("vec_id"), "score")
     order = lambda key: W.partitionBy(key).orderBy(F.desc("score"), "vec_id")
     ids = ids.withColumn("r", F.row_number().over(order("qid"))).where(F.col("r") <= top + 1).drop("r")
     out = queries.join(ids, "qid").where(F.col("vec_id") != F.col("query_id"))
     out = out.withColumn("rank", F.row_number().over(order("query_id"))).where(F.col("rank") <= top)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+KEYS = ("tree", "block", "part", "slice")

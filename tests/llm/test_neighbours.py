@@ -3,7 +3,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from folioscan.llm.neighbours import SEARCH, budget, grown, leaves_near, nearest
+from folioscan.llm.neighbours import LEAST, TREES, Walks, budget, grown, nearest, slope_of
 
 
 def brute(rows, every=50, top=5):
@@ -56,10 +56,58 @@ def test_one_queue_reaches_the_own_leaf_first():
     x = np.random.default_rng(1).normal(size=(500, 8))
     forest = [grown(x, np.random.default_rng(k), 20) for k in range(3)]
     sizes = [np.bincount(t.leaf_of(x), minlength=t.leaves) for t in forest]
-    for q in x[:20]:
-        own = {(k, int(t.leaf_of(q[None])[0])) for k, t in enumerate(forest)}
-        assert set(leaves_near(q, forest, sizes, 60)[:3]) == own or own <= set(leaves_near(q, forest, sizes, 500))
-        assert len(leaves_near(q, forest, sizes, 10**9)) == sum(t.leaves for t in forest)
+    walks = Walks(forest, sizes, 1000.0)
+    near = lambda search: [set(zip(t.tolist(), n.tolist(), strict=True)) for t, n in walks.leaves_near(x[:20], search)]
+    own = [{(k, int(t.leaf_of(q[None])[0])) for k, t in enumerate(forest)} for q in x[:20]]
+    assert all(first <= o for o, first in zip(own, near(1), strict=True))
+    assert all(o <= found for o, found in zip(own, near(900), strict=True))
+    assert all(len(found) == sum(t.leaves for t in forest) for found in near(10**9))
+
+
+def test_leaves_are_numbered_from_left_to_right_and_hold_all():
+    x = np.random.default_rng(2).normal(size=(300, 5)).astype(np.float32)
+    x[:40] = x[0]  # nothing can part these
+    tree = grown(x, np.random.default_rng(0), 6)
+    assert sorted(c for c in (*tree.left, *tree.right) if c < 0) == list(range(-tree.leaves, 0))
+    assert np.bincount(tree.leaf_of(x), minlength=tree.leaves).max() >= 40
+    walk, todo = [], [0]
+    while todo:
+        if (node := int(todo.pop())) < 0:
+            walk.append(-1 - node)
+        else:
+            todo += [tree.right[node], tree.left[node]]
+    assert walk == list(range(tree.leaves))
+    assert grown(x[:1], np.random.default_rng(0)).leaves == 1
+
+
+@pytest.mark.parametrize(("n", "most"), [(10_256, 0.21), (51_282, 0.21)])
+def test_a_fifth_of_the_vectors_is_scored(n, most):
+    """Dense noise in 64 dimensions, the hardest case."""
+    x = np.random.default_rng(4).normal(size=(n, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    sample = x[:16_384]
+    forest = [grown(sample, np.random.default_rng(k)) for k in range(TREES)]
+    at = [t.leaf_of(x) for t in forest]
+    by = [(np.argsort(a, kind="stable"), np.searchsorted(np.sort(a), np.arange(t.leaves + 1))) for a, t in zip(at, forest, strict=True)]
+    walks = Walks(forest, [np.diff(start) for _, start in by], slope_of(sample))
+    hits = scored = 0
+    for q, (tree, leaf) in zip(x[:60], walks.leaves_near(x[:60], budget(n)), strict=True):
+        found = np.unique(np.concatenate([by[k][0][by[k][1][i] : by[k][1][i + 1]] for k, i in zip(tree, leaf, strict=True)]))
+        scored += len(found) / n
+        hits += len(np.intersect1d(found, np.argpartition(-(x @ q), 6)[:6])) - 1
+    assert scored / 60 <= most
+    assert hits / 300 >= 0.9
+
+
+def test_tiny_and_huge_vectors(spark):
+    rows = [(i, [s * a, s * b]) for i, (s, a, b) in enumerate([(1e200, 1.0, 0.5), (1e-200, 1.0, 0.51), (1.0, 1.0, 0.52), (1e-310, 1.0, -3.0), (1e300, -1.0, 2.0)] * 3)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in nearest(table, every=50).orderBy("rank").collect()]
+    unit = [np.array(v) / max(abs(x) for x in v) for _, v in rows]
+    cos = [float((unit[0] * u).sum() / (np.sqrt((unit[0] ** 2).sum()) * np.sqrt((u**2).sum()))) for u in unit]
+    want = sorted(range(1, len(rows)), key=lambda i: (-cos[i], i))[:5]
+    assert [v for v, _ in got] == want
+    assert [s for _, s in got] == pytest.approx([cos[i] for i in want], abs=1e-12)
 
 
 def test_recall_holds_as_the_table_grows(spark, tmp_path):
@@ -77,4 +125,4 @@ def test_recall_holds_as_the_table_grows(spark, tmp_path):
         near[q] = -2
         hits += len(set(np.argpartition(-near, 5)[:5].tolist()) & got[q])
     assert hits / (5 * len(range(0, n, every))) >= 0.94
-    assert budget(1000) == SEARCH and budget(10 * n) > 2 * SEARCH
+    assert budget(1000) == LEAST and budget(10 * n) > 2 * budget(n)
