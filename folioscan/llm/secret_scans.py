@@ -1,18 +1,21 @@
 """Secret scans: three fixed patterns, and a linear-chain conditional random field (CRF).
 
-The CRF tags tokens as B (a secret begins), I (it goes on) or O.  Tokens are
-runs of secret-like characters; punctuation and white space only serve as
-context.  A token without a digit, sign or inner capital is plain and its label is
-fixed to O, in training and in decoding, unless it stands near a cue word or has
-eight or more characters and is no common word of the training sample; since a fixed label makes the two
-sides of a chain independent, Viterbi decoding of each run of other tokens
-gives the best labelling of the whole text.  Features: shape, length,
-character mix, the words and signs before and after, and the share of such
-tokens in the file.
+The CRF tags every token of a text as B (a secret begins), I (it goes on) or O.
+Tokens are runs of secret-like characters.  Features: shape, length, character
+mix and rarity of the token, the cue words and signs around it, and the share
+of such tokens in the file.  A token's features are looked up by a key of its
+own and a key of its surroundings, so a known word costs one lookup.
+
+Decoding is exact.  A token away from cue words is O on the best path if its
+margin for O, at its least over all surroundings, exceeds what any change of
+the labels beside it could win (``Crf.slack``); the runs of other tokens between
+such tokens are decoded by Viterbi with the moves from and to O at their ends,
+which gives the best labelling of the whole text.
 
 The model is trained on the driver by gradient ascent on the likelihood of a
-bounded sample (SAMPLE distinct texts, those with the smallest hash, labelled by
-the fixed patterns) and of generated lines.  Every row is then scanned.
+bounded sample (SAMPLE distinct texts of at most SAMPLE_BYTES, those with the
+smallest hash, labelled by the fixed patterns) and of generated lines.  Every
+row is then scanned.
 
 Defined cases: null and empty texts have no spans; the texts of repeated rows
 get the same spans; an empty table is scanned with a model trained on the
@@ -24,11 +27,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
-from functools import lru_cache
+from dataclasses import dataclass, field
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -47,22 +49,28 @@ ASSIGN_LEAST = 8
 #: What every assignment holds one of, in small letters.
 NAMES = ("passw", "secret", "token", "apikey", "api_key")
 
-#: Texts in the training sample at most.
-SAMPLE = 1500
+#: Texts in the training sample at most, and bytes of each.
+SAMPLE = 600
+SAMPLE_BYTES = 8_192
+#: Tokens of a piece of a text in training, and pieces without a cue or a secret at most.
+PIECE = 12
+PLAIN = 2500
 
-#: Tokens that are not plain, each from the start of its run of such characters.
-TOKEN = re.compile(r"(?<![A-Za-z0-9_+/.\-])[A-Za-z_+/.\-]*[0-9_+/][A-Za-z0-9_+/.\-]*|(?<![A-Za-z0-9_+/.\-])[A-Za-z.\-]*[a-z][A-Z][A-Za-z.\-]*", re.A)
-#: Whole runs of letters, dots and hyphens; near a cue word are so many runs before and after it.
-LONG = re.compile(r"(?<![A-Za-z0-9_+/.\-])[.\-]*([A-Za-z][A-Za-z.\-]{6,}[A-Za-z])[.\-]*(?![A-Za-z0-9_+/.\-])", re.A)
-_RUN = re.compile(r"[A-Za-z0-9_+/.\-]+", re.A)
+TOKEN = re.compile(r"[A-Za-z0-9_+/](?:[A-Za-z0-9_+/.\-]*[A-Za-z0-9_+/])?", re.A)
+#: Tokens before and after a cue word that are near it.
 NEAR = 4
 CUES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "auth", "bearer", "credential", "private", "access")
-_CUE = re.compile(rf"(?<![A-Za-z])(?:{'|'.join(CUES)})s?(?![A-Za-z])", re.I | re.A)
-_WORD_BEFORE = re.compile(r"([A-Za-z_]+)[^A-Za-z0-9]*$", re.A)
-_PLAIN = re.compile(r"[^\W\d_]", re.U)
+_CUE = re.compile(rf"(?<![A-Za-z])({'|'.join(CUES)})s?(?![A-Za-z])", re.I | re.A)
+_ODD = re.compile("[bcdfghjklmnpqrstvwxz]{5}", re.I)
+_NO_VOWEL = re.compile("[^aeiouyAEIOUY]*")
+SIGNS = ("", "=", ":", '"', "'", "(", "@", "#", "other")
+NEXT = ("@", ".", ":", "/", '"', "other")
+FILES = ("few", "some", "many")
 LABELS = 3
 _O, _B, _I = range(3)
 _NEVER = -1e4
+#: Words remembered by a task.
+_REMEMBERED = 400_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -104,91 +112,65 @@ def _bits(token: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(token).values())
 
 
-def token_features(text: str, start: int, end: int) -> list[str]:
-    token, before, after = text[start:end], text[max(0, start - 40) : start], text[end : end + 12]
-    size, kind = len(token), _shape(token)
+def token_key(token: str, common: frozenset[str] = frozenset()) -> tuple:
+    """shape, length, case, oddity, parts, commonness, digits, changes and bits of a token, all in a few steps."""
+    size = len(token)
     length = "1-7" if size < 8 else "8-15" if size < 16 else "16-31" if size < 32 else "32+"
+    plain = token.isalpha()
+    kind = "letters" if plain else _shape(token)
+    if kind == "letters":
+        case = "small" if token.islower() else "capitals" if token.isupper() else "title" if token[1:].islower() else "mixed"
+        parts = 1 if plain else min(len(re.findall("[A-Za-z]+", token)), 4)
+        odd = size > 3 and (bool(_ODD.search(token)) or _NO_VOWEL.fullmatch(token) is not None)
+        return kind, length, case, odd, parts, plain and token.lower() in common, 0, 0, 0
     digits = sum("0" <= c <= "9" for c in token) / size
     changes = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:], strict=False)) / size
-    word = m[1].lower() if (m := _WORD_BEFORE.search(before)) else ""
-    cue = next((c for c in CUES if word.endswith(c)), "none")
-    signs = re.search(r"[^\w]*$", before)[0].strip()
-    out = ["bias", f"shape={kind}", f"length={length}", f"shape,length={kind},{length}", f"bits={int(_bits(token) * 2)}", f"digits={int(digits * 4)}", f"changes={int(changes * 4)}", f"cue={cue != 'none'}", f"cue,length={cue != 'none'},{length}", f"sign={signs[-1:]}", f"assigned={'=' in signs or ':' in signs}", f"cue,assigned={cue != 'none'},{'=' in signs or ':' in signs}", f"next={after[:1] if after[:1] in '@.:/\"' else 'other'}"]
-    if cue != "none":
-        out.append(f"cue={cue}")
-    near = _nearness(text, start, end)
-    out += [f"near={near}", f"near,shape={near != 'none'},{kind}", f"near,length={near != 'none'},{length}"]
-    if kind == "letters" or re.fullmatch(r"[A-Z]+", token):
-        case = "small" if token.islower() else "capitals" if token.isupper() else "title" if token[1:].islower() else "mixed"
-        parts = min(len(re.findall(r"[A-Za-z]+", token)), 4)
-        odd = bool(_ODD.search(token)) or not re.search("[aeiouyAEIOUY]", token)
-        out += [f"odd,length={odd},{length}", f"parts={parts}", f"near,odd,length={near != 'none'},{odd},{length}", f"near,parts={near},{parts}", f"near,case,length={near != 'none'},{case},{length}", f"assigned,odd,parts={'=' in signs or ':' in signs},{odd},{parts}"]
+    return kind, length, "", False, 0, False, int(digits * 4), int(changes * 4), int(_bits(token) * 2)
+
+
+def cue_of(token: str) -> str:
+    """The cue word in a token, or an empty string."""
+    m = _CUE.search(token)
+    return m[1].lower() if m else ""
+
+
+def key_features(key: tuple) -> list[str]:
+    kind, length, case, odd, parts, common, digits, changes, bits = key
+    out = ["bias", f"shape={kind}", f"length={length}", f"shape,length={kind},{length}"]
+    if kind != "letters":
+        return [*out, f"bits={bits}", f"digits={digits}", f"changes={changes}"]
+    return [*out, f"odd,length={odd},{length}", f"parts={parts}", f"case,length={case},{length}", f"common={common}"]
+
+
+def around_features(key: tuple, around: tuple) -> list[str]:
+    """Features of a token's surroundings: cue before it, last sign before, assigned or not, sign after, joined to a foreign letter, nearness of a cue, file."""
+    kind, length, case, odd, parts = key[:5]
+    cue, sign, assigned, after, attached, near, file = around
+    out = [f"sign={sign}", f"assigned={assigned}", f"next={after}", f"attached={attached}", f"file={file}", f"cue={cue != ''}", f"near={near}"]
+    if kind == "letters":
+        out.append(f"assigned,odd,parts={assigned},{odd},{parts}")
+    if cue:
+        out += [f"cue={cue}", f"cue,length={length}", f"cue,assigned={assigned}"]
+    if near:
+        out += [f"near,shape={kind}", f"near,length={length}"]
+        if kind == "letters":
+            out += [f"near,odd,length={odd},{length}", f"near,parts={near},{parts}", f"near,case,length={case},{length}"]
     return out
 
 
-_ODD = re.compile("[bcdfghjklmnpqrstvwxz]{5}", re.I)
-
-
-@lru_cache(maxsize=4)
-def _cues(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _CUE.finditer(text)]
-
-
-def _nearness(text: str, start: int, end: int) -> str:
-    """after or before and how many words lie between, or none."""
-    cues = _cues(text)
-    i = bisect_right(cues, (start, -1))
-    if i and cues[i - 1][1] <= start and start - cues[i - 1][1] < 80 and (n := len(_RUN.findall(text, cues[i - 1][1], start))) < NEAR:
-        return f"after{n}"
-    i = bisect_right(cues, (end, -1))
-    return "before" if i < len(cues) and cues[i][0] - end < 60 and len(_RUN.findall(text, end, cues[i][0])) < NEAR else "none"
-
-
-def candidates(text: str, common: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
-    """The tokens whose labels are free, in order."""
-    found = {m.start(): m.span() for m in TOKEN.finditer(text)}
-    for m in LONG.finditer(text):
-        if m.start() not in found and m[1].lower() not in common:
-            found[m.start()] = m.span(1)
-    all_runs: list[tuple[int, int]] = []
-    for cue in _cues(text):
-        if not all_runs:
-            all_runs = [r.span() for r in _RUN.finditer(text)]
-        i = bisect_right(all_runs, (cue[0], len(text))) - 1
-        for j in range(max(0, i - NEAR), min(len(all_runs), i + NEAR + 1)):
-            a, b = all_runs[j]
-            run = text[a:b]
-            if j != i and a not in found and run.strip(".-"):
-                found[a] = (a + len(run) - len(run.lstrip(".-")), a + len(run.rstrip(".-")))
-    return sorted(found.values())
-
-
-def runs(text: str, common: frozenset[str] = frozenset()) -> list[list[tuple[int, int]]]:
-    """The tokens whose labels are free, in runs without a fixed label between them."""
-    out: list[list[tuple[int, int]]] = []
-    last = None
-    for a, b in candidates(text, common):
-        if last is None or _PLAIN.search(text, last, a):
-            out.append([])
-        out[-1].append((a, b))
-        last = b
-    return out
-
-
-def file_feature(n_tokens: int, n_chars: int) -> str:
-    share = 1000 * n_tokens / max(n_chars, 1)
-    return f"file={'many' if share > 20 else 'some' if share > 2 else 'few'}"
-
-
 @dataclass
 class Crf:
-    """Weights of features for each label, and of label pairs; common words, whose labels are fixed."""
+    """Weights of features for each label, and of label pairs; words that are common in the sample."""
 
     names: dict[str, int]
     weights: np.ndarray
     moves: np.ndarray
     first: np.ndarray
     common: frozenset[str] = frozenset()
+    known: dict[str, tuple] = field(default_factory=dict, repr=False)
+    margins: dict[tuple, tuple] = field(default_factory=dict, repr=False)
+    scores: dict[tuple, tuple] = field(default_factory=dict, repr=False)
+    room: float | None = None
 
     def emissions(self, tokens: Sequence[Sequence[str]]) -> np.ndarray:
         out = np.zeros((len(tokens), LABELS))
@@ -197,34 +179,88 @@ class Crf:
         return out
 
     def viterbi(self, tokens: Sequence[Sequence[str]]) -> list[int]:
-        emitted = self.emissions(tokens)
-        if len(tokens) == 1:
-            return [int((self.first + emitted[0]).argmax())]
-        score, back = self.first + emitted[0], []
+        return self.best(self.emissions(tokens).tolist())
+
+    def best(self, emitted: Sequence[Sequence[float]], after: bool = False, before: bool = False) -> list[int]:
+        """The best labels of tokens; after, before: a token labelled O stands before, after them."""
+        moves = self.moves.tolist()
+        start = moves[_O] if after else self.first.tolist()
+        score, back = [s + e for s, e in zip(start, emitted[0], strict=True)], []
         for e in emitted[1:]:
-            total = score[:, None] + self.moves
-            back.append(total.argmax(axis=0))
-            score = total.max(axis=0) + e
-        path = [int(score.argmax())]
+            ways = [[score[a] + moves[a][b] for a in range(LABELS)] for b in range(LABELS)]
+            back.append([max(range(LABELS), key=w.__getitem__) for w in ways])
+            score = [max(w) + x for w, x in zip(ways, e, strict=True)]
+        if before:
+            score = [s + moves[a][_O] for a, s in enumerate(score)]
+        path = [max(range(LABELS), key=score.__getitem__)]
         for b in reversed(back):
-            path.append(int(b[path[-1]]))
+            path.append(b[path[-1]])
         return path[::-1]
 
+    def slack(self) -> float:
+        """The most that the moves of a path can win by labelling one token B or I instead of O.
+
+        Beside that, an I after the token becomes a B, which costs that token's I minus B.
+        """
+        if self.room is None:
+            m, most = self.moves, 0.0
+            starts = [self.first, *m]
+            for start, y in product(starts, (_B, _I)):
+                most = max(most, start[y] - start[_O], *(start[y] + m[y, n] - start[_O] - m[_O, n] for n in (_O, _B)))
+                most = max(most, start[y] + m[y, _I] - start[_O] - m[_O, _B], *(start[y] + m[y, _I] + m[_I, n] - start[_O] - m[_O, _B] - m[_B, n] for n in range(LABELS)))
+            self.room = float(most)
+        return self.room
+
+    def looked_up(self, token: str) -> tuple[float, float, tuple, str, bool]:
+        """Margin for O beyond the slack away from cues, what an I instead of B here can win there, key, cue, and whether it is no plain word."""
+        out = self.known.get(token)
+        if out is None:
+            if len(self.known) > _REMEMBERED:
+                self.known.clear()
+            key = token_key(token, self.common)
+            if key not in self.margins:
+                every = np.array([self.score(key, ("", *a, "", f)) for a in product(SIGNS, (False, True), NEXT, (False, True)) for f in FILES])
+                self.margins[key] = (float((every[:, _O] - every[:, 1:].max(axis=1)).min()) - self.slack(), max(0.0, float((every[:, _I] - every[:, _B]).max())))
+            out = self.known[token] = (*self.margins[key], key, cue_of(token), key[0] != "letters")
+        return out
+
+    def score(self, key: tuple, around: tuple) -> tuple[float, ...]:
+        out = self.scores.get((key, around))
+        if out is None:
+            out = self.scores[key, around] = tuple(self.emissions([key_features(key) + around_features(key, around)])[0].tolist())
+        return out
 
-def trained(examples: Sequence[tuple[list[list[str]], list[int]]], steps: int = 150, rate: float = 0.3, ridge: float = 1e-3) -> Crf:
+
+def surroundings(text: str, spans: Sequence[tuple[int, int]], cues: Sequence[str], at: int, file: str) -> tuple:
+    start, end = spans[at]
+    gap = text[spans[at - 1][1] : start] if at else text[:start]
+    joined = not gap.isascii() and any(map(str.isalnum, gap))
+    cue = cues[at - 1] if at and not joined else ""
+    signs = gap.strip()
+    sign = signs[-1:] if not signs[-1:].isalnum() else ""
+    after = text[end : end + 1]
+    near = next((f"after{k}" for k in range(NEAR) if at - 1 - k >= 0 and cues[at - 1 - k]), "") or ("before" if any(cues[at + 1 : at + 1 + NEAR]) else "")
+    attached = text[start - 1 : start].isalnum() or after.isalnum() if start else after.isalnum()
+    return cue, sign if sign in SIGNS else "other", "=" in gap or ":" in gap, after if after in NEXT[:-1] and after else "other", attached, near, file
+
+
+def file_kind(n_odd: int, n_tokens: int) -> str:
+    share = n_odd / max(n_tokens, 1)
+    return "many" if share > 0.2 else "some" if share > 0.02 else "few"
+
+
+def trained(examples: Sequence[tuple[list[list[str]], list[int]]], steps: int = 120, rate: float = 0.4, ridge: float = 2e-5) -> Crf:
     """Maximum likelihood with a ridge penalty, by Adagrad on all examples at once; sums run in log space."""
     names = {f: i for i, f in enumerate(sorted({f for tokens, _ in examples for t in tokens for f in t}))}
-    n, width = len(examples), max(len(t) for tokens, _ in examples for t in tokens)
-    by_length: dict[int, list] = {}
-    for (tokens, labels), times in Counter((tuple(map(tuple, t)), tuple(l)) for t, l in examples).items():
+    kinds: dict[tuple, int] = {}
+    n, by_length = len(examples), {}
+    for (tokens, labels), times in Counter((tuple(kinds.setdefault(tuple(t), len(kinds)) for t in tokens), tuple(y)) for tokens, y in examples).items():
         by_length.setdefault(len(tokens), []).append((tokens, labels, times))
-    groups = []
-    for longest, same in by_length.items():
-        at = np.full((len(same), longest, width), len(names))
-        for i, (tokens, _, _) in enumerate(same):
-            for j, features in enumerate(tokens):
-                at[i, j, : len(features)] = [names[f] for f in features]
-        groups.append((at, np.array([l for _, l, _ in same]), np.array([c for *_, c in same]) / n))
+    groups = [(np.array([t for t, _, _ in same]), np.array([y for _, y, _ in same]), np.array([c for *_, c in same]) / n) for same in by_length.values()]
+    width = max(map(len, kinds))
+    held = np.full((len(kinds), width), len(names))  # features of each kind of token
+    for features, i in kinds.items():
+        held[i, : len(features)] = [names[f] for f in features]
     weights, moves, first = np.zeros((len(names) + 1, LABELS)), np.zeros((LABELS, LABELS)), np.zeros(LABELS)
     moves[_O, _I] = first[_I] = _NEVER
     free = moves > _NEVER
@@ -237,9 +273,10 @@ def trained(examples: Sequence[tuple[list[list[str]], list[int]]], steps: int =
 
     for _ in range(steps):
         up = [np.zeros_like(weights), np.zeros_like(moves), np.zeros_like(first)]
+        each, missed = weights[held].sum(axis=1), np.zeros((len(kinds), LABELS))
         for at, gold, share in groups:
             longest = at.shape[1]
-            emitted = sum(weights[at[:, :, k]] for k in range(width))
+            emitted = each[at]
             ahead, behind = np.zeros_like(emitted), np.zeros_like(emitted)
             ahead[:, 0] = first + emitted[:, 0]
             for j in range(1, longest):
@@ -251,11 +288,13 @@ def trained(examples: Sequence[tuple[list[list[str]], list[int]]], steps: int =
             error = (eye[gold] - marginal) * share[:, None, None]
             up[2] += error[:, 0].sum(axis=0)
             for k in range(LABELS):
-                up[0][:, k] += np.bincount(at.ravel(), np.repeat(error[:, :, k].ravel(), width), len(weights))
+                missed[:, k] += np.bincount(at.ravel(), error[:, :, k].ravel(), len(kinds))
             for j in range(1, longest):
                 pair = np.exp(np.minimum(ahead[:, j - 1, :, None] + moves + (emitted[:, j] + behind[:, j])[:, None, :] - whole[:, None, None], 0))
                 seen = eye[gold[:, j - 1]][:, :, None] * eye[gold[:, j]][:, None, :]
                 up[1] += ((seen - pair) * share[:, None, None]).sum(axis=0)
+        for k in range(LABELS):
+            up[0][:, k] = np.bincount(held.ravel(), np.repeat(missed[:, k], width), len(weights))
         for x, g, s in zip((weights, moves, first), up, sums, strict=True):
             g -= ridge * np.where(x > _NEVER, x, 0)
             s += g * g
@@ -265,17 +304,18 @@ def trained(examples: Sequence[tuple[list[list[str]], list[int]]], steps: int =
 
 
 def examples_of(text: str, places: Sequence[tuple[int, int]], common: frozenset[str] = frozenset()) -> list[tuple[list[list[str]], list[int]]]:
-    """Labelled runs of a text; runs of more than 32 tokens are cut there, in training only."""
-    found, out = runs(text, common), []
-    share = file_feature(sum(map(len, found)), len(text))
-    for run in found:
-        labels = []
-        for a, b in run:
-            hit = next((p for p in places if a < p[1] and b > p[0] and min(b, p[1]) - max(a, p[0]) >= 8), None)
-            labels.append(_O if hit is None else _I if labels and labels[-1] != _O and a > hit[0] else _B)
-        tokens = [[*token_features(text, a, b), share] for a, b in run]
-        out += [(tokens[i : i + 32], [_B if l == _I and j == 0 else l for j, l in enumerate(labels[i : i + 32])]) for i in range(0, len(run), 32)]
-    return out
+    """Labelled pieces of a text, of PIECE tokens at most; a secret that goes on into another piece begins there again, in training only."""
+    spans = [m.span() for m in TOKEN.finditer(text)]
+    keys, cues = [token_key(text[a:b], common) for a, b in spans], [cue_of(text[a:b]) for a, b in spans]
+    file = file_kind(sum(k[0] != "letters" for k in keys), len(keys))
+    tokens, labels, last = [], [], None
+    for i, (a, b) in enumerate(spans):
+        hit = next((p for p in places if a < p[1] and b > p[0] and min(b, p[1]) - max(a, p[0]) >= 8), None)
+        labels.append(_O if hit is None else _I if hit == last else _B)
+        last = hit
+        tokens.append(key_features(keys[i]) + around_features(keys[i], surroundings(text, spans, cues, i, file)))
+    cut = range(0, len(tokens), PIECE)
+    return [(tokens[i : i + PIECE], [_B if y == _I and j == 0 else y for j, y in enumerate(labels[i : i + PIECE])]) for i in cut]
 
 
 def generated() -> list[tuple[list[list[str]], list[int]]]:
@@ -295,6 +335,10 @@ def generated() -> list[tuple[list[list[str]], list[int]]]:
         n = int.from_bytes(digest(i, "number")[:8], "big")
         plain = (f"call +1 ({n % 900 + 100}) 555-{n % 9000 + 1000} today", f"from 10.{n % 250}.{n // 7 % 250}.{n // 11 % 250} again", f"on 20{n % 30:02d}-0{n % 9 + 1}-1{n % 9} at 1{n % 9}:0{n % 9}", f"order {n % 10**10} of {n % 97} parts", f"see src/part{n % 40}/file_{n % 9}.py and x{n % 9}", f"card {n % 10**16:016d} was used", f"mail name.{n % 99}@mail{n % 9}.example.com", f"version {n % 9}.{n % 7}.{n % 31} of model-{n % 50} isoMorph", f"id 00{n % 10**6} in the list, token {n % 99} of the text")
         out += examples_of(plain[i % len(plain)], [])
+        secret = (code[:28], raw.hex()[:31], code[:10] + "-" + code[10:20] + "-" + code[20:30], code[:16] + "/" + code[16:30])[i % 4]
+        line = (f"Authorization: Bearer {secret}", f"bearer {secret} was sent", f"his key is {secret} and", f"the private key is {secret}.", f"with auth {secret}, then", f"export {cue.upper()}={secret}")[i // 4 % 6]
+        at = line.index(secret)
+        out += examples_of(line, [(at, at + len(secret))])
         small = "".join("abcdefghijklmnopqrstuvwxyz"[b % 26] for b in raw)
         words = [WORDS[b % len(WORDS)] for b in raw]
         secret = (small[: 12 + i % 9], small[: 12 + i % 9].upper(), "-".join(words[: 3 + i % 2]), ".".join(words[: 3 + i % 2]))[i % 4]
@@ -302,8 +346,9 @@ def generated() -> list[tuple[list[list[str]], list[int]]]:
         at = line.index(secret)
         out += examples_of(line, [(at, at + len(secret))])
         a, b, c = (LONG_WORDS[x % len(LONG_WORDS)] for x in raw[:3])
-        plain = (f"the {cue} to {a} is {b} and {c}", f"{cue} {a} for the {b}", f"a {cue} is needed for {a}", f"{a.upper()} AND {b.upper()}", f"the well-known {a} of {b}, a {words[0]}-{words[1]} {c}", f"{cue}: please see {a}", f"{a} {b} {cue}", f"state-of-the-art {a} at www.{words[0]}{words[1]}.com", f"{a.title()} {b.title()}: {c}", f"the {small[:10]} of {a}", f"a {words[0]} {cue} of {a}")
-        out += examples_of(plain[i % len(plain)], [])
+        plain = (f"the {cue} to {a} is {b} and {c}", f"{cue} {a} for the {b}", f"a {cue} is needed for {a}", f"{a.upper()} AND {b.upper()}", f"the well-known {a} of {b}, a {words[0]}-{words[1]} {c}", f"{cue}: please see {a}", f"{a} {b} {cue}", f"state-of-the-art {a} at www.{words[0]}{words[1]}.com", f"{a.title()} {b.title()}: {c}", f"the {small[:10]} of {a}", f"a {words[0]} {cue} of {a}", f"{words[0]}.{n % 99}@mail{n % 9}.example.com of. {cue}", f"{words[0]}.{n % 99}@mail{n % 9}.example.com {cue} = \"{code[:20]}\"", f"{words[0].upper()}!! {words[1].upper()}!! {small[:5].upper()}!! {small[5:12].upper()}!! {a.upper()}!!", f"{cue} = \"{raw.hex()[:40]}\" {small[:9]}, {words[2]} {small[9:14]}", f"{cue} = \"{code[:22]}\"\n{words[0].title()} was {a} {small[:13]}. {words[1].title()}")
+        line = plain[i % len(plain)]
+        out += examples_of(line, [(m.start(1), m.end(1)) for m in re.finditer('= "([^"]+)"', line)])
     return out
 
 
@@ -312,38 +357,69 @@ LONG_WORDS = "information government understanding patience important internatio
 
 
 def common_words(texts: Sequence[str]) -> frozenset[str]:
-    """Long words of two texts or more."""
-    seen = Counter(w for t in texts for w in {m[1].lower() for m in LONG.finditer(t)})
+    """Words of two texts or more."""
+    seen = Counter(w for t in texts for w in {m.lower() for m in TOKEN.findall(t) if m.isalpha()})
     return frozenset(w for w, n in seen.items() if n > 1)
 
 
-def train_on(docs: DataFrame, sample: int = SAMPLE) -> Crf:
-    """A model from the distinct texts with the smallest hashes, at most ``sample``, and from generated lines."""
-    rows = docs.select(text_of().alias("text")).withColumn("h", F.xxhash64("text"))
+def train_on(docs: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Crf:
+    """A model from the distinct texts of at most ``most_bytes`` with the smallest hashes, at most ``sample``, and from generated lines."""
+    rows = docs.select(text_of().alias("text")).where(F.octet_length("text") <= most_bytes).withColumn("h", F.xxhash64("text"))
     least = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     texts = [] if least is None else [r[0] for r in rows.where(F.col("h") <= least).dropDuplicates(["h"]).orderBy("h").select("text").collect()]
-    examples, common = generated(), common_words(texts)
+    return fitted(texts)
+
+
+def fitted(texts: Sequence[str], plain: int = PLAIN) -> Crf:
+    """A model from texts labelled by the fixed patterns and from generated lines; of pieces without a cue or a secret the first ``plain`` count."""
+    examples, common, left = generated(), common_words(texts), plain
     for text in texts:
-        examples += examples_of(text, secret_places(text), common)
+        places = secret_places(text)
+        if left <= 0 and not places and not _CUE.search(text):
+            continue
+        for tokens, labels in examples_of(text, places, common):
+            told = any(labels) or any("near=" not in t for t in tokens)
+            if told or left > 0:
+                left -= not told
+                examples.append((tokens, labels))
     model = trained(examples)
     model.common = common
     return model
 
 
+_END = (0.0, 0.0)
+
+
 def crf_spans(text: str, model: Crf) -> list[tuple[int, int]]:
-    found, out = runs(text, model.common), []
-    share = file_feature(sum(map(len, found)), len(text))
-    for run in found:
-        start = None
-        for (a, b), label in zip(run, model.viterbi([[*token_features(text, a, b), share] for a, b in run]), strict=True):
-            if label != _I and start is not None:
-                out.append((start, end))  # noqa: F821
-                start = None
+    """Where the best labelling of all tokens has secrets."""
+    spans = [m.span() for m in TOKEN.finditer(text)]
+    known, look = model.known, model.looked_up
+    tokens = [known.get(w := text[a:b]) or look(w) for a, b in spans]
+    free = {i for i, (t, n) in enumerate(zip(tokens, [*tokens[1:], _END], strict=False)) if t[0] <= n[1]}
+    cues = [t[3] for t in tokens]
+    for i, cue in enumerate(cues):
+        if cue:
+            free.update(range(max(i - NEAR - 1, 0), min(i + NEAR + 1, len(tokens))))
+    out: list[tuple[int, int]] = []
+    if not free:
+        return out
+    file = file_kind(sum(t[4] for t in tokens), len(tokens))
+    score = lambda i: model.score(tokens[i][2], surroundings(text, spans, cues, i, file))
+    todo = sorted(free)
+    at = 0
+    while at < len(todo):
+        to = at + 1
+        while to < len(todo) and todo[to] == todo[to - 1] + 1:
+            to += 1
+        run = todo[at:to]
+        at = to
+        open_at = None
+        for i, label in zip(run, model.best([score(i) for i in run], run[0] > 0, run[-1] < len(tokens) - 1), strict=True):
             if label == _B:
-                start = a
-            end = b
-        if start is not None:
-            out.append((start, end))
+                open_at = len(out)
+                out.append(spans[i])
+            elif label == _I and open_at is not None:
+                out[open_at] = (out[open_at][0], spans[i][1])
     return out
 
 
