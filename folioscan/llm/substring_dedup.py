@@ -9,12 +9,18 @@ The index keeps sorted immutable runs of (fingerprint, count), each a table
 bucketed and sorted by fingerprint.  A new batch becomes a run of its own and is
 merge-joined with the earlier runs, bucket by bucket and without a shuffle;
 what occurs in both, or twice in the batch, is shared.  Runs beyond FAN_IN
-are compacted into one.  Only windows in blocks whose fingerprint is shared are
-then verified by the hash of all their words (104 bits with the fingerprint).
+are compacted into one.  An index that is handed from call to call also keeps
+the blocks and the compressed texts of earlier calls: blocks with a shared
+fingerprint, of this call and of earlier ones, are verified window by window.
 
-Equal texts are handled once: all their windows repeat.  Blocks are counted
-per slice of texts before they are shuffled, so a passage that a third of all
-documents share reaches its task once for each slice.  Texts travel compressed.
+To verify, texts are put into slices.  A slice names each of its windows once
+(ten bytes of hashes of all its words and of its anchor; the task that it is
+sent to adds the bits of its number), so a passage that a third of all documents
+share reaches a task once for each slice, and what windows a task gets depends
+on their hashes alone, not on how often they or their anchors occur.  The
+answer is one bit a window.
+
+Equal texts (by 128 bits) are handled once: all their windows repeat.
 
 Defined cases: null and empty texts have no words; texts of fewer than
 WINDOW words lose nothing, copies or not; repeated rows are copies; an empty
@@ -30,6 +36,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,20 +45,33 @@ from folioscan.llm.textnum import mix, slices, windows, word_hashes
 
 WINDOW = 35
 ANCHOR = 8
-BATCHES = 2
+BATCHES = 6
 FAN_IN = 4
+#: Windows of a task that verifies, about, and texts and bytes of a slice at most.
+SLOT = 2_000_000
+SLICE_TEXTS = 256
+SLICE_BYTES = 4 << 20
 #: Bits of a block's length in a spot (start * 2**SPOT_BITS + length).
 SPOT_BITS = 6
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
 class FingerprintIndex:
-    """Sorted immutable runs in the warehouse, and the batches that were added to them."""
+    """Sorted immutable runs in the warehouse, and the blocks and texts of the calls that added to them."""
 
     def __init__(self, spark: SparkSession, fan_in: int = FAN_IN, buckets: int | None = None):
         self.spark, self.fan_in = spark, fan_in
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = []
+        self.blocks: list[DataFrame] = []
+        self.texts: list[DataFrame] = []
+
+    def remember(self, blocks: DataFrame, texts: DataFrame) -> None:
+        """Keeps blocks (tid, fps, spots) and texts (tid, packed) of a call, once for each text."""
+        known = [t.select("tid") for t in self.texts]
+        new = lambda rows: reduce(lambda left, old: left.join(old, "tid", "left_anti"), known, rows)
+        self.blocks.append(stored(new(blocks), "substring-blocks"))
+        self.texts.append(stored(new(texts), "substring-texts"))
 
     def _write(self, rows: DataFrame) -> str:
         name = f"fingerprints_{uuid.uuid4().hex}"
@@ -79,7 +99,7 @@ class FingerprintIndex:
 
     def close(self) -> None:
         self._drop(self.runs)
-        self.runs = []
+        self.runs, self.blocks, self.texts = [], [], []
 
     def _drop(self, names: list[str]) -> None:
         for name in names:
@@ -131,115 +151,160 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array([pack.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())], ["tid", "packed"])
 
 
-def _five_bytes(values: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
-
-
-def _windowed(window: int):
-    """Blocks of windows to be verified: fp, tid, spot, the windows' hashes (5 bytes each) and a mask of those known to repeat."""
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a slice, named by its first text, so that nothing can part it: lists of keys, texts and blocks."""
+    for batch in batches:
+        at, sizes, parts = 0, np.cumsum(np.asarray(pc.binary_length(batch.column("packed")), dtype=np.int64)), [0]
+        while at < batch.num_rows:
+            to = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE_BYTES, side="right"))
+            at = min(max(to, at + 1), at + SLICE_TEXTS, batch.num_rows)
+            parts.append(at)
+        ends = pa.array(parts, pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column("tid").take(ends[:-1]), *(pa.ListArray.from_arrays(ends, c) for c in batch.columns)], ["slice", *batch.schema.names])
+
+
+def _windows_of(texts: list[bytes], prints: pa.ListArray, spots: pa.ListArray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row and place of each window that may repeat; its hash, and that of it and its anchor."""
+    words, offsets = word_hashes(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+    row = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(spots)))
+    spot, fp = np.asarray(spots.flatten()), np.asarray(prints.flatten()).view(np.uint64)
+    count, start = spot & (2**SPOT_BITS - 1), spot >> SPOT_BITS
+    block = np.repeat(np.arange(len(spot)), count)
+    place = start[block] + np.arange(len(block)) - (np.cumsum(count) - count)[block]
+    hashes = windows(words, window, 5)[(offsets[row][block] + place)] if len(block) else np.zeros(0, np.uint64)
+    return row[block], place, hashes, mix(hashes ^ mix(fp[block]))
+
+
+def _named(window: int, slots: int):
+    """The distinct windows of each slice by slot, ten bytes each, and a bit for those that the slice holds twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                words, offsets = word_hashes(pa.array([unpack.decompress(z) for z in batch.column("packed").to_pylist()], pa.large_binary()).cast(pa.large_string()))
-                prints, spots = batch.column("fps"), batch.column("spots")
-                row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(spots.offsets)))
-                spot, fp = np.asarray(spots.flatten()), np.asarray(prints.flatten())
-                count, start = spot & (2**SPOT_BITS - 1), spot >> SPOT_BITS
-                block = np.repeat(np.arange(len(spot)), count)
-                first = np.concatenate([[0], np.cumsum(count)])
-                inside = np.arange(len(block)) - first[block]
-                hashes = windows(words, window, 5)[(offsets[row] + start)[block] + inside]
-                keys, at_first, which, times = np.unique(mix(hashes ^ fp.view(np.uint64)[block]), return_index=True, return_inverse=True, return_counts=True)
-                known = times[which] > 1
-                new = np.zeros(len(block), bool)
-                new[at_first] = True
-                mask = np.bitwise_or.reduceat(known.astype(np.int64) << inside, first[:-1]) if len(spot) else np.zeros(0, np.int64)
-                needed = np.logical_or.reduceat(new, first[:-1]) if len(spot) else np.zeros(0, bool)
-                raw = _five_bytes(hashes).tobytes()
-                codes = [raw[5 * a : 5 * b] if n else b"" for a, b, n in zip(first[:-1], first[1:], needed, strict=True)]
-                tid = np.asarray(batch.column("tid"))[row]
-                yield pa.RecordBatch.from_arrays([pa.array(np.where(needed, fp, tid)), pa.array(tid), pa.array(spot), pa.array(codes, pa.binary()), pa.array(mask)], ["fp", "tid", "spot", "codes", "mask"])
+        for batch in batches:
+            for k in range(batch.num_rows):
+                texts = [unpack.decompress(z) for z in batch.column("packed")[k].values.to_pylist()]
+                _, _, hashes, both = _windows_of(texts, batch.column("fps")[k].values, batch.column("spots")[k].values, window)
+                slot, codes, twice, _ = coded(hashes, both, slots)
+                first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.zeros(0, np.int64)
+                raw = codes.tobytes()
+                out = [(int(slot[i]), raw[10 * i : 10 * j], np.packbits(twice[i:j]).tobytes()) for i, j in zip(first, [*first[1:], len(slot)], strict=True)]
+                name = pa.array([batch.column("slice")[k].as_py()] * len(out), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), name, *(pa.array([o[n] for o in out], pa.binary()) for n in (1, 2))], ["slot", "slice", "codes", "twice"])
 
     return run
 
 
+def coded(hashes: np.ndarray, both: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the distinct windows of a slice, by slot and code: slot, code (rows of ten bytes), whether it occurs twice; and which of them each window is."""
+    slot = mix(both) % np.uint64(slots)
+    order = np.lexsort((both, hashes, slot))
+    hashes_, both_, slot_ = hashes[order], both[order], slot[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (hashes_[1:] != hashes_[:-1]) | (both_[1:] != both_[:-1])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    code = np.empty((int(new.sum()), 10), np.uint8)
+    code[:, :8] = hashes_[new].astype("<u8").view(np.uint8).reshape(-1, 8)
+    code[:, 8:] = both_[new].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :2]
+    return slot_[new], code, np.bincount(which, minlength=len(code)) > 1, which
+
+
 def _verified(table: pa.Table) -> pa.Table:
-    """Sets the mask bits of windows that occur in another block of the slot."""
-    codes = table.column("codes").combine_chunks()
-    raw = np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(-1, 5)
-    count = np.asarray(pa.compute.binary_length(codes)) // 5
-    hashes = np.zeros((len(raw), 8), np.uint8)
-    hashes[:, :5] = raw
-    block = np.repeat(np.arange(len(count)), count)
-    fp = table.column("fp").to_numpy().view(np.uint64)
-    _, which, times = np.unique(mix(hashes.view("<u8").ravel() * np.uint64(0x9E3779B97F4A7C15) ^ fp[block]), return_inverse=True, return_counts=True)
-    inside = np.arange(len(block)) - (np.cumsum(count) - count)[block]
-    mask = table.column("mask").to_numpy().copy()
-    np.bitwise_or.at(mask, block, (times[which] > 1).astype(np.int64) << inside)
-    keep = np.flatnonzero(mask)
-    return pa.table({"tid": table.column("tid").take(pa.array(keep)), "spot": table.column("spot").take(pa.array(keep)), "mask": pa.array(mask[keep])})
-
-
-def _cleaned(window: int):
+    """Of one slot: for each slice a bit for each of its windows, set if it occurs twice there or in another slice."""
+    codes, twice = table.column("codes").combine_chunks(), table.column("twice").to_pylist()
+    raw = np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(-1, 10)
+    ends = np.cumsum(np.asarray(pc.binary_length(codes)) // 10)
+    _, which, times = np.unique(np.ascontiguousarray(raw).view("V10").ravel(), return_inverse=True, return_counts=True)
+    repeats = times[which] > 1
+    out = []
+    for begin, end, own in zip([0, *ends[:-1]], ends, twice, strict=True):
+        bits = repeats[begin:end] | np.unpackbits(np.frombuffer(own, np.uint8), count=end - begin).astype(bool)
+        out.append(np.packbits(bits).tobytes() if bits.any() else None)
+    keep = pa.array([i for i, o in enumerate(out) if o is not None], pa.int64())
+    return pa.table({"slice": table.column("slice").take(keep), "slot": table.column("slot").take(keep), "bits": pa.array([o for o in out if o is not None], pa.binary())})
+
+
+def _cleaned(window: int, slots: int):
+    """Of slices with their marks: removed words and digest of the rest of each text that loses words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            removed, shas = [], []
-            for packed, found in zip(batch.column("packed").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                words = unpack.decompress(packed).split()
-                edge = np.zeros(len(words) + 1, np.int64)
-                for f in found:
-                    start, mask = f["spot"] >> SPOT_BITS, f["mask"]
-                    while mask:
-                        i = (mask & -mask).bit_length() - 1
-                        edge[start + i] += 1
-                        edge[start + i + window] -= 1
-                        mask &= mask - 1
-                gone = np.cumsum(edge[:-1]) > 0
-                removed.append(int(gone.sum()))
-                shas.append(hashlib.sha256(b" ".join(w for w, g in zip(words, gone, strict=True) if not g)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], ["tid", "removed", "kept"])
+            for k in range(batch.num_rows):
+                texts = [unpack.decompress(z) for z in batch.column("packed")[k].values.to_pylist()]
+                row, place, hashes, both = _windows_of(texts, batch.column("fps")[k].values, batch.column("spots")[k].values, window)
+                slot, _, _, which = coded(hashes, both, slots)
+                repeats = np.zeros(len(slot), bool)
+                for mark in batch.column("marks")[k].as_py():
+                    a, b = np.searchsorted(slot, np.array([mark["slot"], mark["slot"] + 1], np.uint64))
+                    repeats[a:b] = np.unpackbits(np.frombuffer(mark["bits"], np.uint8), count=b - a)
+                gone_row, gone_at = row[repeats[which]], place[repeats[which]]
+                removed, shas = [], []
+                for i in (losers := np.unique(gone_row)):
+                    words = texts[i].split()
+                    edge = np.zeros(len(words) + 1, np.int64)
+                    starts = gone_at[gone_row == i]
+                    np.add.at(edge, starts, 1)
+                    np.add.at(edge, starts + window, -1)
+                    gone = np.cumsum(edge[:-1]) > 0
+                    removed.append(int(gone.sum()))
+                    shas.append(hashlib.sha256(b" ".join(w for w, g in zip(words, gone, strict=True) if not g)).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column("tid")[k].values.take(pa.array(losers)), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], ["tid", "removed", "kept"])
 
     return run
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES, index: FingerprintIndex | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, n_words, n_removed, kept_sha256.  The documents join the index in batches; a new one is used if none is given."""
+    """keep, n_words, n_removed, kept_sha256.
+
+    The documents join the index in batches, and all of them are judged at once.
+    If an index is given, windows of the documents of earlier calls count too, and
+    it keeps these documents; else a new one is used and dropped.
+    """
     if not anchor <= window < anchor + 2**SPOT_BITS:
         raise ValueError("a window must hold 1 to 63 fingerprints")
     spark = docs.sparkSession
-    own = index is None
+    given = index is not None
     index = index or FingerprintIndex(spark)
-    texts = docs.select(*keep, text_of().alias("_text")).withColumn("tid", F.xxhash64("_text"))
+    key = F.unhex(F.md5("_text"))
+    texts = docs.select(*keep, text_of().alias("_text")).withColumn("tid", key)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[: len(keep)])
-    sketch = stored(texts.mapInArrow(_sketched(keep, window, anchor), f"{fields}, tid long, n_words long, sha string, fps array<long>, spots array<long>"), "substring-sketch")
-    batch = F.pmod("tid", F.lit(batches))
+    sketch = stored(texts.mapInArrow(_sketched(keep, window, anchor), f"{fields}, tid binary, n_words long, sha string, fps array<long>, spots array<long>"), "substring-sketch")
+    batch = F.pmod(F.xxhash64("tid"), F.lit(batches))
     shared = [index.add(sketch.where(batch == b).select(F.explode("fps").alias("fp"))) for b in range(batches)]
     shared = stored(reduce(DataFrame.union, shared).distinct(), "shared-fingerprints")  # a plain side of the join, so that Spark can split the hot fingerprints of the other
-    places = sketch.select("tid", F.explode(F.arrays_zip("fps", "spots")).alias("b")).select("tid", F.col("b.fps").alias("fp"), F.col("b.spots").alias("spot"))
+    blocks = reduce(DataFrame.union, index.blocks, sketch.select("tid", "fps", "spots"))
+    places = blocks.select("tid", F.explode(F.arrays_zip("fps", "spots")).alias("b")).select("tid", F.col("b.fps").alias("fp"), F.col("b.spots").alias("spot"))
     alive = places.join(shared, "fp").groupBy("tid").agg(F.collect_set(F.struct("fp", "spot")).alias("b"))
     alive = alive.select("tid", F.col("b.fp").alias("fps"), F.col("b.spot").alias("spots"))
     least = 2 * window - 1  # characters of the shortest text with a window
-    packed = docs.select(text_of().alias("text")).where(F.length("text") >= least).select(F.xxhash64("text").alias("tid"), "text")
-    packed = packed.mapInArrow(_compressed, "tid long, packed binary").groupBy("tid").agg(F.first("packed").alias("packed"))
-    alive = stored(packed.join(alive, "tid"), "substring-alive")
-    if own:
+    packed = docs.select(text_of().alias("_text")).where(F.length("_text") >= least).select(key.alias("tid"), F.col("_text").alias("text"))
+    packed = packed.mapInArrow(_compressed, "tid binary, packed binary")
+    if given:
+        packed = stored(packed.groupBy("tid").agg(F.first("packed").alias("packed")), "substring-packed")
+    all_texts = reduce(DataFrame.union, index.texts, packed).groupBy("tid").agg(F.first("packed").alias("packed"))
+    alive = stored(all_texts.join(alive, "tid").mapInArrow(_sliced, "slice binary, tid array<binary>, packed array<binary>, fps array<array<long>>, spots array<array<long>>"), "substring-alive")
+    copies = sketch.select("tid")
+    for old in index.texts:
+        copies = copies.union(old.join(sketch.select("tid").distinct(), "tid", "left_semi").select("tid"))
+    copied = copies.groupBy("tid").agg(F.count("*").alias("n")).where("n > 1").select("tid", F.lit(True).alias("copied"))
+    if given:
+        copied = stored(copied, "substring-copied")
+        index.remember(sketch.select("tid", "fps", "spots").dropDuplicates(["tid"]), packed)
+    else:
         index.close()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = alive.mapInArrow(_windowed(window), "fp long, tid long, spot long, codes binary, mask long")
-    found = blocks.groupBy(F.pmod(F.xxhash64("fp"), F.lit(parts)).alias("slot")).applyInArrow(_verified, "tid long, spot long, mask long")
-    found = found.groupBy("tid").agg(F.collect_list(F.struct("spot", "mask")).alias("found"))
-    cleaned = alive.select("tid", "packed").join(found, "tid").mapInArrow(_cleaned(window), "tid long, removed long, kept string")
-    copied = sketch.groupBy("tid").agg(F.count("*").alias("n")).where("n > 1").select("tid", F.lit(True).alias("copied"))
-    marks = cleaned.join(copied, "tid", "full_outer")
-    out = sketch.select(*keep, "tid", "n_words", "sha").join(marks, "tid", "left")
+    n_blocks = alive.agg(F.sum(F.size(F.flatten("spots")))).first()[0] or 0
+    slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_blocks * (window - anchor + 1) // SLOT))
+    named = alive.mapInArrow(_named(window, slots), "slot long, slice binary, codes binary, twice binary")
+    marks = named.groupBy("slot").applyInArrow(_verified, "slice binary, slot long, bits binary")
+    marks = marks.groupBy("slice").agg(F.collect_list(F.struct("slot", "bits")).alias("marks"))
+    cleaned = alive.join(marks, "slice").mapInArrow(_cleaned(window, slots), "tid binary, removed long, kept string")
+    found = cleaned.join(copied, "tid", "full_outer")
+    out = sketch.select(*keep, "tid", "n_words", "sha").join(found, "tid", "left")
     gone = F.col("copied") & (F.col("n_words") >= window)
     removed = F.when(gone, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0).cast("long")))
     sha = F.when(gone, F.lit(EMPTY_SHA)).otherwise(F.coalesce("kept", "sha"))

@@ -68,6 +68,34 @@ def test_index_merges_and_compacts(spark):
     index.close()
 
 
+def test_an_index_remembers_earlier_calls(spark):
+    """A later call loses what one call over both would take from it; fan_in 2 compacts on the way."""
+    rng = random.Random(4)
+    passage = [f"w{rng.randrange(60)}" for _ in range(300)]
+
+    def text():
+        out = []
+        for _ in range(3):
+            a = rng.randrange(240)
+            out += passage[a : a + rng.randrange(20, 60)] + [f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(30))]
+        return " ".join(out)
+
+    rows = [(k, text()) for k in range(40)]
+    rows += [(40 + k, rows[k][1]) for k in (0, 21)] + [(60, None), (61, ""), (62, " ".join(f"once{i}" for i in range(90)))]
+    calls = [rows[:15], rows[15:30], rows[30:]]
+    index = FingerprintIndex(spark, fan_in=2)
+    so_far = []
+    for call in calls:
+        so_far += call
+        want = [r for r in brute(so_far) if r[0] in {k for k, _ in call}]
+        got = rows_of(deduplicated(spark.createDataFrame(call, "doc_id long, text string"), batches=2, index=index))
+        assert got == want
+        assert len(index.runs) <= 2
+    assert sum(r[2] for r in want) > 0 and index.texts
+    index.close()
+    assert index.runs == index.texts == index.blocks == []
+
+
 def test_window_must_fit(awkward):
     with pytest.raises(ValueError):
         deduplicated(awkward, window=100, anchor=8)
