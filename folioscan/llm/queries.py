@@ -39,7 +39,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.joined(read_table(spark, sf_dir, "documents")).drop("cid")
+    return ngram_join.joined(read_table(spark, sf_dir, "documents")).drop("cid", "root")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
