@@ -3,7 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline as P
-from folioscan.llm import packing
+from folioscan.llm import mixing, packing, secret_scans
 from tests.llm.test_ngram_join import brute as groups
 from tests.llm.test_quality_rules import brute as quality
 
@@ -36,17 +36,59 @@ def test_group_stage(spark, some, awkward):
     assert found[7] == 1 and found[8] == 0 and found[6] == 0 and found[None] <= 2
 
 
-def test_secret_stage(spark, some):
-    rows = {r["doc_id"]: r for r in some.collect()}
+def test_group_stage_tells_groups_by_texts(spark):
+    """An id on several texts, near copies with one id, and copies without an id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (5, a + " more"), (5, b), (None, c), (None, c), (7, c + " end"), (8, ""), (8, ""), (9, None), (10, "w " + b[3:] + " x"), (11, None), (11, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in P.one_of_each(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(1, a), (5, b), (7, c + " end"), (8, ""), (9, None), (11, None), (11, "")], key=str)
+
+
+def test_secret_stage(spark, some, awkward):
+    model = secret_scans.train_on(some)
     got = {r["doc_id"]: r for r in P.mask_secrets(spark, some, SF).collect()}
-    assert set(got) == set(rows)
-    for k, r in got.items():
-        assert r["text"] == rows[k]["text"] or ("[SECRET]" in r["text"] and r["n_chars"] == len(r["text"]))
+    assert len(got) == some.count()
+    for r in some.collect():
+        spans = secret_scans.all_spans(r["text"] or "", model)
+        text, at = "", 0
+        for x, y in merged([(x, y) for x, y, _ in spans]):
+            text, at = text + r["text"][at:x] + "[SECRET]", y
+        text = text + r["text"][at:] if spans else r["text"]
+        assert (got[r["doc_id"]]["text"], got[r["doc_id"]]["n_chars"]) == (text, len(text) if spans else r["n_chars"])
+    assert sorted((r["doc_id"] or 0 for r in P.mask_secrets(spark, awkward, SF).collect())) == sorted(r["doc_id"] or 0 for r in awkward.collect())
+
+
+def merged(spans):
+    """Regions that spans cover; spans that only touch are two."""
+    out = []
+    for x, y in sorted(spans):
+        if out and x < out[-1][1]:
+            out[-1][1] = max(out[-1][1], y)
+        else:
+            out.append([x, y])
+    return out
+
+
+def test_mix_stage(spark, some, awkward):
+    """Each equal row as often as the sum of what the mix takes of it."""
+    for docs in (some, awkward):
+        want = Counter()
+        for r in mixing.mixed(docs, keep=("doc_id", "text", "n_chars")).collect():
+            if r["size"]:
+                want[r["doc_id"], r["text"], r["source"]] += r["n_whole"] + (2 * r["n_extra"] >= r["size"])
+        got = Counter((r["doc_id"], r["text"], r["source"]) for r in P.mix(spark, docs, SF).collect())
+        assert got == +want
 
 
-def test_mix_stage(spark, some):
-    times = Counter(r["doc_id"] for r in P.mix(spark, some, SF).collect())
-    assert max(times.values()) <= 3 and len(times) > 0
+def test_pack_stage(spark, some):
+    got = {}
+    for r in P.pack(spark, some, SF).collect():
+        got.setdefault(r["doc_id"], []).append((r["piece"], r["first_token"], r["n_tokens"]))
+        assert r["n_tokens"] <= r["bucket_length"]
+    for r in some.collect():
+        n = len((r["text"] or "").encode().split())
+        assert sorted(got.get(r["doc_id"], [])) == [(i, i * packing.MAX_LENGTH, min(packing.MAX_LENGTH, n - i * packing.MAX_LENGTH)) for i in range(-(-n // packing.MAX_LENGTH))]
 
 
 def test_run(spark):
