@@ -21,7 +21,7 @@ DOC_ENCODING = {
 }
 
 #: Bidirectional and invisible formatting characters.
-UNSAFE = r"\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FEFF}\x{061C}\x{00AD}"
+UNSAFE = r"\x{061C}\x{180E}\x{200B}-\x{200F}\x{2028}-\x{202E}\x{2060}-\x{206F}\x{FEFF}\x{FFF9}-\x{FFFB}"
 
 
 def haystack(text: Column) -> Column:
@@ -61,14 +61,21 @@ def truncated(text: Column, most: int = LIMITS.item_chars) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
 
 
+def utf16(raw: Column, big_endian: bool) -> Column:
+    """Text of UTF-16 bytes; lone surrogates become U+FFFD, a last odd byte is dropped."""
+    units = F.regexp_replace(F.hex(raw), "(..)(..)", "$1$2 " if big_endian else "$2$1 ")
+    units = F.regexp_replace(units, "(?<= |^)..$", "")
+    units = F.regexp_replace(units, "(D[89AB].. )(?!D[C-F])", "FFFD ")
+    units = F.regexp_replace(units, "(?<!D[89AB].. )D[C-F].. ", "FFFD ")
+    return F.decode(F.unhex(F.replace(units, F.lit(" "), F.lit(""))), "UTF-16BE")
+
+
 def decoded(raw: Column) -> Column:
-    """Text of bytes with a byte order mark, else in the standard document encoding; controls become spaces."""
+    """Text of bytes with a byte order mark, else in the standard document encoding; controls become spaces.  Malformed bytes become U+FFFD."""
     mark2, mark3 = F.hex(F.substring(raw, 1, 2)), F.hex(F.substring(raw, 1, 3))
     rest = lambda n: F.substring(raw, n + 1, 2**31 - 1)
     latin = F.translate(F.decode(raw, "ISO-8859-1"), "".join(map(chr, DOC_ENCODING)), "".join(DOC_ENCODING.values()))
-    text = (
-        F.when(mark2 == "FEFF", F.decode(rest(2), "UTF-16BE")).when(mark2 == "FFFE", F.decode(rest(2), "UTF-16LE")).when(mark3 == "EFBBBF", F.decode(rest(3), "UTF-8")).otherwise(latin)
-    )
+    text = F.when(mark2 == "FEFF", utf16(rest(2), True)).when(mark2 == "FFFE", utf16(rest(2), False)).when(mark3 == "EFBBBF", F.make_valid_utf8(rest(3).cast("string"))).otherwise(latin)
     return F.regexp_replace(text, r"\p{Cc}", " ")
 
 
@@ -113,8 +120,9 @@ LEVELS = ("ERROR", "WARN", "INFO", "DEBUG", "TRACE")
 
 
 def cleaned_line(line: Column, most: int = LIMITS.line_bytes) -> Column:
-    """Controls but tab become ``?``; cut to so many bytes, here of ASCII lines."""
-    return F.substring(F.regexp_replace(line, r"[\p{Cc}&&[^\t]]", "?"), 1, most)
+    """Text or bytes cut to so many bytes; what is no UTF-8 then becomes U+FFFD, controls but tab become ``?``."""
+    cut = F.make_valid_utf8(F.substring(line.cast("binary"), 1, most).cast("string"))
+    return F.regexp_replace(cut, r"[\p{Cc}&&[^\t]]", "?")
 
 
 def level_of(line: Column) -> Column:

@@ -10,7 +10,8 @@ from folioscan.functions.text import haystack
 from folioscan.limits import LIMITS
 
 #: Look-around, atomic groups and back-references: backtracking that a linear-time engine has not.
-REFUSED = r"\(\?<?[=!]|\(\?>|\\[1-9]|\\k<"
+REFUSED = r"\(\?<?[=!]|\(\?>"
+BACK_REFERENCE = r"\\[1-9]|\\k<"
 
 
 def pattern(text: str, case_sensitive: bool = False, whole_word: bool = False, regex: bool = False) -> str:
@@ -22,41 +23,69 @@ def pattern(text: str, case_sensitive: bool = False, whole_word: bool = False, r
 
 
 def query_problem(text: Column, regex: Column) -> Column:
-    """Why a query is refused, or null: too long, empty, refused construct, unbalanced, or nested too deep."""
-    opens = F.length(text) - F.length(F.replace(text, F.lit("("), F.lit("")))
-    closes = F.length(text) - F.length(F.replace(text, F.lit(")"), F.lit("")))
+    """Why a query is refused, or null: too long, empty, refused construct, does not compile, or nested too deep.
+
+    Escapes and character classes are taken out first, so that only parentheses and
+    repetitions that mean something count.  Patterns that may match the empty
+    text are not refused; their empty matches are no hits.
+    """
+    plain = F.replace(text, F.lit("\\\\"), F.lit("a"))  # an escaped backslash
+    bare = F.regexp_replace(plain, r"\\[pP]\{[^}]*\}|\\x\{[0-9A-Fa-f]+\}|\\.", "a")
+    bare = F.regexp_replace(bare, r"\[\^?\]?(?:\[:\^?[a-z]+:\]|[^\]])*\]", "a")
+    groups = F.regexp_replace(bare, r"\(\?(?:P?<[A-Za-z_][A-Za-z0-9_.]*>|[imsUuxR]*(?:-[imsUuxR]+)?:)", "(")
+    groups = F.regexp_replace(groups, r"\(\?[imsUuxR]+(?:-[imsUuxR]+)?\)", "")
+    step = lambda s, c: F.struct(
+        (s["depth"] + F.when(c == "(", 1).otherwise(-1)).alias("depth"), F.greatest(s["most"], s["depth"] + F.when(c == "(", 1).otherwise(-1)).alias("most"), F.least(s["least"], s["depth"] + F.when(c == "(", 1).otherwise(-1)).alias("least")
+    )
+    nesting = F.aggregate(F.regexp_extract_all(groups, F.lit("[()]"), 0), F.struct(F.lit(0).alias("depth"), F.lit(0).alias("most"), F.lit(0).alias("least")), step)
+    broken = (nesting["depth"] != 0) | (nesting["least"] < 0) | groups.rlike(r"(^|[(|])[*+?{]|\[|\(\?|\\$|\{(?!\d+(,\d*)?\})")
     return (
-        F.when(F.octet_length(text) > LIMITS.query_bytes, "too long").when(text == "", "empty").when(~regex, F.lit(None)).when(text.rlike(REFUSED), "look-around or back-reference")
-        .when(opens != closes, "does not compile").when(opens > LIMITS.path, "nested too deep")
+        F.when(F.octet_length(text) > LIMITS.query_bytes, "too long").when(text == "", "empty").when(~regex, F.lit(None)).when(plain.rlike(BACK_REFERENCE) | bare.rlike(REFUSED), "look-around or back-reference")
+        .when(broken, "does not compile").when(nesting["most"] > LIMITS.path, "nested too deep")
     )
 
 
 #: Matches whose offsets are summed in one go; the work inside a row grows with its square, over a row in proportion.
-CHUNK = 500
+CHUNK = 64
+#: Marks around matches: no characters, so what holds them is not text.
+_BEGIN, _END = "\uffff", "\ufffe"
 
 
-def hits(pages: DataFrame, search: str, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
-    """keys, hay, first, count, match: all non-overlapping matches of a pattern that matches no empty text.
+def matches(pages: DataFrame, text: Column, search: str, keys: tuple[str, ...]) -> DataFrame:
+    """keys, hay (the text), at (number of the match from 0), first, match: non-overlapping matches of a pattern but for empty ones.
 
-    Offsets are running sums inside the row, so pages stay where they are: no
-    shuffle, and the same on a stream.  A page of many matches is summed in chunks.
+    Matches are marked and the text is cut at the marks; offsets are running sums
+    inside the row, so pages stay where they are: no shuffle, and the same on a
+    stream.  A page of many matches is summed in chunks.
     """
-    rows = pages.select(*keys, haystack(F.col("text")).alias("hay")).where(F.col("hay").rlike(search))
-    parts = F.arrays_zip(F.split("hay", search, -1).alias("gap"), F.regexp_extract_all("hay", F.lit(search), 0).alias("match"))
-    rows = rows.select(*keys, "hay", F.filter(parts, lambda p: p["match"].isNotNull()).alias("parts"))
+    rows = pages.select(*keys, text.alias("hay")).where(F.col("hay").rlike(search))
+    clean = F.translate("hay", _BEGIN + _END, "\ufffd\ufffd")
+    pieces = F.split(F.regexp_replace(clean, f"({search})", f"{_BEGIN}$1{_END}"), _BEGIN, -1)
+    # of each piece: the match, and the gap after it; the first piece is a gap only
+    parts = F.transform(pieces, lambda p: F.struct(F.when(F.contains(p, F.lit(_END)), F.substring_index(p, _END, 1)).otherwise("").alias("match"), F.length(F.substring_index(p, _END, -1)).alias("gap")))
+    rows = rows.select(*keys, "hay", parts.alias("parts"))
     numbers = F.sequence(F.lit(0), F.floor((F.size("parts") - 1) / CHUNK).cast("int"))
-    rows = rows.where(F.size("parts") > 0).select(*keys, "hay", F.transform(numbers, lambda i: F.slice("parts", i * CHUNK + 1, CHUNK)).alias("chunk"))
-    length = lambda s, p: s + F.length(p["gap"]) + F.length(p["match"])
-    begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
-    starts = F.aggregate("chunk", begin, lambda s, c: F.struct(F.aggregate(c, s["at"], length).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"]
-    rows = rows.select(*keys, "hay", F.explode(F.arrays_zip("chunk", starts.alias("at"))).alias("c"))
-    start = F.struct(F.col("c.at").alias("at"), F.expr("cast(array() as array<struct<first:int,match:string>>)").alias("out"))
+    rows = rows.select(*keys, "hay", F.transform(numbers, lambda i: F.slice("parts", i * CHUNK + 1, CHUNK)).alias("chunk"))
+    length = lambda s, p: s + F.length(p["match"]) + p["gap"]
+    kept = lambda p: p["match"] != ""
+    start = F.struct(F.lit(0).alias("first"), F.lit(0).alias("at"))
+    begin = F.struct(start.alias("now"), F.expr("cast(array() as array<struct<first:int,at:int>>)").alias("out"))
+    after = lambda s, c: F.struct(F.aggregate(c, s["now"]["first"], length).alias("first"), (s["now"]["at"] + F.size(F.filter(c, kept))).alias("at"))
+    starts = F.aggregate("chunk", begin, lambda s, c: F.struct(after(s, c).alias("now"), F.concat(s["out"], F.array(s["now"])).alias("out")))["out"]
+    rows = rows.select(*keys, "hay", F.explode(F.arrays_zip("chunk", starts.alias("start"))).alias("c"))
+    start = F.struct(F.col("c.start.first").alias("first"), F.col("c.start.at").alias("at"), F.expr("cast(array() as array<struct<at:int,first:int,match:string>>)").alias("out"))
     step = lambda s, p: F.struct(
-        length(s["at"], p).alias("at"),
-        F.concat(s["out"], F.array(F.struct((s["at"] + F.length(p["gap"])).alias("first"), p["match"].alias("match")))).alias("out"),
-    )
+        length(s["first"], p).alias("first"), (s["at"] + F.when(kept(p), 1).otherwise(0)).alias("at"),
+        F.when(kept(p), F.concat(s["out"], F.array(F.struct(s["at"].alias("at"), s["first"].alias("first"), p["match"].alias("match"))))).otherwise(s["out"]).alias("out"),
+    )
     rows = rows.select(*keys, "hay", F.explode(F.aggregate("c.chunk", start, step)["out"]).alias("h"))
-    return rows.select(*keys, "hay", "h.first", F.length("h.match").alias("count"), "h.match")
+    return rows.select(*keys, "hay", "h.at", "h.first", "h.match")
+
+
+def hits(pages: DataFrame, search: str, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
+    """keys, hay, first, count, match: all non-overlapping matches of a pattern; empty ones are none."""
+    found = matches(pages, haystack(F.col("text")), search, keys)
+    return found.select(*keys, "hay", "first", F.length("match").alias("count"), "match")
 
 
 def snippets(found: DataFrame) -> DataFrame:
@@ -68,7 +97,8 @@ def snippets(found: DataFrame) -> DataFrame:
     out = found.withColumns({"_b": before, "_m": match, "_a": after})
     room = LIMITS.snippet_bytes - F.octet_length("_b") - F.octet_length("_m")
     fits = F.filter(F.sequence(F.lit(0), F.length("_a")), lambda k: F.octet_length(F.substring(F.col("_a"), F.lit(1), k)) <= room)
-    out = out.withColumn("_a", F.substring(F.col("_a"), F.lit(1), F.coalesce(F.array_max(fits), F.lit(0))))
+    shorter = F.substring(F.col("_a"), F.lit(1), F.coalesce(F.array_max(fits), F.lit(0)))
+    out = out.withColumn("_a", F.when(F.octet_length("_a") <= room, F.col("_a")).otherwise(shorter))
     return out.withColumns({"snippet": F.concat("_b", "_m", "_a"), "match_start": F.octet_length("_b"), "match_len": F.octet_length("_m")}).drop("_b", "_m", "_a")
 
 
@@ -100,12 +130,18 @@ def navigation(numbered: DataFrame, start_page: Column) -> DataFrame:
     return numbered.select("doc_id", "rn", F.coalesce(F.lead("rn").over(w), F.first("rn").over(whole)).alias("next_rn"), F.coalesce(F.lag("rn").over(w), F.last("rn").over(whole)).alias("prev_rn"), (F.col("rn") == current).alias("current"))
 
 
-def containing(texts: DataFrame, queries: DataFrame, words: int = 4) -> DataFrame:
+#: Anchors up to which a text is looked through in its row, and bytes of all their queries.
+FEW, FEW_BYTES = 2_000, 4_000_000
+
+
+def containing(texts: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, doc_id of the texts that contain a query's text literally.
 
-    A word that both hold whole anchors an equi-join; the longest inner word of the
-    query is taken, so only texts with that word are compared.  Queries without an
-    inner word are anchored by three characters in a row, or by all of fewer.
+    A word that both hold whole anchors the join; the longest inner word of the
+    query is taken, so only texts with that word are compared.  Up to FEW anchors
+    are looked for in the row of the text, which then stays where it is; more are
+    joined.  Queries without an inner word are anchored by three characters in a
+    row, or by all of fewer.
     """
     inner = lambda c: F.filter(F.split(c, "[^\\p{L}\\p{N}]+"), lambda w: w != "")
     q = queries.select("query_id", F.col("text").alias("needle"))
@@ -113,15 +149,23 @@ def containing(texts: DataFrame, queries: DataFrame, words: int = 4) -> DataFram
     anchor = F.element_at(F.array_sort(F.transform(whole, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1)["w"]
     weak = q.where(F.col("needle").isNotNull() & (F.size(whole) <= 0))
     q = q.where(F.size(whole) > 0).withColumn("anchor", anchor)
-    found = texts.select("doc_id", F.explode(F.array_distinct(inner("text"))).alias("anchor")).join(q, "anchor").select("doc_id", "query_id", "needle")
+    n_anchors, n_bytes = q.agg(F.count_distinct("anchor"), F.coalesce(F.sum(F.octet_length("needle")), F.lit(0))).first()
+    if n_anchors <= FEW and n_bytes <= FEW_BYTES:
+        anchors = F.array(*(F.lit(r[0]) for r in q.select("anchor").distinct().orderBy("anchor").collect())).cast("array<string>")
+        near = texts.select("doc_id", "text", F.explode(F.array_intersect(inner("text"), anchors)).alias("anchor"))
+        found = near.join(F.broadcast(q), "anchor").where(F.contains("text", F.col("needle"))).select("query_id", "doc_id")
+    else:
+        found = texts.select("doc_id", F.explode(F.array_distinct(inner("text"))).alias("anchor")).join(q, "anchor").select("doc_id", "query_id", "needle")
+        found = found.join(texts.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("needle"))).select("query_id", "doc_id")
     sizes = [r[0] for r in weak.select(F.least(F.length("needle"), F.lit(3))).distinct().collect()]  # at most 0 to 3
     chars = texts.select("doc_id", F.split("text", "").alias("c")) if sizes else None
     for n in sizes:
         some = weak.where(F.least(F.length("needle"), F.lit(3)) == n)
         if n == 0:
-            found = found.union(texts.select("doc_id").crossJoin(some.select("query_id", "needle")))
+            found = found.union(some.select("query_id").crossJoin(texts.where("text is not null").select("doc_id")))
             continue
         grams = F.transform(F.sequence(F.lit(1), F.size("c") - n + 1), lambda i: F.concat(*(F.element_at("c", i + k) for k in range(n))))  # noqa: B023
         held = chars.where(F.size("c") >= n).select("doc_id", F.explode(F.array_distinct(grams)).alias("anchor"))
-        found = found.union(held.join(some.withColumn("anchor", F.substring("needle", 1, n)), "anchor").select("doc_id", "query_id", "needle"))
-    return found.join(texts.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("needle"))).select("query_id", "doc_id").distinct()
+        near = held.join(some.withColumn("anchor", F.substring("needle", 1, n)), "anchor").select("doc_id", "query_id", "needle")
+        found = found.union(near.join(texts.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("needle"))).select("query_id", "doc_id"))
+    return found.distinct()

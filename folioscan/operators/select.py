@@ -15,7 +15,8 @@ def spec_pieces(specs: DataFrame) -> DataFrame:
     rows = specs.select("spec_id", "pages", text.alias("_s"), F.posexplode(F.split(text, ",")).alias("at", "piece"))
     number = lambda k: F.regexp_extract("piece", r"^([0-9]*)(-?)([0-9]*)$", k)
     rows = rows.withColumns({"_a": number(1), "_d": number(2), "_b": number(3), "_ok": F.col("piece").rlike(r"^([0-9]+|[0-9]+-[0-9]*|-[0-9]+)$")})
-    value = lambda c: F.expr(f"try_cast({c} as bigint)")
+    # a number too long for a bigint is as far beyond the last page as one can be
+    value = lambda c: F.when(F.col(c) != "", F.coalesce(F.expr(f"try_cast(regexp_replace({c}, '^0+(?=.)', '') as bigint)"), F.lit(2**63 - 1)))
     first = F.when(F.col("_a") == "", F.lit(1).cast("long")).otherwise(value("_a"))
     last = F.when(F.col("_d") == "", first).when(F.col("_b") == "", F.col("pages")).otherwise(value("_b"))
     rows = rows.withColumns({"first": first, "last": last})
@@ -134,11 +135,16 @@ def uri_problem(uri: Column) -> Column:
 NAMED = ("NextPage", "PrevPage", "FirstPage", "LastPage")
 
 
+def _cut(name: Column) -> Column:
+    """The first bytes of a name; a character cut in two becomes U+FFFD."""
+    return F.make_valid_utf8(F.substring(name.cast("binary"), 1, LIMITS.path).cast("string"))
+
+
 def action_of(kind: Column, target: Column) -> Column:
-    """GoTo, Uri, Named, or inert with the reason."""
+    """GoTo, Uri, Named, or inert with the reason, cut by bytes."""
     return (
         F.when(kind == "URI", F.when(F.octet_length(target) > LIMITS.uri_bytes, "Inert:URI").otherwise("Uri")).when(kind == "GoTo", "GoTo")
-        .when(kind == "Named", F.when(target.isin(*NAMED), "Named").otherwise(F.concat(F.lit("Inert:Named:"), F.substring(target, 1, LIMITS.path)))).otherwise(F.concat(F.lit("Inert:"), F.substring(kind, 1, LIMITS.path)))
+        .when(kind == "Named", F.when(target.isin(*NAMED), "Named").otherwise(F.concat(F.lit("Inert:Named:"), _cut(target)))).otherwise(F.concat(F.lit("Inert:"), _cut(kind)))
     )
 
 
