@@ -51,7 +51,7 @@ SHINGLE = 4
 #: Similarity in hundredths.
 PERCENT = 85
 #: Set elements of a block of a large group, and of a slot of inverted lists, about.
-BLOCK = 100_000
+BLOCK = 1_000_000
 SLOT = 2_000_000
 #: Weight of a probe against a merged element, as DivideSkip's authors chose it.
 MU = 0.01
@@ -111,28 +111,26 @@ def _from_six(raw: bytes) -> np.ndarray:
 
 
 def _posted(slots: int, size: int, salt: int):
-    """For each slice of texts and slot: shingle codes, the class each belongs to, and the classes."""
+    """For each slice of texts and slot: shingle codes by class, how many each class has, and the classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "_text"):
-                for at in range(0, batch.num_rows, 60_000):
-                    part = batch.slice(at, 60_000)
-                    row, value = shingle_sets(part.column("_text"), size)
-                    cid, _ = class_ids(row, value, part.num_rows, salt)
-                    _, first = np.unique(cid, return_index=True)
-                    once = np.isin(row, first)
-                    row, value = row[once], value[once]
-                    slot = mix(value) % np.uint64(slots)
-                    order = np.argsort(slot, kind="stable")
-                    row, value, slot = row[order], value[order], slot[order]
-                    ends = np.searchsorted(slot, np.arange(slots + 1, dtype=np.uint64))
-                    out = []
-                    for s in np.flatnonzero(np.diff(ends)):
-                        a, b = ends[s], ends[s + 1]
-                        held, local = np.unique(row[a:b], return_inverse=True)
-                        out.append((int(s), _six_bytes(value[a:b] & _CODE), local.astype("<u2").tobytes(), cid[held].astype("<i8").tobytes()))
-                    yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *(pa.array([o[i] for o in out], pa.binary()) for i in (1, 2, 3))], ["slot", "codes", "local", "cids"])
+                row, value = shingle_sets(batch.column("_text"), size)
+                cid, _ = class_ids(row, value, batch.num_rows, salt)
+                _, first = np.unique(cid, return_index=True)
+                once = np.isin(row, first)
+                row, value = row[once], value[once]
+                slot = mix(value) % np.uint64(slots)
+                order = np.argsort(slot, kind="stable")
+                row, value, slot = row[order], value[order], slot[order]
+                ends = np.searchsorted(slot, np.arange(slots + 1, dtype=np.uint64))
+                out = []
+                for s in np.flatnonzero(np.diff(ends)):
+                    a, b = ends[s], ends[s + 1]
+                    held, many = np.unique(row[a:b], return_counts=True)
+                    out.append((int(s), _six_bytes(value[a:b] & _CODE), many.astype("<u4").tobytes(), cid[held].astype("<i8").tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *(pa.array([o[i] for o in out], pa.binary()) for i in (1, 2, 3))], ["slot", "codes", "many", "cids"])
 
     return run
 
@@ -147,9 +145,9 @@ def _listed(parts: int):
 
     def run(table: pa.Table) -> pa.Table:
         codes, cids = [], []
-        for code, local, held in zip(table.column("codes").to_pylist(), table.column("local").to_pylist(), table.column("cids").to_pylist(), strict=True):
+        for code, many, held in zip(table.column("codes").to_pylist(), table.column("many").to_pylist(), table.column("cids").to_pylist(), strict=True):
             codes.append(_from_six(code))
-            cids.append(np.frombuffer(held, "<i8")[np.frombuffer(local, "<u2")])
+            cids.append(np.repeat(np.frombuffer(held, "<i8"), np.frombuffer(many, "<u4")))
         code, cid = np.concatenate(codes), np.concatenate(cids)
         del codes, cids
         order = np.lexsort((cid, code))
@@ -346,7 +344,7 @@ def joined(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, block:
         if not mixed:
             break
     slots = max(parts, -(-(total or 0) // SLOT))
-    posted = rows.select("_text").mapInArrow(_posted(slots, size, salt), "slot int, codes binary, local binary, cids binary")
+    posted = rows.select("_text").mapInArrow(_posted(slots, size, salt), "slot int, codes binary, many binary, cids binary")
     lists = posted.groupBy("slot").applyInArrow(_listed(slots), "part int, slot int, cids binary, many binary, codes binary, levels binary")
     dealt = classes.select("cid", "n").mapInArrow(_dealt(slots), "part int, cid long, n long")
     live = stored(lists.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(_divided(percent), LIVE), "ngram-live")
