@@ -15,6 +15,7 @@ class Limits:
     item_chars: int = 1024
     page_sizes: int = 32
     problems: int = 16
+    revision_ranges: int = 1024
     depth: int = 32
     path: int = 64
     prefix_chars: int = 64

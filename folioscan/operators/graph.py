@@ -16,21 +16,36 @@ def walk(nodes: DataFrame, keys: list[str], inherited: list[str], carried: list[
     """keys, id, parent, depth, path (places from the root), carried and inherited columns of a tree (keys, id, parent, pos).
 
     An inherited attribute is the node's own or that of its nearest ancestor.  A
-    node listed twice counts once, under its smallest path; depth is capped, so
-    cycles end.
+    node listed twice counts once, under its smallest path, as a walk in document
+    order meets it: of a level the smallest path of each node stays, and only if
+    it comes before those known; so shared children do not multiply and cycles end.
     """
-    own = nodes.select(*keys, "id", "parent", "pos", *inherited, *carried)
+    own = stored(nodes.select(*keys, "id", "parent", "pos", *inherited, *carried), "walk-nodes")
+    columns = ["parent", "depth", *inherited, *carried]
+    least = lambda rows: rows.groupBy(*keys, "id").agg(F.min_by(F.struct(*columns), "path").alias("_v"), F.min("path").alias("path")).select(*keys, "id", "path", "_v.*")
     level = own.where("parent is null").select(*keys, "id", "parent", F.lit(0).alias("depth"), F.array("pos").alias("path"), *inherited, *carried)
-    out = level
+    level = out = stored(least(level), "walk")
     for _ in range(depth):
         up = level.select(*keys, F.col("id").alias("parent"), F.col("depth").alias("_d"), F.col("path").alias("_p"), *(F.col(c).alias(f"_{c}") for c in inherited))
-        level = own.join(up, [*keys, "parent"]).select(*keys, "id", "parent", (F.col("_d") + 1).alias("depth"), F.array_append("_p", F.col("pos")).alias("path"), *(F.coalesce(c, f"_{c}").alias(c) for c in inherited), *carried)
-        level = stored(level, "walk")
+        down = own.join(up, [*keys, "parent"]).select(*keys, "id", "parent", (F.col("_d") + 1).alias("depth"), F.array_append("_p", F.col("pos")).alias("path"), *(F.coalesce(c, f"_{c}").alias(c) for c in inherited), *carried)
+        known = out.groupBy(*keys, "id").agg(F.min("path").alias("_known"))
+        new = least(down).join(known, [*keys, "id"], "left").where(F.col("_known").isNull() | (F.col("path") < F.col("_known"))).drop("_known")
+        level = stored(new, "walk")
         if level.isEmpty():
             break
-        out = out.union(level)
-    w = W.partitionBy(*keys, "id").orderBy("path")
-    return out.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+        out = out.unionByName(level)
+    return least(out).select(*keys, "id", "parent", "depth", "path", *inherited, *carried)
+
+
+def key_tree(nodes: DataFrame, keys: list[str], pairs: DataFrame) -> DataFrame:
+    """keys, key, value, path of a name or number tree: the pairs (keys, id, pos, key, value) of all nodes (keys, id, parent, pos).
+
+    path is the place of a pair in document order: sorted by key, then path, they are
+    the flattened tree, the first of equal keys first.
+    """
+    found = walk(nodes, keys, []).select(*keys, "id", "path")
+    rows = found.join(pairs.select(*keys, "id", F.col("pos").cast("long").alias("_at"), "key", "value"), [*keys, "id"])
+    return rows.select(*keys, "key", "value", F.array_append(F.col("path").cast("array<bigint>"), F.col("_at")).alias("path"))
 
 
 def preorder(walked: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
@@ -39,16 +54,31 @@ def preorder(walked: DataFrame, keys: list[str], most: int | None = None) -> Dat
     return out if most is None else out.where(F.col("preorder") < most)
 
 
-def chain_ranks(nexts: DataFrame, key: str, node: str, following: str) -> DataFrame:
-    """key, node, rank (from 0) of chains in which each node names the next: pointer doubling from the end, log n joins."""
-    rows = nexts.select(key, F.col(node).alias("n"), F.col(following).alias("to"), F.when(F.col(following).isNull(), 0).otherwise(1).alias("d"))
+def chain_ranks(nexts: DataFrame, key: str, node: str, following: str, first: DataFrame | None = None) -> DataFrame:
+    """key, node, rank (from 0) of chains in which each node names the next, from first (key, node), or else from the nodes that none names.
+
+    Ranks below 2**k and pointers 2**k nodes ahead give the ranks below 2**(k+1): log n
+    joins.  A chain that comes back to one of its nodes ends there; what no first
+    node leads to has no rank.
+    """
+    ahead = stored(nexts.select(key, F.col(node).alias("n"), F.col(following).alias("to")), "chain")
+    if first is None:
+        named = ahead.where("to is not null").select(key, F.col("to").alias("n")).distinct()
+        first = ahead.select(key, "n").join(named, [key, "n"], "left_anti")
+    else:
+        first = first.select(key, F.col(node).alias("n"))
+    ranks = stored(first.distinct().withColumn("rank", F.lit(0).cast("long")), "chain-ranks")
+    jump, step = ahead.where("to is not null"), 1
     while True:
-        far = rows.select(key, F.col("n").alias("to"), F.col("to").alias("_to"), F.col("d").alias("_d"))
-        rows = stored(rows.join(far, [key, "to"], "left").select(key, "n", F.col("_to").alias("to"), (F.col("d") + F.coalesce("_d", F.lit(0))).alias("d")), "chain")
-        if rows.where("`to` is not null").isEmpty():
+        far = ranks.join(jump, [key, "n"]).groupBy(key, F.col("to").alias("n")).agg((F.min("rank") + step).alias("rank"))
+        new = stored(far.join(ranks, [key, "n"], "left_anti"), "chain-ranks")
+        if new.isEmpty():
             break
-    last = rows.groupBy(key).agg(F.max("d").alias("_m"))
-    return rows.join(last, key).select(key, F.col("n").alias(node), (F.col("_m") - F.col("d")).alias("rank"))
+        ranks = ranks.union(new)
+        over = jump.select(key, F.col("n").alias("to"), F.col("to").alias("_to"))
+        jump, step = stored(jump.join(over, [key, "to"]).select(key, "n", F.col("_to").alias("to")), "chain"), 2 * step
+    kept = ranks.join(ahead.select(key, "n"), [key, "n"], "left_semi")
+    return kept.select(key, F.col("n").alias(node), "rank")
 
 
 def reached(edges: DataFrame, roots: DataFrame, levels: int | None = None) -> DataFrame:
@@ -66,7 +96,7 @@ def reached(edges: DataFrame, roots: DataFrame, levels: int | None = None) -> Da
 
 
 def renumbered(found: DataFrame) -> DataFrame:
-    """node, level, place: breadth-first places inside each level, which together with the level give the new number."""
+    """node, level, place: places by name inside each level, counted range by range."""
     rows = ranged(found, ["level", "node"], "renumbered")
     before = W.partitionBy("level").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
     starts = rows.groupBy("level", "_p").agg(F.count("*").alias("_n")).select("level", "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
@@ -74,6 +104,51 @@ def renumbered(found: DataFrame) -> DataFrame:
     return rows.join(starts, ["level", "_p"]).withColumn("place", place).drop("_p", "_start")
 
 
+def discovered(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, level, place (from 1 in its level) of what the roots reach, in the order of a breadth-first discovery.
+
+    A level stands in the order of the first node before it that names a node, and
+    then by name; roots by name.  level and place together give the new number.
+    Places are counted range by range, so no level has to fit anywhere.
+    """
+    edges = stored(edges.select("src", "dst"), "edges")
+    level = _placed(roots.select("node", F.lit(0).cast("long").alias("_by")).distinct(), 0)
+    seen = level
+    for k in count(1):
+        new = level.join(edges, level["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("place").alias("_by"))
+        level = _placed(new.join(seen.select("node"), "node", "left_anti"), k)
+        if level.isEmpty():
+            break
+        seen = seen.union(level)
+    return seen
+
+
+def _placed(rows: DataFrame, level: int) -> DataFrame:
+    """node, level, place by _by and node: counts of ranges, then places inside a range."""
+    rows = ranged(rows, ["_by", "node"], "renumbered")
+    starts = rows.groupBy("_p").agg(F.count("*").alias("_n"))  # one row a range
+    starts = starts.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    place = F.row_number().over(W.partitionBy("_p").orderBy("_by", "node")) + F.col("_start")
+    return stored(rows.join(starts, "_p").select("node", F.lit(level).alias("level"), place.alias("place")), "frontier")
+
+
+#: Flags of action kinds; fixed values.
+ACTIONS = {"JavaScript": "javascript_actions", "Launch": "launch_actions", "URI": "uri_actions", "SubmitForm": "submit_form_actions", "GoToR": "goto_remote_actions"}
+
+
+def action_scan(actions: DataFrame, edges: DataFrame, roots: DataFrame, depth: int = LIMITS.depth) -> DataFrame:
+    """One row of flags of the actions (node, kind) that roots (node, open) reach over next actions (src, dst), less than ``depth`` deep.
+
+    open marks what runs when the document is opened; it is carried along, and since
+    those roots come first, each action that one of them reaches runs then.
+    """
+    opened = reached(edges, roots.where("open").select("node"), depth).select("node", F.lit(True).alias("_open"))
+    rows = reached(edges, roots.select("node"), depth).join(opened, "node", "left").join(actions.select("node", "kind"), "node")
+    flags = [F.coalesce(F.bool_or(F.col("kind") == kind), F.lit(False)).alias(name) for kind, name in ACTIONS.items()]
+    on_open = F.coalesce(F.bool_or((F.col("kind") == "JavaScript") & F.coalesce("_open", F.lit(False))), F.lit(False))
+    return rows.agg(on_open.alias("open_action_javascript"), *flags, F.count("*").alias("actions"))
+
+
 def dereferenced(refs: DataFrame, hops: int = LIMITS.depth) -> DataFrame:
     """src, value: where a chain of references (src, dst) ends within so many hops; null for a cycle.  Hops double each round."""
     jump = refs.select("src", "dst").where("dst is not null")

@@ -25,9 +25,9 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_
     return both.select(*left.columns, *(F.col(f"_v.{c}").alias(c) for c in take))
 
 
-def clean_ranges(ranges: DataFrame) -> DataFrame:
-    """One range for each start page, start at least 1, prefix cut, unknown styles null."""
-    w = W.partitionBy("doc_id", "first_page").orderBy("start", "prefix", "style")
+def clean_ranges(ranges: DataFrame, order: str | None = None) -> DataFrame:
+    """One range for each start page, the first by ``order`` (where there is none, by value); start at least 1, prefix cut, unknown styles null."""
+    w = W.partitionBy("doc_id", "first_page").orderBy(*([order] if order else []), "start", "prefix", "style")
     rows = ranges.withColumn("_r", F.row_number().over(w)).where("_r = 1")
     style = F.when(F.col("style").isin("D", "R", "r", "A", "a"), F.col("style"))
     return rows.select("doc_id", "first_page", style.alias("style"), truncated(F.col("prefix"), LIMITS.prefix_chars).alias("prefix"), F.greatest("start", F.lit(1).cast("long")).alias("start"))
@@ -44,8 +44,9 @@ def page_labels(pages: DataFrame, ranges: DataFrame) -> DataFrame:
 def find_labels(labels: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, label, page: the first page with exactly that label, else with one that differs in ASCII case only."""
     exact = labels.groupBy("doc_id", "label").agg(F.min("page").alias("_exact"))
-    folded = labels.groupBy("doc_id", F.lower("label").alias("_l")).agg(F.min("page").alias("_folded"))
-    rows = wanted.withColumn("_l", F.lower("label")).join(exact, ["doc_id", "label"], "left").join(folded, ["doc_id", "_l"], "left")
+    fold = F.translate("label", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    folded = labels.groupBy("doc_id", fold.alias("_l")).agg(F.min("page").alias("_folded"))
+    rows = wanted.withColumn("_l", fold).join(exact, ["doc_id", "label"], "left").join(folded, ["doc_id", "_l"], "left")
     return rows.select("doc_id", "label", F.coalesce("_exact", "_folded").alias("page"))
 
 
@@ -66,10 +67,10 @@ def named_destinations(wanted: DataFrame, dests: DataFrame, name_tree: DataFrame
 
 def destination_pages(found: DataFrame, page_objects: DataFrame) -> DataFrame:
     """key, page: by object, or by an index that exists; else null (unresolved)."""
-    pages = page_objects.count()
+    pages = page_objects.agg(F.count("*").alias("_pages"))  # one row
     by_object = page_objects.select(F.col("num").alias("value"), F.lit("ref").alias("value_kind"), F.col("page").alias("_p"))
-    rows = found.join(by_object, ["value", "value_kind"], "left")
-    index = F.when((F.col("value_kind") == "index") & F.col("value").between(0, pages - 1), F.col("value"))
+    rows = found.join(by_object, ["value", "value_kind"], "left").join(F.broadcast(pages))
+    index = F.when((F.col("value_kind") == "index") & F.col("value").between(0, F.col("_pages") - 1), F.col("value"))
     return rows.select("key", "is_name", F.coalesce("_p", index).alias("page"))
 
 

@@ -37,9 +37,75 @@ def page_sizes(pages: DataFrame, most: int = LIMITS.page_sizes) -> DataFrame:
     return g.select("doc_id", "width", "height", "pages", rank.alias("rank"), (F.col("_n") > most).alias("truncated"))
 
 
-#: Flags that make a document risky, and those only noted; fixed values.
-RISKS = ("javascript", "open_action", "launch", "embedded_files", "submit_form", "remote_goto", "rich_media", "xfa", "import_data")
-NOTES = ("uris", "acroform", "signatures", "layers")
+#: Flags that make a document risky, with titles; fixed values.
+RISKS = {
+    "open_action_javascript": "Runs a script when the file is opened",
+    "javascript_actions": "Contains JavaScript actions",
+    "names_javascript": "Has document-level scripts",
+    "additional_actions": "Reacts to events (open, close, print, focus)",
+    "launch_actions": "Can start a program or open a file",
+    "submit_form_actions": "Sends form data to an address",
+    "goto_remote_actions": "Opens other PDF files",
+    "embedded_files": "Has embedded files",
+    "xfa": "Has an XFA form",
+}
+#: Flags that are only noted, with titles; fixed values.
+NOTES = {
+    "uri_actions": "Links to addresses",
+    "acroform": "Has an interactive form",
+    "optional_content": "Has layers",
+    "signature_fields": "Has signature fields (not verified)",
+}
+#: All flags of a document's features, in the order of a report; fixed values.
+FEATURES = (
+    "complete", "open_action_javascript", "javascript_actions", "names_javascript", "additional_actions", "launch_actions", "uri_actions",
+    "submit_form_actions", "goto_remote_actions", "embedded_files", "acroform", "xfa", "optional_content", "signature_fields",
+)
+
+
+def features(facts: DataFrame, documents: DataFrame) -> DataFrame:
+    """doc_id and FEATURES of documents (doc_id, locked) from what was met in them: facts (doc_id, place, what, open).
+
+    place is action, catalog, names, form, annotation or scan; a locked document's flags are null.
+    """
+    met = lambda place, *what: F.coalesce(F.bool_or((F.col("place") == place) & F.col("what").isin(*what)), F.lit(False))
+    opened = F.coalesce(F.bool_or((F.col("place") == "action") & (F.col("what") == "JavaScript") & F.col("open")), F.lit(False))
+    flags = {
+        "complete": ~met("scan", "exhausted", "unreadable"), "open_action_javascript": opened, "javascript_actions": met("action", "JavaScript"), "names_javascript": met("names", "JavaScript"),
+        "additional_actions": met("catalog", "AA") | met("annotation", "AA") | met("form", "AA"), "launch_actions": met("action", "Launch"), "uri_actions": met("action", "URI"), "submit_form_actions": met("action", "SubmitForm"),
+        "goto_remote_actions": met("action", "GoToR"), "embedded_files": met("names", "EmbeddedFiles") | met("annotation", "FileAttachment"), "acroform": met("catalog", "AcroForm"), "xfa": met("form", "XFA"),
+        "optional_content": met("catalog", "OCProperties"), "signature_fields": met("form", "Sig") | met("annotation", "Sig"),
+    }
+    found = facts.groupBy("doc_id").agg(*(flags[f].alias(f) for f in FEATURES))
+    rows = documents.select("doc_id", "locked").join(found, "doc_id", "left")
+    return rows.select("doc_id", "locked", *(F.when(~F.col("locked"), F.coalesce(F.col(f), F.lit(f == "complete"))).alias(f) for f in FEATURES))
+
+
+def document_reports(documents: DataFrame, flags: DataFrame, pages: DataFrame, sizes: DataFrame, revisions: DataFrame, uris: DataFrame, files: DataFrame, problems: DataFrame, repairs: DataFrame) -> DataFrame:
+    """One row for each document; what a locked one cannot tell is null, not 0.
+
+    documents: doc_id, locked, file_size, version, objects, tagged, linearized, title.
+    flags: of ``features``.  pages: doc_id, page.  sizes: of ``page_sizes``.  revisions: doc_id, rev, start, end.
+    uris, files (attached in a row): of ``bounded_list``.  problems, repairs: doc_id, ord, message or code.
+    """
+    ordered = lambda rows, by, value, name, most: rows.withColumn("_r", F.row_number().over(W.partitionBy("doc_id").orderBy(by))).where(F.col("_r") <= most).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_r"), value.alias("v")))), lambda x: x["v"]).alias(name))
+    size = F.concat_ws("x", F.col("width"), F.col("height"), F.col("pages"))
+    revised = revisions.groupBy("doc_id").agg(F.count("*").alias("revisions"))
+    parts = [
+        flags.drop("locked"), pages.groupBy("doc_id").agg(F.count("*").alias("pages")), ordered(sizes, "rank", size, "page_sizes", LIMITS.page_sizes), sizes.groupBy("doc_id").agg(F.bool_or("truncated").alias("page_sizes_truncated")), revised,
+        ordered(revisions, "rev", F.concat_ws("-", F.col("start"), F.col("end")), "revision_ranges", LIMITS.revision_ranges), uris.select("doc_id", F.struct("items", "total", "truncated").alias("uris")), files.select("doc_id", F.struct("items", "total", "truncated").alias("files")),
+        ordered(problems, "ord", F.col("message"), "problems", LIMITS.problems), ordered(repairs, "ord", F.col("code"), "repair_reasons", LIMITS.list_items),
+    ]
+    rows = reduce(lambda left, right: left.join(right, "doc_id", "left"), parts, documents)
+    none = F.expr("cast(array() as array<string>)")
+    empty = F.struct(none.alias("items"), F.lit(0).cast("long").alias("total"), F.lit(False).alias("truncated"))
+    told = lambda c, missing, name: F.when(~F.col("locked"), F.coalesce(F.col(c), missing)).alias(name)
+    zero, no = F.lit(0).cast("long"), F.lit(False)
+    return rows.select(
+        "doc_id", "file_size", "version", "objects", F.coalesce("revisions", zero).alias("revisions"), (F.size(F.coalesce("repair_reasons", none)) > 0).alias("repaired"), F.coalesce("repair_reasons", none).alias("repair_reasons"), "locked",
+        told("pages", zero, "pages"), *FEATURES, F.coalesce("problems", none).alias("problems"), F.when(~F.col("locked"), F.col("title")).alias("title"), F.when(~F.col("locked"), F.col("tagged")).alias("tagged"), "linearized",
+        told("page_sizes", none, "page_sizes"), F.coalesce("page_sizes_truncated", no).alias("page_sizes_truncated"), F.coalesce("revision_ranges", none).alias("revision_ranges"), told("uris", empty, "uris"), told("files", empty, "attached"),
+    )
 
 
 def verdicts(summaries: DataFrame) -> DataFrame:
@@ -50,21 +116,75 @@ def verdicts(summaries: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.array_join("findings", ",").alias("findings"), F.array_join("notes", ",").alias("notes"), code.alias("code"))
 
 
+def verdict_lines(summaries: DataFrame) -> DataFrame:
+    """doc_id, risky, id, title: each finding and note of a document as a line to print."""
+    line = lambda risky, flag, title: F.when(F.col(flag), F.struct(F.lit(risky).alias("risky"), F.lit(flag).alias("id"), F.lit(title).alias("title")))
+    lines = [line(risky, flag, title) for risky, rules in ((True, RISKS), (False, NOTES)) for flag, title in rules.items()]
+    return summaries.select("doc_id", F.explode(F.array_compact(F.array(*lines))).alias("l")).select("doc_id", "l.*")
+
+
 def flag_totals(summaries: DataFrame, flags: list[str]) -> DataFrame:
     """feature, documents: how many have each flag, in one pass."""
     counts = summaries.agg(*(F.count_if(F.col(f)).alias(f) for f in flags))
     return counts.unpivot([], flags, "feature", "documents")
 
 
-def corpus_gate(outcomes: DataFrame, share: float = 0.95) -> DataFrame:
-    """documents, opened, opened_share, problems, passed: crashes, and refusals without a reason, are problems."""
-    opened = F.col("outcome").isin("Rendered", "RenderFailed")
-    problem = (F.col("outcome") == "Crashed") | ((F.col("outcome") == "Rejected") & (F.col("message") == ""))
-    out = outcomes.agg(F.count("*").alias("documents"), F.count_if(opened).alias("opened"), F.count_if(problem).alias("problems"))
+def corpus_totals(summaries: DataFrame) -> DataFrame:
+    """documents, reported (not locked), repaired, locked, incomplete, in one pass."""
+    return summaries.agg(
+        F.count("*").alias("documents"), F.count_if(~F.col("locked")).alias("reported"), F.count_if("repaired").alias("repaired"), F.count_if("locked").alias("locked"), F.count_if(~F.col("complete")).alias("incomplete")
+    )
+
+
+def corpus_gate(outcomes: DataFrame, manifest: DataFrame, share: float = 0.95) -> DataFrame:
+    """documents, opened, rendered, protected, malformed, malformed_bad, problems, opened_share, passed: of outcomes and the manifest's rows of their ids.
+
+    A crash or a hang is a problem, and so is a sound document that asks for a password.
+    """
+    told = manifest.groupBy("id").agg(F.bool_or(F.array_contains("categories", "malformed")).alias("_bad"), F.max("password").alias("_password"))
+    rows = outcomes.join(told, "id", "left")
+    bad, outcome = F.coalesce("_bad", F.lit(False)), F.col("outcome")
+    failed = outcome.isin("Crashed", "Hung")
+    opened = outcome.isin("Rendered", "RenderFailed")
+    out = rows.agg(
+        F.count("*").alias("documents"), F.count_if(opened).alias("opened"), F.count_if(outcome == "Rendered").alias("rendered"), F.count_if(opened & F.col("_password").isNotNull()).alias("protected"),
+        F.count_if(bad).alias("malformed"), F.count_if(bad & failed).alias("malformed_bad"), F.count_if(failed | ((outcome == "PasswordRequired") & ~bad)).alias("problems"),
+    )
     out = out.withColumn("opened_share", F.col("opened") / F.greatest(F.col("documents"), F.lit(1).cast("long")))
     return out.withColumn("passed", (F.col("opened_share") >= share) & (F.col("problems") == 0))
 
 
+def navigation_totals(runs: DataFrame) -> DataFrame:
+    """items, labelled, sectioned, links, inert_links, unreadable over all documents: of one row a document."""
+    sums = ("items", "links", "inert_links", "unreadable")
+    return runs.agg(*(F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in sums), F.count_if("labelled").alias("labelled"), F.count_if("sectioned").alias("sectioned"))
+
+
+def manifest_targets(manifest: DataFrame, least: int = 200, least_malformed: int = 30, category: str = "malformed") -> DataFrame:
+    """documents, malformed, passed: whether a corpus holds as many documents as it should."""
+    out = manifest.agg(F.count("*").alias("documents"), F.count_if(F.array_contains("categories", category)).alias("malformed"))
+    return out.withColumn("passed", (F.col("documents") >= least) & (F.col("malformed") >= least_malformed))
+
+
+def counted(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """name and documents: how many rows have each value; of an array, each of its values."""
+    listed = rows.schema[column].dataType.typeName() == "array"
+    return rows.select((F.explode(column) if listed else F.col(column)).alias(name)).groupBy(name).agg(F.count("*").alias("documents"))
+
+
+def tolerances(rows: DataFrame, defaults: DataFrame, allowances: DataFrame) -> DataFrame:
+    """Adds most: the default (os, most) of a row's system, or the allowance (os, id, most) of its id where that is larger."""
+    base = defaults.select("os", F.col("most").alias("_base"))
+    allowed = allowances.select("os", "id", F.col("most").alias("_allowed"))
+    out = rows.join(F.broadcast(base), "os", "left").join(allowed, ["os", "id"], "left")  # a default for each system, of which there are few
+    return out.withColumn("most", F.greatest(F.coalesce("_allowed", "_base"), "_base")).drop("_base", "_allowed")
+
+
+def throughput(runs: DataFrame, by: str, work: Column, elapsed: Column) -> DataFrame:
+    """by, work, best_ms, per_second of runs."""
+    return runs.groupBy(by).agg(F.sum(work).alias("work"), F.min(elapsed).alias("best_ms"), F.round(F.sum(work) / F.sum(elapsed), 6).alias("per_second"))
+
+
 def best_of(metrics: DataFrame) -> DataFrame:
     """side, name, value and the metric's settings: the best value of all reports; refuses to mix machines."""
     mixed = F.size(F.collect_set(F.struct("os", "arch")))
@@ -127,10 +247,11 @@ def text_distances(docs: DataFrame) -> DataFrame:
 
 
 def text_report(distances: DataFrame, limit: float = 0.02, least: int = 30) -> DataFrame:
-    """measured, too_short, worst, failures, passed."""
+    """measured, too_short, worst, worst_id (of equal ones the smallest), failures, passed."""
     d = F.col("distance")
     failures = F.count_if(d > limit)
-    return distances.agg(F.count("distance").alias("measured"), F.count_if(d.isNull()).alias("too_short"), F.max("distance").alias("worst"), failures.alias("failures"), ((F.count("distance") >= least) & (failures == 0)).alias("passed"))
+    worst_id = F.max_by("doc_id", F.when(d.isNotNull(), F.struct("distance", -F.col("doc_id")))).alias("worst_id")
+    return distances.agg(F.count("distance").alias("measured"), F.count_if(d.isNull()).alias("too_short"), F.max("distance").alias("worst"), worst_id, failures.alias("failures"), ((F.count("distance") >= least) & (failures == 0)).alias("passed"))
 
 
 def manifest_problems(manifest: DataFrame) -> DataFrame:

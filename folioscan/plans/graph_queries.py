@@ -38,11 +38,12 @@ def graph_inherited_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tree(spark, sf_dir).where("leaf").groupBy(F.get("path", F.lit(0)).alias("root")).agg(F.count("*").alias("n"), F.count("b").alias("with_b"), F.bool_or(F.col("b") == "B0").alias("has_b0"))
 
 
-@query(f"""WITH {_TREE_SQL} SELECT key, value FROM (SELECT id, unnest([id || '/k0', id || '/k1']) AS key, unnest([len(path), path[len(path)]]) AS value FROM tree WHERE leaf)""", using=("page_tree",))
+@query(f"""WITH {_TREE_SQL} SELECT l_partkey AS key, l_suppkey AS value, array_to_string(list_append(path, l_linenumber::BIGINT), '/') AS path FROM tree JOIN lineitem ON id = 'o' || l_orderkey""", using=("page_tree",))
 def graph_key_value_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of the leaves of a tree."""
-    pairs = F.array(F.struct(F.concat("id", F.lit("/k0")).alias("key"), F.size("path").cast("long").alias("value")), F.struct(F.concat("id", F.lit("/k1")).alias("key"), F.element_at("path", -1).alias("value")))
-    return _tree(spark, sf_dir).where("leaf").select(F.explode(pairs).alias("p")).select("p.*")
+    """A number tree whose leaves are orders, and whose pairs are their line items."""
+    li = X.table(spark, sf_dir, "lineitem")
+    pairs = li.select(F.concat(F.lit("o"), "l_orderkey").alias("id"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("key"), F.col("l_suppkey").alias("value"))
+    return graph.key_tree(X.page_tree(spark, sf_dir), [], pairs).withColumn("path", F.array_join(F.col("path").cast("array<string>"), "/"))
 
 
 _OUTLINE_SQL = """ot AS (SELECT doc_id, id, parent, title, page, 0 AS depth, [ord] AS path FROM outline WHERE parent IS NULL UNION ALL
@@ -71,13 +72,30 @@ def graph_sibling_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.chain_ranks(chain, "conv_id", "text_key", "next")
 
 
-_REACHED_SQL = """rc AS (SELECT 'o' || o_orderkey AS node, 0 AS level FROM orders WHERE o_orderkey < 10 UNION SELECT dst, level + 1 FROM rc JOIN ref_edges ON src = node WHERE level < 7),
+@query("""WITH RECURSIVE c AS (SELECT conv_id, turn, conv_id || ':' || turn AS text_key, conv_id || ':' || CASE WHEN turn < max(turn) OVER w THEN turn + 1 ELSE max(turn) OVER w // 2 END AS nxt FROM conversations WINDOW w AS (PARTITION BY conv_id)),
+r AS (SELECT conv_id, text_key, nxt, 0 AS rank FROM c WHERE turn = 0 UNION ALL SELECT c.conv_id, c.text_key, c.nxt, rank + 1 FROM r JOIN c ON c.text_key = r.nxt WHERE rank < 100)
+SELECT conv_id, text_key, min(rank)::BIGINT AS rank FROM r GROUP BY ALL""")
+def graph_looped_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns whose last one names one in the middle again: the level ends there."""
+    t = X.table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    key = lambda n: F.concat_ws(":", F.col("conv_id").cast("string"), n.cast("bigint").cast("string"))
+    last = t.groupBy("conv_id").agg(F.max("turn").alias("m"))
+    chain = t.join(last, "conv_id").select("conv_id", key(F.col("turn")).alias("text_key"), key(F.when(F.col("turn") < F.col("m"), F.col("turn") + 1).otherwise(F.floor(F.col("m") / 2))).alias("next"))
+    first = t.where("turn = 0").select("conv_id", key(F.col("turn")).alias("text_key")).distinct()
+    return graph.chain_ranks(chain, "conv_id", "text_key", "next", first)
+
+
+#: Roots are the urgent orders; twelve levels hold all that they reach.
+_REACHED_SQL = """rc AS (SELECT 'o' || o_orderkey AS node, 0 AS level FROM orders WHERE o_orderpriority = '1-URGENT' UNION SELECT dst, level + 1 FROM rc JOIN ref_edges ON src = node WHERE level < 12),
 rl AS (SELECT node, min(level) AS level FROM rc GROUP BY node)"""
 
 
+def _roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("o"), "o_orderkey").alias("node"), (F.col("o_orderstatus") == "O").alias("open"))
+
+
 def _reached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roots = X.table(spark, sf_dir, "orders").where("o_orderkey < 10").select(F.concat(F.lit("o"), "o_orderkey").alias("node"))
-    return graph.reached(X.ref_nodes_edges(spark, sf_dir), roots, 8)
+    return graph.reached(X.ref_nodes_edges(spark, sf_dir), _roots(spark, sf_dir))
 
 
 @query(f"WITH {_REACHED_SQL} SELECT node, level FROM rl", using=("ref_edges",))
@@ -90,9 +108,22 @@ def graph_renumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.renumbered(_reached(spark, sf_dir)).withColumn("place", F.col("place").cast("int"))
 
 
+_LEVELS = 12
+_DISCOVERED_SQL = "d0 AS MATERIALIZED (SELECT node, row_number() OVER (ORDER BY node) AS place FROM (SELECT DISTINCT 'o' || o_orderkey AS node FROM orders WHERE o_orderpriority = '1-URGENT')), " + ", ".join(
+    f"d{k} AS MATERIALIZED (SELECT dst AS node, row_number() OVER (ORDER BY min(place), dst) AS place FROM d{k - 1} JOIN ref_edges ON src = node WHERE " + " AND ".join(f"dst NOT IN (SELECT node FROM d{i})" for i in range(k)) + " GROUP BY dst)"
+    for k in range(1, _LEVELS)
+)
+
+
+@query(f"WITH {_DISCOVERED_SQL} " + " UNION ALL ".join(f"SELECT node, {k} AS level, place FROM d{k}" for k in range(_LEVELS)), using=("ref_edges",))
+def graph_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the urgent orders reach, in the order of a breadth-first discovery."""
+    return graph.discovered(X.ref_nodes_edges(spark, sf_dir), _roots(spark, sf_dir))
+
+
 def graph_renumbered_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All that every tenth order reaches, however far; the SQL of graph_renumbered has nine roots and eight levels."""
-    roots = X.table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.concat(F.lit("o"), "o_orderkey").alias("node"))
+    """All that all orders reach, by name inside a level."""
+    roots = X.table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node"))
     return graph.renumbered(graph.reached(X.ref_nodes_edges(spark, sf_dir), roots))
 
 
@@ -100,13 +131,20 @@ def graph_renumbered_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITHOUT_SQL = {"graph_renumbered_whole": graph_renumbered_whole}
 
 
-@query(f"""WITH {_REACHED_SQL}, k AS (SELECT level, substr(node, 2)::BIGINT % 7 AS k FROM rl) SELECT bool_or(k = 0) AS javascript, bool_or(k = 0 AND level = 0) AS open_javascript, bool_or(k = 1) AS launch, bool_or(k = 2) AS uris, bool_or(k = 3) AS submit_form, bool_or(k = 4) AS remote_goto, count(*) AS actions FROM k""", using=("ref_edges",))
+#: Kinds of the nodes of the reference graph, by their numbers.
+_KIND_OF = ("JavaScript", "Launch", "URI", "SubmitForm", "GoToR", "GoTo", "Named")
+
+
+@query(f"""WITH {_REACHED_SQL}, ro AS (SELECT 'o' || o_orderkey AS node, 0 AS level FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' UNION SELECT dst, level + 1 FROM ro JOIN ref_edges ON src = node WHERE level < 12),
+k AS (SELECT node, ({list(_KIND_OF)})[substr(node, 2)::BIGINT % 7 + 1] AS k, node IN (SELECT node FROM ro) AS o FROM rl)
+SELECT bool_or(k = 'JavaScript' AND o) AS open_action_javascript, {', '.join(f"bool_or(k = '{k}') AS {n}" for k, n in graph.ACTIONS.items())}, count(*) AS actions FROM k""", using=("ref_edges",))
 def graph_action_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flags of the actions that the roots reach."""
-    k = (F.substring("node", 2, 20).cast("long") % 7).alias("k")
-    c = F.col("k")
-    flags = {"javascript": c == 0, "open_javascript": (c == 0) & (F.col("level") == 0), "launch": c == 1, "uris": c == 2, "submit_form": c == 3, "remote_goto": c == 4}
-    return _reached(spark, sf_dir).select("level", k).agg(*(F.bool_or(v).alias(n) for n, v in flags.items()), F.count("*").alias("actions"))
+    """Flags of the actions that the roots reach; those of open orders run when the document is opened."""
+    edges = X.ref_nodes_edges(spark, sf_dir)
+    roots = _roots(spark, sf_dir)
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).union(roots.select("node")).distinct()
+    kind = F.get(F.array(*map(F.lit, _KIND_OF)), (F.substring("node", 2, 20).cast("long") % 7).cast("int"))
+    return graph.action_scan(nodes.withColumn("kind", kind), edges, roots)
 
 
 @query("""WITH RECURSIVE rf AS (SELECT o_orderkey AS src, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey * 3 % 1000 WHEN o_orderkey % 3 = 1 THEN o_orderkey // 2 ELSE NULL END AS dst FROM orders),
@@ -220,13 +258,47 @@ def source_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headers(d.select(k.alias("id"), F.encode(head, "UTF-8").alias("content"))).join(d.select(k.alias("id"), F.length("text").alias("text_len")), "id")
 
 
-@query("""WITH d AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l FROM documents) SELECT doc_id, len(l) AS total FROM d""")
+_JSON_CAP = 700
+
+
+@query(f"""WITH d AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l, regexp_extract_all(text, '[A-Z][a-z]+') AS w FROM documents),
+k AS (SELECT *, unnest(range(0, len(l) + len(w) + 1)) AS k FROM d), j AS (SELECT *, least(len(l), len(w)) AS v, greatest(k - abs(len(l) - len(w)), 0) AS b FROM k),
+m AS (SELECT *, CASE WHEN len(l) > v THEN greatest(len(l) - k, v) ELSE v END - (b + 1) // 2 AS x, CASE WHEN len(w) > v THEN greatest(len(w) - k, v) ELSE v END - b // 2 AS y FROM j),
+z AS (SELECT *, strlen('{{"doc_id":' || doc_id || ',"lines":{{"items":[],"total":' || len(l) || ',"truncated":' || (x < len(l)) || '}},"names":{{"items":[],"total":' || len(w) || ',"truncated":' || (y < len(w)) || '}}}}')
+ + coalesce(list_sum(list_transform(l[1:x], lambda i: strlen(to_json(i)::VARCHAR) + 1)) - 1, 0) + coalesce(list_sum(list_transform(w[1:y], lambda i: strlen(to_json(i)::VARCHAR) + 1)) - 1, 0) AS n FROM m)
+SELECT doc_id, len(l)::BIGINT AS total, x::INT AS kept_lines, y::INT AS kept_names, x < len(l) AS lines_truncated, n::INT AS n_bytes, md5(array_to_string(l[1:x], chr(10)) || array_to_string(w[1:y], chr(10))) AS items_md5
+FROM z WHERE n <= {_JSON_CAP} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k) = 1""")
 def source_json_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports of at most 400 bytes, read again: the total stays though the list is cut."""
+    """Reports with two lists in at most 700 bytes, read again: totals stay though the lists are cut."""
     from folioscan.sources.files import capped_json
 
-    d = X.table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", "\n"), lambda x: x != "").alias("lines"))
-    made = d.select("doc_id", capped_json(["doc_id"], {"lines": F.col("lines")}, 400).alias("json"))
-    return made.select("doc_id", F.get_json_object("json", "$.lines.total").cast("long").alias("total"))
+    d = X.table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", "\n"), lambda x: x != "").alias("lines"), F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), 0).alias("names"))
+    made = d.select("doc_id", capped_json(["doc_id"], {"lines": F.col("lines"), "names": F.col("names")}, _JSON_CAP).alias("json")).where("json is not null")
+    part = "struct<items:array<string>,total:bigint,truncated:boolean>"
+    read = made.withColumn("j", F.from_json("json", f"doc_id bigint, lines {part}, names {part}"))
+    items = F.concat(F.array_join("j.lines.items", "\n"), F.array_join("j.names.items", "\n"))
+    return read.select(
+        "doc_id", F.col("j.lines.total").alias("total"), F.size("j.lines.items").alias("kept_lines"), F.size("j.names.items").alias("kept_names"), F.col("j.lines.truncated").alias("lines_truncated"), F.octet_length("json").alias("n_bytes"), F.md5(items).alias("items_md5")
+    )
+
+
+@query("""SELECT os, arch, 1 AS runs, name, max(value) AS value, 'ms' AS unit, higher_is_better, tracked, floor FROM metrics GROUP BY report, side, os, arch, name, higher_is_better, tracked, floor""", using=("metrics",))
+def source_metric_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports written as metric files and read again."""
+    from folioscan.sources.files import read_metrics, write_metrics
+
+    path = fresh_path(spark, "metric-files")
+    rows = X.metrics(spark, sf_dir).withColumn("report", F.concat_ws("/", "report", "side"))
+    write_metrics(rows.groupBy("report", "os", "arch", "name", "higher_is_better", "tracked", "floor").agg(F.max("value").alias("value")).withColumn("unit", F.lit("ms")), path)
+    return read_metrics(spark, path, lines=True)
+
 
+@query("SELECT doc_id, string_agg(text, chr(12) ORDER BY page) AS text FROM page_text GROUP BY doc_id", using=("page_text",))
+def source_written_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages of documents, written and read again."""
+    from folioscan.operators.select import selected_text
+    from folioscan.sources.files import write_text
 
+    path, pages = fresh_path(spark, "written-text"), X.page_text(spark, sf_dir)
+    write_text(selected_text(pages, pages.select("doc_id", "page", F.col("page").alias("ord"))), path)
+    return spark.read.schema("doc_id long, text string").parquet(path)

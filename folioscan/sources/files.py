@@ -31,20 +31,53 @@ def headers(files: DataFrame) -> DataFrame:
 
 
 def capped_json(columns: list[str], lists: dict[str, Column], most: int) -> Column:
-    """A row as JSON of at most about ``most`` bytes: lists keep their longest prefix that fits an equal share, with total and truncated."""
-    share = most // max(len(lists), 1)
-    sums = lambda items: F.aggregate(items, F.struct(F.lit(0).alias("n"), F.lit(0).alias("bytes")), lambda s, x: F.struct((s["n"] + F.when(s["bytes"] + F.octet_length(F.to_json(F.struct(x))) <= share, 1).otherwise(0)).alias("n"), (s["bytes"] + F.octet_length(F.to_json(F.struct(x)))).alias("bytes")))["n"]
-    bounded = [F.struct(F.slice(c, F.lit(1), sums(c)).alias("items"), F.size(c).alias("total"), (sums(c) < F.size(c)).alias("truncated")).alias(k) for k, c in lists.items()]
-    return F.to_json(F.struct(*columns, *bounded))
+    """A row as JSON of at most ``most`` bytes, with one or two lists of strings as {items, total, truncated}.
 
+    Items go one by one from the end of the list that is longer then, the first one if both are
+    as long, until the row fits; if it does not even without items, the JSON is null.  Which items go by the
+    k-th step follows from the lengths, so the step is found from running sums of bytes
+    (an item has three bytes or more, so no more than a third of ``most`` can stay).
+    """
+    none = F.expr("cast(array() as array<string>)")
+    (name_a, list_a), (name_b, list_b) = [*lists.items(), ("", none)][:2]
 
-def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Metric files as rows; a file of another schema version is refused."""
-    rows = spark.read.schema(METRICS).json(path, multiLine=True)
+    def capped(given: Column) -> Column:
+        a, b = given["a"], given["b"]
+        n_a, n_b = F.size(a), F.size(b)
+        level = F.least(n_a, n_b)
+        beyond = lambda k: F.greatest(k - F.abs(n_a - n_b), F.lit(0))  # steps after both are as long
+        left_a = lambda k: F.when(n_a > level, F.greatest(n_a - k, level)).otherwise(level) - F.ceil(beyond(k) / 2).cast("int")
+        left_b = lambda k: F.when(n_b > level, F.greatest(n_b - k, level)).otherwise(level) - F.floor(beyond(k) / 2).cast("int")
+        part = lambda items, n, cut, name: [F.struct(items.alias("items"), n.alias("total"), cut.alias("truncated")).alias(name)] if name else []
+        row = lambda x, y, cut_x, cut_y: F.to_json(F.struct(*columns, *part(x, n_a, cut_x, name_a), *part(y, n_b, cut_y, name_b)))
+        sizes = lambda items: F.transform(F.slice(items, F.lit(1), F.lit(most // 3 + 1)), lambda x: F.octet_length(F.to_json(F.array(x))) - 1)
+        sums = lambda items: F.aggregate(sizes(items), F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))  # bytes of the first n items and their commas, one too many
+        sized = F.struct(sums(a).alias("a"), sums(b).alias("b"), F.octet_length(row(none, none, F.lit(False), F.lit(False))).alias("bare"))
+        bytes_of = lambda s, left: F.greatest(F.get(s, left) - 1, F.lit(0))
+        fits = lambda s, k: s["bare"] + bytes_of(s["a"], left_a(k)) + bytes_of(s["b"], left_b(k)) - F.when(left_a(k) < n_a, 1).otherwise(0) - F.when(left_b(k) < n_b, 1).otherwise(0) <= most  # "true" is shorter
+        step = F.transform(F.array(sized), lambda s: F.array_min(F.filter(F.sequence(F.lit(0), n_a + n_b), lambda k: fits(s, k))))
+        return F.get(F.transform(step, lambda k: F.when(k.isNotNull(), row(F.slice(a, F.lit(1), left_a(k)), F.slice(b, F.lit(1), left_b(k)), left_a(k) < n_a, left_b(k) < n_b))), F.lit(0))
+
+    return F.get(F.transform(F.array(F.struct(list_a.alias("a"), list_b.alias("b"))), capped), F.lit(0))
+
+
+def read_metrics(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Metric files, or with ``lines`` files of one report a line, as rows; another schema version is refused."""
+    rows = spark.read.schema(METRICS).json(path, multiLine=not lines)
     checked = rows.where(F.assert_true(F.coalesce(F.col("schema") == 1, F.lit(False)), "a metric file of another schema").isNull())
     return checked.select("os", "arch", "runs", F.explode("metrics").alias("name", "m")).select("os", "arch", "runs", "name", "m.*")
 
 
-def write_text(selected: DataFrame, path: str) -> None:
-    """Chosen pages of documents (doc_id, text), a Parquet file set."""
-    selected.write.parquet(path)
+def write_metrics(metrics: DataFrame, path: str) -> None:
+    """Metric files, one object for each report (report, os, arch, name, value, unit, higher_is_better, tracked, floor); names are unique in a report."""
+    entry = F.struct("name", F.struct("value", "unit", "higher_is_better", "tracked", "floor").alias("m"))
+    rows = metrics.groupBy("report", "os", "arch").agg(F.map_from_entries(F.collect_list(entry)).alias("metrics"))
+    rows.select(F.lit(1).alias("schema"), "os", "arch", F.lit(1).alias("runs"), F.expr("map()").cast("map<string,double>").alias("cold"), "metrics").write.json(path)
+
+
+def write_text(selected: DataFrame, path: str, form: str = "parquet") -> None:
+    """Chosen pages of documents (doc_id, text): a Parquet file set, or with form "text" a folder of text for each document, its pages parted by form feeds."""
+    if form == "text":
+        selected.select("doc_id", F.col("text").alias("value")).write.partitionBy("doc_id").text(path, lineSep="")
+    else:
+        selected.write.parquet(path)
