@@ -2,67 +2,137 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscan.functions.text import ligatures_expanded, text_only
 from folioscan.limits import LIMITS
+from folioscan.operators.lookup import as_of
+from folioscan.operators.search import CHUNK, matches
 
+#: White space of words, and the characters that end lines; fixed values.
+_BLANK = r"\s\x{200B}"
+_BREAK = r"\n\r\x{2028}\x{2029}\x{85}"
+KEYS = ("doc_id", "page")
 
-def characters(pages: DataFrame, wrap: int = 80) -> DataFrame:
-    """doc_id, page, pos, ch, word, line, x0, y0, x1, y1; a page breaks after the first space past each ``wrap`` characters.
 
-    White space belongs to the word before it.
+def words(pages: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """keys, word (from 0), first, last, word_text: words without blanks, cut inside the row."""
+    found = matches(pages, F.col("text"), f"(?U)[^{_BLANK}]+", keys)
+    return found.select(*keys, F.col("at").alias("word"), "first", (F.col("first") + F.length("match") - 1).alias("last"), F.col("match").alias("word_text"))
+
+
+def characters(pages: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """keys, pos, ch, word, line, x0, y0, x1, y1 of the characters of pages; all is counted inside the row.
+
+    A word begins at the first letter after white space, which belongs to the word
+    before it, a line at the first letter after a line break.  Ligatures become
+    letters that share their width; other controls are dropped.  The boxes are those of
+    plain text, one unit a character and ten a line; white space has none.
     """
-    rows = pages.select("doc_id", "page", F.posexplode(F.filter(F.split("text", ""), lambda c: c != "")).alias("pos", "ch"))
-    order = W.partitionBy("doc_id", "page").orderBy("pos")
-    blank = F.col("ch").rlike(r"(?U)^\s$")
-    rows = rows.withColumn("_new", (~blank & F.coalesce(F.lag(blank).over(order), F.lit(False))).cast("int"))
-    rows = rows.withColumn("word", F.sum("_new").over(order).cast("int")).withColumn("line", F.floor(F.col("pos") / wrap).cast("int"))
-    top = (F.col("line") + 1) * 10
-    return rows.select("doc_id", "page", "pos", "ch", "word", "line", F.col("pos").cast("double").alias("x0"), F.lit(0.0).alias("y0"), (F.col("pos") + 1).cast("double").alias("x1"), top.cast("double").alias("y1"))
-
-
-def word_spans(chars: DataFrame) -> DataFrame:
-    """doc_id, page, word, first, last, word_text: without trailing blanks."""
-    solid = ~F.col("ch").rlike(r"(?U)^\s$")
-    kept = F.when(solid, F.struct("pos", "ch"))
-    out = chars.groupBy("doc_id", "page", "word").agg(F.min(F.when(solid, F.col("pos"))).alias("first"), F.max(F.when(solid, F.col("pos"))).alias("last"), F.array_sort(F.collect_list(kept)).alias("c"))
-    return out.where(F.col("first").isNotNull()).select("doc_id", "page", "word", "first", "last", F.array_join(F.col("c.ch"), "").alias("word_text"))
-
-
-def line_boxes(chars: DataFrame) -> DataFrame:
-    """doc_id, page, line, box edges, vertical and reversed: from the first and the last character's places."""
-    g = chars.groupBy("doc_id", "page", "line").agg(
-        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
-        (F.max_by("x0", "pos") - F.min_by("x0", "pos")).alias("dx"), (F.max_by("y0", "pos") - F.min_by("y0", "pos")).alias("dy"),
+    clean = text_only(F.col("text"))
+    cut = F.regexp_extract_all(clean, F.lit(f"(?U)(?:^[{_BLANK}]+)?[^{_BLANK}]+[{_BLANK}]*"), 0)
+    rows = pages.select(*keys, F.when(F.size(cut) > 0, cut).otherwise(F.array(clean)).alias("pieces")).where(F.col("pieces")[0] != "")
+    tail = lambda p: F.length(F.regexp_extract(p, rf"([^{_BREAK}]*)\z", 1))
+    measured = F.transform("pieces", lambda p: F.struct(p.alias("text"), F.length(ligatures_expanded(p)).alias("letters"), F.length(p).alias("glyphs"), p.rlike(f"[{_BREAK}]").alias("broke"), tail(p).alias("tail")))
+    rows = rows.select(*keys, measured.alias("pieces"))
+    numbers = F.sequence(F.lit(0), F.floor((F.size("pieces") - 1) / CHUNK).cast("int"))
+    rows = rows.select(*keys, F.transform(numbers, lambda i: F.slice("pieces", i * CHUNK + 1, CHUNK)).alias("chunk"))
+    state = lambda pos, word, line, column: F.struct(pos.alias("pos"), word.alias("word"), line.alias("line"), column.alias("column"))
+    after = lambda s, p: state(s["pos"] + p["letters"], s["word"] + 1, s["line"] + F.when(p["broke"], 1).otherwise(0), F.when(p["broke"], p["tail"]).otherwise(s["column"] + p["glyphs"]))
+    zero = state(F.lit(0), F.lit(0), F.lit(0), F.lit(0))
+    empty = F.expr("cast(array() as array<struct<pos:int,word:int,line:int,column:int>>)")
+    starts = F.aggregate("chunk", F.struct(zero.alias("now"), empty.alias("out")), lambda s, c: F.struct(F.aggregate(c, s["now"], after).alias("now"), F.concat(s["out"], F.array(s["now"])).alias("out")))["out"]
+    rows = rows.select(*keys, F.explode(F.arrays_zip("chunk", starts.alias("start"))).alias("c"))
+    begin = F.struct(F.col("c.start").alias("now"), empty.alias("out"))
+    each = F.aggregate("c.chunk", begin, lambda s, p: F.struct(after(s["now"], p).alias("now"), F.concat(s["out"], F.array(s["now"])).alias("out")))["out"]
+    rows = rows.select(*keys, F.explode(F.arrays_zip(F.col("c.chunk").alias("piece"), each.alias("start"))).alias("p")).select(*keys, "p.*")
+    glyph = lambda c, i: F.transform(F.split(ligatures_expanded(c), ""), lambda x, n: F.struct(x.alias("ch"), i.alias("glyph"), n.alias("part"), F.length(ligatures_expanded(c)).alias("parts")))
+    letters = F.flatten(F.transform(F.filter(F.split("piece.text", ""), lambda c: c != ""), glyph))
+    # trailing white space after a break would stand in the next line; it has no box
+    rows = rows.select(*keys, "start", F.posexplode(letters).alias("at", "c"))
+    boxed = lambda c: F.when(~F.col("c.ch").rlike(f"(?U)^[{_BLANK}]$"), c.cast("double"))
+    left = F.col("start.column") + F.col("c.glyph") + F.col("c.part") / F.col("c.parts")
+    return rows.select(
+        *keys, (F.col("start.pos") + F.col("at")).alias("pos"), "c.ch", "start.word", "start.line",
+        boxed(left).alias("x0"), boxed(F.col("start.line") * 10).alias("y0"), boxed(left + 1 / F.col("c.parts")).alias("x1"), boxed((F.col("start.line") + 1) * 10).alias("y1"),
     )
+
+
+def lines(pages: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """keys, line (from 0), first, last: lines that hold a letter, from the first to the last of them."""
+    found = matches(pages, F.col("text"), f"(?U)[^{_BLANK}{_BREAK}](?:[^{_BREAK}]*[^{_BLANK}{_BREAK}])?", keys)
+    return found.select(*keys, F.col("at").alias("line"), "first", (F.col("first") + F.length("match") - 1).alias("last"))
+
+
+def around(found: DataFrame, pages: DataFrame, positions: DataFrame, number: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """keys, pos, number, from, to (exclusive) of the words or lines around positions (keys, pos).
+
+    A span goes on to the next one.  Of words the white space after them is left out, or is
+    the span where the position lies in it.
+    """
+    after = W.partitionBy(*keys).orderBy("first")
+    spans = found.withColumn("_next", F.lead("first").over(after)).withColumn("_begin", F.when(F.col(number) == 0, 0).otherwise(F.col("first")))
+    rows = as_of(positions.select(*keys, "pos"), spans, list(keys), "pos", "_begin", [number, "_begin", "last", "_next"])
+    rows = rows.join(pages.select(*keys, F.length("text").alias("_length")), list(keys)).where(F.col("pos").between(0, F.col("_length") - 1))
+    end = F.coalesce("_next", "_length")
+    if number == "line":
+        begin, to = F.coalesce("_begin", F.lit(0)), end
+    else:
+        blank = F.col("pos") > F.col("last")
+        begin, to = F.coalesce(F.when(blank, F.col("last") + 1).otherwise(F.col("_begin")), F.lit(0)), F.when(blank | F.col("last").isNull(), end).otherwise(F.col("last") + 1)
+    return rows.select(*keys, "pos", F.coalesce(number, F.lit(0)).alias(number), begin.alias("from"), to.alias("to"))
+
+
+def line_boxes(chars: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """keys, line, box edges, vertical and reversed: from the first and the last boxed character's places."""
+    boxed = F.when(F.col("x0").isNotNull(), F.col("pos"))
+    g = chars.groupBy(*keys, "line").agg(
+        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
+        (F.max_by("x0", boxed) - F.min_by("x0", boxed)).alias("dx"), (F.max_by("y0", boxed) - F.min_by("y0", boxed)).alias("dy"),
+    ).where("x0 is not null")
     vertical = F.abs("dy") > F.abs("dx")
-    return g.select("doc_id", "page", "line", "x0", "y0", "x1", "y1", vertical.alias("vertical"), (F.when(vertical, F.col("dy")).otherwise(F.col("dx")) < 0).alias("reversed"))
+    return g.select(*keys, "line", "x0", "y0", "x1", "y1", vertical.alias("vertical"), (F.when(vertical, F.col("dy")).otherwise(F.col("dx")) < 0).alias("reversed"))
 
 
-def hit_boxes(found: DataFrame, chars: DataFrame, most: int = LIMITS.hit_boxes) -> DataFrame:
-    """doc_id, page, first, box, edges: one box for each line of a hit; lines beyond ``most`` join the last box."""
-    inside = found.select("doc_id", "page", "first", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("pos"))
-    rows = inside.join(chars, ["doc_id", "page", "pos"])
-    rank = F.dense_rank().over(W.partitionBy("doc_id", "page", "first").orderBy("line"))
+def hit_boxes(found: DataFrame, chars: DataFrame, most: int = LIMITS.hit_boxes, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """keys, first, box, edges: one box for each line of a hit; lines beyond ``most`` join the last box, characters without a box are passed over."""
+    inside = found.select(*keys, "first", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("pos"))
+    rows = inside.join(chars.where("x0 is not null"), [*keys, "pos"])
+    rank = F.dense_rank().over(W.partitionBy(*keys, "first").orderBy("line"))
     rows = rows.withColumn("box", F.least(rank, F.lit(most)))
-    return rows.groupBy("doc_id", "page", "first", "box").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    return rows.groupBy(*keys, "first", "box").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
 def range_text(pages: DataFrame, ranges: DataFrame) -> DataFrame:
-    """doc_id, text of ranges (doc_id, from_page, from_pos, to_page, to_pos): pages joined by a line end."""
+    """doc_id, range_id, text of ranges (doc_id, range_id, from_page, from_pos, to_page, to_pos): pages joined by a line end."""
     rows = pages.join(ranges, "doc_id").where(F.col("page").between(F.col("from_page"), F.col("to_page")))
     begin = F.when(F.col("page") == F.col("from_page"), F.col("from_pos")).otherwise(F.lit(0))
     end = F.when(F.col("page") == F.col("to_page"), F.col("to_pos")).otherwise(F.length("text"))
     cut = F.replace(F.substring(F.col("text"), begin + 1, F.greatest(end - begin, F.lit(0))), F.lit("\r\n"), F.lit("\n"))
-    rows = rows.select("doc_id", "page", cut.alias("t")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "t"))).alias("p"))
-    return rows.select("doc_id", F.array_join(F.col("p.t"), "\n").alias("text"))
+    rows = rows.select("doc_id", "range_id", "page", cut.alias("t")).groupBy("doc_id", "range_id").agg(F.array_sort(F.collect_list(F.struct("page", "t"))).alias("p"))
+    return rows.select("doc_id", "range_id", F.array_join(F.col("p.t"), "\n").alias("text"))
+
+
+def _gap(v: str, a: str, b: str) -> Column:
+    return F.greatest(F.col(a) - F.col(v), F.col(v) - F.col(b), F.lit(0.0))
+
+
+def nearest_lines(points: DataFrame, boxes: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """keys, point, line: the line with the smallest gap across its direction, then along, then first."""
+    dx, dy = _gap("x", "x0", "x1"), _gap("y", "y0", "y1")
+    vertical = F.col("vertical") if "vertical" in boxes.columns else F.lit(False)
+    rows = points.join(boxes, list(keys)).withColumns({"across": F.when(vertical, dx).otherwise(dy), "along": F.when(vertical, dy).otherwise(dx)})
+    rows = rows.withColumn("r", F.row_number().over(W.partitionBy(*keys, "point").orderBy("across", "along", "line")))
+    return rows.where("r = 1").select(*keys, "point", "line", "across", "along")
 
 
-def nearest_lines(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """doc_id, page, point, line: the line with the smallest gap across, then along, then first."""
-    gap = lambda v, a, b: F.greatest(F.col(a) - F.col(v), F.col(v) - F.col(b), F.lit(0.0))
-    rows = points.join(boxes, ["doc_id", "page"]).withColumns({"across": gap("y", "y0", "y1"), "along": gap("x", "x0", "x1")})
-    rows = rows.withColumn("r", F.row_number().over(W.partitionBy("doc_id", "page", "point").orderBy("across", "along", "line")))
-    return rows.where("r = 1").select("doc_id", "page", "point", "line", "across", "along")
+def carets(points: DataFrame, boxes: DataFrame, chars: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """keys, point, caret: before the first boxed character of the nearest line whose middle is ahead of the point, else after the last one."""
+    near = nearest_lines(points, boxes, keys).select(*keys, "point", "line").join(points, [*keys, "point"]).join(boxes.select(*keys, "line", "vertical", "reversed"), [*keys, "line"])
+    rows = near.join(chars.where("x0 is not null"), [*keys, "line"])
+    at = F.when(F.col("vertical"), F.col("y")).otherwise(F.col("x"))
+    middle = F.when(F.col("vertical"), (F.col("y0") + F.col("y1")) / 2).otherwise((F.col("x0") + F.col("x1")) / 2)
+    ahead = F.when(F.col("reversed"), at > middle).otherwise(at < middle)
+    return rows.groupBy(*keys, "point").agg(F.coalesce(F.min(F.when(ahead, F.col("pos"))), F.max("pos") + 1).alias("caret"))

@@ -174,50 +174,114 @@ def search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.containing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
 
 
-_CHARS_SQL = """chars AS (SELECT doc_id, page, pos, ch, sum(new) OVER (PARTITION BY doc_id, page ORDER BY pos ROWS UNBOUNDED PRECEDING)::INT AS word, (pos // 80)::INT AS line FROM
-(SELECT *, CASE WHEN NOT regexp_matches(ch, '[\\s\\x{85}\\p{Z}]') AND coalesce(lag(regexp_matches(ch, '[\\s\\x{85}\\p{Z}]')) OVER (PARTITION BY doc_id, page ORDER BY pos), false) THEN 1 ELSE 0 END AS new FROM
-(SELECT doc_id, page, (i - 1)::INT AS pos, substr(text, i, 1) AS ch FROM (SELECT doc_id, page, text, unnest(range(1, length(text) + 1)) AS i FROM page_text))))"""
+#: Whole documents as pages of many lines.
+_WHOLE_SQL = """ch AS (SELECT doc_id, page, pos, ch, regexp_matches(ch, '[\\s\\x{85}\\p{Z}\\x{200B}]') AS blank, regexp_matches(ch, '[\\n\\r\\x{85}\\x{2028}\\x{2029}]') AS brk FROM
+(SELECT doc_id, 0 AS page, unnest(range(0, len(l)))::INT AS pos, unnest(l) AS ch FROM (SELECT doc_id, string_split(text, '') AS l FROM documents WHERE text <> ''))),
+cb AS (SELECT *, coalesce(lag(blank) OVER w, true) AS after_blank, coalesce(sum(brk::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS brks, pos - coalesce(max(CASE WHEN brk THEN pos + 1 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS col FROM ch WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+st AS (SELECT *, NOT blank AND after_blank AS begins FROM cb),
+ln AS (SELECT *, CASE WHEN begins THEN dense_rank() OVER (PARTITION BY doc_id, begins ORDER BY brks) - 1 END AS at_line FROM st),
+wl AS (SELECT *, greatest(sum(begins::INT) OVER w - 1, 0)::INT AS word, coalesce(max(at_line) OVER w, 0)::INT AS line FROM ln WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+ws AS (SELECT doc_id, pos AS first, word FROM wl WHERE begins),
+chars AS (SELECT doc_id, page, pos, ch, blank, word, line, CASE WHEN NOT blank THEN col::DOUBLE END AS x0, CASE WHEN NOT blank THEN line * 10::DOUBLE END AS y0, CASE WHEN NOT blank THEN (col + 1)::DOUBLE END AS x1, CASE WHEN NOT blank THEN (line + 1) * 10::DOUBLE END AS y1 FROM wl)"""
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("page"), "text")
 
 
 def _chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.characters(page_text(spark, sf_dir))
+    return spans.characters(_whole(spark, sf_dir))
 
 
-@query(f"WITH {_CHARS_SQL} SELECT doc_id, page, max(word) + 1 AS words, max(line) + 1 AS lines, count(*) AS chars FROM chars GROUP BY doc_id, page", using=("page_text",))
+@query(f"WITH {_WHOLE_SQL} SELECT doc_id, page, max(word) + 1 AS words, max(line) + 1 AS lines, count(*) AS chars, sum(x0) AS x, sum(y1) AS y, sum(pos * word)::DOUBLE AS w FROM chars GROUP BY doc_id, page")
 def span_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chars(spark, sf_dir).groupBy("doc_id", "page").agg((F.max("word") + 1).alias("words"), (F.max("line") + 1).alias("lines"), F.count("*").alias("chars"))
+    """Counts and sums over all characters of whole documents."""
+    c = _chars(spark, sf_dir)
+    return c.groupBy("doc_id", "page").agg((F.max("word") + 1).alias("words"), (F.max("line") + 1).alias("lines"), F.count("*").alias("chars"), F.sum("x0").alias("x"), F.sum("y1").alias("y"), F.sum(F.col("pos").cast("long") * F.col("word")).cast("double").alias("w"))
 
 
-@query(f"""WITH {_CHARS_SQL} SELECT doc_id, page, word, min(pos) AS first, max(pos) AS last, string_agg(ch, '' ORDER BY pos) AS word_text FROM chars WHERE NOT regexp_matches(ch, '[\\s\\x{{85}}\\p{{Z}}]') GROUP BY doc_id, page, word""", using=("page_text",))
+@query(f"""WITH {_WHOLE_SQL} SELECT doc_id, page, word, min(pos) AS first, max(pos) AS last, string_agg(ch, '' ORDER BY pos) AS word_text FROM chars WHERE NOT blank GROUP BY doc_id, page, word""")
 def span_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.word_spans(_chars(spark, sf_dir))
+    return spans.words(_whole(spark, sf_dir))
+
+
+_LINES_SQL = """lx AS (SELECT doc_id, page, line, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, min(pos) FILTER (NOT blank) AS first, max(pos) FILTER (NOT blank) AS last FROM chars GROUP BY doc_id, page, line HAVING min(x0) IS NOT NULL)"""
+
 
+@query(f"WITH {_WHOLE_SQL}, {_LINES_SQL} SELECT doc_id, page, line, first, last FROM lx")
+def span_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.lines(_whole(spark, sf_dir))
 
-@query(f"""WITH {_CHARS_SQL} SELECT doc_id, page, line, min(pos)::DOUBLE AS x0, 0.0::DOUBLE AS y0, (max(pos) + 1)::DOUBLE AS x1, ((line + 1) * 10)::DOUBLE AS y1, false AS vertical, false AS reversed FROM chars GROUP BY doc_id, page, line""", using=("page_text",))
+
+@query(f"WITH {_WHOLE_SQL}, {_LINES_SQL} SELECT doc_id, page, line, x0, y0, x1, y1, false AS vertical, false AS reversed FROM lx")
 def span_line_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.line_boxes(_chars(spark, sf_dir))
 
 
-@query(f"""WITH {_hits_sql('(?i)the')}, {_CHARS_SQL} SELECT h.doc_id, h.page, h.first, dense_rank() OVER (PARTITION BY h.doc_id, h.page, h.first ORDER BY line)::INT AS box, min(pos)::DOUBLE AS x0, 0.0::DOUBLE AS y0, (max(pos) + 1)::DOUBLE AS x1, ((line + 1) * 10)::DOUBLE AS y1
-FROM hits h JOIN chars c ON h.doc_id = c.doc_id AND h.page = c.page AND c.pos BETWEEN h.first AND h.first + h.count - 1 GROUP BY h.doc_id, h.page, h.first, line""", using=("page_text",))
+_POSITIONS_SQL = """po AS (SELECT DISTINCT doc_id, 0 AS page, unnest([0, 3, n // 2, n // 2 + 1, n - 1])::INT AS pos FROM (SELECT doc_id, count(*) AS n FROM ch GROUP BY doc_id)),
+pq AS (SELECT * FROM po JOIN chars USING (doc_id, page, pos))"""
+
+
+def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.length("text")
+    rows = _whole(spark, sf_dir).where("text <> ''").select("doc_id", "page", F.explode(F.array(F.lit(0), F.lit(3), F.floor(n / 2).cast("int"), F.floor(n / 2).cast("int") + 1, n - 1)).alias("pos"), n.alias("n"))
+    return rows.where("pos < n").select("doc_id", "page", "pos").distinct()
+
+
+@query(f"""WITH {_WHOLE_SQL}, {_POSITIONS_SQL}, g AS (SELECT doc_id, word, min(pos) AS a, max(pos) + 1 AS b, max(pos) FILTER (NOT blank) AS e FROM chars GROUP BY doc_id, word)
+SELECT doc_id, page, pos, word, CASE WHEN pos > e THEN e + 1 ELSE a END AS "from", CASE WHEN e IS NULL OR pos > e THEN b ELSE e + 1 END AS "to" FROM pq JOIN g USING (doc_id, word)""")
+def span_word_around(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word, or the white space, around five positions of each document."""
+    pages = _whole(spark, sf_dir)
+    return spans.around(spans.words(pages), pages, _positions(spark, sf_dir), "word")
+
+
+@query(f"""WITH {_WHOLE_SQL}, {_POSITIONS_SQL}, g AS (SELECT doc_id, line, min(pos) AS a, max(pos) + 1 AS b FROM chars GROUP BY doc_id, line) SELECT doc_id, page, pos, line, a AS "from", b AS "to" FROM pq JOIN g USING (doc_id, line)""")
+def span_line_around(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _whole(spark, sf_dir)
+    return spans.around(spans.lines(pages), pages, _positions(spark, sf_dir), "line")
+
+
+@query(f"""WITH {_WHOLE_SQL}, h AS (SELECT doc_id, w.word AS a, w.first, v.word AS b FROM ws w JOIN ws v USING (doc_id) WHERE v.word = w.word + 2), c AS (SELECT h.doc_id, h.first, line, x0, y0, x1, y1 FROM h JOIN chars USING (doc_id) WHERE word BETWEEN a AND b AND x0 IS NOT NULL)
+SELECT doc_id, 0 AS page, first, dense_rank() OVER (PARTITION BY doc_id, first ORDER BY line)::INT AS box, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM c GROUP BY doc_id, first, line""")
 def search_hit_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.hit_boxes(_hits(spark, sf_dir), _chars(spark, sf_dir))
+    """Boxes of each three words in a row, one for each line that they stand in."""
+    w = spans.words(_whole(spark, sf_dir))
+    third = w.select("doc_id", "page", (F.col("word") - 2).alias("word"), F.col("last").alias("end"))
+    found = w.join(third, ["doc_id", "page", "word"]).select("doc_id", "page", "first", (F.col("end") - F.col("first") + 1).alias("count"))
+    return spans.hit_boxes(found, _chars(spark, sf_dir))
 
 
-@query("""WITH c AS (SELECT doc_id, page, CASE WHEN page = 1 THEN substr(text, 6) WHEN page = 3 THEN substr(text, 1, 12) ELSE text END AS t FROM page_text WHERE page BETWEEN 1 AND 3)
-SELECT doc_id, string_agg(t, chr(10) ORDER BY page) AS text FROM c GROUP BY doc_id""", using=("page_text",))
+@query("""WITH c AS (SELECT doc_id, 1 AS range_id, page, CASE WHEN page = 1 THEN substr(text, 6) WHEN page = 3 THEN substr(text, 1, 12) ELSE text END AS t FROM page_text WHERE page BETWEEN 1 AND 3
+UNION ALL SELECT doc_id, 2, page, substr(text, 3, 8) FROM page_text WHERE page = 0) SELECT doc_id, range_id, string_agg(t, chr(10) ORDER BY page) AS text FROM c GROUP BY doc_id, range_id""", using=("page_text",))
 def span_range_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From the sixth character of page 1 to the twelfth of page 3."""
-    ranges = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("from_page"), F.lit(5).alias("from_pos"), F.lit(3).alias("to_page"), F.lit(12).alias("to_pos"))
+    """From the sixth character of page 1 to the twelfth of page 3, and the third to tenth of page 0."""
+    docs = table(spark, sf_dir, "documents")
+    ranges = docs.select("doc_id", F.lit(1).alias("range_id"), F.lit(1).alias("from_page"), F.lit(5).alias("from_pos"), F.lit(3).alias("to_page"), F.lit(12).alias("to_pos"))
+    ranges = ranges.union(docs.select("doc_id", F.lit(2), F.lit(0), F.lit(2), F.lit(0), F.lit(10)))
     return spans.range_text(page_text(spark, sf_dir), ranges)
 
 
-@query(f"""WITH {_CHARS_SQL}, b AS (SELECT doc_id, page, line, min(pos)::DOUBLE AS x0, (max(pos) + 1)::DOUBLE AS x1, 0.0 AS y0, ((line + 1) * 10)::DOUBLE AS y1 FROM chars GROUP BY doc_id, page, line),
-p AS (SELECT doc_id, page, point, CASE point WHEN 0 THEN 1.5 WHEN 1 THEN 1e6 ELSE 5 END::DOUBLE AS x, CASE point WHEN 2 THEN 1e4 ELSE 5 END::DOUBLE AS y FROM page_text, range(3) r(point)),
-g AS (SELECT p.doc_id, p.page, point, line, greatest(y0 - y, y - y1, 0)::DOUBLE AS across, greatest(x0 - x, x - x1, 0)::DOUBLE AS along FROM p JOIN b USING (doc_id, page))
-SELECT doc_id, page, point::INT AS point, line, across, along FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, page, point ORDER BY across, along, line) = 1""", using=("page_text",))
+_POINTS_SQL = """p AS (SELECT DISTINCT doc_id, page, point, CASE point WHEN 0 THEN 1.4 WHEN 1 THEN 1e6 ELSE 5.6 END::DOUBLE AS x, CASE point WHEN 2 THEN 1e4 ELSE 15 END::DOUBLE AS y FROM lx, range(3) r(point)),
+g AS (SELECT p.doc_id, p.page, point, line, x, y, greatest(y0 - y, y - y1, 0)::DOUBLE AS across, greatest(x0 - x, x - x1, 0)::DOUBLE AS along FROM p JOIN lx USING (doc_id, page)),
+nl AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, page, point ORDER BY across, along, line) = 1)"""
+
+
+def _points(boxes: DataFrame) -> DataFrame:
+    points = F.array(*(F.struct(F.lit(i).alias("point"), F.lit(x).alias("x"), F.lit(y).alias("y")) for i, x, y in ((0, 1.4, 15.0), (1, 1e6, 15.0), (2, 5.6, 1e4))))
+    return boxes.select("doc_id", "page").distinct().select("doc_id", "page", F.explode(points).alias("p")).select("doc_id", "page", "p.*")
+
+
+@query(f"WITH {_WHOLE_SQL}, {_LINES_SQL}, {_POINTS_SQL} SELECT doc_id, page, point::INT AS point, line, across, along FROM nl")
 def span_nearest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A point inside, one to the right of and one below the text of each page."""
-    points = F.array(*(F.struct(F.lit(i).alias("point"), F.lit(x).alias("x"), F.lit(y).alias("y")) for i, x, y in ((0, 1.5, 5.0), (1, 1e6, 5.0), (2, 5.0, 1e4))))
-    points = page_text(spark, sf_dir).select("doc_id", "page", F.explode(points).alias("p")).select("doc_id", "page", "p.*")
-    return spans.nearest_lines(points, spans.line_boxes(_chars(spark, sf_dir)))
+    """A point inside, one to the right of and one below the text of each document."""
+    boxes = spans.line_boxes(_chars(spark, sf_dir))
+    return spans.nearest_lines(_points(boxes), boxes)
+
+
+@query(f"""WITH {_WHOLE_SQL}, {_LINES_SQL}, {_POINTS_SQL} SELECT doc_id, page, point::INT AS point, coalesce(min(pos) FILTER (x < (c.x0 + c.x1) / 2), max(pos) + 1) AS caret FROM nl JOIN chars c USING (doc_id, page, line) WHERE c.x0 IS NOT NULL GROUP BY doc_id, page, point""")
+def span_carets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the caret stands for those points."""
+    chars = _chars(spark, sf_dir)
+    boxes = spans.line_boxes(chars)
+    return spans.carets(_points(boxes), boxes, chars)
