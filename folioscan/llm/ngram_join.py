@@ -246,18 +246,20 @@ def linked(cids: list[int], sizes: list[int], sets: list[np.ndarray], side: list
             continue
         most = min(at, targets)
         begin, end = np.searchsorted(element, sets[i]), np.searchsorted(element, sets[i], side="right")
-        lists = [x[: np.searchsorted(x, most)] for x in (owner[a:b] for a, b in zip(begin, end, strict=True))]
+        by_length = np.argsort(end - begin, kind="stable")
+        begin, end = begin[by_length], end[by_length]
         least = -(-percent * sizes[i] // 100)  # T
-        longest = max(map(len, lists), default=0)
+        longest = int(end[-1] - begin[-1]) if len(end) else 0
         n_long = min(least - 1, int(least / (MU * math.log2(longest + 1) + 1)))
-        cut = max(len(lists) - n_long, 0)
-        lists.sort(key=len)
-        short, long = [x for x in lists[:cut] if len(x)], lists[cut:]
+        cut = max(len(begin) - n_long, 0)
+        held = lambda k: (x := owner[begin[k] : end[k]])[: np.searchsorted(x, most)]  # noqa: B023, E731
+        short = [x for x in map(held, range(cut)) if len(x)]
         if not short:
             continue
         found, times = merged(short)
-        near = times >= least - len(long)
+        near = times >= least - (len(begin) - cut)
         found, times = found[near], times[near]
+        long = [held(k) for k in range(cut, len(begin))] if len(found) else []
         need = np.array([needed(sizes[i], sizes[order[k]], percent) for k in found.tolist()], np.int64)
         likely = np.argsort(need - times, kind="stable")
         found, times, need = found[likely], times[likely], need[likely]
