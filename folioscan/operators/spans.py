@@ -35,13 +35,14 @@ def characters(pages: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     cut = F.regexp_extract_all(clean, F.lit(f"(?U)(?:^[{_BLANK}]+)?[^{_BLANK}]+[{_BLANK}]*"), 0)
     rows = pages.select(*keys, F.when(F.size(cut) > 0, cut).otherwise(F.array(clean)).alias("pieces")).where(F.col("pieces")[0] != "")
     tail = lambda p: F.length(F.regexp_extract(p, rf"([^{_BREAK}]*)\z", 1))
-    measured = F.transform("pieces", lambda p: F.struct(p.alias("text"), F.length(ligatures_expanded(p)).alias("letters"), F.length(p).alias("glyphs"), p.rlike(f"[{_BREAK}]").alias("broke"), tail(p).alias("tail")))
+    measured = F.transform("pieces", lambda p: F.struct(p.alias("text"), F.length(ligatures_expanded(p)).alias("letters"), F.length(p).alias("glyphs"), p.rlike(rf"(?U)[{_BREAK}][{_BLANK}]*\z").alias("broke"), tail(p).alias("tail")))
     rows = rows.select(*keys, measured.alias("pieces"))
     numbers = F.sequence(F.lit(0), F.floor((F.size("pieces") - 1) / CHUNK).cast("int"))
     rows = rows.select(*keys, F.transform(numbers, lambda i: F.slice("pieces", i * CHUNK + 1, CHUNK)).alias("chunk"))
     state = lambda pos, word, line, column: F.struct(pos.alias("pos"), word.alias("word"), line.alias("line"), column.alias("column"))
     after = lambda s, p: state(s["pos"] + p["letters"], s["word"] + 1, s["line"] + F.when(p["broke"], 1).otherwise(0), F.when(p["broke"], p["tail"]).otherwise(s["column"] + p["glyphs"]))
-    zero = state(F.lit(0), F.lit(0), F.lit(0), F.lit(0))
+    leading = F.length(F.regexp_extract(F.col("chunk")[0][0]["text"], rf"(?U)^[{_BLANK}]*[{_BREAK}]", 0))  # lines before the first letter
+    zero = state(F.lit(0), F.lit(0), F.lit(0), -leading)
     empty = F.expr("cast(array() as array<struct<pos:int,word:int,line:int,column:int>>)")
     starts = F.aggregate("chunk", F.struct(zero.alias("now"), empty.alias("out")), lambda s, c: F.struct(F.aggregate(c, s["now"], after).alias("now"), F.concat(s["out"], F.array(s["now"])).alias("out")))["out"]
     rows = rows.select(*keys, F.explode(F.arrays_zip("chunk", starts.alias("start"))).alias("c"))

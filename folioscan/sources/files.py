@@ -76,8 +76,8 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
 
 
 def write_text(selected: DataFrame, path: str, form: str = "parquet") -> None:
-    """Chosen pages of documents (doc_id, text): a Parquet file set, or with form "text" a folder of text for each document, its pages parted by form feeds."""
+    """Chosen pages of documents (doc_id, text): a Parquet file set, or with form "text" a folder of text for each document, its pages parted by form feeds and a line end after the last."""
     if form == "text":
-        selected.select("doc_id", F.col("text").alias("value")).write.partitionBy("doc_id").text(path, lineSep="")
+        selected.select("doc_id", F.col("text").alias("value")).write.partitionBy("doc_id").text(path)
     else:
         selected.write.parquet(path)

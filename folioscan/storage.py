@@ -17,9 +17,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where that is unset."""
+    """spark.checkpoint.dir; where that is unset, a temporary folder if all runs on this machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         name = spark.sparkContext.applicationId
         folder = _OWN[name] = _OWN.get(name) or tempfile.mkdtemp(prefix="spark-shared-")
     return folder.rstrip("/")
