@@ -99,6 +99,24 @@ class Automaton:
         return {w for s in self.closure({0}) for w in self.words[s]}
 
 
+#: Characters of a ``match`` pattern from which a replaceable region takes any number of words.
+LONG_MATCH = 100
+
+
+def limits_of(options: str) -> tuple[int, int | None]:
+    """Least and most words of a replaceable region: of min and max, or of a match pattern as in published license lists.
+
+    A pattern that may match nothing asks for no word, another for one; ``.{a,b}`` of under
+    LONG_MATCH characters holds b // 2 + 1 words at most, all others any number.
+    """
+    given = {k: v.strip('"') for k, v in re.findall(r'(\w+)=("[^"]*"|[^;]*)', options)}
+    if "match" not in given:
+        return int(given.get("min", 0)), int(given["max"]) if "max" in given else None
+    bounds = re.fullmatch(r"\.\{(\d+),(\d+)\}", given["match"])
+    most = int(bounds[2]) // 2 + 1 if bounds and int(bounds[2]) < LONG_MATCH else None
+    return 0 if re.fullmatch(given["match"], "") else 1, most
+
+
 def compiled(label: str, template: str) -> Automaton:
     out, at, opened = Automaton(label), 0, []
     for mark, plain in re.findall(r"<<(.*?)>>|((?:(?!<<).)+)", template, re.S):
@@ -111,11 +129,14 @@ def compiled(label: str, template: str) -> Automaton:
             out.empty[opened.pop()].append(new)
             at = new
         elif kind == "var":
-            limits = dict(o.split("=") for o in options.split(";") if o)
-            least, most = int(limits.get("min", 0)), int(limits["max"])
-            states = [at] + [out._state() for _ in range(most)]
+            least, most = limits_of(options)
+            states = [at] + [out._state() for _ in range(least if most is None else most)]
             for a, b in zip(states, states[1:], strict=False):
                 out.any_word[a] = b
+            if most is None:  # a state of its own, which takes any number of words
+                states.append(out._state())
+                out.empty[states[-2]].append(states[-1])
+                out.any_word[states[-1]] = states[-1]
             at = out._state()
             for s in states[least:]:
                 out.empty[s].append(at)

@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from folioscan.llm.license_scans import PHRASES, Scanner, compiled, scanned, with_char_spans, words_of
+from folioscan.llm.license_scans import PHRASES, Scanner, compiled, limits_of, scanned, with_char_spans, words_of
 from tests.llm.conftest import awkward_rows
 
 
@@ -87,3 +87,17 @@ def test_bad_templates():
     for bad in ("<<var;max=2>> a", "<<beginOptional>>a<<endOptional>>", "a <<beginOptional>> b"):
         with pytest.raises(ValueError):
             compiled("x", bad)
+
+
+def test_published_markup():
+    """Replaceable regions with quoted options and match patterns, on whole license texts."""
+    template = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted<<beginOptional>>, provided that the above copyright notice and this permission notice appear in all copies<<endOptional>>.
+    THE SOFTWARE IS PROVIDED "AS IS" AND <<var;name="copyrightHolderAsIs";original="THE AUTHOR";match=".+">> DISCLAIMS ALL WARRANTIES <<var;name="x";original="";match=".{0,20}">> INCLUDING ALL IMPLIED WARRANTIES"""
+    auto = compiled("isc", template)
+    text = """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies
+    the software is provided as is and {} disclaims all warranties {} including all implied warranties more"""
+    for holder, between, fits in (("the author", "", True), ("Internet Systems Consortium " * 40, "of any kind", True), ("", "", False), ("x", "w " * 12, False)):
+        words = words_of(text.format(holder, between))
+        assert (auto.longest(words, 0) == len(words) - 1) is fits, (holder, between)
+    assert auto.longest(words_of(text.format("x", "").replace("all copies", "most copies")), 0) is None
+    assert limits_of(";max=4") == (0, 4) and limits_of(';name="a;b";match=".{1,9}"') == (1, 5) and limits_of("") == (0, None)
