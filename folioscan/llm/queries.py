@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import hard_negatives, license_scans, mixing, neighbours, ngram_join, packing, quality_rules, secret_scans, spelling, substring_dedup, token_counts, url_filters
+from folioscan.llm import hard_negatives, license_scans, mixing, neighbours, ngram_join, packing, quality_classifier, quality_rules, secret_scans, spelling, substring_dedup, token_counts, url_filters
 from folioscan.llm.shared import read_table
 
 
@@ -55,11 +55,17 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.grouped(spelling.vocabulary(read_table(spark, sf_dir, "documents")))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality_classifier.train_on(docs, read_table(spark, sf_dir, "labels"))
+    return quality_classifier.judged(quality_classifier.scored(docs, model))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mined(hard_negatives.relabelled(read_table(spark, sf_dir, "embeddings")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_url_filters, op3_license_scans, op4_secret_scans, op5_mixing, op6_neighbours, op7_substring_dedup, op8_ngram_join, op9_quality_rules, op10_token_counts, op11_spelling_variants, op13_hard_negatives)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_url_filters, op3_license_scans, op4_secret_scans, op5_mixing, op6_neighbours, op7_substring_dedup, op8_ngram_join, op9_quality_rules, op10_token_counts, op11_spelling_variants, op12_quality_classifier, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
