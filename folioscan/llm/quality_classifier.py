@@ -86,7 +86,7 @@ def passages(column: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.ndarra
         low, n = owner[a], owner[b - 1] - owner[a] + 1
         piece = data[begin[a] : end[b - 1]]
         after = np.append(piece[1:], np.uint8(0x20))
-        after[begin[a + 1 : b] - begin[a] - 1] = 0x20
+        after[_SPACE[after]] = after[begin[a + 1 : b] - begin[a] - 1] = 0x20  # a word ends with one sign, at the end of a text too
         keep = ~_SPACE[piece]
         mine = np.repeat(owner[a:b] - low, end[a:b] - begin[a:b])[keep]
         pair = (piece[keep].astype(np.int64) * 97 + after[keep].astype(np.int64) * 31) % PAIRS
@@ -104,7 +104,7 @@ def passages(column: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.ndarra
         at += 1
     order = np.sort((owner.astype(np.uint64) << np.uint64(32)) ^ (words >> np.uint64(32)))
     new = np.concatenate([[True], order[1:] != order[:-1]])
-    out[:, at] = 1 - np.bincount((order[new] >> np.uint64(32)).astype(np.int64), minlength=len(out)) / some
+    out[:, at] = (count - np.bincount((order[new] >> np.uint64(32)).astype(np.int64), minlength=len(out))) / some
     out[:, at + 1] = np.log1p(n_bytes / some)
     out[:, at + 2] = np.log1p(count)
     return out, bags

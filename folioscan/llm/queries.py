@@ -71,5 +71,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filters": url_filters.oracle_sql(), "op3_license_scans": license_scans.oracle_sql(), "op5_mixing": mixing.oracle_sql(),
-        "op7_substring_dedup": substring_dedup.oracle_sql(), "op8_ngram_join": ngram_join.oracle_sql(), "op9_quality_rules": quality_rules.oracle_sql(), "op13_hard_negatives": hard_negatives.oracle_sql(),
+        "op7_substring_dedup": substring_dedup.oracle_sql(), "op8_ngram_join": ngram_join.oracle_sql(), "op9_quality_rules": quality_rules.oracle_sql(), "op11_spelling_variants": spelling.oracle_sql(), "op13_hard_negatives": hard_negatives.oracle_sql(),
     }

@@ -202,3 +202,28 @@ def grouped(vocab: DataFrame, times: int = TIMES, group: int = GROUP) -> DataFra
     rows = stored(rows.select("word", "n", "n_near", F.when(enough, F.col("best.w")).alias("form"), F.when(enough, -F.col("best.m")).alias("form_n")), "spelling-forms")
     roots = roots_of(rows.where("form is not null"))
     return rows.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for op11_spelling_variants: crc32 from its table, and words that share what is left when a letter is taken out."""
+    return """
+WITH RECURSIVE
+step AS (SELECT 0 AS k, list_transform(range(256), lambda i: i::BIGINT) AS t UNION ALL SELECT k + 1, list_transform(t, lambda v: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END) FROM step WHERE k < 8),
+crc AS (SELECT t AS tab FROM step WHERE k = 8),
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{5,}')) AS w FROM documents),
+lower AS (SELECT d, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS c FROM runs GROUP BY ALL),
+bytes AS (SELECT w, c, hex(encode(d || ':' || w)) AS x FROM lower),
+hashed AS (SELECT w, c, xor(list_reduce(list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT), lambda h, b: xor(h >> 8, tab[xor(h & 255, b) + 1]), 4294967295), 4294967295) AS h FROM bytes, crc),
+kept AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, c FROM hashed),
+vocab AS (SELECT word, sum(c)::BIGINT AS n FROM kept WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+holes AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS hole FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocab)),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS m FROM holes a JOIN holes b ON a.hole = b.hole AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM holes a JOIN vocab b ON a.hole = b.word
+  UNION SELECT b.word, a.word, a.n FROM holes a JOIN vocab b ON a.hole = b.word),
+best AS (SELECT word, count(*) AS n_near, min({'m': -m, 'w': near}) AS best FROM near GROUP BY word),
+forms AS (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 2 * n THEN best.w END AS form, CASE WHEN -best.m >= 2 * n THEN -best.m END AS form_n FROM vocab v LEFT JOIN best USING (word)),
+chain AS (SELECT word, form AS root FROM forms WHERE form IS NOT NULL UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.root FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NULL)
+SELECT forms.word, form, coalesce(root, forms.word) AS root, n, n_near, form_n FROM forms LEFT JOIN ends USING (word)
+"""
