@@ -2,47 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscan.functions.text import haystack
 from folioscan.limits import LIMITS
+from folioscan.operators import grammar
+from folioscan.storage import stored
+
+def pattern(text: str, case_sensitive: bool = False, whole_word: bool = False, regex: bool = False) -> str:
+    """The Java pattern of a query; case is folded by Unicode, accents stay distinct.  Raises ValueError for a query that is refused."""
+    found = grammar.compiled(text, regex, case_sensitive, whole_word)
+    if found.problem:
+        raise ValueError(f"{found.problem}: {text[:60]!r} at {found.at}")
+    return found.java
 
-#: Look-around, atomic groups and back-references: backtracking that a linear-time engine has not.
-REFUSED = r"\(\?<?[=!]|\(\?>"
-BACK_REFERENCE = r"\\[1-9]|\\k<"
 
+_COMPILED = T.StructType([T.StructField("problem", T.StringType()), T.StructField("at", T.IntegerType()), T.StructField("java", T.StringType()), T.StructField("needs", T.ArrayType(T.StringType()))])
 
-def pattern(text: str, case_sensitive: bool = False, whole_word: bool = False, regex: bool = False) -> str:
-    """The Java pattern of a query; case is folded by Unicode, accents stay distinct."""
-    body = text if regex else "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-    if whole_word:
-        body = f"\\b(?:{body})\\b"
-    return ("(?U)" if case_sensitive else "(?iU)") + f"(?:{body})"
+
+@F.pandas_udf(_COMPILED)
+def _compiled(text: pd.Series, regex: pd.Series, case_sensitive: pd.Series, whole_word: pd.Series) -> pd.DataFrame:
+    rows = [grammar.compiled(*row) for row in zip(text, regex, case_sensitive, whole_word, strict=True)]
+    return pd.DataFrame({k: pd.Series([getattr(r, k) for r in rows], dtype="Int32" if k == "at" else object) for k in ("problem", "at", "java", "needs")})
+
+
+def compiled(queries: DataFrame) -> DataFrame:
+    """query_id, problem, at, java, needs of queries (query_id, text, regex, case_sensitive, whole_word): the Java pattern, or why there is none and at which character."""
+    return queries.select("query_id", _compiled("text", "regex", "case_sensitive", "whole_word").alias("c")).select("query_id", "c.*")
 
 
 def query_problem(text: Column, regex: Column) -> Column:
-    """Why a query is refused, or null: too long, empty, refused construct, does not compile, or nested too deep.
+    """Why a query is refused, or null: too long, empty, refused construct, does not compile, too large, or nested too deep.
 
-    Escapes and character classes are taken out first, so that only parentheses and
-    repetitions that mean something count.  Patterns that may match the empty
-    text are not refused; their empty matches are no hits.
+    Patterns that may match the empty text are not refused; their empty matches are no hits.
     """
-    plain = F.replace(text, F.lit("\\\\"), F.lit("a"))  # an escaped backslash
-    bare = F.regexp_replace(plain, r"\\[pP]\{[^}]*\}|\\x\{[0-9A-Fa-f]+\}|\\.", "a")
-    bare = F.regexp_replace(bare, r"\[\^?\]?(?:\[:\^?[a-z]+:\]|[^\]])*\]", "a")
-    groups = F.regexp_replace(bare, r"\(\?(?:P?<[A-Za-z_][A-Za-z0-9_.]*>|[imsUuxR]*(?:-[imsUuxR]+)?:)", "(")
-    groups = F.regexp_replace(groups, r"\(\?[imsUuxR]+(?:-[imsUuxR]+)?\)", "")
-    step = lambda s, c: F.struct(
-        (s["depth"] + F.when(c == "(", 1).otherwise(-1)).alias("depth"), F.greatest(s["most"], s["depth"] + F.when(c == "(", 1).otherwise(-1)).alias("most"), F.least(s["least"], s["depth"] + F.when(c == "(", 1).otherwise(-1)).alias("least")
-    )
-    nesting = F.aggregate(F.regexp_extract_all(groups, F.lit("[()]"), 0), F.struct(F.lit(0).alias("depth"), F.lit(0).alias("most"), F.lit(0).alias("least")), step)
-    broken = (nesting["depth"] != 0) | (nesting["least"] < 0) | groups.rlike(r"(^|[(|])[*+?{]|\[|\(\?|\\$|\{(?!\d+(,\d*)?\})")
-    return (
-        F.when(F.octet_length(text) > LIMITS.query_bytes, "too long").when(text == "", "empty").when(~regex, F.lit(None)).when(plain.rlike(BACK_REFERENCE) | bare.rlike(REFUSED), "look-around or back-reference")
-        .when(broken, "does not compile").when(nesting["most"] > LIMITS.path, "nested too deep")
-    )
+    return _compiled(text, regex, F.lit(False), F.lit(False))["problem"]
 
 
 #: Matches whose offsets are summed in one go; the work inside a row grows with its square, over a row in proportion.
@@ -51,16 +52,18 @@ CHUNK = 64
 _BEGIN, _END = "\uffff", "\ufffe"
 
 
-def matches(pages: DataFrame, text: Column, search: str, keys: tuple[str, ...]) -> DataFrame:
+def matches(pages: DataFrame, text: Column, search: str | Column, keys: tuple[str, ...]) -> DataFrame:
     """keys, hay (the text), at (number of the match from 0), first, match: non-overlapping matches of a pattern but for empty ones.
 
     Matches are marked and the text is cut at the marks; offsets are running sums
     inside the row, so pages stay where they are: no shuffle, and the same on a
     stream.  A page of many matches is summed in chunks.
     """
-    rows = pages.select(*keys, text.alias("hay")).where(F.col("hay").rlike(search))
+    wanted = F.lit(search) if isinstance(search, str) else search
+    rows = pages.select(*keys, text.alias("hay"), wanted.alias("_search")).where(F.regexp("hay", wanted if isinstance(search, str) else F.col("_search")))
     clean = F.translate("hay", _BEGIN + _END, "\ufffd\ufffd")
-    pieces = F.split(F.regexp_replace(clean, f"({search})", f"{_BEGIN}$1{_END}"), _BEGIN, -1)
+    whole = F.lit(f"({search})") if isinstance(search, str) else F.concat(F.lit("("), "_search", F.lit(")"))
+    pieces = F.split(F.regexp_replace(clean, whole, F.lit(f"{_BEGIN}$1{_END}")), _BEGIN, -1)
     # of each piece: the match, and the gap after it; the first piece is a gap only
     parts = F.transform(pieces, lambda p: F.struct(F.when(F.contains(p, F.lit(_END)), F.substring_index(p, _END, 1)).otherwise("").alias("match"), F.length(F.substring_index(p, _END, -1)).alias("gap")))
     rows = rows.select(*keys, "hay", parts.alias("parts"))
@@ -169,3 +172,65 @@ def containing(texts: DataFrame, queries: DataFrame) -> DataFrame:
         near = held.join(some.withColumn("anchor", F.substring("needle", 1, n)), "anchor").select("doc_id", "query_id", "needle")
         found = found.union(near.join(texts.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("needle"))).select("query_id", "doc_id"))
     return found.distinct()
+
+
+#: Bytes of patterns and of the texts they need that are looked for in one pass; more queries take more passes.
+MANY_BYTES = 16 << 20
+
+
+def many_hits(pages: DataFrame, queries: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
+    """query_id, keys, first, count, match of all hits of many queries: hits() of each of them.
+
+    queries: query_id, text, regex, case_sensitive, whole_word, as in compiled(); those
+    refused have no hits.  An Aho-Corasick automaton over the texts that the patterns
+    need goes once through each page; the patterns it names are then matched there by
+    Java.  A pattern that needs no text, such as [0-9]{3}, is matched on every page.
+    Pages stay where they are.  Patterns of more than MANY_BYTES are dealt over passes.
+    """
+    spark = pages.sparkSession
+    asked = stored(compiled(queries).where("problem is null").select("query_id", "java", "needs"), "search-many")
+    size = F.octet_length("java") + F.coalesce(F.aggregate("needs", F.lit(0), lambda n, w: n + F.octet_length(w)), F.lit(0))
+    slices = -(-(asked.agg(F.sum(size.cast("long"))).first()[0] or 1) // MANY_BYTES)
+    hay = pages.select(*keys, haystack(F.col("text")).alias("text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hay.schema.fields)
+    found = None
+    for k in range(slices):
+        some = asked.where(F.pmod(F.xxhash64("query_id", "java"), F.lit(slices)) == k)
+        rows = some.distinct().orderBy("query_id", "java").collect()  # MANY_BYTES of a slice
+        table = spark.createDataFrame([(i, r["query_id"], r["java"]) for i, r in enumerate(rows)], f"_n int, query_id {some.schema['query_id'].dataType.simpleString()}, _java string")
+        held = spark.sparkContext.broadcast([r["needs"] for r in rows])
+        near = hay.mapInArrow(_named(held, keys), f"{fields}, _n array<int>").select(*keys, "text", F.explode("_n").alias("_n"))
+        near = near.join(F.broadcast(table), "_n")
+        part = matches(near, F.col("text"), F.col("_java"), (*keys, "query_id"))
+        part = part.select("query_id", *keys, "first", F.length("match").alias("count"), "match")
+        found = part if found is None else found.union(part)
+    return found
+
+
+def _named(held, keys: tuple[str, ...]):
+    """Adds to each page the numbers of the patterns of which it holds a needed text, or which need none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        always, owners = [], {}
+        for i, needs in enumerate(held.value):
+            for need in needs or ():
+                owners.setdefault(need, []).append(i)
+            if not needs:
+                always.append(i)
+        automaton = ahocorasick.Automaton()
+        for need, numbers in owners.items():
+            automaton.add_word(need, tuple(numbers))
+        automaton.make_automaton()
+        for batch in batches:
+            out = []
+            for text in batch.column("text").to_pylist():
+                names = set(always) if text is not None else set()
+                if owners and text:
+                    for _, numbers in automaton.iter(grammar.folded(text)):
+                        names.update(numbers)
+                out.append(sorted(names))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names, "_n"])
+
+    return run

@@ -174,6 +174,25 @@ def search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.containing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
 
 
+_MANY_SQL = """hay AS (SELECT doc_id, page, ltrim(regexp_replace(text, '[\\s\\x{85}\\p{Z}]+', ' ', 'g')) AS hay FROM page_text),
+bw AS (SELECT item_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark),
+bq AS (SELECT item_id AS query_id, CASE item_id % 4 WHEN 1 THEN w[2] WHEN 2 THEN w[3] WHEN 3 THEN '' ELSE w[1] END AS part,
+CASE item_id % 4 WHEN 0 THEN '(?i)' || w[1] || ' ' || w[2] WHEN 1 THEN w[2] WHEN 2 THEN '(?i)' || w[3] || '\\s+' || w[4] ELSE '(?i)(?:' || w[1] || '|' || w[5] || ')[a-z]{2}' END AS pat FROM bw),
+m AS (SELECT query_id, doc_id, page, hay, regexp_extract_all(hay, pat) AS m, regexp_replace(hay, pat, chr(1), 'g') AS g FROM hay JOIN bq ON contains(lower(hay), lower(part)) AND regexp_matches(hay, pat)),
+e AS (SELECT query_id, doc_id, page, unnest(range(1, len(m) + 1)) AS i, m, string_split(g, chr(1)) AS g FROM m)
+SELECT query_id, doc_id, page, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::INT AS first, length(m[i])::INT AS count, m[i] AS match FROM e"""
+
+
+@query(f"WITH {_MANY_SQL}", using=("page_text",))
+def search_many_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literals and patterns made of the words of the benchmark, all searched at once, with offsets."""
+    b, k = table(spark, sf_dir, "benchmark").withColumn("w", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)), F.col("item_id") % 4
+    w = lambda i: F.get("w", F.lit(i))
+    pair = F.when(k == 0, F.concat(w(0), F.lit(" "), w(1))).when(k == 1, w(1)).when(k == 2, F.concat(w(2), F.lit(r"\s+"), w(3))).otherwise(F.concat(F.lit("("), w(0), F.lit("|"), w(4), F.lit(")[a-z]{2}")))
+    asked = b.select(F.col("item_id").alias("query_id"), pair.alias("text"), (k >= 2).alias("regex"), (k == 1).alias("case_sensitive"), F.lit(False).alias("whole_word"))
+    return search.many_hits(page_text(spark, sf_dir), asked)
+
+
 #: Whole documents as pages of many lines.
 _WHOLE_SQL = """ch AS (SELECT doc_id, page, pos, ch, regexp_matches(ch, '[\\s\\x{85}\\p{Z}\\x{200B}]') AS blank, regexp_matches(ch, '[\\n\\r\\x{85}\\x{2028}\\x{2029}]') AS brk FROM
 (SELECT doc_id, 0 AS page, unnest(range(0, len(l)))::INT AS pos, unnest(l) AS ch FROM (SELECT doc_id, string_split(text, '') AS l FROM documents WHERE text <> ''))),
