@@ -17,6 +17,7 @@ class Limits:
     problems: int = 16
     revision_ranges: int = 1024
     depth: int = 32
+    tree_depth: int = 64
     path: int = 64
     prefix_chars: int = 64
     label_repeats: int = 8

@@ -12,29 +12,55 @@ from folioscan.limits import LIMITS
 from folioscan.storage import ranged, stored
 
 
-def walk(nodes: DataFrame, keys: list[str], inherited: list[str], carried: list[str] = (), depth: int = LIMITS.depth) -> DataFrame:
+class TooDeep(ValueError):
+    """A tree goes on below the depth up to which it is walked."""
+
+
+def walk(nodes: DataFrame, keys: list[str], inherited: list[str], carried: list[str] = (), depth: int = LIMITS.tree_depth, deeper: str = "raise") -> DataFrame:
     """keys, id, parent, depth, path (places from the root), carried and inherited columns of a tree (keys, id, parent, pos).
 
     An inherited attribute is the node's own or that of its nearest ancestor.  A
     node listed twice counts once, under its smallest path, as a walk in document
-    order meets it: of a level the smallest path of each node stays, and only if
-    it comes before those known; so shared children do not multiply and cycles end.
+    order meets it; so shared children do not multiply and cycles end.  A node that
+    is listed once, and whose ancestors are, is met once: it goes out with its level
+    and is not looked at again.  Only what hangs from a node that is listed several
+    times is compared with what is known of it, level by level.
+
+    deeper: what nodes below ``depth`` do.  "raise" raises TooDeep; "list" adds a column
+    cut and returns those just below it too, with cut true.
     """
-    own = stored(nodes.select(*keys, "id", "parent", "pos", *inherited, *carried), "walk-nodes")
-    columns = ["parent", "depth", *inherited, *carried]
-    least = lambda rows: rows.groupBy(*keys, "id").agg(F.min_by(F.struct(*columns), "path").alias("_v"), F.min("path").alias("path")).select(*keys, "id", "path", "_v.*")
-    level = own.where("parent is null").select(*keys, "id", "parent", F.lit(0).alias("depth"), F.array("pos").alias("path"), *inherited, *carried)
-    level = out = stored(least(level), "walk")
-    for _ in range(depth):
-        up = level.select(*keys, F.col("id").alias("parent"), F.col("depth").alias("_d"), F.col("path").alias("_p"), *(F.col(c).alias(f"_{c}") for c in inherited))
-        down = own.join(up, [*keys, "parent"]).select(*keys, "id", "parent", (F.col("_d") + 1).alias("depth"), F.array_append("_p", F.col("pos")).alias("path"), *(F.coalesce(c, f"_{c}").alias(c) for c in inherited), *carried)
-        known = out.groupBy(*keys, "id").agg(F.min("path").alias("_known"))
-        new = least(down).join(known, [*keys, "id"], "left").where(F.col("_known").isNull() | (F.col("path") < F.col("_known"))).drop("_known")
-        level = stored(new, "walk")
+    listed = [*keys, "id"]
+    own = nodes.select(*listed, "parent", "pos", *inherited, *carried)
+    several = own.groupBy(*listed).agg(F.count("*").alias("_n")).where("_n > 1").select(*listed, F.lit(True).alias("_many"))
+    own = stored(own.join(several, listed, "left").withColumn("_many", F.coalesce("_many", F.lit(False))), "walk-nodes")
+    contested = not own.where("_many").isEmpty()
+    columns = ["parent", "depth", "_many", *inherited, *carried]
+    least = lambda rows: rows.groupBy(*listed).agg(F.min_by(F.struct(*columns), "path").alias("_v"), F.min("path").alias("path")).select(*listed, "path", "_v.*")
+    sides = lambda rows: (rows.where("not _many"), rows.where("_many")) if contested else (rows, None)
+    level = own.where("parent is null").select(*listed, F.array("pos").alias("path"), "parent", F.lit(0).alias("depth"), "_many", *inherited, *carried)
+    once, many = sides(level)
+    level = stored(once.unionByName(least(many)) if contested else once, "walk")
+    once, known = sides(level)
+    out = once
+    for k in range(1, depth + 2):
+        up = level.select(*keys, F.col("id").alias("parent"), F.col("path").alias("_p"), F.col("_many").alias("_up"), *(F.col(c).alias(f"_{c}") for c in inherited))
+        down = own.join(up, [*keys, "parent"])
+        down = down.select(*listed, F.array_append("_p", F.col("pos")).alias("path"), "parent", F.lit(k).alias("depth"), (F.col("_many") | F.col("_up")).alias("_many"), *(F.coalesce(c, f"_{c}").alias(c) for c in inherited), *carried)
+        if contested:
+            once, many = sides(down)
+            first = known.groupBy(*listed).agg(F.min("path").alias("_known"))
+            many = least(many).join(first, listed, "left").where(F.col("_known").isNull() | (F.col("path") < F.col("_known"))).drop("_known")
+            down = once.unionByName(many)
+        level = stored(down, "walk")
         if level.isEmpty():
             break
-        out = out.unionByName(level)
-    return least(out).select(*keys, "id", "parent", "depth", "path", *inherited, *carried)
+        if k > depth and deeper == "raise":
+            raise TooDeep(f"{level.count()} nodes stand deeper than {depth}")
+        once, many = sides(level)
+        out, known = out.unionByName(once), known.unionByName(many) if contested else None
+    out = out.unionByName(least(known)) if contested else out
+    cut = [(F.col("depth") > depth).alias("cut")] if deeper == "list" else []
+    return out.select(*listed, "parent", "depth", "path", *inherited, *carried, *cut)
 
 
 def key_tree(nodes: DataFrame, keys: list[str], pairs: DataFrame) -> DataFrame:
@@ -81,14 +107,20 @@ def chain_ranks(nexts: DataFrame, key: str, node: str, following: str, first: Da
     return kept.select(key, F.col("n").alias(node), "rank")
 
 
-def reached(edges: DataFrame, roots: DataFrame, levels: int | None = None) -> DataFrame:
-    """node, level: what the roots reach, each node once, at its smallest level; all of it, or the first ``levels`` levels if only those are asked for."""
-    edges = stored(edges.select("src", "dst"), "edges")  # read once for each level
-    level = stored(roots.select("node").distinct().withColumn("level", F.lit(0)), "frontier")
+def reached(edges: DataFrame, roots: DataFrame, levels: int | None = None, keys: list[str] = (), nodes: DataFrame | None = None) -> DataFrame:
+    """keys, node, level: what the roots reach, each node once, at its smallest level; all of it, or the first ``levels`` levels if only those are asked for.
+
+    keys: columns that tell graphs apart, as of documents; all graphs are walked at
+    once.  nodes (keys, node): what there is; nodes that are only named are left out.
+    """
+    keys = list(keys)
+    edges = stored(edges.select(*keys, F.col("src").alias("node"), "dst"), "edges")  # read once for each level
+    there = (lambda rows: rows.join(nodes.select(*keys, "node"), [*keys, "node"], "left_semi")) if nodes is not None else (lambda rows: rows)
+    level = stored(there(roots.select(*keys, "node").distinct()).withColumn("level", F.lit(0)), "frontier")
     seen = level
     for k in count(1) if levels is None else range(1, levels):
-        new = level.join(edges, level["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        level = stored(new.join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(k)), "frontier")
+        new = level.join(edges, [*keys, "node"]).select(*keys, F.col("dst").alias("node")).distinct()
+        level = stored(there(new.join(seen.select(*keys, "node"), [*keys, "node"], "left_anti")).withColumn("level", F.lit(k)), "frontier")
         if level.isEmpty():
             break
         seen = seen.union(level)
@@ -104,49 +136,67 @@ def renumbered(found: DataFrame) -> DataFrame:
     return rows.join(starts, ["level", "_p"]).withColumn("place", place).drop("_p", "_start")
 
 
-def discovered(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """node, level, place (from 1 in its level) of what the roots reach, in the order of a breadth-first discovery.
+def discovered(edges: DataFrame, roots: DataFrame, keys: list[str] = (), nodes: DataFrame | None = None) -> DataFrame:
+    """keys, node, level, place (from 1 in its level), number (from 1) of what the roots reach, in the order of a breadth-first discovery.
 
     A level stands in the order of the first node before it that names a node, and
-    then by name; roots by name.  level and place together give the new number.
-    Places are counted range by range, so no level has to fit anywhere.
+    then by name; roots by name.  Places are counted range by range, so no level and no
+    graph has to fit anywhere; the number is the place after all earlier levels.
+    keys and nodes as in reached().
     """
-    edges = stored(edges.select("src", "dst"), "edges")
-    level = _placed(roots.select("node", F.lit(0).cast("long").alias("_by")).distinct(), 0)
+    keys = list(keys)
+    edges = stored(edges.select(*keys, F.col("src").alias("node"), "dst"), "edges")
+    there = (lambda rows: rows.join(nodes.select(*keys, "node"), [*keys, "node"], "left_semi")) if nodes is not None else (lambda rows: rows)
+    level = _placed(there(roots.select(*keys, "node").distinct()).withColumn("_by", F.lit(0).cast("long")), keys, 0)
     seen = level
     for k in count(1):
-        new = level.join(edges, level["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("place").alias("_by"))
-        level = _placed(new.join(seen.select("node"), "node", "left_anti"), k)
+        new = level.join(edges, [*keys, "node"]).groupBy(*keys, F.col("dst").alias("node")).agg(F.min("place").alias("_by"))
+        level = _placed(there(new.join(seen.select(*keys, "node"), [*keys, "node"], "left_anti")), keys, k)
         if level.isEmpty():
             break
         seen = seen.union(level)
-    return seen
+    before = W.partitionBy(*keys).orderBy("level").rowsBetween(W.unboundedPreceding, -1)  # one row a level
+    starts = seen.groupBy(*keys, "level").agg(F.count("*").alias("_n")).select(*keys, "level", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return seen.join(starts, [*keys, "level"]).select(*keys, "node", "level", "place", (F.col("place") + F.col("_start")).alias("number"))
 
 
-def _placed(rows: DataFrame, level: int) -> DataFrame:
-    """node, level, place by _by and node: counts of ranges, then places inside a range."""
-    rows = ranged(rows, ["_by", "node"], "renumbered")
-    starts = rows.groupBy("_p").agg(F.count("*").alias("_n"))  # one row a range
-    starts = starts.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    place = F.row_number().over(W.partitionBy("_p").orderBy("_by", "node")) + F.col("_start")
-    return stored(rows.join(starts, "_p").select("node", F.lit(level).alias("level"), place.alias("place")), "frontier")
+def _placed(rows: DataFrame, keys: list[str], level: int) -> DataFrame:
+    """keys, node, level, place by _by and node: counts of ranges, then places inside a range."""
+    rows = ranged(rows, [*keys, "_by", "node"], "renumbered")
+    before = W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    starts = rows.groupBy(*keys, "_p").agg(F.count("*").alias("_n"))
+    starts = starts.select(*keys, "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(W.partitionBy(*keys, "_p").orderBy("_by", "node")) + F.col("_start")
+    return stored(rows.join(starts, [*keys, "_p"]).select(*keys, "node", F.lit(level).alias("level"), place.alias("place")), "frontier")
 
 
 #: Flags of action kinds; fixed values.
 ACTIONS = {"JavaScript": "javascript_actions", "Launch": "launch_actions", "URI": "uri_actions", "SubmitForm": "submit_form_actions", "GoToR": "goto_remote_actions"}
 
 
-def action_scan(actions: DataFrame, edges: DataFrame, roots: DataFrame, depth: int = LIMITS.depth) -> DataFrame:
-    """One row of flags of the actions (node, kind) that roots (node, open) reach over next actions (src, dst), less than ``depth`` deep.
+def action_facts(actions: DataFrame, edges: DataFrame, roots: DataFrame, keys: list[str] = (), depth: int = LIMITS.depth) -> DataFrame:
+    """keys, node, kind, open of the actions (keys, node, kind) that roots (keys, node, open) reach over next actions (keys, src, dst), less than ``depth`` deep.
 
     open marks what runs when the document is opened; it is carried along, and since
-    those roots come first, each action that one of them reaches runs then.
+    those roots come first, each action that one of them reaches runs then.  Nodes
+    without an action end a walk.
     """
-    opened = reached(edges, roots.where("open").select("node"), depth).select("node", F.lit(True).alias("_open"))
-    rows = reached(edges, roots.select("node"), depth).join(opened, "node", "left").join(actions.select("node", "kind"), "node")
+    keys = list(keys)
+    opened = reached(edges, roots.where("open"), depth, keys, actions).select(*keys, "node", F.lit(True).alias("_open"))
+    rows = reached(edges, roots, depth, keys, actions).join(opened, [*keys, "node"], "left").join(actions.select(*keys, "node", "kind"), [*keys, "node"])
+    return rows.select(*keys, "node", "kind", F.coalesce("_open", F.lit(False)).alias("open"))
+
+
+def action_scan(actions: DataFrame, edges: DataFrame, roots: DataFrame, depth: int = LIMITS.depth, keys: list[str] = ()) -> DataFrame:
+    """keys and flags of the actions that action_facts() finds: a row for each graph with a root, or one row without keys."""
+    keys = list(keys)
     flags = [F.coalesce(F.bool_or(F.col("kind") == kind), F.lit(False)).alias(name) for kind, name in ACTIONS.items()]
-    on_open = F.coalesce(F.bool_or((F.col("kind") == "JavaScript") & F.coalesce("_open", F.lit(False))), F.lit(False))
-    return rows.agg(on_open.alias("open_action_javascript"), *flags, F.count("*").alias("actions"))
+    on_open = F.coalesce(F.bool_or((F.col("kind") == "JavaScript") & F.col("open")), F.lit(False)).alias("open_action_javascript")
+    found = action_facts(actions, edges, roots, keys, depth).groupBy(*keys).agg(on_open, *flags, F.count("*").alias("actions"))
+    if not keys:
+        return found
+    none = {"open_action_javascript": False, **dict.fromkeys(ACTIONS.values(), False), "actions": 0}
+    return roots.select(*keys).distinct().join(found, keys, "left").fillna(none)
 
 
 def dereferenced(refs: DataFrame, hops: int = LIMITS.depth) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.operators import graph, search
+from folioscan.operators import graph, report, search
 from folioscan.plans.book import Book
 from folioscan.plans.text_queries import THE, _hits_sql
 from folioscan.sources import fixtures as X
@@ -47,7 +47,7 @@ def graph_key_value_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OUTLINE_SQL = """ot AS (SELECT doc_id, id, parent, title, page, 0 AS depth, [ord] AS path FROM outline WHERE parent IS NULL UNION ALL
-SELECT o.doc_id, o.id, o.parent, o.title, o.page, depth + 1, list_append(path, o.ord) FROM outline o JOIN ot ON o.doc_id = ot.doc_id AND o.parent = ot.id WHERE depth < 31)"""
+SELECT o.doc_id, o.id, o.parent, o.title, o.page, depth + 1, list_append(path, o.ord) FROM outline o JOIN ot ON o.doc_id = ot.doc_id AND o.parent = ot.id WHERE depth < 64)"""
 
 
 @query(f"WITH {_OUTLINE_SQL} SELECT doc_id, id, depth, row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS preorder FROM ot", using=("outline",))
@@ -58,7 +58,7 @@ def graph_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_OUTLINE_SQL} SELECT doc_id, id, array_to_string(path, '/') AS path, len(path) AS n FROM ot", using=("outline",))
 def graph_section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = graph.walk(X.outline(spark, sf_dir).withColumn("pos", F.col("ord")), ["doc_id"], [], depth=64)
+    rows = graph.walk(X.outline(spark, sf_dir).withColumn("pos", F.col("ord")), ["doc_id"], [])
     return rows.select("doc_id", "id", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), F.size("path").alias("n"))
 
 
@@ -118,7 +118,7 @@ _DISCOVERED_SQL = "d0 AS MATERIALIZED (SELECT node, row_number() OVER (ORDER BY
 @query(f"WITH {_DISCOVERED_SQL} " + " UNION ALL ".join(f"SELECT node, {k} AS level, place FROM d{k}" for k in range(_LEVELS)), using=("ref_edges",))
 def graph_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the urgent orders reach, in the order of a breadth-first discovery."""
-    return graph.discovered(X.ref_nodes_edges(spark, sf_dir), _roots(spark, sf_dir))
+    return graph.discovered(X.ref_nodes_edges(spark, sf_dir), _roots(spark, sf_dir)).drop("number")
 
 
 def graph_renumbered_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,8 +131,7 @@ def graph_renumbered_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITHOUT_SQL = {"graph_renumbered_whole": graph_renumbered_whole}
 
 
-#: Kinds of the nodes of the reference graph, by their numbers.
-_KIND_OF = ("JavaScript", "Launch", "URI", "SubmitForm", "GoToR", "GoTo", "Named")
+_KIND_OF = X.KINDS
 
 
 @query(f"""WITH {_REACHED_SQL}, ro AS (SELECT 'o' || o_orderkey AS node, 0 AS level FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' UNION SELECT dst, level + 1 FROM ro JOIN ref_edges ON src = node WHERE level < 12),
@@ -147,6 +146,45 @@ def graph_action_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.action_scan(nodes.withColumn("kind", kind), edges, roots)
 
 
+_DOC_LEVELS = 9
+_DOC_SQL = "d0 AS MATERIALIZED (SELECT doc_id, node, row_number() OVER (PARTITION BY doc_id ORDER BY node) AS place FROM doc_nodes WHERE node IN (1, 5)), " + ", ".join(
+    f"d{k} AS MATERIALIZED (SELECT e.doc_id, dst AS node, row_number() OVER (PARTITION BY e.doc_id ORDER BY min(place), dst) AS place FROM d{k - 1} p JOIN doc_edges e ON p.doc_id = e.doc_id AND p.node = src SEMI JOIN doc_nodes n ON n.doc_id = e.doc_id AND n.node = dst "
+    f"ANTI JOIN ({' UNION ALL '.join(f'SELECT doc_id, node FROM d{i}' for i in range(k))}) s ON s.doc_id = e.doc_id AND s.node = dst GROUP BY e.doc_id, dst)"
+    for k in range(1, _DOC_LEVELS)
+)
+
+
+@query(f"WITH {_DOC_SQL}, dl AS ({' UNION ALL '.join(f'SELECT doc_id, node, {k} AS level, place FROM d{k}' for k in range(_DOC_LEVELS))}) SELECT doc_id, node, level, place, row_number() OVER (PARTITION BY doc_id ORDER BY level, place) AS number FROM dl", using=("doc_nodes", "doc_edges"))
+def graph_document_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document's roots reach, numbered anew document by document; missing nodes are left out."""
+    nodes, edges, roots = X.doc_graph(spark, sf_dir)
+    return graph.discovered(edges, roots, ["doc_id"], nodes)
+
+
+_FACTS_SQL = """fc AS (SELECT doc_id, node, open, 0 AS level FROM doc_nodes WHERE node IN (1, 5) UNION SELECT fc.doc_id, dst, fc.open, level + 1 FROM fc JOIN doc_edges e ON e.doc_id = fc.doc_id AND src = fc.node SEMI JOIN doc_nodes n ON n.doc_id = e.doc_id AND n.node = dst WHERE level < 10),
+fa AS (SELECT doc_id, node, kind, bool_or(fc.open) AS open FROM fc JOIN doc_nodes USING (doc_id, node) GROUP BY ALL)"""
+
+
+@query(f"""WITH {_FACTS_SQL} SELECT doc_id, coalesce(bool_or(kind = 'JavaScript' AND open), false) AS open_action_javascript, {', '.join(f"bool_or(kind = '{k}') AS {n}" for k, n in graph.ACTIONS.items())}, count(*) AS actions FROM fa GROUP BY doc_id""", using=("doc_nodes", "doc_edges"))
+def graph_document_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags of the actions of each document."""
+    nodes, edges, roots = X.doc_graph(spark, sf_dir)
+    return graph.action_scan(nodes, edges, roots, keys=["doc_id"])
+
+
+_MET = {n: f"bool_or(kind = '{k}')" for k, n in graph.ACTIONS.items()} | {"open_action_javascript": "bool_or(kind = 'JavaScript' AND open)"}
+
+
+@query(f"""WITH {_FACTS_SQL}, dc AS (SELECT c_custkey AS doc_id, c_custkey % 5 = 0 AS locked FROM customer)
+SELECT doc_id, locked, {', '.join(f"CASE WHEN NOT locked THEN {'true' if f == 'complete' else f'coalesce({_MET[f]}, false)' if f in _MET else 'false'} END AS {f}" for f in report.FEATURES)} FROM dc LEFT JOIN fa USING (doc_id) GROUP BY doc_id, locked""", using=("doc_nodes", "doc_edges"))
+def graph_document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of documents from the actions that their graphs reach."""
+    nodes, edges, roots = X.doc_graph(spark, sf_dir)
+    facts = graph.action_facts(nodes, edges, roots, ["doc_id"]).select("doc_id", F.lit("action").alias("place"), F.col("kind").alias("what"), "open")
+    documents = X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 5 == 0).alias("locked"))
+    return report.features(facts, documents)
+
+
 @query("""WITH RECURSIVE rf AS (SELECT o_orderkey AS src, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey * 3 % 1000 WHEN o_orderkey % 3 = 1 THEN o_orderkey // 2 ELSE NULL END AS dst FROM orders),
 ch AS (SELECT src, dst, 1 AS n FROM rf WHERE dst IS NOT NULL UNION ALL SELECT ch.src, rf.dst, n + 1 FROM ch JOIN rf ON ch.dst = rf.src WHERE rf.dst IS NOT NULL AND n < 33)
 SELECT a.src, b.dst AS value FROM (SELECT DISTINCT src FROM ch) a LEFT JOIN (SELECT src, dst FROM ch WHERE NOT EXISTS (SELECT 1 FROM rf WHERE rf.src = ch.dst AND rf.dst IS NOT NULL)) b ON a.src = b.src""")

@@ -128,6 +128,19 @@ def ref_nodes_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.union(na.select(name("r", "n_regionkey"), name("o", "n_nationkey"))).distinct()
 
 
+def doc_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes (doc_id, node, kind), edges (doc_id, src, dst) and roots (doc_id, node, open): the orders of a customer, numbered; each names two later ones, an earlier one and one that is missing."""
+    t = table(spark, sf_dir, "orders")
+    nodes = t.select(F.col("o_custkey").alias("doc_id"), F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long").alias("node"), F.get(F.array(*map(F.lit, KINDS)), (F.col("o_orderkey") % 7).cast("int")).alias("kind"), (F.col("o_orderstatus") == "O").alias("open"))
+    n = F.col("node")
+    edges = nodes.select("doc_id", n.alias("src"), F.explode(F.array(n * 2, n * 2 + 1, F.floor(n / 3), n + 1000)).alias("dst"))
+    return nodes.select("doc_id", "node", "kind"), edges, nodes.where("node IN (1, 5)").select("doc_id", "node", "open")
+
+
+#: Kinds of the nodes of reference graphs, by their numbers.
+KINDS = ("JavaScript", "Launch", "URI", "SubmitForm", "GoToR", "GoTo", "Named")
+
+
 def page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, parent, pos, a, b, c, leaf: region, nation, customer, order, with attributes set here and there."""
     re_, na, cu, od = (table(spark, sf_dir, n) for n in ("region", "nation", "customer", "orders"))
@@ -168,6 +181,8 @@ event_type IN ('purchase', 'view') AS higher_is_better, event_type <> 'signup' A
     "log_lines": ((), """SELECT user_id AS pid, event_id AS seq, ts, concat_ws(' ', event_id::VARCHAR, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'click' THEN 'DEBUG' ELSE event_type END, props) AS line, value AS ms, event_type AS kind FROM events"""),
     "ref_edges": ((), """SELECT DISTINCT * FROM (SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem
 UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'r' || n_regionkey, 'o' || n_nationkey FROM nation)"""),
+    "doc_nodes": ((), f"""SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS node, ({list(KINDS)})[o_orderkey % 7 + 1] AS kind, o_orderstatus = 'O' AS open FROM orders"""),
+    "doc_edges": (("doc_nodes",), """SELECT doc_id, node AS src, unnest([node * 2, node * 2 + 1, node // 3, node + 1000]) AS dst FROM doc_nodes"""),
     "page_tree": ((), """SELECT 'r' || r_regionkey AS id, NULL::VARCHAR AS parent, r_regionkey::BIGINT AS pos, 'A' || r_regionkey AS a, NULL::VARCHAR AS b, NULL::VARCHAR AS c, false AS leaf FROM region
 UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_nationkey, NULL, CASE WHEN n_nationkey % 3 = 0 THEN 'B' || n_nationkey END, NULL, false FROM nation
 UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_custkey, NULL, NULL, CASE WHEN c_acctbal < 0 THEN 'C' || c_custkey END, false FROM customer

@@ -3,6 +3,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioscan.functions import text as T
@@ -140,6 +141,52 @@ def test_shared_children_do_not_multiply(spark):
     assert {r["id"]: r["path"] for r in got}["n3_1"] == [0, 0, 0, 0, 1]
 
 
+def test_deep_trees(spark):
+    """A chain of 200: 64 levels and what is just below, or an error; a chain of 65 nodes is walked whole."""
+    chain = lambda n: spark.createDataFrame([(i, i - 1 if i else None, 0, "A" if i == 0 else None) for i in range(n)], "id int, parent int, pos int, a string")
+    with pytest.raises(graph.TooDeep, match="1 nodes stand deeper than 64"):
+        graph.walk(chain(200), [], ["a"])
+    got = graph.walk(chain(200), [], ["a"], deeper="list").collect()
+    assert {(r["id"], r["cut"]) for r in got} == {(i, i == 65) for i in range(66)} and all(r["a"] == "A" and r["path"] == [0] * (r["id"] + 1) for r in got)
+    assert {r["depth"] for r in graph.walk(chain(65), [], ["a"]).collect()} == set(range(65))
+
+
+def test_walks_meet_nodes_as_a_walk_in_document_order(spark):
+    """Random graphs of two documents with nodes listed several times and cycles, against the smallest path of each node."""
+    rng = random.Random(12)
+    rows = [(k, 0, None, 0, f"{k}") for k in "xy"] + [(k, rng.randrange(1, 25), rng.randrange(25), rng.randrange(9), rng.choice([None, "q", "r"])) for k in "xy" for _ in range(40)]
+    rows += [("y", 100 + i, 0 if i == 0 else 99 + i, 1, None) for i in range(6)]
+    rows = [*{r[:4]: r for r in rows}.values()]
+    got = {(r["k"], r["id"]): r["path"] for r in graph.walk(spark.createDataFrame(rows, "k string, id int, parent int, pos int, a string"), ["k"], ["a"]).collect()}
+    want, todo = {}, [(k, 0, [0]) for k in "xy"]
+    while todo:
+        k, node, path = todo.pop()
+        if (k, node) not in want or path < want[k, node]:
+            want[k, node] = path
+            todo += [(k, r[1], [*path, r[3]]) for r in rows if r[0] == k and r[2] == node and len(path) < 30]
+    assert got == want and len(got) > 30
+
+
+def test_graphs_of_documents(spark):
+    """The same as each document for itself, missing nodes dropped, one number a document."""
+    rng = random.Random(13)
+    edges = sorted({(k, f"n{rng.randrange(30):02d}", f"n{rng.randrange(34):02d}") for k in (1, 2, 3) for _ in range(50)})
+    nodes = sorted({(k, f"n{i:02d}") for k in (1, 2, 3) for i in range(30) if (i + k) % 11})
+    roots = [(1, "n05"), (1, "n12"), (2, "n07"), (3, "n99")]
+    want = {}
+    for k in (1, 2, 3):
+        queue, seen = [n for d, n in roots if d == k and (k, n) in nodes], {}
+        while queue:
+            node = queue.pop(0)
+            if node not in seen and (k, node) in nodes:
+                seen[node] = len(seen) + 1
+                queue += [d for q, s, d in edges if q == k and s == node]
+        want |= {(k, n): i for n, i in seen.items()}
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = graph.discovered(frame(edges, "doc_id long, src string, dst string"), frame(roots, "doc_id long, node string"), ["doc_id"], frame(nodes, "doc_id long, node string"))
+    assert {(r["doc_id"], r["node"]): r["number"] for r in got.collect()} == want and len(want) > 20
+
+
 def test_discovery_order(spark):
     rng = random.Random(3)
     edges = sorted({(f"n{rng.randrange(80):02d}", f"n{rng.randrange(80):02d}") for _ in range(160)})
