@@ -12,14 +12,16 @@ the labels beside it could win (``Crf.slack``); the runs of other tokens between
 such tokens are decoded by Viterbi with the moves from and to O at their ends,
 which gives the best labelling of the whole text.
 
-The model is trained on the driver by gradient ascent on the likelihood of a
-bounded sample (SAMPLE distinct texts of at most SAMPLE_BYTES, those with the
-smallest hash, labelled by the fixed patterns) and of generated lines.  Every
-row is then scanned.
+The model is trained on the driver by gradient ascent on the likelihood of generated
+lines, so a row's result does not depend on the table it stands in.  ``train_on`` fits
+one to a table's kind of text: to a bounded sample of it too (SAMPLE distinct texts of
+at most SAMPLE_BYTES, those with the smallest hash, labelled by the fixed patterns).
+
+Addresses and paths are cut into their parts, which are judged as such; of an address
+with a login, the password is a token.
 
 Defined cases: null and empty texts have no spans; the texts of repeated rows
-get the same spans; an empty table is scanned with a model trained on the
-generated lines alone; other columns are not looked at.
+get the same spans; an empty table has none; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cache
 from itertools import product
 
 import numpy as np
@@ -56,13 +59,20 @@ SAMPLE_BYTES = 8_192
 PIECE = 12
 PLAIN = 2500
 
+#: Prefixes of published token formats; fixed values.
+FORMAT = re.compile(r"(?:xox[abeoprs]-|gh[opusr]_|github_pat_|glpat-|[spr]k_(?:live|test)_|AIza|npm_|SG\.|ya29\.|eyJ[A-Za-z0-9_\-]{8,}\.eyJ)[A-Za-z0-9_.\-]{8,}", re.A)
+#: Addresses and paths, the password that an address may hold, and the parts of the rest.
+LINK = re.compile(r"""(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^\s"'<>()\[\]{}|\\^`]+|(?<![A-Za-z0-9+/_.=\-])(?:(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}|~|\.{0,2})/[^\s"'<>()\[\]{}|\\^`]+""", re.A)
+_LOGIN = re.compile(r"//[^\s/?#@:]*:([^\s/?#@]+)@", re.A)
+_PART = re.compile(r"[A-Za-z0-9_](?:[A-Za-z0-9_\-.%+]*[A-Za-z0-9_])?", re.A)
+#: Where a token stands: in running text, in an address or path, or as the password of an address.
+PLACES = ("", "link", "login")
+
 TOKEN = re.compile(r"[A-Za-z0-9_+/](?:[A-Za-z0-9_+/.\-]*[A-Za-z0-9_+/])?", re.A)
 #: Tokens before and after a cue word that are near it.
 NEAR = 4
 CUES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "auth", "bearer", "credential", "private", "access")
 _CUE = re.compile(rf"(?<![A-Za-z])({'|'.join(CUES)})s?(?![A-Za-z])", re.I | re.A)
-_ODD = re.compile("[bcdfghjklmnpqrstvwxz]{5}", re.I)
-_NO_VOWEL = re.compile("[^aeiouyAEIOUY]*")
 SIGNS = ("", "=", ":", '"', "'", "(", "@", "#", "other")
 NEXT = ("@", ".", ":", "/", '"', "other")
 FILES = ("few", "some", "many")
@@ -89,7 +99,36 @@ def secret_places(text: str) -> list[tuple[int, int]]:
     return out + [m.span() for m in ACCESS.finditer(text)] + [m.span() for m in HEX.finditer(text)]
 
 
+def tokens_of(text: str) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """Spans of the tokens of a text, and the PLACES of those that are not in running text, by number; addresses and paths are cut into their parts."""
+    if "/" not in text:
+        return [m.span() for m in TOKEN.finditer(text)], {}
+    spans: list[tuple[int, int]] = []
+    places: dict[int, int] = {}
+    at = 0
+    for link in LINK.finditer(text):
+        spans += [m.span() for m in TOKEN.finditer(text, at, link.start())]
+        a, at = link.span()
+        login = _LOGIN.search(text, a, at)
+        edges = [(a, at, 1)] if not login else [(a, login.start(1), 1), (*login.span(1), 2), (login.end(1), at, 1)]
+        for b, c, place in edges:
+            parts = [(b, c)] if place == 2 else [m.span() for m in _PART.finditer(text, b, c)]
+            places |= {len(spans) + i: place for i in range(len(parts))}
+            spans += parts
+    spans += [m.span() for m in TOKEN.finditer(text, at)]
+    return spans, places
+
+
+def _unusual(token: str) -> int:
+    """Of four letter pairs of a token, so many do not occur in common words."""
+    small = token.lower()
+    pairs = list(zip(small, small[1:], strict=False))
+    return int(4 * sum(p not in _PAIRS for p in pairs) / max(len(pairs), 1) + 0.5)
+
+
 def _shape(token: str) -> str:
+    if FORMAT.match(token):
+        return "format"
     if re.fullmatch(r"[+-]?[0-9]+", token):
         return "number"
     if re.fullmatch(r"[0-9.\-+/]+", token):
@@ -116,12 +155,12 @@ def token_key(token: str, common: frozenset[str] = frozenset()) -> tuple:
     """shape, length, case, oddity, parts, commonness, digits, changes and bits of a token, all in a few steps."""
     size = len(token)
     length = "1-7" if size < 8 else "8-15" if size < 16 else "16-31" if size < 32 else "32+"
-    plain = token.isalpha()
+    plain = token.isascii() and token.isalpha()
     kind = "letters" if plain else _shape(token)
     if kind == "letters":
         case = "small" if token.islower() else "capitals" if token.isupper() else "title" if token[1:].islower() else "mixed"
         parts = 1 if plain else min(len(re.findall("[A-Za-z]+", token)), 4)
-        odd = size > 3 and (bool(_ODD.search(token)) or _NO_VOWEL.fullmatch(token) is not None)
+        odd = _unusual(token) if size > 3 else 0
         return kind, length, case, odd, parts, plain and token.lower() in common, 0, 0, 0
     digits = sum("0" <= c <= "9" for c in token) / size
     changes = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:], strict=False)) / size
@@ -145,7 +184,9 @@ def key_features(key: tuple) -> list[str]:
 def around_features(key: tuple, around: tuple) -> list[str]:
     """Features of a token's surroundings: cue before it, last sign before, assigned or not, sign after, joined to a foreign letter, nearness of a cue, file."""
     kind, length, case, odd, parts = key[:5]
-    cue, sign, assigned, after, attached, near, file = around
+    cue, sign, assigned, after, attached, near, file, place = around
+    if place:
+        return [f"place={place}", f"place,shape={place},{kind}", f"place,length={place},{length}", f"place,shape,assigned={place},{kind},{assigned}"]
     out = [f"sign={sign}", f"assigned={assigned}", f"next={after}", f"attached={attached}", f"file={file}", f"cue={cue != ''}", f"near={near}"]
     if kind == "letters":
         out.append(f"assigned,odd,parts={assigned},{odd},{parts}")
@@ -172,6 +213,12 @@ class Crf:
     scores: dict[tuple, tuple] = field(default_factory=dict, repr=False)
     room: float | None = None
 
+    @property
+    def digest(self) -> str:
+        """SHA-256 of the names, weights and words."""
+        parts = (repr(sorted(self.names.items())), *(np.round(x, 9).tolist() for x in (self.weights, self.moves, self.first)), sorted(self.common))
+        return hashlib.sha256(repr(parts).encode()).hexdigest()
+
     def emissions(self, tokens: Sequence[Sequence[str]]) -> np.ndarray:
         out = np.zeros((len(tokens), LABELS))
         for i, features in enumerate(tokens):
@@ -211,17 +258,18 @@ class Crf:
             self.room = float(most)
         return self.room
 
-    def looked_up(self, token: str) -> tuple[float, float, tuple, str, bool]:
+    def looked_up(self, token: str, place: int = 0) -> tuple[float, float, tuple, str, bool]:
         """Margin for O beyond the slack away from cues, what an I instead of B here can win there, key, cue, and whether it is no plain word."""
-        out = self.known.get(token)
+        name = (token, place) if place else token
+        out = self.known.get(name)
         if out is None:
             if len(self.known) > _REMEMBERED:
                 self.known.clear()
             key = token_key(token, self.common)
-            if key not in self.margins:
-                every = np.array([self.score(key, ("", *a, "", f)) for a in product(SIGNS, (False, True), NEXT, (False, True)) for f in FILES])
-                self.margins[key] = (float((every[:, _O] - every[:, 1:].max(axis=1)).min()) - self.slack(), max(0.0, float((every[:, _I] - every[:, _B]).max())))
-            out = self.known[token] = (*self.margins[key], key, cue_of(token), key[0] != "letters")
+            if (key, place) not in self.margins:
+                every = np.array([self.score(key, ("", *a, "", f, PLACES[place])) for a in product(SIGNS, (False, True), NEXT, (False, True)) for f in FILES])
+                self.margins[key, place] = (float((every[:, _O] - every[:, 1:].max(axis=1)).min()) - self.slack(), max(0.0, float((every[:, _I] - every[:, _B]).max())))
+            out = self.known[name] = (*self.margins[key, place], key, cue_of(token), key[0] != "letters" and not place)
         return out
 
     def score(self, key: tuple, around: tuple) -> tuple[float, ...]:
@@ -231,7 +279,7 @@ class Crf:
         return out
 
 
-def surroundings(text: str, spans: Sequence[tuple[int, int]], cues: Sequence[str], at: int, file: str) -> tuple:
+def surroundings(text: str, spans: Sequence[tuple[int, int]], cues: Sequence[str], at: int, file: str, place: int = 0) -> tuple:
     start, end = spans[at]
     gap = text[spans[at - 1][1] : start] if at else text[:start]
     joined = not gap.isascii() and any(map(str.isalnum, gap))
@@ -241,7 +289,7 @@ def surroundings(text: str, spans: Sequence[tuple[int, int]], cues: Sequence[str
     after = text[end : end + 1]
     near = next((f"after{k}" for k in range(NEAR) if at - 1 - k >= 0 and cues[at - 1 - k]), "") or ("before" if any(cues[at + 1 : at + 1 + NEAR]) else "")
     attached = text[start - 1 : start].isalnum() or after.isalnum() if start else after.isalnum()
-    return cue, sign if sign in SIGNS else "other", "=" in gap or ":" in gap, after if after in NEXT[:-1] and after else "other", attached, near, file
+    return cue, sign if sign in SIGNS else "other", "=" in gap or ":" in gap, after if after in NEXT[:-1] and after else "other", attached, near, file, PLACES[place]
 
 
 def file_kind(n_odd: int, n_tokens: int) -> str:
@@ -303,17 +351,17 @@ def trained(examples: Sequence[tuple[list[list[str]], list[int]]], steps: int =
     return Crf(names, weights[:-1], moves, first)
 
 
-def examples_of(text: str, places: Sequence[tuple[int, int]], common: frozenset[str] = frozenset()) -> list[tuple[list[list[str]], list[int]]]:
+def examples_of(text: str, places: Sequence[tuple[int, int]], common: frozenset[str] = frozenset(), least: int = 8) -> list[tuple[list[list[str]], list[int]]]:
     """Labelled pieces of a text, of PIECE tokens at most; a secret that goes on into another piece begins there again, in training only."""
-    spans = [m.span() for m in TOKEN.finditer(text)]
+    spans, places_of = tokens_of(text)
     keys, cues = [token_key(text[a:b], common) for a, b in spans], [cue_of(text[a:b]) for a, b in spans]
-    file = file_kind(sum(k[0] != "letters" for k in keys), len(keys))
+    file = file_kind(sum(k[0] != "letters" and i not in places_of for i, k in enumerate(keys)), len(keys))
     tokens, labels, last = [], [], None
     for i, (a, b) in enumerate(spans):
-        hit = next((p for p in places if a < p[1] and b > p[0] and min(b, p[1]) - max(a, p[0]) >= 8), None)
+        hit = next((p for p in places if a < p[1] and b > p[0] and min(b, p[1]) - max(a, p[0]) >= least), None)
         labels.append(_O if hit is None else _I if hit == last else _B)
         last = hit
-        tokens.append(key_features(keys[i]) + around_features(keys[i], surroundings(text, spans, cues, i, file)))
+        tokens.append(key_features(keys[i]) + around_features(keys[i], surroundings(text, spans, cues, i, file, places_of.get(i, 0))))
     cut = range(0, len(tokens), PIECE)
     return [(tokens[i : i + PIECE], [_B if y == _I and j == 0 else y for j, y in enumerate(labels[i : i + PIECE])]) for i in cut]
 
@@ -349,11 +397,42 @@ def generated() -> list[tuple[list[list[str]], list[int]]]:
         plain = (f"the {cue} to {a} is {b} and {c}", f"{cue} {a} for the {b}", f"a {cue} is needed for {a}", f"{a.upper()} AND {b.upper()}", f"the well-known {a} of {b}, a {words[0]}-{words[1]} {c}", f"{cue}: please see {a}", f"{a} {b} {cue}", f"state-of-the-art {a} at www.{words[0]}{words[1]}.com", f"{a.title()} {b.title()}: {c}", f"the {small[:10]} of {a}", f"a {words[0]} {cue} of {a}", f"{words[0]}.{n % 99}@mail{n % 9}.example.com of. {cue}", f"{words[0]}.{n % 99}@mail{n % 9}.example.com {cue} = \"{code[:20]}\"", f"{words[0].upper()}!! {words[1].upper()}!! {small[:5].upper()}!! {small[5:12].upper()}!! {a.upper()}!!", f"{cue} = \"{raw.hex()[:40]}\" {small[:9]}, {words[2]} {small[9:14]}", f"{cue} = \"{code[:22]}\"\n{words[0].title()} was {a} {small[:13]}. {words[1].title()}")
         line = plain[i % len(plain)]
         out += examples_of(line, [(m.start(1), m.end(1)) for m in re.finditer('= "([^"]+)"', line)])
+        out += _links(i, raw, code, cue, words, small)
     return out
 
 
+def _links(i: int, raw: bytes, code: str, cue: str, words: Sequence[str], small: str) -> list[tuple[list[list[str]], list[int]]]:
+    """Lines with addresses, paths, published token formats, and long and joined words near cues."""
+    out = []
+    n = int.from_bytes(raw[8:16], "big")
+    a, b = words[4], words[5]
+    far = [FOREIGN[x % len(FOREIGN)] for x in raw[:4]]
+    host = (f"www.{a}.com", f"{a}-{b}.example.org", f"m.{a}{b}.net", f"{small[:6]}.io", f"10.{n % 250}.0.{n % 99}:8080")[i % 5]
+    path = (f"/wiki/{a.title()}_of_{b.title()}s_by_{far[0]}", f"/{'en de fr es'.split()[n % 4]}/{n % 10**6}/", f"/{n % 40 + 1990}/{n % 12 + 1:02d}/{a}-{b}-{far[1]}.html", f"/{a}/{b}.php?id={n % 10**7}&page={n % 9}#{far[2]}", f"/docs/v{n % 9}.{n % 7}/{a}_{b}", "", f"/d/{raw.hex()[:12]}/{a}", f"/watch?v={code[:11]}", f"/{far[3]}/%C3%A9{a}%20{b}")[i % 9]
+    link = f"{'https http ftp'.split()[i % 3]}://{host}{path}"
+    file = (f"/usr/lib/{a}{n % 9}.{n % 20}/{b}-packages/{words[6]}_{n % 99}.py", f"./{a}/{b}/{words[6]}{n % 9}.tar.gz", f"~/{a}/.{b}/{far[0]}.conf", f"{host.split(':')[0]}/{a}/{b}", f"//{host}/{a}/{far[1]}")[i % 5]
+    lines = (f"see {link} for more", f"{link}", f"the {cue} is described at {link}.", f"({link}), {cue} and {file}", f"open {file} with the {cue}", f"from {link}\n{a} {b}", f"{cue}: {link}")
+    out += examples_of(lines[i % len(lines)], [])
+    out += examples_of(lines[(i + 3) % len(lines)], [])
+    secret = (code[:14], small[:11], code[:8] + "!" + code[8:12], f"{a}{n % 999}")[i % 4]
+    line = f"{('connect to', 'see', '', cue)[i // 4 % 4]} {('postgres', 'https', 'mysql', 'redis', 'amqp')[i % 5]}://{(a, 'user', 'admin')[i % 3]}:{secret}@{host}{('/' + b, '', path)[i % 3]}"
+    at = line.index(f":{secret}@") + 1
+    out += examples_of(line, [(at, at + len(secret))], least=4)
+    digits = str(n % 10**11).zfill(11)
+    made = (f"xoxb-{digits}-{digits[::-1]}-{code[:24]}", f"ghp_{code}{code[:4]}", f"sk_live_{code[:24]}", f"eyJ{code[:17]}.eyJ{code[3:29]}.{code[::-1]}", f"AIza{code}{code[:3]}", f"glpat-{code[:20]}", f"npm_{code}{code[5:9]}", f"xoxp-{digits}-{code[:12]}")[i % 8]
+    line = (f"{a} {made} {b}", f"use {made} for it", f"{cue} {made}", f"{made}", f'"{made}",')[i % 5]
+    at = line.index(made)
+    out += examples_of(line, [(at, at + len(made))])
+    joined = (f"{a.title()}-{b.title()}", f"{a}-{words[6]}ly", f"{far[0].title()}", f"{far[1]}-{far[2]}", f"{a}.{b}", f"{far[3].upper()}")[i % 6]
+    near = (f"the {cue} of {joined} and {far[2]}", f"{joined} {cue} for {a}", f"a {cue} is {joined} here", f"{cue} {joined}", f"{far[1]} {joined} with a {cue}", f"{cue}: {joined}, {far[0]}")
+    return out + examples_of(near[i % 6], []) + examples_of(near[(i + 2) % 6], [])
+
+
 WORDS = "apple river stone horse paper cloud green table light ocean tiger music chair brave quiet lemon eagle frost amber north candle garden silver winter".split()
 LONG_WORDS = "information government understanding patience important international development technology agreement administrator performance community production traditional environment successful university management strengths rhythmically".split()
+#: Long words of several languages, and inflected ones.
+FOREIGN = "verwaltungsvorschriften wissenschaftlichen geschwindigkeit entschuldigung krankenversicherung bundesgerichtshof zusammenarbeit grundstuecksverkehr donaudampfschifffahrt rechtsschutzversicherung anticonstitutionnellement developpement gouvernementale malheureusement renseignements extraordinairement desarrollo investigaciones caracteristicas responsabilidades desafortunadamente internacionalmente ontwikkelingssamenwerking verantwoordelijkheid gemeenschappelijke arbeidsongeschiktheid valtioneuvoston lentokonesuihkuturbiini ihmisoikeudet yhteiskunta szczebrzeszyn przedsiebiorstwo bezpieczenstwo nejneobhospodarovavatelnejsi prvorozenstvi strzykawka counterrevolutionaries incomprehensibilities wheelchair friendly hutchison whampoa knightsbridge worcestershire thousandths lengthwise sightseeing backslash throughput birthplace heartthrob catchphrase latchstring borschts goldschmidt tchaikovsky schwarzenegger nietzsche".split()
+_PAIRS = frozenset(p for w in (*WORDS, *LONG_WORDS, *FOREIGN, *CUES) for p in zip(w, w[1:], strict=False))
 
 
 def common_words(texts: Sequence[str]) -> frozenset[str]:
@@ -362,6 +441,12 @@ def common_words(texts: Sequence[str]) -> frozenset[str]:
     return frozenset(w for w, n in seen.items() if n > 1)
 
 
+@cache
+def model_of_lines() -> Crf:
+    """The model of the generated lines alone, the same for every table; its digest tells which it is."""
+    return fitted([])
+
+
 def train_on(docs: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Crf:
     """A model from the distinct texts of at most ``most_bytes`` with the smallest hashes, at most ``sample``, and from generated lines."""
     rows = docs.select(text_of().alias("text")).where(F.octet_length("text") <= most_bytes).withColumn("h", F.xxhash64("text"))
@@ -392,9 +477,11 @@ _END = (0.0, 0.0)
 
 def crf_spans(text: str, model: Crf) -> list[tuple[int, int]]:
     """Where the best labelling of all tokens has secrets."""
-    spans = [m.span() for m in TOKEN.finditer(text)]
+    spans, places = tokens_of(text)
     known, look = model.known, model.looked_up
     tokens = [known.get(w := text[a:b]) or look(w) for a, b in spans]
+    for i, place in places.items():
+        tokens[i] = look(text[spans[i][0] : spans[i][1]], place)
     free = {i for i, (t, n) in enumerate(zip(tokens, [*tokens[1:], _END], strict=False)) if t[0] <= n[1]}
     cues = [t[3] for t in tokens]
     for i, cue in enumerate(cues):
@@ -404,7 +491,7 @@ def crf_spans(text: str, model: Crf) -> list[tuple[int, int]]:
     if not free:
         return out
     file = file_kind(sum(t[4] for t in tokens), len(tokens))
-    score = lambda i: model.score(tokens[i][2], surroundings(text, spans, cues, i, file))
+    score = lambda i: model.score(tokens[i][2], surroundings(text, spans, cues, i, file, places.get(i, 0)))
     todo = sorted(free)
     at = 0
     while at < len(todo):
@@ -449,7 +536,7 @@ SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string
 
 def scanned(docs: DataFrame, model: Crf | None = None, keep: tuple[str, ...] = ("doc_id",), mask: bool = False) -> DataFrame:
     """keep, found: array of (start, end, kind), ordered by start and kind; if mask, also masked: the text without them."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or train_on(docs))  # a few hundred weights
+    shared = docs.sparkSession.sparkContext.broadcast(model or model_of_lines())  # a few hundred weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

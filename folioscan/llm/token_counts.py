@@ -7,11 +7,10 @@ count); the version is the SHA-256 of the tokenizer's file.  A call joins the
 texts' digests to the cache, encodes each distinct digest it lacks once, and
 appends those counts.
 
-Counting splits a text at blanks between words and looks the pieces up in a
-bounded dictionary; only pieces not seen before go to the tokenizer.  The
-tokenizer never joins text across such a blank, except where white space is
-followed by two blanks, or by one at the end of the text: such texts, and those
-with a special string, are encoded whole.
+Counting splits a text before each single blank that stands between two characters
+that are no white space, and looks the pieces up in a bounded dictionary; only pieces
+not seen before go to the tokenizer, which never joins text across such a blank.
+Longer white space stays inside a piece.  Texts with a special string are encoded whole.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; copies are
 encoded once; special strings inside texts count as the tokenizer counts them
@@ -42,7 +41,9 @@ REMEMBERED = 400_000
 TEXTS = 256
 
 SCHEMA = "digest binary, version string, n_tokens long"
-_JOINED = re.compile(r"\s  |\s \Z")
+#: A blank beside other white space, or at an end; and the places where a text may be cut then.
+_BESIDE = re.compile(r"\s | \s|\A | \Z")
+_CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -75,8 +76,10 @@ class Counter:
         out: list[int] = []
         cut: list[list[str] | None] = []
         for text in texts:
-            whole = "\0" in text or _JOINED.search(text) or any(s in text for s in self._special)
-            cut.append(None if whole else text.replace(" ", "\0 ").split("\0"))
+            if "\0" in text or any(s in text for s in self._special):
+                cut.append(None)
+            else:
+                cut.append(_CUT.split(text) if _BESIDE.search(text) else text.replace(" ", "\0 ").split("\0"))
         self._learn(set().union(*(p for p in cut if p is not None)))
         known = self._known
         for text, pieces in zip(texts, cut, strict=True):

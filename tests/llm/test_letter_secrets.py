@@ -18,10 +18,10 @@ def real(spark):
 
 def whole(text, model):
     """Spans of the best labels of all tokens of a text, decoded in one piece."""
-    spans = [m.span() for m in S.TOKEN.finditer(text)]
+    spans, places = S.tokens_of(text)
     keys, cues = [S.token_key(text[a:b], model.common) for a, b in spans], [S.cue_of(text[a:b]) for a, b in spans]
-    file = S.file_kind(sum(k[0] != "letters" for k in keys), len(keys))
-    scores = [model.score(k, S.surroundings(text, spans, cues, i, file)) for i, k in enumerate(keys)]
+    file = S.file_kind(sum(k[0] != "letters" and i not in places for i, k in enumerate(keys)), len(keys))
+    scores = [model.score(k, S.surroundings(text, spans, cues, i, file, places.get(i, 0))) for i, k in enumerate(keys)]
     out = []
     for (a, b), label in zip(spans, model.best(scores) if scores else [], strict=True):
         if label == S._B:

@@ -46,7 +46,7 @@ def test_group_stage_tells_groups_by_texts(spark):
 
 
 def test_secret_stage(spark, some, awkward):
-    model = secret_scans.train_on(some)
+    model = secret_scans.model_of_lines()
     got = {r["doc_id"]: r for r in P.mask_secrets(spark, some, SF).collect()}
     assert len(got) == some.count()
     for r in some.collect():
@@ -59,6 +59,16 @@ def test_secret_stage(spark, some, awkward):
     assert sorted((r["doc_id"] or 0 for r in P.mask_secrets(spark, awkward, SF).collect())) == sorted(r["doc_id"] or 0 for r in awkward.collect())
 
 
+def test_links_are_not_masked(spark):
+    """Texts with links stay as they are, whatever else stands in the table; logins in addresses are masked."""
+    urls = [r["url"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    rows = [(i, f"see {u} for more on the token", "en", "s", 1) for i, u in enumerate(urls)] + [(10_000, "use postgres://user:s3cretPw99@db.example.com/app", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in P.mask_secrets(spark, docs, SF).collect()}
+    assert sum(got[i] != t for i, t, *_ in rows[:-1]) <= len(urls) / 200
+    assert got[10_000] == "use postgres://user:[SECRET]@db.example.com/app"
+
+
 def merged(spans):
     """Regions that spans cover; spans that only touch are two."""
     out = []

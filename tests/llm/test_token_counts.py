@@ -1,3 +1,4 @@
+import itertools
 import random
 
 from tokenizers import Tokenizer
@@ -40,3 +41,16 @@ def test_cache(spark, some, tmp_path):
     counted(some, cache).count()
     assert read_cache(spark, cache).count() == before
     assert {r[0] for r in held.select("version").distinct().collect()} == {version_of(tokenizer_path())}
+
+
+def test_runs_of_white_space_equal_the_library():
+    """All runs of up to five characters of white space, and random ones of all that Unicode has, between words and at the ends."""
+    spaces = [" ", "\n", "\xa0", "\t", "\u3000"]
+    texts = ["a" + "".join(run) + "b" for n in range(1, 6) for run in itertools.product(spaces, repeat=n)]
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and chr(i).isspace()] + ["\u200b", "\ufeff", "\u180e"]
+    rng = random.Random(10)
+    for _ in range(6000):
+        run = lambda: "".join(rng.choice(every + [" "] * 20) for _ in range(rng.randrange(7)))
+        texts.append(run() + rng.choice(["x", "é1", "."]) + run() + rng.choice(["y z", "'s", "日本"]) + run())
+    counter = Counter(tokenizer_path())
+    assert [n for i in range(0, len(texts), 100) for n in counter.counts(texts[i : i + 100])] == [n_tokens(t) for t in texts]
