@@ -85,10 +85,10 @@ def matches(pages: DataFrame, text: Column, search: str | Column, keys: tuple[st
     return rows.select(*keys, "hay", "h.at", "h.first", "h.match")
 
 
-def hits(pages: DataFrame, search: str, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
-    """keys, hay, first, count, match: all non-overlapping matches of a pattern; empty ones are none."""
+def hits(pages: DataFrame, search: str, keys: tuple[str, ...] = ("doc_id", "page"), at: bool = False) -> DataFrame:
+    """keys, hay, first, count, match, and at (the number of the hit on its page) if asked for: all non-overlapping matches of a pattern; empty ones are none."""
     found = matches(pages, haystack(F.col("text")), search, keys)
-    return found.select(*keys, "hay", "first", F.length("match").alias("count"), "match")
+    return found.select(*keys, "hay", *(["at"] if at else []), "first", F.length("match").alias("count"), "match")
 
 
 def snippets(found: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -242,7 +244,7 @@ def _ran(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = X.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", "4g").parquet(f"{sf_dir}/{name}.parquet*")
 
 
 @query(f"WITH {_hits_sql('(?i)the')} SELECT doc_id, page, first, count, match FROM hits", using=("page_text",))
@@ -252,10 +254,35 @@ def streaming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ran(spark, search.hits(pages, THE).drop("hay"), "streaming-search")
 
 
+@query(f"WITH {_hits_sql('(?i)the')} SELECT count(*) AS hits, count(DISTINCT (doc_id, page)) AS pages FROM hits", using=("page_text",))
+def streaming_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a running search reports batch by batch, added up."""
+    pages = _streamed(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text"))
+    counts = progress_of(spark, search.hits(pages, THE, at=True), "streaming-progress")
+    return spark.createDataFrame(counts, "batch long, hits long, pages long").agg(F.sum("hits").alias("hits"), F.sum("pages").alias("pages"))
+
+
+def progress_of(spark: SparkSession, found: DataFrame, label: str) -> list[tuple[int, int, int]]:
+    """batch, hits, pages of each batch of a search on a stream, as a listener is told while it runs."""
+    seen = logs.SearchProgress()
+    spark.streams.addListener(seen)
+    try:
+        marked = seen.observed(found.withColumn("first_of_page", F.col("at") == 0).drop("at", "hay"))
+        query = marked.writeStream.format("parquet").option("path", fresh_path(spark, label)).option("checkpointLocation", fresh_path(spark, f"{label}-checkpoint")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        for _ in range(600):  # events come after the fact
+            if str(query.id) in seen.done:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(seen)
+    return seen.counts
+
+
 @query(f"WITH {_hits_sql('(?i)the')} SELECT doc_id, page, first FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page, first) <= 20", using=("page_text",))
 def streaming_capped_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _streamed(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text"))
-    return _ran(spark, logs.stream_capped(search.hits(pages, THE), 20), "streaming-capped")
+    return logs.first_hits(_ran(spark, logs.stream_capped(search.hits(pages, THE), 20), "streaming-capped"), 20)
 
 
 def _lines(events: DataFrame) -> DataFrame:
@@ -282,7 +309,7 @@ def streaming_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streaming_latest_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _streamed(spark, sf_dir, "events").where("event_type IN ('click', 'view')")
     e = e.select(F.col("user_id").alias("session"), F.floor(F.col("event_id") / 1000).alias("request"), "event_id", (F.col("event_type") == "click").alias("asks"))
-    return _ran(spark, logs.stream_latest(e), "streaming-latest")
+    return logs.latest_answers(_ran(spark, logs.stream_latest(e), "streaming-latest"))
 
 
 @query("""SELECT id, text_len, version, linearized FROM (SELECT doc_id AS id, length(text) AS text_len, CASE WHEN doc_id % 4 <> 3 THEN '1.' || (doc_id % 8) END AS version, doc_id % 2 = 0 AS linearized FROM documents)""")
