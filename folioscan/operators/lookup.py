@@ -8,21 +8,37 @@ from pyspark.sql import functions as F
 
 from folioscan.functions.text import label_number, truncated
 from folioscan.limits import LIMITS
+from folioscan.storage import ranged
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, take: list[str], ties: list[str] | None = None) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, take: list[str], ties: list[str] | None = None, spread: bool = False) -> DataFrame:
     """Each left row with the last right row of its key at or before it; of equal places the last by ``ties``.
 
     A window over the union of both sides: one shuffle on the key, and no pairs.
+    spread: for keys of many rows, or none at all (by empty).  The union is cut into
+    ranges of key and place, windows stay inside a range, and the last value of the
+    ranges before is carried into it.
     """
     value = F.struct(*take)
     a = left.withColumns({"_at": F.col(left_at), "_side": F.lit(1), "_v": F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType)})
     tie = F.struct(*ties) if ties else F.lit(0)
     b = right.select(*by, F.col(right_at).alias("_at"), F.lit(0).alias("_side"), value.alias("_v"), tie.alias("_tie"))
     both = a.unionByName(b, allowMissingColumns=True)
-    w = W.partitionBy(*by).orderBy("_at", "_side", "_tie").rowsBetween(W.unboundedPreceding, W.currentRow)
-    both = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
-    return both.select(*left.columns, *(F.col(f"_v.{c}").alias(c) for c in take))
+    order = ["_at", "_side", "_tie"]
+    inside = [*by, "_p"] if spread else by
+    both = ranged(both, [*by, *order], "as-of") if spread else both
+    w = W.partitionBy(*inside).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    if spread:
+        last = both.where("_side = 0").groupBy(*inside).agg(F.max_by("_v", F.struct(*order)).alias("_last"))  # one row for each key in a range
+        each = both.select(*inside).distinct().withColumnRenamed("_p", "_q").select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), "_q")
+        same = F.col("_q") == F.col("_p")
+        for i, c in enumerate(by):
+            same &= F.col(f"_k{i}").eqNullSafe(F.col(c))
+        before = W.partitionBy(*(f"_k{i}" for i in range(len(by)))).orderBy("_q").rowsBetween(W.unboundedPreceding, -1)
+        carried = each.join(last, same, "left").select(*(f"_k{i}" for i in range(len(by))), "_q", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+        rows = rows.join(carried, same, "left").withColumn("_v", F.coalesce("_v", "_carried"))
+    return rows.select(*left.columns, *(F.col(f"_v.{c}").alias(c) for c in take))
 
 
 def clean_ranges(ranges: DataFrame, order: str | None = None) -> DataFrame:
@@ -103,3 +119,32 @@ def lost_requests(sent: DataFrame, answered: DataFrame, keys: list[str]) -> Data
 def findings(rows: DataFrame, checks: dict[str, Column], key: str = "id") -> DataFrame:
     """key, code for each check that holds."""
     return rows.select(key, F.explode(F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in checks.items())))).alias("code"))
+
+
+#: What a comparison of two readers of a document may find, in the order in which it looks; fixed values.
+CROSS_CHECKS = ("cos-unreadable", "cos-unsettled", "cos-locked", "cos-page-unreadable", "page-count-mismatch")
+
+
+def cross_check(documents: DataFrame, states: DataFrame, pages: DataFrame, repairs: DataFrame) -> DataFrame:
+    """id, code, times of what a second reader finds in documents (id, pages: how many the first one counts).
+
+    states: id, state (unreadable, unsettled, locked or null), unlocked (whether a
+    password opened it): the first of these that holds ends the check.  pages (id, page,
+    ok): the second reader's walk in order, which stops once it has met one page more
+    than there should be; unreadable pages that it meets are told, and another number
+    of readable ones.  repairs: id, code.
+    """
+    rows = documents.select("id", "pages").join(states.select("id", "state", "unlocked"), "id", "left")
+    ended = F.when(F.col("state") == "unreadable", CROSS_CHECKS[0]).when(F.col("state") == "unsettled", CROSS_CHECKS[1]).when((F.col("state") == "locked") & ~F.coalesce("unlocked", F.lit(False)), CROSS_CHECKS[2])
+    rows = rows.select("id", "pages", ended.alias("ended"))
+    w = W.partitionBy("id").orderBy("page").rowsBetween(W.unboundedPreceding, -1)
+    met = pages.select("id", "page", "ok", F.coalesce(F.sum(F.col("ok").cast("long")).over(w), F.lit(0)).alias("_before"))
+    going = rows.where("ended is null")
+    met = met.join(going.select("id", "pages"), "id").where(F.col("_before") <= F.col("pages"))
+    walked = met.groupBy("id").agg(F.count_if("ok").alias("_walked"), F.count_if(~F.col("ok")).alias("_bad"))
+    told = going.join(walked, "id", "left").select("id", F.coalesce("_bad", F.lit(0)).alias("_bad"), (F.coalesce("_walked", F.lit(0)) != F.col("pages")).alias("_other"))
+    code = lambda k, times: F.struct(F.lit(CROSS_CHECKS[k]).alias("code"), times.cast("long").alias("times"))
+    found = told.select("id", F.explode(F.array_compact(F.array(F.when(F.col("_bad") > 0, code(3, F.col("_bad"))), F.when(F.col("_other"), code(4, F.lit(1)))))).alias("c")).select("id", "c.code", "c.times")
+    first = rows.where("ended is not null").select("id", F.col("ended").alias("code"), F.lit(1).cast("long").alias("times"))
+    repaired = repairs.join(going.select("id"), "id", "left_semi").groupBy("id", "code").agg(F.count("*").alias("times"))
+    return first.union(found).union(repaired.select("id", "code", "times"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -206,10 +208,19 @@ def regressions(best: DataFrame, limit: float = 0.1) -> DataFrame:
 
 
 def upper_median(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """by, median: the element number n div 2 (from 0) of the sorted values."""
+    """by, median: the element number n div 2 (from 0) of the sorted values, nulls first.
+
+    Equal values are counted before anything is sorted.  Ranges of values are summed
+    up, and only the one range of a key that holds the element is looked into.
+    """
+    counts = ranged(rows.groupBy(by, value).agg(F.count("*").alias("_n")), [by, value], "median")
+    totals = counts.groupBy(by, "_p").agg(F.sum("_n").alias("_total"))  # one row for each key in a range
     w = W.partitionBy(by)
-    rows = rows.select(by, value, F.row_number().over(w.orderBy(value)).alias("_r"), F.count("*").over(w).alias("_n"))
-    return rows.where(F.col("_r") == F.floor(F.col("_n") / 2) + 1).select(by, F.col(value).alias("median"))
+    totals = totals.select(F.col(by).alias("_by"), F.col("_p").alias("_q"), F.coalesce(F.sum("_total").over(w.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"), "_total", F.floor(F.sum("_total").over(w) / 2).alias("_at"))
+    holding = totals.where((F.col("_at") >= F.col("_start")) & (F.col("_at") < F.col("_start") + F.col("_total")))
+    inside = counts.join(holding, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_p") == F.col("_q")))
+    upto = F.sum("_n").over(W.partitionBy(by, "_p").orderBy(value)) + F.col("_start")
+    return inside.withColumn("_upto", upto).where((F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col("_n"))).select(by, F.col(value).alias("median"))
 
 
 def array_difference(a: Column, b: Column, delta: float) -> dict[str, Column]:
@@ -226,6 +237,49 @@ def text_distance(a: Column, b: Column, least: int = 30) -> Column:
     return F.when(longer >= least, F.levenshtein(a, b) / longer)
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Edit distance of two texts, a whole column of the table at once: the bits of two numbers tell where it rises and falls."""
+    if len(a) < len(b):
+        a, b = b, a
+    start = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(b))
+    a, b = a[start:], b[start:]
+    end = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b), strict=False)) if x != y), len(b))
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    if not b:
+        return len(a)
+    places: dict[str, list[int]] = {}
+    for i, c in enumerate(a):
+        places.setdefault(c, []).append(i)
+    rows = {}
+    for c in set(b) & places.keys():
+        bits = bytearray(len(a) // 8 + 1)
+        for i in places[c]:
+            bits[i >> 3] |= 1 << (i & 7)
+        rows[c] = int.from_bytes(bits, "little")
+    whole, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = whole, 0, len(a)
+    for c in b:
+        same = rows.get(c, 0)
+        level = (((same & up) + up) ^ up) | same | down
+        rise, fall = down | (whole & ~(level | up)), up & level
+        distance += bool(rise & last) - bool(fall & last)
+        rise = (rise << 1) | 1
+        up, down = ((fall << 1) & whole) | (whole & ~(level | rise)), rise & level & whole
+    return distance
+
+
+def _distances(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                longer = max(len(a), len(b))
+                out.append(edit_distance(a, b) / longer if longer >= least else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "distance"])
+
+    return run
+
+
 def neighbours(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     """Adds previous: the value of the row before in its group.  A large group is paired range by range, and the first row of a range with the last one before."""
     rows = ranged(rows, [*by, order], "neighbours")
@@ -240,10 +294,11 @@ def neighbours(rows: DataFrame, by: list[str], order: str, value: str) -> DataFr
     return out.drop("_p", "_r", "_q", "_edge", *(f"_{c}" for c in by))
 
 
-def text_distances(docs: DataFrame) -> DataFrame:
+def text_distances(docs: DataFrame, least: int = 30) -> DataFrame:
     """doc_id, distance: each document and the one before it in its language and source, by all comparable characters up to the published bound."""
     pairs = neighbours(docs.select("doc_id", "lang", "source", comparable(F.col("text")).alias("a")), ["lang", "source"], "doc_id", "a")
-    return pairs.where("a is not null and previous is not null").select("doc_id", text_distance(F.col("a"), F.col("previous")).alias("distance"))
+    pairs = pairs.where("a is not null and previous is not null").select("doc_id", "a", F.col("previous").alias("b"))
+    return pairs.mapInArrow(_distances(least), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, distance double")
 
 
 def text_report(distances: DataFrame, limit: float = 0.02, least: int = 30) -> DataFrame:
@@ -255,12 +310,15 @@ def text_report(distances: DataFrame, limit: float = 0.02, least: int = 30) -> D
 
 
 def manifest_problems(manifest: DataFrame) -> DataFrame:
-    """id, problem for each rule that a row breaks."""
+    """id, problem for each rule that a row breaks; a missing value breaks the rule of its column, except for the password, which a document may lack."""
     c = F.col
+    blank = lambda x: F.coalesce(F.regexp_replace(x, r"[\s\x{85}\p{Z}]", "") == "", F.lit(True))
+    no_category = F.coalesce(F.size("categories") <= 0, F.lit(True)) | F.coalesce(F.exists("categories", blank), F.lit(True))
     rules = {
-        "id": ~c("id").rlike(r"^[A-Za-z0-9_\-][A-Za-z0-9._\-]{0,99}$"), "url": ~F.startswith("url", F.lit("https://")), "sha256": ~c("sha256").rlike("^[0-9a-f]{64}$"), "license": F.trim("license") == "",
-        "notes": F.trim("notes") == "", "categories": (F.size("categories") == 0) | F.exists("categories", lambda x: F.trim(x) == ""), "password": F.coalesce((F.octet_length("password") > 256) | F.contains("password", F.lit("\0")), F.lit(False)),
+        "id": ~c("id").rlike(r"\A[A-Za-z0-9_\-][A-Za-z0-9._\-]{0,99}\z"), "url": ~F.startswith("url", F.lit("https://")), "sha256": ~c("sha256").rlike(r"\A[0-9a-f]{64}\z"), "license": blank(c("license")),
+        "notes": blank(c("notes")), "categories": no_category,
     }
+    rules = {k: F.coalesce(v, F.lit(True)) for k, v in rules.items()} | {"password": F.coalesce((F.octet_length("password") > 256) | F.contains("password", F.lit("\0")), F.lit(False))}
     return manifest.select("id", F.explode(F.array_compact(F.array(*(F.when(v, F.lit(k)) for k, v in rules.items())))).alias("problem"))
 
 

@@ -40,11 +40,13 @@ def applied(base: DataFrame, changes: DataFrame) -> DataFrame:
     return out.where("kind is not null")
 
 
-def allocated(base: DataFrame, added: DataFrame, referenced: DataFrame) -> DataFrame:
-    """doc_id, seq, num: new numbers above every number known or referenced."""
-    top = base.select("doc_id", "num").union(referenced.select("doc_id", "num")).groupBy("doc_id").agg(F.max("num").alias("top"))
+def allocated(base: DataFrame, added: DataFrame, referenced: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """doc_id, seq, num: new numbers above every number known or referenced, and from the declared size (doc_id, size) on."""
+    known = base.select("doc_id", "num").union(referenced.select("doc_id", "num"))
+    known = known if sizes is None else known.union(sizes.select("doc_id", F.col("size") - 1))
+    top = known.groupBy("doc_id").agg(F.max("num").alias("top"))
     w = W.partitionBy("doc_id").orderBy("seq")
-    return added.withColumn("_r", F.row_number().over(w)).join(top, "doc_id", "left").select("doc_id", "seq", (F.coalesce("top", F.lit(0)) + F.col("_r")).alias("num"))
+    return added.withColumn("_r", F.row_number().over(w)).join(top, "doc_id", "left").select("doc_id", "seq", (F.greatest(F.coalesce("top", F.lit(0)), F.lit(0)) + F.col("_r")).alias("num"))
 
 
 def free_list(entries: DataFrame) -> DataFrame:

@@ -9,20 +9,34 @@ from pyspark.sql import functions as F
 from folioscan.limits import LIMITS
 
 
+#: White space as Unicode has it.
+_BLANK = r"[\s\x{85}\p{Z}]"
+
+
+def _trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, rf"\A{_BLANK}+|{_BLANK}+\z", "")
+
+
 def spec_pieces(specs: DataFrame) -> DataFrame:
-    """spec_id, pages, at, first, last, problem of each comma-separated piece of a page spec (N, N-M, N-, -M)."""
-    text = F.regexp_replace("spec", r"\s", "")
-    rows = specs.select("spec_id", "pages", text.alias("_s"), F.posexplode(F.split(text, ",")).alias("at", "piece"))
-    number = lambda k: F.regexp_extract("piece", r"^([0-9]*)(-?)([0-9]*)$", k)
-    rows = rows.withColumns({"_a": number(1), "_d": number(2), "_b": number(3), "_ok": F.col("piece").rlike(r"^([0-9]+|[0-9]+-[0-9]*|-[0-9]+)$")})
+    """spec_id, pages, at, first, last, problem of each comma-separated piece of a page spec (N, N-M, N-, -M).
+
+    White space around a piece and around the numbers of a range is allowed, inside a
+    number it is not.  A document without pages is the first of problems; then those of
+    the piece, from left to right.  A null spec is an empty one.
+    """
+    rows = specs.select("spec_id", "pages", F.coalesce("spec", F.lit("")).alias("_s"))
+    rows = rows.select("spec_id", "pages", _trimmed(F.col("_s")).alias("_s"), F.posexplode(F.split("_s", ",")).alias("at", "piece")).withColumn("piece", _trimmed(F.col("piece")))
+    dash = F.instr("piece", "-")
+    rows = rows.withColumns({"_range": dash > 0, "_a": _trimmed(F.substring_index("piece", "-", 1)), "_b": _trimmed(F.substring(F.col("piece"), dash + 1, F.length("piece")))})
     # a number too long for a bigint is as far beyond the last page as one can be
-    value = lambda c: F.when(F.col(c) != "", F.coalesce(F.expr(f"try_cast(regexp_replace({c}, '^0+(?=.)', '') as bigint)"), F.lit(2**63 - 1)))
-    first = F.when(F.col("_a") == "", F.lit(1).cast("long")).otherwise(value("_a"))
-    last = F.when(F.col("_d") == "", first).when(F.col("_b") == "", F.col("pages")).otherwise(value("_b"))
+    value = lambda c: F.when(F.col(c).rlike(r"\A[0-9]+\z"), F.coalesce(F.expr(f"try_cast(regexp_replace({c}, '^0+(?=.)', '') as bigint)"), F.lit(2**63 - 1)))
+    wrong = lambda c: F.when(value(c).isNull(), "Invalid").when(value(c) == 0, "Zero").when(value(c) > F.col("pages"), "OutOfRange")
+    first = F.when(F.col("_range") & (F.col("_a") == ""), F.lit(1).cast("long")).otherwise(value("_a"))
+    last = F.when(~F.col("_range"), first).when(F.col("_b") == "", F.col("pages")).otherwise(value("_b"))
     rows = rows.withColumns({"first": first, "last": last})
     problem = (
-        F.when(F.col("_s") == "", "Empty").when(~F.col("_ok"), "Invalid").when((F.col("first") == 0) | (F.col("last") == 0), "Zero").when(F.col("pages") == 0, "NoPages")
-        .when((F.col("first") > F.col("pages")) | (F.col("last") > F.col("pages")), "OutOfRange").when(F.col("first") > F.col("last"), "Backwards")
+        F.when(F.col("pages") == 0, "NoPages").when(F.col("_s") == "", "Empty").when(F.col("piece") == "", "Invalid").when(~F.col("_range"), wrong("piece")).when(F.contains("_b", F.lit("-")), "Invalid")
+        .when((F.col("_a") != "") & wrong("_a").isNotNull(), wrong("_a")).when((F.col("_b") != "") & wrong("_b").isNotNull(), wrong("_b")).when((F.col("_a") == "") & (F.col("_b") == ""), "Invalid").when(F.col("first") > F.col("last"), "Backwards")
     )
     return rows.select("spec_id", "pages", "at", "first", "last", problem.alias("problem"))
 
@@ -150,3 +164,8 @@ def action_of(kind: Column, target: Column) -> Column:
 
 def refusal_of(message: Column) -> Column:
     return F.when(message == "", "unexplained").when(F.contains(message, F.lit("password")), "password").otherwise("malformed")
+
+
+def outcome_problem(outcome: Column, malformed: Column) -> Column:
+    """What is wrong with how a document ended, or null: a sound one that needs a password, or one that ended a process; only sound ones must open."""
+    return F.when((outcome == "PasswordRequired") & ~malformed, "needs a password").when(outcome.isin("Crashed", "Hung"), outcome)

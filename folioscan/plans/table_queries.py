@@ -12,7 +12,7 @@ from folioscan.sources import fixtures as X
 BOOK = Book()
 query = BOOK.query
 
-SPECS = ("1-5,8,10-", "-3", "7", "2,2,1", "0", "5-3", "1,,2", "-", "99999", "")
+SPECS = ("1-5,8,10-", "-3", "7", "2,2,1", "0", "5-3", "1,,2", "-", "99999", "", "1 2", " 1 - 3 , 2 ", "99999-0", "0-x", "1-2-3", "  ", ",", "2 -")
 
 
 def _specs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,11 +21,14 @@ def _specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select(F.col("doc_id").alias("spec_id"), "pages", F.get(F.array(*map(F.lit, SPECS)), (F.col("doc_id") % len(SPECS)).cast("int")).alias("spec"))
 
 
+_WRONG = "CASE WHEN NOT regexp_full_match({x}, '[0-9]+') THEN 'Invalid' WHEN {x}::BIGINT = 0 THEN 'Zero' WHEN {x}::BIGINT > pages THEN 'OutOfRange' END"
 _SPECS_SQL = f"""specs AS (SELECT doc_id AS spec_id, count(*) AS pages, ({list(SPECS)})[(doc_id % {len(SPECS)} + 1)::INT] AS spec FROM page_text GROUP BY doc_id),
-pc AS (SELECT spec_id, pages, spec, (i - 1)::INT AS "at", p[i] AS piece FROM (SELECT spec_id, pages, spec, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT *, string_split(spec, ',') AS p FROM specs))),
-pa AS (SELECT *, regexp_matches(piece, '^([0-9]+|[0-9]+-[0-9]*|-[0-9]+)$') AS ok, try_cast(CASE WHEN piece LIKE '-%' THEN '1' ELSE string_split(piece, '-')[1] END AS BIGINT) AS first,
-  CASE WHEN piece NOT LIKE '%-%' THEN try_cast(piece AS BIGINT) WHEN piece LIKE '%-' THEN pages ELSE try_cast(string_split(piece, '-')[2] AS BIGINT) END AS last FROM pc),
-pp AS (SELECT *, CASE WHEN spec = '' THEN 'Empty' WHEN NOT ok THEN 'Invalid' WHEN first = 0 OR last = 0 THEN 'Zero' WHEN first > pages OR last > pages THEN 'OutOfRange' WHEN first > last THEN 'Backwards' END AS problem FROM pa),
+pc AS (SELECT spec_id, pages, spec, (i - 1)::INT AS "at", trim(p[i]) AS piece FROM (SELECT spec_id, pages, spec, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT *, string_split(spec, ',') AS p FROM specs))),
+pd AS (SELECT *, contains(piece, '-') AS has, trim(string_split(piece, '-')[1]) AS a, CASE WHEN contains(piece, '-') THEN trim(substr(piece, strpos(piece, '-') + 1)) ELSE '' END AS b FROM pc),
+pa AS (SELECT *, {_WRONG.format(x="a")} AS wrong_a, {_WRONG.format(x="b")} AS wrong_b, CASE WHEN has AND a = '' THEN 1 ELSE try_cast(a AS BIGINT) END AS first,
+  CASE WHEN NOT has THEN try_cast(a AS BIGINT) WHEN b = '' THEN pages ELSE try_cast(b AS BIGINT) END AS last FROM pd),
+pp AS (SELECT *, CASE WHEN trim(spec) = '' THEN 'Empty' WHEN piece = '' THEN 'Invalid' WHEN NOT has THEN wrong_a WHEN contains(b, '-') THEN 'Invalid' WHEN a <> '' AND wrong_a IS NOT NULL THEN wrong_a
+  WHEN b <> '' AND wrong_b IS NOT NULL THEN wrong_b WHEN a = '' AND b = '' THEN 'Invalid' WHEN first > last THEN 'Backwards' END AS problem FROM pa),
 sp AS (SELECT spec_id, arg_min(problem, "at") FILTER (problem IS NOT NULL) AS problem FROM pp GROUP BY spec_id)"""
 
 
@@ -221,6 +224,38 @@ def lookup_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.findings(X.outcomes(spark, sf_dir), checks)
 
 
+_CROSS_SQL = """cw AS (SELECT doc_id AS id, page, length(text) % 17 <> 3 AS ok FROM page_text),
+cd AS (SELECT id, count(*) - (id % 3 = 0)::INT AS pages, CASE WHEN id % 23 = 0 THEN 'cos-unreadable' WHEN id % 19 = 0 THEN 'cos-unsettled' WHEN id % 17 = 0 AND id % 2 = 1 THEN 'cos-locked' END AS ended FROM cw GROUP BY id),
+cm AS (SELECT * FROM (SELECT *, coalesce(sum(ok::INT) OVER (PARTITION BY id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM cw JOIN cd USING (id)) WHERE ended IS NULL AND before <= pages),
+ct AS (SELECT id, any_value(pages) AS pages, count(*) FILTER (ok) AS walked, count(*) FILTER (NOT ok) AS bad FROM cm GROUP BY id)"""
+
+
+@query(f"""WITH {_CROSS_SQL} SELECT id, ended AS code, 1::BIGINT AS times FROM cd WHERE ended IS NOT NULL UNION ALL SELECT id, 'cos-page-unreadable', bad FROM ct WHERE bad > 0
+UNION ALL SELECT cd.id, 'page-count-mismatch', 1 FROM cd LEFT JOIN ct USING (id) WHERE ended IS NULL AND coalesce(walked, 0) <> cd.pages UNION ALL SELECT id, 'xref-rebuilt', 1 FROM cd WHERE ended IS NULL AND id % 4 = 0""", using=("page_text",))
+def lookup_cross_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as the pages that a second reader meets, against the count of a first one."""
+    pages = X.page_text(spark, sf_dir).select(F.col("doc_id").alias("id"), "page", (F.length("text") % 17 != 3).alias("ok"))
+    k = F.col("id")
+    documents = pages.groupBy("id").agg((F.count("*") - (F.first("id") % 3 == 0).cast("int")).alias("pages"))
+    state = F.when(k % 23 == 0, "unreadable").when(k % 19 == 0, "unsettled").when(k % 17 == 0, "locked")
+    return lookup.cross_check(documents, documents.select("id", state.alias("state"), (k % 2 == 0).alias("unlocked")), pages, documents.where("id % 4 = 0").select("id", F.lit("xref-rebuilt").alias("code")))
+
+
+@query("""SELECT id, CASE WHEN outcome = 'PasswordRequired' AND NOT bad THEN 'needs a password' WHEN outcome IN ('Crashed', 'Hung') THEN outcome END AS problem
+FROM (SELECT id, CASE WHEN message = 'password required' AND outcome = 'Rejected' THEN 'PasswordRequired' ELSE outcome END AS outcome, ms % 2 = 0 AS bad FROM outcomes)""", using=("outcomes",))
+def select_outcome_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcome = F.when((F.col("message") == "password required") & (F.col("outcome") == "Rejected"), "PasswordRequired").otherwise(F.col("outcome"))
+    return X.outcomes(spark, sf_dir).select("id", select.outcome_problem(outcome, F.col("ms") % 2 == 0).alias("problem"))
+
+
+@query("""SELECT event_id, purchase FROM (SELECT event_id, event_type, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS purchase FROM events) WHERE event_type <> 'purchase'""")
+def lookup_last_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last purchase of anyone before each other event: one group of all rows, spread over ranges."""
+    e = X.table(spark, sf_dir, "events").select("event_id", "event_type")
+    bought = e.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase"))
+    return lookup.as_of(e.where("event_type <> 'purchase'").select("event_id"), bought.withColumn("at", F.col("purchase")), [], "event_id", "at", ["purchase"], spread=True)
+
+
 _EFFECTIVE = """ef AS (SELECT * FROM rev_entries QUALIFY row_number() OVER (PARTITION BY doc_id, num ORDER BY rev DESC) = 1)"""
 
 
@@ -265,6 +300,15 @@ def revision_allocated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisions.allocated(X.rev_entries(spark, sf_dir), c.where("op = 'add'"), c.where("op = 'set'").select("doc_id", (F.col("num") + 3).alias("num")))
 
 
+@query("""WITH t AS (SELECT doc_id, max(num) AS top FROM (SELECT doc_id, num FROM rev_entries UNION ALL SELECT doc_id, num + 3 FROM changes WHERE op = 'set' UNION ALL SELECT o_orderkey, o_orderkey % 20 - 1 FROM orders) GROUP BY doc_id)
+SELECT a.doc_id, a.seq, (greatest(coalesce(top, 0), 0) + row_number() OVER (PARTITION BY a.doc_id ORDER BY a.seq))::BIGINT AS num FROM changes a LEFT JOIN t ON a.doc_id = t.doc_id WHERE op = 'add'""", using=("rev_entries", "changes"))
+def revision_allocated_sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New numbers where documents declare a size too."""
+    c = X.changes(spark, sf_dir)
+    sizes = X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 20).alias("size"))
+    return revisions.allocated(X.rev_entries(spark, sf_dir), c.where("op = 'add'"), c.where("op = 'set'").select("doc_id", (F.col("num") + 3).alias("num")), sizes)
+
+
 @query(f"WITH {_APPLIED} SELECT doc_id, num, lead(num, 1, 0) OVER (PARTITION BY doc_id ORDER BY num) AS next_free FROM ap WHERE kind = 'free'", using=("rev_entries", "changes"))
 def revision_free_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisions.free_list(revisions.applied(revisions.effective(X.rev_entries(spark, sf_dir)), X.changes(spark, sf_dir)))

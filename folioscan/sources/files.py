@@ -61,18 +61,35 @@ def capped_json(columns: list[str], lists: dict[str, Column], most: int) -> Colu
     return F.get(F.transform(F.array(F.struct(list_a.alias("a"), list_b.alias("b"))), capped), F.lit(0))
 
 
+def _reports(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    rows = spark.read.schema(METRICS).json(path, multiLine=not lines)
+    return rows.where(F.assert_true(F.coalesce(F.col("schema") == 1, F.lit(False)), "a metric file of another schema").isNull())
+
+
 def read_metrics(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Metric files, or with ``lines`` files of one report a line, as rows; another schema version is refused."""
-    rows = spark.read.schema(METRICS).json(path, multiLine=not lines)
-    checked = rows.where(F.assert_true(F.coalesce(F.col("schema") == 1, F.lit(False)), "a metric file of another schema").isNull())
-    return checked.select("os", "arch", "runs", F.explode("metrics").alias("name", "m")).select("os", "arch", "runs", "name", "m.*")
+    return _reports(spark, path, lines).select("os", "arch", "runs", F.explode("metrics").alias("name", "m")).select("os", "arch", "runs", "name", "m.*")
 
 
-def write_metrics(metrics: DataFrame, path: str) -> None:
-    """Metric files, one object for each report (report, os, arch, name, value, unit, higher_is_better, tracked, floor); names are unique in a report."""
+def read_cold(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """os, arch, runs, name, value: the first runs that metric files tell of."""
+    return _reports(spark, path, lines).select("os", "arch", "runs", F.explode("cold").alias("name", "value"))
+
+
+def write_metrics(metrics: DataFrame, path: str, cold: DataFrame | None = None) -> None:
+    """Metric files, one object for each report (report, os, arch, name, value, unit, higher_is_better, tracked, floor, and runs, 1 if there is no such column); names are unique in a report.
+
+    cold: report, os, arch, name, value of the first runs, of reports with metrics.
+    """
     entry = F.struct("name", F.struct("value", "unit", "higher_is_better", "tracked", "floor").alias("m"))
-    rows = metrics.groupBy("report", "os", "arch").agg(F.map_from_entries(F.collect_list(entry)).alias("metrics"))
-    rows.select(F.lit(1).alias("schema"), "os", "arch", F.lit(1).alias("runs"), F.expr("map()").cast("map<string,double>").alias("cold"), "metrics").write.json(path)
+    runs = F.max("runs") if "runs" in metrics.columns else F.lit(1)
+    key = ["report", "os", "arch"]
+    rows = metrics.groupBy(*key).agg(F.map_from_entries(F.collect_list(entry)).alias("metrics"), runs.cast("int").alias("runs"))
+    none = F.expr("map()").cast("map<string,double>")
+    if cold is not None:
+        rows = rows.join(cold.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("cold")), key, "left")
+    kept = none if cold is None else F.coalesce("cold", none)
+    rows.select(F.lit(1).alias("schema"), "os", "arch", "runs", kept.alias("cold"), "metrics").write.json(path)
 
 
 def write_text(selected: DataFrame, path: str, form: str = "parquet") -> None:
