@@ -10,8 +10,8 @@ A source's share is then taken as whole repetitions of all its documents and
 one seeded partial repetition: documents stand in a random order fixed by the
 seed, and words are taken from the front until the target is met, so a
 source misses its target by less than one word.  Running totals are made in
-two steps (hash slots of a source, then documents of a slot), so that no
-source has to fit into one task.
+two steps (ranges of the order, then documents of a range), so that no source, and
+no id that many documents share, has to fit into one task; equal rows are counted first.
 
 Defined cases: a null text has size 0 and nothing is taken from it; the null
 source is a source of its own, ordered last; documents with equal or null id
@@ -26,12 +26,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscan.llm.shared import n_words_of, text_of
+from folioscan.storage import ranged
 
 MAX_EPOCHS = 3
 CYCLE = 3
 SEED = "mix-1"
-#: Hash slots of a source; a slot's documents are ordered in one task.
-SLOTS = 4096
 
 
 def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, cycle: int = CYCLE, share: float = 1.0) -> DataFrame:
@@ -57,27 +56,29 @@ def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, cycle: int =
     return out.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mixed(docs: DataFrame, seed: str = SEED, max_epochs: int = MAX_EPOCHS, cycle: int = CYCLE, slots: int = SLOTS, size: Column | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def mixed(docs: DataFrame, seed: str = SEED, max_epochs: int = MAX_EPOCHS, cycle: int = CYCLE, size: Column | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, source, size, source_size, target, taken, n_whole (whole repetitions) and n_extra (words of the partial one)."""
-    rows = docs.select(*keep, F.col("source"), (n_words_of(text_of()) if size is None else size).cast("long").alias("size"))
+    names = [f"_k{i}" for i in range(len(keep))]
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)))
-    rows = rows.withColumn("_key", key).withColumn("_slot", (F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * slots / 2**32).cast("int"))
-    by_slot = rows.groupBy("source", "_slot").agg(F.sum("size").alias("_n"))
-    sizes = by_slot.groupBy("source").agg(F.sum("_n").alias("source_size"))
-    targets = source_targets(sizes, max_epochs, cycle)
-    starts = by_slot.withColumn("_from", F.sum("_n").over(W.partitionBy("source").orderBy("_slot").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n"))
-    slots_known = starts.alias("a").join(targets.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select(
-        F.col("a.source").alias("_source"), F.col("a._slot").alias("_s"), "_from", "source_size", "target"
-    )
-    rows = rows.join(slots_known, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_slot") == F.col("_s")))
-    inside = W.partitionBy("source", "_slot").orderBy("_key", F.col("doc_id"), "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("_from", F.col("_from") + F.sum("size").over(inside) - F.col("size"))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    rows = rows.withColumn("n_whole", whole.cast("long"))
-    extra = F.round(F.col("target") - F.col("n_whole") * F.col("source_size")).cast("long")
-    rows = rows.withColumn("n_extra", F.least(F.greatest(extra - F.col("_from"), F.lit(0).cast("long")), F.col("size")))
-    rows = rows.withColumn("taken", F.col("n_whole") * F.col("size") + F.col("n_extra"))
-    return rows.select(*keep, "source", "size", "source_size", "target", "taken", "n_whole", "n_extra")
+    rows = docs.select(*(F.col(k).alias(n) for k, n in zip(keep, names, strict=True)), F.col("source").alias("_source"), key.alias("_key"), F.col("doc_id").alias("_id"), (n_words_of(text_of()) if size is None else size).cast("long").alias("_size"))
+    order = ["_key", "_id", "_size", *names]
+    rows = ranged(rows.groupBy("_source", *order).agg(F.count("*").alias("_times")), ["_source", *order], "mixing-rows")
+    parts = rows.groupBy("_source", "_p").agg(F.sum(F.col("_size") * F.col("_times")).alias("_n"))  # one row for each source in a range
+    targets = source_targets(parts.groupBy(F.col("_source").alias("source")).agg(F.sum("_n").alias("source_size")), max_epochs, cycle)
+    starts = parts.select(F.col("_source").alias("_s"), F.col("_p").alias("_q"), (F.sum("_n").over(W.partitionBy("_source").orderBy("_p").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n")).alias("_from"))
+    starts = starts.join(targets.drop("weight"), F.col("_s").eqNullSafe(F.col("source"))).drop("source")
+    rows = rows.join(starts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_p") == F.col("_q")))
+    inside = W.partitionBy("_source", "_p").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    whole = F.col("_size") * F.col("_times")
+    rows = rows.withColumn("_from", F.col("_from") + F.sum(whole).over(inside) - whole)
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1))).withColumn("_from", F.col("_from") + F.col("_copy") * F.col("_size"))
+    n_whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    extra = F.round(F.col("target") - n_whole * F.col("source_size")).cast("long")
+    n_extra = F.least(F.greatest(extra - F.col("_from"), F.lit(0).cast("long")), F.col("_size"))
+    rows = rows.withColumns({"_whole": n_whole, "_extra": n_extra})
+    given = [F.col(n).alias(k) for k, n in zip(keep, names, strict=True)]
+    taken = F.col("_whole") * F.col("_size") + F.col("_extra")
+    return rows.select(*given, F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target", taken.alias("taken"), F.col("_whole").alias("n_whole"), F.col("_extra").alias("n_extra"))
 
 
 def oracle_sql(seed: str = SEED, max_epochs: int = MAX_EPOCHS, cycle: int = CYCLE) -> str:

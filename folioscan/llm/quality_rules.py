@@ -1,9 +1,10 @@
 """Quality rules: a table of thresholds compiled into one Spark projection.
 
-The measures are array and string expressions; no user function runs.  A
-3-word window is compared by 64-bit hashes (in texts of up to 16,384 words by
-their upper 50 bits or more, packed with the position into one long so that
-the primitive sort is used).
+The measures are array and string expressions; no user function runs.  3-word
+windows are sorted by their hashes, and those that stand together are compared word by
+word; if ever two of them differ, the windows of that text are sorted by their words.
+So the count is exact.  (In texts of up to 16,384 words, hash and position are packed
+into one long, which sorts faster.)
 
 Defined cases: a null text counts as empty, has no words and fails the base
 rule; ratios over zero words or lines are 0; repeated rows are judged alike;
@@ -55,6 +56,11 @@ RULES = (
 _PACKED_WORDS = 16_384
 
 
+def _joined(a: Column, b: Column) -> Column:
+    """Hash of a window from that of its beginning and that of its last word."""
+    return F.xxhash64(a, b)
+
+
 def _neighbours(keys: Column) -> Column:
     """Array of (key, next key) of a sorted array; the last next key is null."""
     return F.zip_with(keys, F.slice(keys, 2, F.greatest(F.size(keys), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
@@ -77,17 +83,17 @@ def measured(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
         F.length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         lines.alias("_l"),
         F.size(F.filter("_w", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
-        F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"),
+        F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"), "_w",
     )
     n = F.size("_h")
     tail = lambda k: F.slice("_h", F.lit(k), F.greatest(n - 2, F.lit(0)))
-    triple = F.zip_with(F.zip_with(tail(1), tail(2), lambda a, b: F.xxhash64(a, b)), tail(3), lambda ab, c: F.xxhash64(ab, c))
+    triple = F.zip_with(F.zip_with(tail(1), tail(2), _joined), tail(3), _joined)
     out = out.select(
         *keep, "n_words", "n_symbols", "word_chars", "n_stop_words",
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("_l", lambda line: line.rlike("^[ \\t]*([-*\u2022]|[0-9]+[.)])[ \\t]"))).cast("long").alias("n_bullet_lines"),
-        triple.alias("_g"),
+        triple.alias("_g"), "_w",
     )
     long_text = F.col("n_words") > _PACKED_WORDS
     # Up to 2**14 words: (hash bits above, 14 position bits below) in one long, sorted as primitives.
@@ -98,8 +104,14 @@ def measured(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
     pairs = F.filter(_neighbours(F.col("_p")), lambda p: same(p["a"], p["b"]))
     wide_pairs = F.filter(_neighbours(F.col("_s")), lambda p: p["a"]["g"] == p["b"]["g"])
     place = lambda x: x.bitwiseAND(F.lit(2**14 - 1).cast("long"))
-    found = F.when(long_text, F.flatten(F.transform(wide_pairs, lambda p: F.array(p["a"]["i"], p["b"]["i"])))).otherwise(F.flatten(F.transform(pairs, lambda p: F.array(place(p["a"]), place(p["b"])))))
-    out = out.withColumn("_r", F.sort_array(F.array_distinct(found))).drop("_p", "_s")
+    both = F.when(long_text, F.transform(wide_pairs, lambda p: F.struct(p["a"]["i"].alias("a"), p["b"]["i"].alias("b")))).otherwise(F.transform(pairs, lambda p: F.struct(place(p["a"]).alias("a"), place(p["b"]).alias("b"))))
+    out = out.withColumn("_b", both).drop("_p", "_s")
+    word = lambda i, k: F.get("_w", (i + k).cast("int"))
+    apart = F.exists("_b", lambda p: (word(p["a"], 0) != word(p["b"], 0)) | (word(p["a"], 1) != word(p["b"], 1)) | (word(p["a"], 2) != word(p["b"], 2)))
+    spelled = F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - 3, F.lit(0))), lambda i: F.struct(word(i, 0).alias("x"), word(i, 1).alias("y"), word(i, 2).alias("z"), i.cast("long").alias("i"))))
+    equal = F.filter(_neighbours(spelled), lambda p: (p["a"]["x"] == p["b"]["x"]) & (p["a"]["y"] == p["b"]["y"]) & (p["a"]["z"] == p["b"]["z"]))
+    exact = F.when(apart, F.transform(equal, lambda p: F.struct(p["a"]["i"].alias("a"), p["b"]["i"].alias("b")))).otherwise(F.col("_b"))
+    out = out.withColumn("_r", F.sort_array(F.array_distinct(F.flatten(F.transform(exact, lambda p: F.array(p["a"], p["b"])))))).drop("_b", "_w")
     # Row numbers are not deterministic for the optimizer, so a filter on the verdict is not moved below this point, where it would repeat all expressions above.
     return out.withColumns({"n_repeat_words": _covered(F.col("_r")), "_row": F.monotonically_increasing_id()}).drop("_r")
 

@@ -1,6 +1,9 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from folioscan.llm import quality_rules
 from folioscan.llm.quality_rules import judged
 from tests.llm.conftest import awkward_rows, long_text
 
@@ -33,6 +36,13 @@ def test_both_ways_of_comparing_windows(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+def test_colliding_hashes_are_told_apart_by_words(spark, monkeypatch):
+    """With a hash that takes few values, counts stay exact, in short and in long texts."""
+    rows = [(1, "a b c d e f g a b c"), (2, long_text(300) + " a b c x a b c"), (3, "w " * 60), (4, None), (5, "a b"), (6, long_text(16390) + " a b c x a b c")]
+    monkeypatch.setattr(quality_rules, "_joined", lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(3)))
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
 def test_labelled_documents(spark):
     """Documents labelled good that pass the base rule stay; those labelled bad go."""
     sf = "/root/testdata/sf0.1"
