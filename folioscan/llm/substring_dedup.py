@@ -9,9 +9,11 @@ The index keeps sorted immutable runs of (fingerprint, count), each a table
 bucketed and sorted by fingerprint.  A new batch becomes a run of its own and is
 merge-joined with the earlier runs, bucket by bucket and without a shuffle;
 what occurs in both, or twice in the batch, is shared.  Runs beyond FAN_IN
-are compacted into one.  An index that is handed from call to call also keeps
-the blocks and the compressed texts of earlier calls: blocks with a shared
-fingerprint, of this call and of earlier ones, are verified window by window.
+are compacted into one.  An index that is handed from call to call, or opened again
+in its folder, also keeps the blocks and the compressed texts of earlier calls, in
+buckets by fingerprint and by text, so that a call shuffles of them only what shares
+a fingerprint with it: blocks with a shared fingerprint, of this call and of earlier
+ones, are verified window by window.
 
 To verify, texts are put into slices.  A slice names each of its windows once
 (ten bytes of hashes of all its words and of its anchor; the task that it is
@@ -57,25 +59,68 @@ EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
 class FingerprintIndex:
-    """Sorted immutable runs in the warehouse, and the blocks and texts of the calls that added to them."""
+    """Sorted immutable runs of fingerprints, and the places and texts of the calls that added to them, as bucketed tables.
 
-    def __init__(self, spark: SparkSession, fan_in: int = FAN_IN, buckets: int | None = None):
-        self.spark, self.fan_in = spark, fan_in
+    With a path, a folder in the shared storage, the tables lie there, and each call ends
+    with a line for each of them in a manifest under a new version; ``open`` takes the
+    newest version up in another session.  A call that failed leaves no version.  Tables
+    beyond FAN_IN of a kind are merged into one.
+    """
+
+    KEYS = {"runs": "fp", "blocks": "fp", "texts": "tid"}
+    COLUMNS = {"runs": "fp BIGINT, n BIGINT", "blocks": "fp BIGINT, tid BINARY, spot BIGINT", "texts": "tid BINARY, packed BINARY"}
+    MANIFEST = "version long, kind string, name string, buckets int"
+
+    def __init__(self, spark: SparkSession, fan_in: int = FAN_IN, buckets: int | None = None, path: str | None = None):
+        self.spark, self.fan_in, self.path, self.version = spark, fan_in, path and path.rstrip("/"), 0
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = []
-        self.blocks: list[DataFrame] = []
-        self.texts: list[DataFrame] = []
-
-    def remember(self, blocks: DataFrame, texts: DataFrame) -> None:
-        """Keeps blocks (tid, fps, spots) and texts (tid, packed) of a call, once for each text."""
-        known = [t.select("tid") for t in self.texts]
-        new = lambda rows: reduce(lambda left, old: left.join(old, "tid", "left_anti"), known, rows)
-        self.blocks.append(stored(new(blocks), "substring-blocks"))
-        self.texts.append(stored(new(texts), "substring-texts"))
-
-    def _write(self, rows: DataFrame) -> str:
-        name = f"fingerprints_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(name)
+        self.blocks: list[str] = []
+        self.texts: list[str] = []
+        self._old: list[str] = []
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, fan_in: int = FAN_IN) -> FingerprintIndex:
+        """The index that lies in a folder, as its last complete call left it."""
+        lines = spark.read.schema(cls.MANIFEST).json(f"{path.rstrip('/')}/manifest")
+        lines = lines.where(F.col("version") == lines.agg(F.max("version")).first()[0]).collect()  # a few for each kind
+        index = cls(spark, fan_in, lines[0]["buckets"], path)
+        index.version = lines[0]["version"]
+        for kind, key in cls.KEYS.items():
+            names = sorted(r["name"] for r in lines if r["kind"] == kind)
+            for name in names:
+                spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cls.COLUMNS[kind]}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {index.buckets} BUCKETS LOCATION '{index.path}/{name}'")
+            setattr(index, kind, names)
+        return index
+
+    def rows(self, kind: str) -> list[DataFrame]:
+        return [self.spark.table(name) for name in getattr(self, kind)]
+
+    def remember(self, sketch: DataFrame, texts: DataFrame) -> None:
+        """Keeps places and texts of a call (tid, fps, spots; tid, packed), once for each text, and commits."""
+        known = reduce(DataFrame.union, [t.select("tid") for t in self.rows("texts")]) if self.texts else None
+        new = texts if known is None else texts.join(known, "tid", "left_anti")
+        name = self._write(new, "texts")
+        places = sketch.join(self.spark.table(name).select("tid"), "tid", "left_semi").select("tid", F.explode(F.arrays_zip("fps", "spots")).alias("b"))
+        self.blocks.append(self._write(places.select(F.col("b.fps").alias("fp"), "tid", F.col("b.spots").alias("spot")), "blocks"))
+        self.texts.append(name)
+        for kind in ("blocks", "texts"):
+            if len(getattr(self, kind)) > self.fan_in:
+                self.compact(kind)
+        self.commit()
+
+    def commit(self) -> None:
+        self.version += 1
+        if self.path:
+            lines = [(self.version, kind, name, self.buckets) for kind in self.KEYS for name in getattr(self, kind)]
+            self.spark.createDataFrame(lines, self.MANIFEST).coalesce(1).write.mode("append").json(f"{self.path}/manifest")
+        self._drop(self._old)
+        self._old = []
+
+    def _write(self, rows: DataFrame, kind: str = "runs") -> str:
+        name, key = f"fingerprint_{kind}_{uuid.uuid4().hex}", self.KEYS[kind]
+        out = rows.repartition(self.buckets, key).write.bucketBy(self.buckets, key).sortBy(key)
+        (out.option("path", f"{self.path}/{name}") if self.path else out).saveAsTable(name)
         return name
 
     def add(self, fingerprints: DataFrame) -> DataFrame:
@@ -83,23 +128,23 @@ class FingerprintIndex:
         name = self._write(fingerprints.groupBy("fp").agg(F.count("*").alias("n")))
         run = self.spark.table(name)
         found = [run.where("n > 1").select("fp")]
-        found += [run.select("fp").hint("merge").join(self.spark.table(old).select("fp"), "fp", "left_semi") for old in self.runs]
+        found += [run.select("fp").hint("merge").join(old.select("fp"), "fp", "left_semi") for old in self.rows("runs")]
         shared = stored(reduce(DataFrame.union, found), "shared-fingerprints")
         self.runs.append(name)
         if len(self.runs) > self.fan_in:
             self.compact()
         return shared
 
-    def compact(self) -> None:
-        """Merges all runs into one."""
-        old, self.runs = self.runs, []
-        rows = reduce(DataFrame.union, [self.spark.table(name) for name in old])
-        self.runs = [self._write(rows.groupBy("fp").agg(F.sum("n").alias("n")))]
-        self._drop(old)
+    def compact(self, kind: str = "runs") -> None:
+        """Merges all tables of a kind into one; the old ones go with the next commit, or at once if none of them was committed."""
+        old, rows = getattr(self, kind), reduce(DataFrame.union, self.rows(kind))
+        setattr(self, kind, [self._write(rows.groupBy("fp").agg(F.sum("n").alias("n")) if kind == "runs" else rows, kind)])
+        self._old += old
 
     def close(self) -> None:
-        self._drop(self.runs)
-        self.runs, self.blocks, self.texts = [], [], []
+        """Drops all tables; those in a folder of their own stay there and can be opened again."""
+        self._drop(self.runs + self.blocks + self.texts + self._old)
+        self.runs, self.blocks, self.texts, self._old = [], [], [], []
 
     def _drop(self, names: list[str]) -> None:
         for name in names:
@@ -277,19 +322,22 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, ba
     batch = F.pmod(F.xxhash64("tid"), F.lit(batches))
     shared = [index.add(sketch.where(batch == b).select(F.explode("fps").alias("fp"))) for b in range(batches)]
     shared = stored(reduce(DataFrame.union, shared).distinct(), "shared-fingerprints")  # a plain side of the join, so that Spark can split the hot fingerprints of the other
-    blocks = reduce(DataFrame.union, index.blocks, sketch.select("tid", "fps", "spots"))
-    places = blocks.select("tid", F.explode(F.arrays_zip("fps", "spots")).alias("b")).select("tid", F.col("b.fps").alias("fp"), F.col("b.spots").alias("spot"))
-    alive = places.join(shared, "fp").groupBy("tid").agg(F.collect_set(F.struct("fp", "spot")).alias("b"))
+    places = sketch.select("tid", F.explode(F.arrays_zip("fps", "spots")).alias("b")).select("tid", F.col("b.fps").alias("fp"), F.col("b.spots").alias("spot"))
+    met = [p.join(shared, "fp").select("tid", "fp", "spot") for p in (places, *index.rows("blocks"))]  # earlier places lie in buckets by fp and stay where they are
+    alive = reduce(DataFrame.union, met).groupBy("tid").agg(F.collect_set(F.struct("fp", "spot")).alias("b"))
     alive = alive.select("tid", F.col("b.fp").alias("fps"), F.col("b.spot").alias("spots"))
     least = 2 * window - 1  # characters of the shortest text with a window
     packed = docs.select(text_of().alias("_text")).where(F.length("_text") >= least).select(key.alias("tid"), F.col("_text").alias("text"))
     packed = packed.mapInArrow(_compressed, "tid binary, packed binary")
     if given:
         packed = stored(packed.groupBy("tid").agg(F.first("packed").alias("packed")), "substring-packed")
-    all_texts = reduce(DataFrame.union, index.texts, packed).groupBy("tid").agg(F.first("packed").alias("packed"))
+    if index.texts:
+        alive = stored(alive, "substring-blocks")
+    earlier = [t.join(alive.select("tid"), "tid", "left_semi") for t in index.rows("texts")]  # of earlier texts only those with a shared place
+    all_texts = reduce(DataFrame.union, earlier, packed).groupBy("tid").agg(F.first("packed").alias("packed"))
     alive = stored(all_texts.join(alive, "tid").mapInArrow(_sliced, "slice binary, tid array<binary>, packed array<binary>, fps array<array<long>>, spots array<array<long>>"), "substring-alive")
     copies = sketch.select("tid")
-    for old in index.texts:
+    for old in index.rows("texts"):
         copies = copies.union(old.join(sketch.select("tid").distinct(), "tid", "left_semi").select("tid"))
     copied = copies.groupBy("tid").agg(F.count("*").alias("n")).where("n > 1").select("tid", F.lit(True).alias("copied"))
     if given:

@@ -96,6 +96,30 @@ def test_an_index_remembers_earlier_calls(spark):
     assert index.runs == index.texts == index.blocks == []
 
 
+def test_an_index_is_opened_again(spark, tmp_path):
+    """Two sessions over an index in a folder equal one call over all; a call that failed leaves the index as it was."""
+    rng = random.Random(5)
+    passage = [f"w{rng.randrange(60)}" for _ in range(200)]
+    rows = [(k, " ".join(passage[(a := rng.randrange(140)) : a + 50] + [f"u{rng.randrange(10**6)}" for _ in range(9)])) for k in range(24)]
+    path, so_far = str(tmp_path / "index"), []
+    for n, call in enumerate((rows[:9], rows[9:10], rows[10:14], rows[14:])):
+        session = spark.newSession()
+        for name in session.catalog.listTables():
+            if name.name.startswith("fingerprint_"):
+                session.sql(f"DROP TABLE {name.name}")  # another session's catalog knows none of them
+        index = FingerprintIndex.open(session, path, fan_in=2) if n else FingerprintIndex(session, fan_in=2, path=path)
+        so_far += call
+        got = rows_of(deduplicated(session.createDataFrame(call, "doc_id long, text string"), batches=2, index=index))
+        assert got == [r for r in brute(so_far) if r[0] in {k for k, _ in call}]
+        assert max(map(len, (index.runs, index.blocks, index.texts))) <= 2 and index.version == n + 1
+        index.add(session.createDataFrame([(1,)], "fp long"))  # not committed
+    index = FingerprintIndex.open(spark, path)
+    assert index.version == 4 and sum(t.count() for t in index.rows("texts")) == len({t for _, t in rows})
+    plan = index.rows("blocks")[0].hint("merge").join(index.rows("runs")[0], "fp")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+    index.close()
+
+
 def test_window_must_fit(awkward):
     with pytest.raises(ValueError):
         deduplicated(awkward, window=100, anchor=8)
