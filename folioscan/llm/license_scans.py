@@ -9,7 +9,8 @@ exactly.  Words are lower-cased runs of digits, letters and non-ASCII
 characters.
 
 An automaton is only started at words that can begin it, and only in texts
-that hold one of the words without which no template matches.
+that hold all words without which it does not match.  One with a region of any number of
+words goes once over the text, from its end, so that the work grows with the text.
 
 Defined cases: null and empty texts have no words, labels or places and score
 0; repeated rows are judged alike; other columns are not looked at.
@@ -40,6 +41,15 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under <<beginOptional>>the terms of<<endOptional>> <<beginOptional>>a<<endOptional>> <<beginOptional>>creative commons<<endOptional>> cc by nc <<beginOptional>><<var;min=1;max=1>> 0<<endOptional>>"),
     ("cc-by", "licensed under <<beginOptional>>the terms of<<endOptional>> <<beginOptional>>a<<endOptional>> <<beginOptional>>creative commons<<endOptional>> cc by <<var;min=1;max=1>> 0"),
     ("mpl", "subject to the terms of the mozilla public license <<beginOptional>>v<<endOptional>> 2 0"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of <<var;min=1;max=12>> the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("apache", "licensed under the apache license version 2 0 the license you may not use <<var;min=1;max=4>> except in compliance with the license you may obtain a copy of the license at"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu <<beginOptional>>lesser<<endOptional>> <<beginOptional>>affero<<endOptional>> general public license for more details"),
+    ("bsd", "neither the name of <<var;min=1;max=12>> nor the names of <<var;min=1;max=3>> contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose"),
     ("proprietary", "all rights reserved <<var;max=6>> may not be <<beginOptional>>copied or<<endOptional>> redistributed"),
 )
 
@@ -94,6 +104,33 @@ class Automaton:
             at += 1
         return end
 
+    @property
+    def unbounded(self) -> bool:
+        """Whether a region takes any number of words."""
+        return any(to == s for s, to in enumerate(self.any_word))
+
+    def all_longest(self, words: Sequence[bytes]) -> list[tuple[int, int]]:
+        """Start and end of the longest accepted run of each start, from one walk over the text from its end, however long the runs are."""
+        out, firsts = [], self.first_words
+        after = [-1] * len(self.words)  # the furthest end from each state before the words seen so far
+        for at in range(len(words), -1, -1):
+            word = words[at] if at < len(words) else None
+            now = [-1] * len(after)
+            for s in range(len(now) - 1, -1, -1):  # moves without a word lead to later states
+                far = at if s == self.final else -1
+                for to in self.empty[s]:
+                    far = max(far, now[to])
+                if word is not None:
+                    if (to := self.words[s].get(word)) is not None:
+                        far = max(far, after[to])
+                    if (to := self.any_word[s]) is not None:
+                        far = max(far, after[to])
+                now[s] = far
+            if word in firsts and now[0] >= 0:
+                out.append((at, now[0]))
+            after = now
+        return out[::-1]
+
     @property
     def first_words(self) -> set[bytes]:
         return {w for s in self.closure({0}) for w in self.words[s]}
@@ -180,6 +217,9 @@ class Scanner:
         found = []
         for automaton, needed in zip(self._automata, self._needed, strict=True):
             if needed in held and held.issuperset(automaton.mandatory):
+                if automaton.unbounded:
+                    found += [(a, b, automaton.label) for a, b in automaton.all_longest(words)]
+                    continue
                 firsts = automaton.first_words
                 for at, word in enumerate(words):
                     if word in firsts and (end := automaton.longest(words, at)) is not None:
@@ -231,8 +271,8 @@ def template_pattern(template: str) -> str:
     out = ""
     for mark, plain in re.findall(r"<<(.*?)>>|((?:(?!<<).)+)", template, re.S):
         kind, _, options = mark.partition(";")
-        limits = dict(o.split("=") for o in options.split(";") if o)
-        out += {"beginOptional": "(?:", "endOptional": ")?", "var": f"(?: [^ ]+){{{limits.get('min', 0)},{limits.get('max', 0)}}}"}.get(kind, "") if mark else "".join(f" {w.decode()}" for w in words_of(plain))
+        least, most = limits_of(options) if kind == "var" else (0, 0)
+        out += {"beginOptional": "(?:", "endOptional": ")?", "var": f"(?: [^ ]+){{{least},{'' if most is None else most}}}"}.get(kind, "") if mark else "".join(f" {w.decode()}" for w in words_of(plain))
     return out + "(?: |$)"
 
 

@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from folioscan.llm.license_scans import PHRASES, Scanner, compiled, limits_of, scanned, with_char_spans, words_of
+from folioscan.llm.license_scans import PHRASES, Scanner, compiled, limits_of, scanned, template_pattern, with_char_spans, words_of
 from tests.llm.conftest import awkward_rows
 
 
@@ -101,3 +101,52 @@ def test_published_markup():
         assert (auto.longest(words, 0) == len(words) - 1) is fits, (holder, between)
     assert auto.longest(words_of(text.format("x", "").replace("all copies", "most copies")), 0) is None
     assert limits_of(";max=4") == (0, 4) and limits_of(';name="a;b";match=".{1,9}"') == (1, 5) and limits_of("") == (0, None)
+
+
+def test_regions_of_any_length_take_one_walk():
+    """The same runs as from each start, and work that grows with the text."""
+    import random
+    import time
+
+    rng = random.Random(11)
+    for template in ('a <<var;match=".+">> b', "a <<beginOptional>>b <<var>> a<<endOptional>> b <<var;min=2>> c", 'a b <<var;match=".*">> <<beginOptional>>c<<endOptional>> a'):
+        auto = compiled("x", template)
+        assert auto.unbounded
+        for _ in range(150):
+            words = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(rng.randrange(14))]
+            firsts = auto.first_words
+            assert auto.all_longest(words) == [(i, e) for i, w in enumerate(words) if w in firsts and (e := auto.longest(words, i)) is not None]
+    scanner = Scanner([("x", 'licensed under <<var;match=".+">> terms end')])
+    seconds = []
+    for n in (4000, 16_000):
+        text = "licensed under the words of terms " * (n // 6) + "end"
+        began = time.time()
+        _, _, found = scanner.scan(text)
+        seconds.append(time.time() - began)
+        assert len(found) == n // 6
+    assert seconds[1] < 12 * seconds[0] and seconds[1] < 5
+
+
+def test_sql_reads_options_as_the_automaton_does():
+    import re
+
+    for template in ('hold <<var;match=".+">> fast', 'hold <<var;match=".{0,20}">> fast', "hold <<var;min=1;max=2>> fast <<beginOptional>>now<<endOptional>> then", 'hold <<var;match=".*">> fast'):
+        auto, pattern = compiled("x", template), re.compile(template_pattern(template))
+        for k in range(16):
+            for tail in ("", " now", " then", " now then"):
+                text = "we hold" + " w" * k + " fast" + tail
+                words = words_of(text)
+                assert bool(pattern.search(" " + " ".join(w.decode() for w in words))) == any(auto.longest(words, i) is not None for i in range(len(words))), (template, text)
+
+
+def test_wording_of_published_licenses(spark):
+    """Notices of common licenses, as they stand in files."""
+    notices = {
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "bsd": "Neither the name of the Example Institute of Technology nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "apache": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+        "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "unlicense": "This is free and unencumbered software released into the public domain.",
+    }
+    docs = spark.createDataFrame([(k, t) for k, t in notices.items()], "doc_id string, text string")
+    assert {r["doc_id"]: (r["labels"], r["score"]) for r in scanned(docs).collect()} == {k: (k, 1.0) for k in notices}
