@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -46,43 +47,63 @@ def query_problem(text: Column, regex: Column) -> Column:
     return _compiled(text, regex, F.lit(False), F.lit(False))["problem"]
 
 
-#: Matches whose offsets are summed in one go; the work inside a row grows with its square, over a row in proportion.
-CHUNK = 64
 #: Marks around matches: no characters, so what holds them is not text.
 _BEGIN, _END = "\uffff", "\ufffe"
+#: Bytes of marked text worked on at once.
+PIECE = 4 << 20
 
 
 def matches(pages: DataFrame, text: Column, search: str | Column, keys: tuple[str, ...]) -> DataFrame:
     """keys, hay (the text), at (number of the match from 0), first, match: non-overlapping matches of a pattern but for empty ones.
 
-    Matches are marked and the text is cut at the marks; offsets are running sums
-    inside the row, so pages stay where they are: no shuffle, and the same on a
-    stream.  A page of many matches is summed in chunks.
+    Java marks the matches in one pass; where the marks stand is counted for whole
+    batches in an Arrow stage, a list of places for each page, so pages stay where they
+    are: no shuffle, and the same on a stream.
     """
     wanted = F.lit(search) if isinstance(search, str) else search
-    rows = pages.select(*keys, text.alias("hay"), wanted.alias("_search")).where(F.regexp("hay", wanted if isinstance(search, str) else F.col("_search")))
+    rows = pages.select(*keys, text.alias("hay"), wanted.alias("_search"))
     clean = F.translate("hay", _BEGIN + _END, "\ufffd\ufffd")
     whole = F.lit(f"({search})") if isinstance(search, str) else F.concat(F.lit("("), "_search", F.lit(")"))
-    pieces = F.split(F.regexp_replace(clean, whole, F.lit(f"{_BEGIN}$1{_END}")), _BEGIN, -1)
-    # of each piece: the match, and the gap after it; the first piece is a gap only
-    parts = F.transform(pieces, lambda p: F.struct(F.when(F.contains(p, F.lit(_END)), F.substring_index(p, _END, 1)).otherwise("").alias("match"), F.length(F.substring_index(p, _END, -1)).alias("gap")))
-    rows = rows.select(*keys, "hay", parts.alias("parts"))
-    numbers = F.sequence(F.lit(0), F.floor((F.size("parts") - 1) / CHUNK).cast("int"))
-    rows = rows.select(*keys, "hay", F.transform(numbers, lambda i: F.slice("parts", i * CHUNK + 1, CHUNK)).alias("chunk"))
-    length = lambda s, p: s + F.length(p["match"]) + p["gap"]
-    kept = lambda p: p["match"] != ""
-    start = F.struct(F.lit(0).alias("first"), F.lit(0).alias("at"))
-    begin = F.struct(start.alias("now"), F.expr("cast(array() as array<struct<first:int,at:int>>)").alias("out"))
-    after = lambda s, c: F.struct(F.aggregate(c, s["now"]["first"], length).alias("first"), (s["now"]["at"] + F.size(F.filter(c, kept))).alias("at"))
-    starts = F.aggregate("chunk", begin, lambda s, c: F.struct(after(s, c).alias("now"), F.concat(s["out"], F.array(s["now"])).alias("out")))["out"]
-    rows = rows.select(*keys, "hay", F.explode(F.arrays_zip("chunk", starts.alias("start"))).alias("c"))
-    start = F.struct(F.col("c.start.first").alias("first"), F.col("c.start.at").alias("at"), F.expr("cast(array() as array<struct<at:int,first:int,match:string>>)").alias("out"))
-    step = lambda s, p: F.struct(
-        length(s["first"], p).alias("first"), (s["at"] + F.when(kept(p), 1).otherwise(0)).alias("at"),
-        F.when(kept(p), F.concat(s["out"], F.array(F.struct(s["at"].alias("at"), s["first"].alias("first"), p["match"].alias("match"))))).otherwise(s["out"]).alias("out"),
-    )
-    rows = rows.select(*keys, "hay", F.explode(F.aggregate("c.chunk", start, step)["out"]).alias("h"))
-    return rows.select(*keys, "hay", "h.at", "h.first", "h.match")
+    rows = rows.select(*keys, "hay", F.regexp_replace(clean, whole, F.lit(f"{_BEGIN}$1{_END}")).alias("_marked")).where(F.contains("_marked", F.lit(_BEGIN)))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("h", T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("first", T.IntegerType()), T.StructField("match", T.StringType())])))])
+    return rows.mapInArrow(_located, schema).select(*keys, "hay", F.explode("h").alias("h")).select(*keys, "hay", "h.at", "h.first", "h.match")
+
+
+def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        column = batch.column("_marked").cast(pa.large_string())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+        at = 0
+        while at < len(column):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, side="right")) - 1)
+            to = min(to, len(column))
+            places = _places(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+            kept = batch.slice(at, to - at)
+            yield pa.RecordBatch.from_arrays([*kept.columns[:-1], places], [*kept.schema.names[:-1], "h"])
+            at = to
+
+
+def _places(data: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    """Of marked texts, UTF-8 one after the other: number, first character and text of the matches of each, without the empty ones."""
+    near = np.flatnonzero(data[:-2] == 0xEF)
+    near = near[(data[near + 1] == 0xBF) & (data[near + 2] >= 0xBE)]
+    begins, ends = near[data[near + 2] == 0xBF], near[data[near + 2] == 0xBE]
+    row = np.searchsorted(offsets, begins, side="right") - 1
+    chars = np.cumsum((data & 0xC0) != 0x80)
+    before = np.concatenate([[0], chars])[offsets[:-1]]  # characters before each text
+    number = np.arange(len(begins)) - np.searchsorted(row, row)
+    first = chars[begins] - 1 - before[row] - 2 * number  # two marks for each match before
+    size = ends - begins - 3
+    kept = np.flatnonzero(size)
+    row, first, size, begins = row[kept], first[kept], size[kept], begins[kept]
+    to = np.cumsum(size)
+    total = int(to[-1]) if len(to) else 0
+    taken = data[np.repeat(begins + 3 - (to - size), size) + np.arange(total)]
+    text = pa.LargeStringArray.from_buffers(len(kept), pa.py_buffer(np.concatenate([[0], to]).astype(np.int64).tobytes()), pa.py_buffer(taken.tobytes())).cast(pa.string())
+    numbers = np.arange(len(kept)) - np.searchsorted(row, row)
+    items = pa.StructArray.from_arrays([pa.array(numbers.astype(np.int32)), pa.array(first.astype(np.int32)), text], ["at", "first", "match"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(offsets))).astype(np.int32)), items)
 
 
 def hits(pages: DataFrame, search: str, keys: tuple[str, ...] = ("doc_id", "page"), at: bool = False) -> DataFrame:

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from folioscan.functions.text import ligatures_expanded, text_only
 from folioscan.limits import LIMITS
 from folioscan.operators.lookup import as_of
-from folioscan.operators.search import CHUNK, matches
+from folioscan.operators.search import matches
 
 #: White space of words, and the characters that end lines; fixed values.
 _BLANK = r"\s\x{200B}"
 _BREAK = r"\n\r\x{2028}\x{2029}\x{85}"
 KEYS = ("doc_id", "page")
+#: Pieces whose offsets are summed in one go; the work inside a row grows with its square, over a row in proportion.
+CHUNK = 64
 
 
 def words(pages: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

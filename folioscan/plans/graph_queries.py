@@ -244,7 +244,7 @@ def _ran(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = X.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("maxBytesPerTrigger", "4g").parquet(f"{sf_dir}/{name}.parquet*")
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", str(4 << 30)).parquet(f"{sf_dir}/{name}.parquet*")
 
 
 @query(f"WITH {_hits_sql('(?i)the')} SELECT doc_id, page, first, count, match FROM hits", using=("page_text",))
