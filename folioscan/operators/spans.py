@@ -108,9 +108,19 @@ def hit_boxes(found: DataFrame, chars: DataFrame, most: int = LIMITS.hit_boxes,
     return rows.groupBy(*keys, "first", "box").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
+#: Pages of a bin in which ranges and pages meet.
+BIN = 256
+
+
 def range_text(pages: DataFrame, ranges: DataFrame) -> DataFrame:
-    """doc_id, range_id, text of ranges (doc_id, range_id, from_page, from_pos, to_page, to_pos): pages joined by a line end."""
-    rows = pages.join(ranges, "doc_id").where(F.col("page").between(F.col("from_page"), F.col("to_page")))
+    """doc_id, range_id, text of ranges (doc_id, range_id, from_page, from_pos, to_page, to_pos): pages joined by a line end.
+
+    A range meets the pages of its own bins of pages only, up to the last page of its document.
+    """
+    last = pages.groupBy("doc_id").agg(F.max("page").alias("_last"))
+    wanted = ranges.join(last, "doc_id").where(F.col("from_page") <= F.least("to_page", "_last"))
+    wanted = wanted.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("from_page") / BIN), F.floor(F.least("to_page", "_last") / BIN)))).drop("_last")
+    rows = pages.withColumn("_bin", F.floor(F.col("page") / BIN)).join(wanted, ["doc_id", "_bin"]).where(F.col("page").between(F.col("from_page"), F.col("to_page")))
     begin = F.when(F.col("page") == F.col("from_page"), F.col("from_pos")).otherwise(F.lit(0))
     end = F.when(F.col("page") == F.col("to_page"), F.col("to_pos")).otherwise(F.length("text"))
     cut = F.replace(F.substring(F.col("text"), begin + 1, F.greatest(end - begin, F.lit(0))), F.lit("\r\n"), F.lit("\n"))

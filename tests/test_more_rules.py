@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from folioscan.operators import lookup, report, revisions, select
+from folioscan.operators import lookup, report, revisions, select, spans
 from folioscan.sources import files
 
 
@@ -161,3 +161,16 @@ def test_as_of_over_ranges_equals_the_window(spark):
     assert both[0] == both[1] and len(both[0]) == 900 and len({r[3] for r in both[0]}) > 20
     flat = [sorted(map(tuple, lookup.as_of(left.drop("k"), right.drop("k"), [], "t", "s", ["v"], ["o", "v"], spread=spread).collect()), key=str) for spread in (False, True)]
     assert flat[0] == flat[1] and len(flat[0]) == 900
+
+
+def test_range_text_over_many_pages(spark):
+    """Ranges of one page, of several bins, beyond the last page and turned round, in a document of many pages."""
+    pages = {(1, i): f"page {i} of one\r\nend" for i in range(1500)} | {(2, i): f"p{i}" for i in range(3)}
+    ranges = [(1, 1, 0, 2, 0, 6), (1, 2, 250, 3, 260, 4), (1, 3, 5, 0, 1400, 2), (1, 4, 1490, 1, 10**9, 5), (1, 5, 9, 0, 8, 1), (2, 6, 1, 1, 2, 1), (2, 7, 3, 0, 9, 1), (3, 8, 0, 0, 1, 1)]
+    want = {}
+    for doc, k, a, x, b, y in ranges:
+        found = [(i, pages[doc, i][x if i == a else 0 : y if i == b else None].replace("\r\n", "\n")) for i in range(a, min(b, 1500) + 1) if (doc, i) in pages]
+        if found:
+            want[doc, k] = "\n".join(t for _, t in found)
+    got = spans.range_text(spark.createDataFrame([(d, i, t) for (d, i), t in pages.items()], "doc_id long, page int, text string"), spark.createDataFrame(ranges, "doc_id long, range_id int, from_page int, from_pos int, to_page int, to_pos int"))
+    assert {(r["doc_id"], r["range_id"]): r["text"] for r in got.collect()} == want and len(want) == 5
