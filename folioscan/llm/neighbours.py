@@ -15,8 +15,9 @@ The share, not a number, keeps the recall as a table grows.
 Equal vectors are one class, of which the TOP + 1 smallest ids are kept: no
 other member can be among the TOP nearest of any query.  Leaves next to each
 other form blocks of about BLOCK classes; larger leaves are dealt over several
-blocks, and queries over slices of SLICE, so no leaf, and no set of queries,
-has to fit into one task.
+blocks.  A task holds the members of one block at a time while the queries that ask
+it pass by, so no leaf, and no set of queries, has to fit anywhere, and no member is
+copied for them.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
 components take no part, nor do those of another length than the most frequent
@@ -47,7 +48,6 @@ LEAF = 6
 LEAST = 1000
 SHARE = 0.25
 BLOCK = 16_384
-SLICE = 16_384
 EVERY = 50
 
 
@@ -193,27 +193,52 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _searched(top: int):
-    """Of a block: the top + 1 classes in the asked leaves for each query, by cosine, then smallest id."""
-
-    def run(members: pa.Table, probes: pa.Table) -> pa.Table:
-        members = members.sort_by("leaf")
-        leaf, cid, least = (members.column(c).to_numpy() for c in ("leaf", "cid", "least"))
-        found = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),) + (np.zeros(0, np.int64),)]
-        if len(leaf) and probes.num_rows:
-            x, q = _matrix(members.column("vector")), _matrix(probes.column("vector"))
-            ux, uq = _unit(x), _unit(q)
-            for i, (name, wanted) in enumerate(zip(probes.column("qid").to_pylist(), probes.column("leaves").to_pylist(), strict=True)):
-                begin, end = np.searchsorted(leaf, wanted), np.searchsorted(leaf, wanted, side="right")
-                some = np.concatenate([np.arange(a, b) for a, b in zip(begin, end, strict=True)])
-                if not len(some):
+    """Streams of the members of a block and then its probes, one block after another: the top + 1 classes in the asked leaves for each probe, by cosine, then smallest id.
+
+    Only a block's members are held; probes pass by, however many there are.
+    """
+
+    def answers(members: tuple, probes: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        leaf, cid, least, x, ux = members
+        found = []
+        q = _matrix(probes.column("vector"))
+        uq = _unit(q)
+        for i, (name, wanted) in enumerate(zip(probes.column("cid").to_pylist(), probes.column("leaves").to_pylist(), strict=True)):
+            begin, end = np.searchsorted(leaf, wanted), np.searchsorted(leaf, wanted, side="right")
+            some = np.concatenate([np.arange(a, b) for a, b in zip(begin, end, strict=True)])
+            if not len(some):
+                continue
+            near = ux[some] @ uq[i]
+            k = min(top + 1, len(some))
+            some = some[near >= -np.partition(-near, k - 1)[k - 1] - 1e-9]
+            score = exact_cosine(q[i][None, :], x[some])
+            best = np.lexsort((least[some], -score))[:k]
+            found.append((np.full(k, name), cid[some[best]], score[best], least[some[best]]))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*found, strict=True)], ["qid", "cid", "score", "least"])
+
+    def opened(rows: list[pa.RecordBatch]) -> tuple:
+        table = pa.Table.from_batches(rows).sort_by("leaf")
+        x = _matrix(table.column("vector"))
+        return *(table.column(c).to_numpy() for c in ("leaf", "cid", "least")), x, _unit(x)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting, members = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (*KEYS, "asks")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i == j:
+                    continue
+                if (key := tuple(keys[i, :-1])) != now:
+                    now, waiting, members = key, [], None
+                if not keys[i, -1]:
+                    waiting.append(batch.slice(i, j - i))
                     continue
-                near = ux[some] @ uq[i]
-                k = min(top + 1, len(some))
-                some = some[near >= -np.partition(-near, k - 1)[k - 1] - 1e-9]
-                score = exact_cosine(q[i][None, :], x[some])
-                best = np.lexsort((least[some], -score))[:k]
-                found.append((np.full(k, name), cid[some[best]], score[best], least[some[best]]))
-        return pa.table({n: pa.array(np.concatenate(v)) for n, v in zip(("qid", "cid", "score", "least"), zip(*found, strict=True), strict=True)})
+                if members is None and waiting:
+                    members, waiting = opened(waiting), []
+                if members is not None:
+                    yield from answers(members, batch.slice(i, j - i))
 
     return run
 
@@ -262,7 +287,6 @@ def nearest(table: DataFrame, every: int = EVERY, top: int = TOP, trees: int = T
     search = budget(int(sizes[0].sum())) if search is None else search
     queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "key").distinct().join(classes.select("key", F.col("cid").alias("qid")), "key").select("query_id", "qid")
     asked = stored(classes.join(queries.select(F.col("qid").alias("cid")).distinct(), "cid", "left_semi").select("cid", "vector"), "ann-asked")
-    slices = -(-asked.count() // SLICE) or 1
 
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, blocks, parts = shared.value
@@ -278,17 +302,20 @@ def nearest(table: DataFrame, every: int = EVERY, top: int = TOP, trees: int = T
                     for k, n in zip(tree.tolist(), leaf.tolist(), strict=True):
                         for part in range(int(parts[k][n])):
                             asks.setdefault((k, int(blocks[k][n]), part), []).append(n)
-                    out += [(*key, who[i] % slices, who[i], sorted(leaves), i) for key, leaves in asks.items()]
-                types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()))
+                    out += [(*key, who[i], sorted(leaves), i) for key, leaves in asks.items()]
+                types = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()))
                 columns = [pa.array([o[c] for o in out], t) for c, t in enumerate(types)]
-                yield pa.RecordBatch.from_arrays([*columns, batch.column("vector").take(pa.array([o[6] for o in out], pa.int32()))], [*KEYS, "qid", "leaves", "vector"])
+                yield pa.RecordBatch.from_arrays([*columns, batch.column("vector").take(pa.array([o[5] for o in out], pa.int32()))], [*KEYS, "cid", "leaves", "vector"])
 
-    probes = asked.mapInArrow(probing, f"tree int, block long, part int, slice int, qid long, leaves array<int>, vector {kind}")
+    probes = asked.mapInArrow(probing, f"tree int, block long, part int, cid long, leaves array<int>, vector {kind}")
     layout = spark.createDataFrame([(k, n, int(blocks[k][n]), int(parts[k][n])) for k, n, _ in counts], "tree int, leaf int, block long, parts int")
     members = dealt.join(F.broadcast(layout), ["tree", "leaf"]).join(classes.select("cid", "vector", F.col("ids")[0].alias("least")), "cid")
-    members = members.withColumns({"part": F.pmod(F.xxhash64("cid"), "parts").cast("int"), "slice": F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))})
-    members = members.select(*KEYS, "leaf", "cid", "vector", "least")
-    found = members.groupBy(*KEYS).cogroup(probes.groupBy(*KEYS)).applyInArrow(_searched(top), "qid long, cid long, score double, least long")
+    members = members.withColumn("part", F.pmod(F.xxhash64("cid"), "parts").cast("int"))
+    members = members.select(*KEYS, F.lit(False).alias("asks"), "leaf", "cid", "vector", "least", F.lit(None).cast("array<int>").alias("leaves"))
+    probes = probes.select(*KEYS, F.lit(True).alias("asks"), F.lit(None).cast("int").alias("leaf"), "cid", "vector", F.lit(None).cast("long").alias("least"), "leaves")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = members.union(probes).repartition(tasks, *KEYS).sortWithinPartitions(*KEYS, "asks")
+    found = both.mapInArrow(_searched(top), "qid long, cid long, score double, least long")
     best = found.dropDuplicates(["qid", "cid"]).withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "least"))).where(F.col("r") <= top + 1)
     ids = best.join(classes.select("cid", "ids"), "cid").select("qid", F.explode("ids").alias("vec_id"), "score")
     order = lambda key: W.partitionBy(key).orderBy(F.desc("score"), "vec_id")
@@ -298,4 +325,4 @@ def nearest(table: DataFrame, every: int = EVERY, top: int = TOP, trees: int = T
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-KEYS = ("tree", "block", "part", "slice")
+KEYS = ("tree", "block", "part")
