@@ -187,9 +187,9 @@ def lookup_named_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _destinations(spark, sf_dir)
 
 
-@query(f"WITH {_DEST_SQL} SELECT key, is_name, CASE WHEN k = 'ref' AND v < 20 THEN v + 100 WHEN k = 'index' AND v < 20 THEN v END AS page FROM fs")
+@query(f"WITH {_DEST_SQL} SELECT key, is_name, CASE WHEN k = 'ref' AND v < (SELECT count(*) FROM nation) THEN v + 100 WHEN k = 'index' AND v < (SELECT count(*) FROM nation) THEN v END AS page FROM fs")
 def lookup_destination_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    objects = X.table(spark, sf_dir, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").cast("long").alias("num"), (F.col("n_nationkey") + 100).cast("long").alias("page"))
+    objects = X.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("num"), (F.col("n_nationkey") + 100).cast("long").alias("page"))
     return lookup.destination_pages(_destinations(spark, sf_dir), objects)
 
 

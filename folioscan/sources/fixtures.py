@@ -37,7 +37,7 @@ def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations")
     turn = F.col("turn").cast("int")
     parent = F.when(turn == 0, F.lit(None)).when(F.col("role") == "user", F.lit(0)).otherwise(turn - 1).cast("int")
-    return t.select(F.col("conv_id").alias("doc_id"), turn.alias("id"), parent.alias("parent"), turn.alias("ord"), F.substring("text", 1, 40).alias("title"), (turn * 2).alias("page"))
+    return t.select(F.col("conv_id").alias("doc_id"), turn.alias("id"), parent.alias("parent"), turn.alias("ord"), F.col("text").alias("title"), (turn * 2).alias("page"))
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +159,7 @@ FIXTURE_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "page_text": ((), _PT),
     "label_ranges": ((), """SELECT doc_id, 0 AS first_page, 'r' AS style, '' AS prefix, 1::BIGINT AS start FROM documents WHERE doc_id % 10 <> 9
 UNION ALL SELECT doc_id, 3, 'D', '', 1 FROM documents UNION ALL SELECT doc_id, 6, 'A', 'A-', 1 FROM documents WHERE doc_id % 3 = 0"""),
-    "outline": ((), """SELECT conv_id AS doc_id, turn::INT AS id, CASE WHEN turn = 0 THEN NULL WHEN role = 'user' THEN 0 ELSE turn - 1 END::INT AS parent, turn::INT AS ord, substr(text, 1, 40) AS title, (turn * 2)::INT AS page FROM conversations"""),
+    "outline": ((), """SELECT conv_id AS doc_id, turn::INT AS id, CASE WHEN turn = 0 THEN NULL WHEN role = 'user' THEN 0 ELSE turn - 1 END::INT AS parent, turn::INT AS ord, text AS title, (turn * 2)::INT AS page FROM conversations"""),
     "links": ((), """SELECT doc_id, page, ord, CASE WHEN (page + ord) % 7 = 0 THEN 'Widget' ELSE 'Link' END AS subtype, (page * 3 + ord) % 64 AS flags, target FROM
 (SELECT page_id % 50 AS doc_id, page_id::INT AS page, (i - 1)::INT AS ord, l[i] AS target FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, list_concat([url], regexp_extract_all(html, 'href="([^"]*)"', 1)) AS l FROM pages)))"""),
     "page_boxes": ((), """SELECT p_partkey % 100 AS doc_id, (p_partkey // 100)::INT AS page, [0.0::DOUBLE, 0.0, p_size * 12, p_size * 16]::DOUBLE[] AS media_box,
