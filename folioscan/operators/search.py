@@ -221,7 +221,7 @@ def many_hits(pages: DataFrame, queries: DataFrame, keys: tuple[str, ...] = ("do
         table = spark.createDataFrame([(i, r["query_id"], r["java"]) for i, r in enumerate(rows)], f"_n int, query_id {some.schema['query_id'].dataType.simpleString()}, _java string")
         held = spark.sparkContext.broadcast([r["needs"] for r in rows])
         near = hay.mapInArrow(_named(held, keys), f"{fields}, _n array<int>").select(*keys, "text", F.explode("_n").alias("_n"))
-        near = near.join(F.broadcast(table), "_n")
+        near = near.join(F.broadcast(table), "_n").sortWithinPartitions("_n")  # Java compiles a pattern when it changes from row to row
         part = matches(near, F.col("text"), F.col("_java"), (*keys, "query_id"))
         part = part.select("query_id", *keys, "first", F.length("match").alias("count"), "match")
         found = part if found is None else found.union(part)
