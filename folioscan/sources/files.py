@@ -53,7 +53,7 @@ def capped_json(columns: list[str], lists: dict[str, Column], most: int) -> Colu
         sizes = lambda items: F.transform(F.slice(items, F.lit(1), F.lit(most // 3 + 1)), lambda x: F.octet_length(F.to_json(F.array(x))) - 1)
         sums = lambda items: F.aggregate(sizes(items), F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))  # bytes of the first n items and their commas, one too many
         sized = F.struct(sums(a).alias("a"), sums(b).alias("b"), F.octet_length(row(none, none, F.lit(False), F.lit(False))).alias("bare"))
-        bytes_of = lambda s, left: F.greatest(F.get(s, left) - 1, F.lit(0))
+        bytes_of = lambda s, left: F.greatest(F.coalesce(F.get(s, left), F.lit(most + 2)) - 1, F.lit(0))  # more items than sums are too many
         fits = lambda s, k: s["bare"] + bytes_of(s["a"], left_a(k)) + bytes_of(s["b"], left_b(k)) - F.when(left_a(k) < n_a, 1).otherwise(0) - F.when(left_b(k) < n_b, 1).otherwise(0) <= most  # "true" is shorter
         step = F.transform(F.array(sized), lambda s: F.array_min(F.filter(F.sequence(F.lit(0), n_a + n_b), lambda k: fits(s, k))))
         return F.get(F.transform(step, lambda k: F.when(k.isNotNull(), row(F.slice(a, F.lit(1), left_a(k)), F.slice(b, F.lit(1), left_b(k)), left_a(k) < n_a, left_b(k) < n_b))), F.lit(0))
