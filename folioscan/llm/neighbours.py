@@ -4,13 +4,17 @@ The trees are grown on the driver from a bounded sample of distinct vectors
 (SAMPLE of them, those with the smallest keys); each node splits at the plane
 halfway between two of its vectors drawn at random.  Every vector of the table
 is then sent to its leaf in each tree.  A query walks all trees through one
-shared priority queue until the leaves it has reached hold a fixed SHARE of the
+shared priority queue until the leaves it has reached hold a share of the
 distinct vectors, and LEAST of them at least; those are ranked by their exact
 cosine.  The queue is ordered by how unlikely it is that a near neighbour lies
 beyond the planes between the query and a leaf: a plane at distance m is
 crossed with the logistic probability 1 / (1 + exp(slope * m)), the slope
-following from the dimensions and from how near neighbours are in the sample.
-The share, not a number, keeps the recall as a table grows.
+following from how far the neighbours in the sample lie from each other across
+such planes.  The share, not a number, keeps the recall as a table grows.  It is
+SHARE, or what TRIED vectors of the sample need to reach RECALL of their true
+neighbours in it, found by brute force: vectors of many dimensions, or of few
+components, need more than others.  Where all of the table is needed, a query asks
+all leaves of one tree, which is exact.
 
 Equal vectors are one class, of which the TOP + 1 smallest ids are kept: no
 other member can be among the TOP nearest of any query.  Leaves next to each
@@ -47,6 +51,8 @@ SAMPLE = 16_384
 LEAF = 6
 LEAST = 1000
 SHARE = 0.25
+RECALL = 0.97
+TRIED = 96
 BLOCK = 16_384
 EVERY = 50
 
@@ -122,12 +128,18 @@ def grown(x: np.ndarray, rng: np.random.Generator, leaf: int = LEAF) -> Tree:
 
 
 def slope_of(x: np.ndarray, top: int = TOP) -> float:
-    """Steepness of the chance that a plane parts a vector from its neighbours: from their cosines in the sample."""
+    """Steepness of the chance that a plane parts a vector from its neighbours: from how far these lie apart across planes of pairs in the sample."""
     if len(x) <= top:
         return 1.0
-    near = -np.partition(-(x[:256] @ x.T), top, axis=1)[:, top]
-    c = float(np.clip(near.mean(), 0.1, 0.95))
-    return 1.702 * math.sqrt(x.shape[1]) * c / math.sqrt(1 - c * c)
+    near = np.argpartition(-(x[:256] @ x.T), top, axis=1)[:, : top + 1]  # with the vector itself
+    a, b = np.random.default_rng(3).integers(0, len(x), (2, 256))
+    normal = x[a] - x[b]
+    far = np.sqrt((normal**2).sum(axis=1))
+    normal = normal[far > 0] / far[far > 0][:, None]
+    if not len(normal):
+        return 1.0
+    total = sum(float((((x[n] - q) @ normal.T) ** 2).sum()) for q, n in zip(x[:256], near, strict=True))
+    return 1.702 / max(math.sqrt(total / (near.shape[0] * top * len(normal))), 1e-9)
 
 
 class Walks:
@@ -164,9 +176,27 @@ class Walks:
             yield self.tree[out], self.leaf[out]
 
 
-def budget(vectors: int) -> int:
+def budget(vectors: int, share: float = SHARE) -> int:
     """Members of leaves that a query searches, of so many distinct vectors."""
-    return max(LEAST, math.ceil(SHARE * vectors))
+    return max(LEAST, math.ceil(share * vectors))
+
+
+def needed_share(x: np.ndarray, forest: list[Tree], slope: float, top: int = TOP) -> float:
+    """The share of members after which walks from TRIED vectors of the sample have met RECALL of their true neighbours; 1 if they do not."""
+    if len(x) <= top:
+        return 1.0
+    leaf = np.stack([t.leaf_of(x.astype(np.float32)) for t in forest])
+    sizes = [np.bincount(n, minlength=t.leaves) for n, t in zip(leaf, forest, strict=True)]
+    needed = []
+    tried = x[:TRIED]
+    for i, (tree, n) in enumerate(Walks(forest, sizes, slope).leaves_near(tried.astype(np.float32), len(x))):
+        score = x @ tried[i]
+        score[i] = -2
+        held = np.cumsum([sizes[k][m] for k, m in zip(tree, n, strict=True)])
+        for near in np.argpartition(-score, top - 1)[:top]:
+            met = np.flatnonzero(leaf[tree, near] == n)
+            needed.append(held[met[0]] / len(x) if len(met) else 1.0)
+    return min(1.0, float(np.quantile(needed, RECALL)))
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -195,7 +225,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def _searched(top: int):
     """Streams of the members of a block and then its probes, one block after another: the top + 1 classes in the asked leaves for each probe, by cosine, then smallest id.
 
-    Only a block's members are held; probes pass by, however many there are.
+    A probe that names no leaves asks all of the block.  Only a block's members are held; probes pass by, however many there are.
     """
 
     def answers(members: tuple, probes: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -204,11 +234,14 @@ def _searched(top: int):
         q = _matrix(probes.column("vector"))
         uq = _unit(q)
         for i, (name, wanted) in enumerate(zip(probes.column("cid").to_pylist(), probes.column("leaves").to_pylist(), strict=True)):
-            begin, end = np.searchsorted(leaf, wanted), np.searchsorted(leaf, wanted, side="right")
-            some = np.concatenate([np.arange(a, b) for a, b in zip(begin, end, strict=True)])
+            if wanted:
+                begin, end = np.searchsorted(leaf, wanted), np.searchsorted(leaf, wanted, side="right")
+                some = np.concatenate([np.arange(a, b) for a, b in zip(begin, end, strict=True)])
+                near = ux[some] @ uq[i]
+            else:
+                some, near = np.arange(len(leaf)), ux @ uq[i]
             if not len(some):
                 continue
-            near = ux[some] @ uq[i]
             k = min(top + 1, len(some))
             some = some[near >= -np.partition(-near, k - 1)[k - 1] - 1e-9]
             score = exact_cosine(q[i][None, :], x[some])
@@ -246,7 +279,8 @@ def _searched(top: int):
 def nearest(table: DataFrame, every: int = EVERY, top: int = TOP, trees: int = TREES, sample: int = SAMPLE, leaf: int = LEAF, search: int | None = None, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose vec_id is divisible by ``every``.
 
-    Each query searches leaves of ``search`` members, or if that is None the budget of the counted vectors.
+    Each query searches leaves of ``search`` members, or if that is None the budget of the counted vectors
+    at the share that the sample needs; ``search`` of all vectors or more is one whole tree.
     """
     spark = table.sparkSession
     kind = table.schema["embedding"].dataType.simpleString()
@@ -263,8 +297,14 @@ def nearest(table: DataFrame, every: int = EVERY, top: int = TOP, trees: int = T
     drawn = classes.orderBy("key").limit(sample).select("vector").toArrow().column("vector")
     x = _unit(_matrix(drawn)) if len(drawn) else np.zeros((0, length[0] if length else 1))
     rng = np.random.default_rng(seed)
-    forest = spark.sparkContext.broadcast([grown(x, rng, leaf) for _ in range(trees)])  # at most sample nodes a tree
     slope = slope_of(x, top)
+    grove = [grown(x, rng, leaf) for _ in range(trees)]  # at most sample nodes a tree
+    share = max(SHARE, needed_share(x, grove, slope, top)) if search is None else 0.0
+    vectors = classes.count()
+    search = budget(vectors, share) if search is None else search
+    whole = search >= vectors
+    grove = grove[:1] if whole else grove
+    forest, trees = spark.sparkContext.broadcast(grove), len(grove)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,20 +324,20 @@ def nearest(table: DataFrame, every: int = EVERY, top: int = TOP, trees: int = T
     blocks = [np.cumsum(n) // block for n in sizes]
     parts = [np.maximum(-(-n // block), 1) for n in sizes]
     shared = spark.sparkContext.broadcast((sizes, blocks, parts))
-    search = budget(int(sizes[0].sum())) if search is None else search
     queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "key").distinct().join(classes.select("key", F.col("cid").alias("qid")), "key").select("query_id", "qid")
     asked = stored(classes.join(queries.select(F.col("qid").alias("cid")).distinct(), "cid", "left_semi").select("cid", "vector"), "ann-asked")
 
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, blocks, parts = shared.value
-        walks = Walks(forest.value, sizes, slope)
+        walks = None if whole else Walks(forest.value, sizes, slope)
+        every_block = sorted({(0, int(b), part) for b, n in zip(blocks[0], parts[0], strict=True) for part in range(int(n))}) if whole else []
         for batch in batches:
             if not batch.num_rows:
                 continue
             unit, who = _unit(_matrix(batch.column("vector"))).astype(np.float32), batch.column("cid").to_pylist()
             for at in range(0, len(unit), 64):
-                out = []
-                for i, (tree, leaf) in enumerate(walks.leaves_near(unit[at : at + 64], search), at):
+                out = [(*key, who[i], [], i) for i in range(at, min(at + 64, len(unit))) for key in every_block]
+                for i, (tree, leaf) in enumerate(walks.leaves_near(unit[at : at + 64], search) if walks else (), at):
                     asks: dict[tuple[int, int, int], list[int]] = {}
                     for k, n in zip(tree.tolist(), leaf.tolist(), strict=True):
                         for part in range(int(parts[k][n])):

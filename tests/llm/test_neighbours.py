@@ -126,3 +126,22 @@ def test_recall_holds_as_the_table_grows(spark, tmp_path):
         hits += len(set(np.argpartition(-near, 5)[:5].tolist()) & got[q])
     assert hits / (5 * len(range(0, n, every))) >= 0.94
     assert budget(1000) == LEAST and budget(10 * n) > 2 * budget(n)
+
+
+@pytest.mark.parametrize("kind", ["far from the origin", "many dimensions", "few components", "half in one spot"])
+def test_recall_on_other_rows(kind, spark, tmp_path):
+    rng, n = np.random.default_rng(6), 3000
+    x = rng.normal(size=(n, 256 if kind == "many dimensions" else 64))
+    if kind == "far from the origin":
+        x += 30
+    elif kind == "few components":
+        x *= rng.random(x.shape) < 0.05
+        x[:, 0] += np.where(np.any(x, axis=1), 0, 1)
+    elif kind == "half in one spot":
+        x[::2] = 5 * rng.normal(size=64) + 0.3 * x[::2]
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), x.shape[1]).cast(pa.list_(pa.float64()))}), tmp_path / "e.parquet")
+    want = brute(list(enumerate(x.tolist())))
+    got = {}
+    for r in nearest(spark.read.parquet(str(tmp_path / "e.parquet"))).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert sum(len({v for v, _ in near} & got[q]) for q, near in want.items()) >= 0.93 * sum(map(len, want.values()))
