@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscan.functions.text import ligatures_expanded, text_only
+from folioscan.functions.text import text_only
 from folioscan.limits import LIMITS
+from folioscan.operators import layout
 from folioscan.operators.lookup import as_of
 from folioscan.operators.search import matches
 
@@ -15,8 +16,6 @@ from folioscan.operators.search import matches
 _BLANK = r"\s\x{200B}"
 _BREAK = r"\n\r\x{2028}\x{2029}\x{85}"
 KEYS = ("doc_id", "page")
-#: Pieces whose offsets are summed in one go; the work inside a row grows with its square, over a row in proportion.
-CHUNK = 64
 
 
 def words(pages: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -26,41 +25,53 @@ def words(pages: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
 
 
 def characters(pages: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """keys, pos, ch, word, line, x0, y0, x1, y1 of the characters of pages; all is counted inside the row.
+    """keys, pos, ch, word, line, x0, y0, x1, y1 of the characters of pages; all is counted where the page is.
 
     A word begins at the first letter after white space, which belongs to the word
     before it, a line at the first letter after a line break.  Ligatures become
     letters that share their width; other controls are dropped.  The boxes are those of
     plain text, one unit a character and ten a line; white space has none.
     """
-    clean = text_only(F.col("text"))
-    cut = F.regexp_extract_all(clean, F.lit(f"(?U)(?:^[{_BLANK}]+)?[^{_BLANK}]+[{_BLANK}]*"), 0)
-    rows = pages.select(*keys, F.when(F.size(cut) > 0, cut).otherwise(F.array(clean)).alias("pieces")).where(F.col("pieces")[0] != "")
-    tail = lambda p: F.length(F.regexp_extract(p, rf"([^{_BREAK}]*)\z", 1))
-    measured = F.transform("pieces", lambda p: F.struct(p.alias("text"), F.length(ligatures_expanded(p)).alias("letters"), F.length(p).alias("glyphs"), p.rlike(rf"(?U)[{_BREAK}][{_BLANK}]*\z").alias("broke"), tail(p).alias("tail")))
-    rows = rows.select(*keys, measured.alias("pieces"))
-    numbers = F.sequence(F.lit(0), F.floor((F.size("pieces") - 1) / CHUNK).cast("int"))
-    rows = rows.select(*keys, F.transform(numbers, lambda i: F.slice("pieces", i * CHUNK + 1, CHUNK)).alias("chunk"))
-    state = lambda pos, word, line, column: F.struct(pos.alias("pos"), word.alias("word"), line.alias("line"), column.alias("column"))
-    after = lambda s, p: state(s["pos"] + p["letters"], s["word"] + 1, s["line"] + F.when(p["broke"], 1).otherwise(0), F.when(p["broke"], p["tail"]).otherwise(s["column"] + p["glyphs"]))
-    leading = F.length(F.regexp_extract(F.col("chunk")[0][0]["text"], rf"(?U)^[{_BLANK}]*[{_BREAK}]", 0))  # lines before the first letter
-    zero = state(F.lit(0), F.lit(0), F.lit(0), -leading)
-    empty = F.expr("cast(array() as array<struct<pos:int,word:int,line:int,column:int>>)")
-    starts = F.aggregate("chunk", F.struct(zero.alias("now"), empty.alias("out")), lambda s, c: F.struct(F.aggregate(c, s["now"], after).alias("now"), F.concat(s["out"], F.array(s["now"])).alias("out")))["out"]
-    rows = rows.select(*keys, F.explode(F.arrays_zip("chunk", starts.alias("start"))).alias("c"))
-    begin = F.struct(F.col("c.start").alias("now"), empty.alias("out"))
-    each = F.aggregate("c.chunk", begin, lambda s, p: F.struct(after(s["now"], p).alias("now"), F.concat(s["out"], F.array(s["now"])).alias("out")))["out"]
-    rows = rows.select(*keys, F.explode(F.arrays_zip(F.col("c.chunk").alias("piece"), each.alias("start"))).alias("p")).select(*keys, "p.*")
-    glyph = lambda c, i: F.transform(F.split(ligatures_expanded(c), ""), lambda x, n: F.struct(x.alias("ch"), i.alias("glyph"), n.alias("part"), F.length(ligatures_expanded(c)).alias("parts")))
-    letters = F.flatten(F.transform(F.filter(F.split("piece.text", ""), lambda c: c != ""), glyph))
-    # trailing white space after a break would stand in the next line; it has no box
-    rows = rows.select(*keys, "start", F.posexplode(letters).alias("at", "c"))
-    boxed = lambda c: F.when(~F.col("c.ch").rlike(f"(?U)^[{_BLANK}]$"), c.cast("double"))
-    left = F.col("start.column") + F.col("c.glyph") + F.col("c.part") / F.col("c.parts")
-    return rows.select(
-        *keys, (F.col("start.pos") + F.col("at")).alias("pos"), "c.ch", "start.word", "start.line",
-        boxed(left).alias("x0"), boxed(F.col("start.line") * 10).alias("y0"), boxed(left + 1 / F.col("c.parts")).alias("x1"), boxed((F.col("start.line") + 1) * 10).alias("y1"),
-    )
+    return layout.laid_out(_clean(pages, keys), keys, "pos int, ch string, word int, line int, x0 double, y0 double, x1 double, y1 double", layout.characters)
+
+
+def _clean(pages: DataFrame, keys: tuple[str, ...], *asked: str) -> DataFrame:
+    return pages.select(*keys, text_only(F.col("text")).alias("text"), *asked)
+
+
+def page_line_boxes(pages: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """line_boxes() of the characters() of pages, without a row for each of them."""
+    return layout.laid_out(_clean(pages, keys), keys, "line int, x0 double, y0 double, x1 double, y1 double, vertical boolean, reversed boolean", layout.lines)
+
+
+def page_hit_boxes(pages: DataFrame, most: int = LIMITS.hit_boxes, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """hit_boxes() of the characters() of pages, whose column hits lists first and count of each hit."""
+    return layout.laid_out(_clean(pages, keys, "hits"), keys, "first int, box int, x0 double, y0 double, x1 double, y1 double", layout.hit_boxes(most))
+
+
+def page_word_boxes(pages: DataFrame, size: int, most: int = LIMITS.hit_boxes, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """page_hit_boxes() of each ``size`` words in a row."""
+    return layout.laid_out(_clean(pages, keys), keys, "first int, box int, x0 double, y0 double, x1 double, y1 double", layout.hit_boxes(most, size))
+
+
+def page_totals(pages: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """keys, words, lines, chars, x, y, w: counts, and sums of x0, y1 and pos * word, over the characters() of each page."""
+    return layout.laid_out(_clean(pages, keys), keys, "words int, lines int, chars long, x double, y double, w long", layout.totals)
+
+
+def page_nearest_lines(pages: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """nearest_lines() of the characters() of pages, whose column points lists point, x and y; pages without a line have none."""
+    return layout.laid_out(_clean(pages, keys, "points"), keys, "point int, line int, across double, along double", layout.nearest_lines)
+
+
+def page_carets(pages: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """carets() of the characters() of pages, whose column points lists point, x and y."""
+    return layout.laid_out(_clean(pages, keys, "points"), keys, "point int, caret int", layout.carets)
+
+
+def page_around(pages: DataFrame, number: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """around() of the words or lines of pages, whose column positions lists the positions."""
+    return layout.laid_out(pages.select(*keys, "text", "positions"), keys, f"pos int, {number} int, `from` int, `to` int", layout.around(number))
 
 
 def lines(pages: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
