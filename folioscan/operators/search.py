@@ -62,11 +62,22 @@ def matches(pages: DataFrame, text: Column, search: str | Column, keys: tuple[st
     """
     wanted = F.lit(search) if isinstance(search, str) else search
     rows = pages.select(*keys, text.alias("hay"), wanted.alias("_search"))
-    clean = F.translate("hay", _BEGIN + _END, "\ufffd\ufffd")
-    whole = F.lit(f"({search})") if isinstance(search, str) else F.concat(F.lit("("), "_search", F.lit(")"))
-    rows = rows.select(*keys, "hay", F.regexp_replace(clean, whole, F.lit(f"{_BEGIN}$1{_END}")).alias("_marked")).where(F.contains("_marked", F.lit(_BEGIN)))
+    rows = rows.select(*keys, "hay", _marked("hay", search if isinstance(search, str) else "_search", isinstance(search, str)).alias("_marked"))
+    return _listed(rows).select(*keys, "hay", F.explode("h").alias("h")).select(*keys, "hay", "h.at", "h.first", "h.match")
+
+
+def _marked(hay: str, search: str, literal: bool = True) -> Column:
+    """The text with marks around the matches."""
+    clean = F.translate(hay, _BEGIN + _END, "\ufffd\ufffd")
+    whole = F.lit(f"({search})") if literal else F.concat(F.lit("("), search, F.lit(")"))
+    return F.regexp_replace(clean, whole, F.lit(f"{_BEGIN}$1{_END}"))
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    """The rows with marks, their last column _marked replaced by h, the list of matches (at, first, match)."""
+    rows = rows.where(F.contains("_marked", F.lit(_BEGIN)))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("h", T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("first", T.IntegerType()), T.StructField("match", T.StringType())])))])
-    return rows.mapInArrow(_located, schema).select(*keys, "hay", F.explode("h").alias("h")).select(*keys, "hay", "h.at", "h.first", "h.match")
+    return rows.mapInArrow(_located, schema)
 
 
 def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,6 +208,8 @@ def containing(texts: DataFrame, queries: DataFrame) -> DataFrame:
 
 #: Bytes of patterns and of the texts they need that are looked for in one pass; more queries take more passes.
 MANY_BYTES = 16 << 20
+#: Patterns written into one expression each, so that Java compiles them once; more take more passes.
+MANY_PATTERNS = 400
 
 
 def many_hits(pages: DataFrame, queries: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
@@ -206,25 +219,35 @@ def many_hits(pages: DataFrame, queries: DataFrame, keys: tuple[str, ...] = ("do
     refused have no hits.  An Aho-Corasick automaton over the texts that the patterns
     need goes once through each page; the patterns it names are then matched there by
     Java.  A pattern that needs no text, such as [0-9]{3}, is matched on every page.
-    Pages stay where they are.  Patterns of more than MANY_BYTES are dealt over passes.
+    Pages stay where they are, and equal patterns are searched once.  Patterns of more than
+    MANY_BYTES, or more than MANY_PATTERNS, are dealt over passes.
     """
     spark = pages.sparkSession
     asked = stored(compiled(queries).where("problem is null").select("query_id", "java", "needs"), "search-many")
+    searched = stored(asked.groupBy("java").agg(F.first("needs").alias("needs")), "search-patterns")
     size = F.octet_length("java") + F.coalesce(F.aggregate("needs", F.lit(0), lambda n, w: n + F.octet_length(w)), F.lit(0))
-    slices = -(-(asked.agg(F.sum(size.cast("long"))).first()[0] or 1) // MANY_BYTES)
+    n_bytes, n_patterns = searched.agg(F.coalesce(F.sum(size.cast("long")), F.lit(1)), F.count("*")).first()
+    slices = max(1, -(-n_bytes // MANY_BYTES), -(-n_patterns // MANY_PATTERNS))
     hay = pages.select(*keys, haystack(F.col("text")).alias("text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hay.schema.fields)
     found = None
     for k in range(slices):
-        some = asked.where(F.pmod(F.xxhash64("query_id", "java"), F.lit(slices)) == k)
-        rows = some.distinct().orderBy("query_id", "java").collect()  # MANY_BYTES of a slice
-        table = spark.createDataFrame([(i, r["query_id"], r["java"]) for i, r in enumerate(rows)], f"_n int, query_id {some.schema['query_id'].dataType.simpleString()}, _java string")
+        rows = searched.where(F.pmod(F.xxhash64("java"), F.lit(slices)) == k).orderBy("java").collect()  # about MANY_PATTERNS, and MANY_BYTES, of a slice
+        if not rows:
+            continue
+        table = spark.createDataFrame([(i, r["java"]) for i, r in enumerate(rows)], "_n int, java string")
+        table = table.join(asked.select("query_id", "java").distinct(), "java").select("_n", "query_id")
         held = spark.sparkContext.broadcast([r["needs"] for r in rows])
         near = hay.mapInArrow(_named(held, keys), f"{fields}, _n array<int>").select(*keys, "text", F.explode("_n").alias("_n"))
-        near = near.join(F.broadcast(table), "_n").sortWithinPartitions("_n")  # Java compiles a pattern when it changes from row to row
-        part = matches(near, F.col("text"), F.col("_java"), (*keys, "query_id"))
-        part = part.select("query_id", *keys, "first", F.length("match").alias("count"), "match")
+        marked = F.lit(None).cast("string")
+        cases = [(F.col("_n") == i, _marked("text", r["java"])) for i, r in enumerate(rows)]
+        for i, (case, value) in enumerate(cases):
+            marked = F.when(case, value) if i == 0 else marked.when(case, value)
+        part = _listed(near.select(*keys, "_n", marked.alias("_marked"))).join(F.broadcast(table), "_n")
+        part = part.select("query_id", *keys, F.explode("h").alias("h")).select("query_id", *keys, "h.first", F.length("h.match").alias("count"), "h.match")
         found = part if found is None else found.union(part)
+    if found is None:
+        return matches(hay.limit(0).crossJoin(asked.select("query_id").limit(0)), F.col("text"), "x", (*keys, "query_id")).select("query_id", *keys, "first", F.length("match").alias("count"), "match")
     return found
 
 
