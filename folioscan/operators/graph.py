@@ -114,13 +114,26 @@ def reached(edges: DataFrame, roots: DataFrame, levels: int | None = None, keys:
     once.  nodes (keys, node): what there is; nodes that are only named are left out.
     """
     keys = list(keys)
-    edges = stored(edges.select(*keys, F.col("src").alias("node"), "dst"), "edges")  # read once for each level
-    there = (lambda rows: rows.join(nodes.select(*keys, "node"), [*keys, "node"], "left_semi")) if nodes is not None else (lambda rows: rows)
-    level = stored(there(roots.select(*keys, "node").distinct()).withColumn("level", F.lit(0)), "frontier")
+    return _walked(*_prepared(edges, roots, keys, nodes), keys, levels)
+
+
+def _prepared(edges: DataFrame, roots: DataFrame, keys: list[str], nodes: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Edges (keys, node, dst) written once for all levels, and roots; those to nodes that are missing are left out here, once."""
+    edges = edges.select(*keys, F.col("src").alias("node"), "dst")
+    roots = roots.select(*keys, "node", *(c for c in roots.columns if c == "open"))
+    if nodes is not None:
+        there = nodes.select(*keys, "node")
+        edges = edges.join(there.withColumnRenamed("node", "dst"), [*keys, "dst"], "left_semi").select(*keys, "node", "dst")
+        roots = roots.join(there, [*keys, "node"], "left_semi")
+    return stored(edges, "edges"), stored(roots, "roots")
+
+
+def _walked(edges: DataFrame, roots: DataFrame, keys: list[str], levels: int | None) -> DataFrame:
+    level = stored(roots.select(*keys, "node").distinct().withColumn("level", F.lit(0)), "frontier")
     seen = level
     for k in count(1) if levels is None else range(1, levels):
         new = level.join(edges, [*keys, "node"]).select(*keys, F.col("dst").alias("node")).distinct()
-        level = stored(there(new.join(seen.select(*keys, "node"), [*keys, "node"], "left_anti")).withColumn("level", F.lit(k)), "frontier")
+        level = stored(new.join(seen.select(*keys, "node"), [*keys, "node"], "left_anti").withColumn("level", F.lit(k)), "frontier")
         if level.isEmpty():
             break
         seen = seen.union(level)
@@ -145,13 +158,12 @@ def discovered(edges: DataFrame, roots: DataFrame, keys: list[str] = (), nodes:
     keys and nodes as in reached().
     """
     keys = list(keys)
-    edges = stored(edges.select(*keys, F.col("src").alias("node"), "dst"), "edges")
-    there = (lambda rows: rows.join(nodes.select(*keys, "node"), [*keys, "node"], "left_semi")) if nodes is not None else (lambda rows: rows)
-    level = _placed(there(roots.select(*keys, "node").distinct()).withColumn("_by", F.lit(0).cast("long")), keys, 0)
+    edges, roots = _prepared(edges, roots, keys, nodes)
+    level = _placed(roots.select(*keys, "node").distinct().withColumn("_by", F.lit(0).cast("long")), keys, 0)
     seen = level
     for k in count(1):
         new = level.join(edges, [*keys, "node"]).groupBy(*keys, F.col("dst").alias("node")).agg(F.min("place").alias("_by"))
-        level = _placed(there(new.join(seen.select(*keys, "node"), [*keys, "node"], "left_anti")), keys, k)
+        level = _placed(new.join(seen.select(*keys, "node"), [*keys, "node"], "left_anti"), keys, k)
         if level.isEmpty():
             break
         seen = seen.union(level)
@@ -182,8 +194,10 @@ def action_facts(actions: DataFrame, edges: DataFrame, roots: DataFrame, keys: l
     without an action end a walk.
     """
     keys = list(keys)
-    opened = reached(edges, roots.where("open"), depth, keys, actions).select(*keys, "node", F.lit(True).alias("_open"))
-    rows = reached(edges, roots, depth, keys, actions).join(opened, [*keys, "node"], "left").join(actions.select(*keys, "node", "kind"), [*keys, "node"])
+    actions = stored(actions.select(*keys, "node", "kind"), "actions")
+    edges, roots = _prepared(edges, roots, keys, actions)
+    opened = _walked(edges, roots.where("open"), keys, depth).select(*keys, "node", F.lit(True).alias("_open"))
+    rows = _walked(edges, roots, keys, depth).join(opened, [*keys, "node"], "left").join(actions, [*keys, "node"])
     return rows.select(*keys, "node", "kind", F.coalesce("_open", F.lit(False)).alias("open"))
 
 
