@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions.text import comparable, truncated
 from folioscan.limits import LIMITS
+from folioscan.operators.distance import LEAST, edit_distance, groups, together, trimmed
 from folioscan.storage import ranged
 
 
@@ -237,51 +239,27 @@ def text_distance(a: Column, b: Column, least: int = 30) -> Column:
     return F.when(longer >= least, F.levenshtein(a, b) / longer)
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Edit distance of two texts, a whole column of the table at once: the bits of two numbers tell where it rises and falls."""
-    if len(a) < len(b):
-        a, b = b, a
-    start = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(b))
-    a, b = a[start:], b[start:]
-    end = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b), strict=False)) if x != y), len(b))
-    a, b = a[: len(a) - end], b[: len(b) - end]
-    if not b:
-        return len(a)
-    places: dict[str, list[int]] = {}
-    for i, c in enumerate(a):
-        places.setdefault(c, []).append(i)
-    rows = {}
-    for c in set(b) & places.keys():
-        bits = bytearray(len(a) // 8 + 1)
-        for i in places[c]:
-            bits[i >> 3] |= 1 << (i & 7)
-        rows[c] = int.from_bytes(bits, "little")
-    whole, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, distance = whole, 0, len(a)
-    for c in b:
-        same = rows.get(c, 0)
-        level = (((same & up) + up) ^ up) | same | down
-        rise, fall = down | (whole & ~(level | up)), up & level
-        distance += bool(rise & last) - bool(fall & last)
-        rise = (rise << 1) | 1
-        up, down = ((fall << 1) & whole) | (whole & ~(level | rise)), rise & level & whole
-    return distance
-
-
-#: Pairs whose texts are held as Python strings at once.
+#: Pairs whose texts are held as Python strings at once, besides those of a group of distance.WORDS.
 SOME = 64
 
 
+def _texts(batch: pa.RecordBatch) -> list[tuple[str, str]]:
+    return list(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True))
+
+
 def _distances(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for at in range(0, batch.num_rows, SOME):
-                some = batch.slice(at, SOME)
-                for a, b in zip(some.column("a").to_pylist(), some.column("b").to_pylist(), strict=True):
-                    longer = max(len(a), len(b))
-                    out.append(edit_distance(a, b) / longer if longer >= least else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "distance"])
+            some = (_texts(batch.slice(at, SOME)) for at in range(0, batch.num_rows, SOME))
+            known = np.array([(max(len(a), len(b)), *trimmed(a, b)) for pairs in some for a, b in pairs], np.int64).reshape(-1, 6)
+            longer, _, out, n, _, letters = known.T.copy()
+            left = np.flatnonzero(n)
+            for group in groups(out[left], n[left], letters[left]):
+                group = left[group]
+                pairs = _texts(batch.take(pa.array(group)))
+                out[group] = together(pairs, *known[group, 1:].T) if len(group) >= LEAST else [edit_distance(*p) for p in pairs]
+            shares = pa.array(out / np.maximum(longer, 1), pa.float64(), mask=longer < least)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), shares], ["doc_id", "distance"])
 
     return run
 
