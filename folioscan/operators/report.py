@@ -264,9 +264,9 @@ def _distances(least: int):
     return run
 
 
-def neighbours(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
-    """Adds previous: the value of the row before in its group.  A large group is paired range by range, and the first row of a range with the last one before."""
-    rows = ranged(rows, [*by, order], "neighbours")
+def neighbours(rows: DataFrame, by: list[str], order: str, value: str, then: dict[str, Column] | None = None) -> DataFrame:
+    """Adds previous: the value of the row before in its group, after the columns in ``then``.  A large group is paired range by range, and the first row of a range with the last one before."""
+    rows = ranged(rows, [*by, order], "neighbours", then)
     inside = W.partitionBy(*by, "_p").orderBy(order, value)
     rows = rows.withColumns({"previous": F.lag(value).over(inside), "_r": F.row_number().over(inside)})
     last = rows.groupBy(*by, "_p").agg(F.max_by(value, F.struct(order, value)).alias("_v"))
@@ -280,7 +280,7 @@ def neighbours(rows: DataFrame, by: list[str], order: str, value: str) -> DataFr
 
 def text_distances(docs: DataFrame, least: int = 30) -> DataFrame:
     """doc_id, distance: each document and the one before it in its language and source, by all comparable characters up to the published bound."""
-    pairs = neighbours(docs.select("doc_id", "lang", "source", comparable(F.col("text")).alias("a")), ["lang", "source"], "doc_id", "a")
+    pairs = neighbours(docs.select("doc_id", "lang", "source", F.col("text").alias("a")), ["lang", "source"], "doc_id", "a", {"a": comparable(F.col("a"))})
     pairs = pairs.where("a is not null and previous is not null").select("doc_id", "a", F.col("previous").alias("b"))
     return pairs.mapInArrow(_distances(least), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, distance double")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ranged(df: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """The rows stored with _p, the number of their range in the order of the keys; equal keys share a range."""
-    return stored(df.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id()), label)
+def ranged(df: DataFrame, keys: list[str], label: str, then: dict[str, Column] | None = None) -> DataFrame:
+    """The rows stored with _p, the number of their range in the order of the keys; equal keys share a range.
+
+    Spark computes the rows twice, first for a sample of the keys; columns in ``then`` are computed once, where the ranges are.
+    """
+    return stored(df.repartitionByRange(*keys).withColumns({"_p": F.spark_partition_id()} | (then or {})), label)
