@@ -12,6 +12,15 @@ from folioscan.limits import LIMITS
 from folioscan.storage import ranged, stored
 
 
+#: Rows up to which a side of a join goes to all tasks.  Spark would go by the size of the stored files, which hold ten times the rows that their bytes let expect.
+FEW = 100_000
+
+
+def _sent(rows: DataFrame, n: int) -> DataFrame:
+    """One side of a join, of n rows: to all tasks by way of the driver if they are few, else both sides are shuffled."""
+    return F.broadcast(rows) if n <= FEW else rows.hint("merge")
+
+
 class TooDeep(ValueError):
     """A tree goes on below the depth up to which it is walked."""
 
@@ -122,21 +131,25 @@ def _prepared(edges: DataFrame, roots: DataFrame, keys: list[str], nodes: DataFr
     edges = edges.select(*keys, F.col("src").alias("node"), "dst")
     roots = roots.select(*keys, "node", *(c for c in roots.columns if c == "open"))
     if nodes is not None:
-        there = nodes.select(*keys, "node")
+        there = nodes.select(*keys, "node").hint("merge")
         edges = edges.join(there.withColumnRenamed("node", "dst"), [*keys, "dst"], "left_semi").select(*keys, "node", "dst")
         roots = roots.join(there, [*keys, "node"], "left_semi")
     return stored(edges, "edges"), stored(roots, "roots")
 
 
-def _walked(edges: DataFrame, roots: DataFrame, keys: list[str], levels: int | None) -> DataFrame:
-    level = stored(roots.select(*keys, "node").distinct().withColumn("level", F.lit(0)), "frontier")
-    seen = level
+def _walked(edges: DataFrame, roots: DataFrame, keys: list[str], levels: int | None, carried: list[str] = ()) -> DataFrame:
+    """keys, node, carried, level: a node once for each value that is carried along from a root."""
+    told = [*keys, "node", *carried]
+    level = stored(roots.select(*told).distinct().withColumn("level", F.lit(0)), "frontier")
+    seen, n = level, level.count()
+    n_seen = n
     for k in count(1) if levels is None else range(1, levels):
-        new = level.join(edges, [*keys, "node"]).select(*keys, F.col("dst").alias("node")).distinct()
-        level = stored(new.join(seen.select(*keys, "node"), [*keys, "node"], "left_anti").withColumn("level", F.lit(k)), "frontier")
-        if level.isEmpty():
+        new = edges.join(_sent(level, n), [*keys, "node"]).select(*keys, F.col("dst").alias("node"), *carried).distinct()
+        level = stored(new.join(_sent(seen.select(*told), n_seen), told, "left_anti").withColumn("level", F.lit(k)), "frontier")
+        n = level.count()
+        if not n:
             break
-        seen = seen.union(level)
+        seen, n_seen = seen.union(level), n_seen + n
     return seen
 
 
@@ -160,16 +173,18 @@ def discovered(edges: DataFrame, roots: DataFrame, keys: list[str] = (), nodes:
     keys = list(keys)
     edges, roots = _prepared(edges, roots, keys, nodes)
     level = _placed(roots.select(*keys, "node").distinct().withColumn("_by", F.lit(0).cast("long")), keys, 0)
-    seen = level
+    seen, n = level, level.count()
+    n_seen = n
     for k in count(1):
-        new = level.join(edges, [*keys, "node"]).groupBy(*keys, F.col("dst").alias("node")).agg(F.min("place").alias("_by"))
-        level = _placed(new.join(seen.select(*keys, "node"), [*keys, "node"], "left_anti"), keys, k)
-        if level.isEmpty():
+        new = edges.join(_sent(level, n), [*keys, "node"]).groupBy(*keys, F.col("dst").alias("node")).agg(F.min("place").alias("_by"))
+        level = _placed(new.join(_sent(seen.select(*keys, "node"), n_seen), [*keys, "node"], "left_anti"), keys, k)
+        n = level.count()
+        if not n:
             break
-        seen = seen.union(level)
+        seen, n_seen = seen.union(level), n_seen + n
     before = W.partitionBy(*keys).orderBy("level").rowsBetween(W.unboundedPreceding, -1)  # one row a level
     starts = seen.groupBy(*keys, "level").agg(F.count("*").alias("_n")).select(*keys, "level", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return seen.join(starts, [*keys, "level"]).select(*keys, "node", "level", "place", (F.col("place") + F.col("_start")).alias("number"))
+    return seen.join(starts.hint("merge") if keys else starts, [*keys, "level"]).select(*keys, "node", "level", "place", (F.col("place") + F.col("_start")).alias("number"))
 
 
 def _placed(rows: DataFrame, keys: list[str], level: int) -> DataFrame:
@@ -179,7 +194,7 @@ def _placed(rows: DataFrame, keys: list[str], level: int) -> DataFrame:
     starts = rows.groupBy(*keys, "_p").agg(F.count("*").alias("_n"))
     starts = starts.select(*keys, "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     place = F.row_number().over(W.partitionBy(*keys, "_p").orderBy("_by", "node")) + F.col("_start")
-    return stored(rows.join(starts, [*keys, "_p"]).select(*keys, "node", F.lit(level).alias("level"), place.alias("place")), "frontier")
+    return stored(rows.join(starts.hint("merge") if keys else starts, [*keys, "_p"]).select(*keys, "node", F.lit(level).alias("level"), place.alias("place")), "frontier")
 
 
 #: Flags of action kinds; fixed values.
@@ -189,16 +204,15 @@ ACTIONS = {"JavaScript": "javascript_actions", "Launch": "launch_actions", "URI"
 def action_facts(actions: DataFrame, edges: DataFrame, roots: DataFrame, keys: list[str] = (), depth: int = LIMITS.depth) -> DataFrame:
     """keys, node, kind, open of the actions (keys, node, kind) that roots (keys, node, open) reach over next actions (keys, src, dst), less than ``depth`` deep.
 
-    open marks what runs when the document is opened; it is carried along, and since
-    those roots come first, each action that one of them reaches runs then.  Nodes
-    without an action end a walk.
+    open marks what runs when the document is opened; it is carried along, so one walk
+    meets a node once from roots that are open and once from others, and each action
+    that an open one reaches runs then.  Nodes without an action end a walk.
     """
     keys = list(keys)
     actions = stored(actions.select(*keys, "node", "kind"), "actions")
-    edges, roots = _prepared(edges, roots, keys, actions)
-    opened = _walked(edges, roots.where("open"), keys, depth).select(*keys, "node", F.lit(True).alias("_open"))
-    rows = _walked(edges, roots, keys, depth).join(opened, [*keys, "node"], "left").join(actions, [*keys, "node"])
-    return rows.select(*keys, "node", "kind", F.coalesce("_open", F.lit(False)).alias("open"))
+    edges, roots = _prepared(edges, roots.withColumn("open", F.coalesce("open", F.lit(False))), keys, actions)
+    met = _walked(edges, roots, keys, depth, ["open"]).groupBy(*keys, "node").agg(F.bool_or("open").alias("open"))
+    return met.join(actions.hint("merge"), [*keys, "node"]).select(*keys, "node", "kind", "open")
 
 
 def action_scan(actions: DataFrame, edges: DataFrame, roots: DataFrame, depth: int = LIMITS.depth, keys: list[str] = ()) -> DataFrame:

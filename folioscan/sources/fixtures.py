@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscan.storage import stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -132,7 +134,7 @@ def doc_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     """Nodes (doc_id, node, kind), edges (doc_id, src, dst) and roots (doc_id, node, open): the orders of a customer, numbered; each names two later ones, an earlier one and one that is missing."""
     t = table(spark, sf_dir, "orders")
     nodes = t.select(F.col("o_custkey").alias("doc_id"), F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long").alias("node"), F.get(F.array(*map(F.lit, KINDS)), (F.col("o_orderkey") % 7).cast("int")).alias("kind"), (F.col("o_orderstatus") == "O").alias("open"))
-    n = F.col("node")
+    nodes, n = stored(nodes, "doc-nodes"), F.col("node")  # the orders are numbered once for nodes, edges and roots
     edges = nodes.select("doc_id", n.alias("src"), F.explode(F.array(n * 2, n * 2 + 1, F.floor(n / 3), n + 1000)).alias("dst"))
     return nodes.select("doc_id", "node", "kind"), edges, nodes.where("node IN (1, 5)").select("doc_id", "node", "open")
 
