@@ -224,7 +224,7 @@ def action_scan(actions: DataFrame, edges: DataFrame, roots: DataFrame, depth: i
     if not keys:
         return found
     none = {"open_action_javascript": False, **dict.fromkeys(ACTIONS.values(), False), "actions": 0}
-    return roots.select(*keys).distinct().join(found, keys, "left").fillna(none)
+    return roots.select(*keys).distinct().join(found.hint("merge"), keys, "left").fillna(none)
 
 
 def dereferenced(refs: DataFrame, hops: int = LIMITS.depth) -> DataFrame:

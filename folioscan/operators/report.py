@@ -81,7 +81,7 @@ def features(facts: DataFrame, documents: DataFrame) -> DataFrame:
         "optional_content": met("catalog", "OCProperties"), "signature_fields": met("form", "Sig") | met("annotation", "Sig"),
     }
     found = facts.groupBy("doc_id").agg(*(flags[f].alias(f) for f in FEATURES))
-    rows = documents.select("doc_id", "locked").join(found, "doc_id", "left")
+    rows = documents.select("doc_id", "locked").join(found.hint("merge"), "doc_id", "left")  # a row for each document, of which stored facts tell too little
     return rows.select("doc_id", "locked", *(F.when(~F.col("locked"), F.coalesce(F.col(f), F.lit(f == "complete"))).alias(f) for f in FEATURES))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from folioscan.operators import graph
+from folioscan.operators import graph, report
 
 
 def test_levels_of_many_rows_are_not_broadcast(spark, monkeypatch):
@@ -29,3 +29,14 @@ def test_open_roots_and_others_meet(spark):
     roots = spark.createDataFrame([(0, False), (1, True), (4, None)], "node long, open boolean")
     found = {r["node"]: r["open"] for r in graph.action_facts(nodes, edges, roots).collect()}
     assert found == {0: False, 1: True, 2: True, 3: True, 4: False, 5: False}
+
+
+def test_features_of_many_documents_are_not_broadcast(spark):
+    n = 150_000
+    nodes = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("node"), F.lit("Launch").alias("kind"))
+    edges = nodes.select("doc_id", F.col("node").alias("src"), (F.col("node") + 1).alias("dst"))
+    facts = graph.action_facts(nodes, edges, nodes.select("doc_id", "node", F.lit(True).alias("open")), ["doc_id"])
+    documents = spark.range(n + 5).select(F.col("id").alias("doc_id"), (F.col("id") % 5 == 0).alias("locked"))
+    rows = report.features(facts.select("doc_id", F.lit("action").alias("place"), F.col("kind").alias("what"), "open"), documents)
+    assert "BroadcastExchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.where("launch_actions").count() == n * 4 // 5 and rows.where("not launch_actions").count() == 4
