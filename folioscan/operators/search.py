@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -219,6 +221,7 @@ def many_hits(pages: DataFrame, queries: DataFrame, keys: tuple[str, ...] = ("do
     refused have no hits.  An Aho-Corasick automaton over the texts that the patterns
     need goes once through each page; the patterns it names are then matched there by
     Java.  A pattern that needs no text, such as [0-9]{3}, is matched on every page.
+    Patterns that Python reads alike (grammar.alike) go through many pages at once instead.
     Pages stay where they are, and equal patterns are searched once.  Patterns of more than
     MANY_BYTES, or more than MANY_PATTERNS, are dealt over passes.
     """
@@ -237,12 +240,21 @@ def many_hits(pages: DataFrame, queries: DataFrame, keys: tuple[str, ...] = ("do
             continue
         table = spark.createDataFrame([(i, r["java"]) for i, r in enumerate(rows)], "_n int, java string")
         table = table.join(asked.select("query_id", "java").distinct(), "java").select("_n", "query_id")
-        held = spark.sparkContext.broadcast([r["needs"] for r in rows])
+        plain = [(i, *alike, r["needs"]) for i, r in enumerate(rows) if r["needs"] and (alike := grammar.alike(r["java"]))]
+        if plain:
+            scanned = hay.mapInArrow(_scanned(spark.sparkContext.broadcast(plain), keys), _scanned_schema(hay, keys)).join(F.broadcast(table), "_n")
+            scanned = scanned.select("query_id", *keys, "first", "count", "match")
+            found = scanned if found is None else found.union(scanned)
+        known = {i for i, *_ in plain}
+        rows = [(i, r) for i, r in enumerate(rows) if i not in known]
+        if not rows:
+            continue
+        held = spark.sparkContext.broadcast([(i, r["needs"]) for i, r in rows])
         near = hay.mapInArrow(_named(held, keys), f"{fields}, _n array<int>").select(*keys, "text", F.explode("_n").alias("_n"))
         marked = F.lit(None).cast("string")
-        cases = [(F.col("_n") == i, _marked("text", r["java"])) for i, r in enumerate(rows)]
-        for i, (case, value) in enumerate(cases):
-            marked = F.when(case, value) if i == 0 else marked.when(case, value)
+        cases = [(F.col("_n") == i, _marked("text", r["java"])) for i, r in rows]
+        for k, (case, value) in enumerate(cases):
+            marked = F.when(case, value) if k == 0 else marked.when(case, value)
         part = _listed(near.select(*keys, "_n", marked.alias("_marked"))).join(F.broadcast(table), "_n")
         part = part.select("query_id", *keys, F.explode("h").alias("h")).select("query_id", *keys, "h.first", F.length("h.match").alias("count"), "h.match")
         found = part if found is None else found.union(part)
@@ -251,6 +263,11 @@ def many_hits(pages: DataFrame, queries: DataFrame, keys: tuple[str, ...] = ("do
     return found
 
 
+def _clean(text: str) -> str:
+    """The text as patterns see it in _marked()."""
+    return text.replace(_BEGIN, "\ufffd").replace(_END, "\ufffd")
+
+
 def _named(held, keys: tuple[str, ...]):
     """Adds to each page the numbers of the patterns of which it holds a needed text, or which need none."""
 
@@ -258,7 +275,7 @@ def _named(held, keys: tuple[str, ...]):
         import ahocorasick
 
         always, owners = [], {}
-        for i, needs in enumerate(held.value):
+        for i, needs in held.value:
             for need in needs or ():
                 owners.setdefault(need, []).append(i)
             if not needs:
@@ -272,9 +289,78 @@ def _named(held, keys: tuple[str, ...]):
             for text in batch.column("text").to_pylist():
                 names = set(always) if text is not None else set()
                 if owners and text:
-                    for _, numbers in automaton.iter(grammar.folded(text)):
+                    for _, numbers in automaton.iter(grammar.folded(_clean(text))):
                         names.update(numbers)
                 out.append(sorted(names))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names, "_n"])
 
     return run
+
+
+def _scanned_schema(hay: DataFrame, keys: tuple[str, ...]) -> T.StructType:
+    found = [T.StructField("_n", T.IntegerType()), T.StructField("first", T.IntegerType()), T.StructField("count", T.IntegerType()), T.StructField("match", T.StringType())]
+    return T.StructType([*(hay.schema[k] for k in keys), *found])
+
+
+#: Bytes of pages that patterns go through together, matches that leave a task at once, and the length from which a text tells whether a pattern is tried.
+JOINED, LEAVING, TELLING = 1 << 20, 1 << 16, 4
+
+
+def _scanned(held, keys: tuple[str, ...]):
+    """keys, _n, first, count, match: each pattern goes through many pages at once, joined by line feeds, which no page and no match holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        patterns, always, owners = {}, [], {}
+        for n, fold, python, needs in held.value:
+            patterns[n] = fold, re.compile(python)
+            if min(map(len, needs)) < TELLING:
+                always.append(n)
+                continue
+            for need in needs:
+                owners.setdefault(need, []).append(n)
+        automaton = ahocorasick.Automaton()
+        for need, numbers in owners.items():
+            automaton.add_word(need, tuple(numbers))
+        automaton.make_automaton()
+        for batch in batches:
+            owned = batch.select(list(keys))
+            names = [*keys, "_n", "first", "count", "match"]
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + JOINED, side="right")))
+                pages = [t or "" for t in batch.column("text").slice(at, to - at).to_pylist()]
+                text = _clean("\n".join(pages))
+                starts = np.cumsum([0, *(len(p) + 1 for p in pages[:-1])])
+                small = grammar.folded(text)
+                tried = set(always)
+                if owners:
+                    for _, numbers in automaton.iter(small):
+                        tried.update(numbers)
+                part, size = [], 0
+                for n in sorted(tried):
+                    fold, pattern = patterns[n]
+                    spans = [m.span() for m in pattern.finditer(small if fold else text)]
+                    if spans:
+                        part.append((n, spans))
+                        size += len(spans)
+                    if size >= LEAVING:
+                        yield pa.RecordBatch.from_arrays(_rows(owned, part, text, starts, at), names)
+                        part, size = [], 0
+                if part:
+                    yield pa.RecordBatch.from_arrays(_rows(owned, part, text, starts, at), names)
+                at = to
+
+    return run
+
+
+def _rows(owned: pa.RecordBatch, part: list[tuple[int, list[tuple[int, int]]]], text: str, starts: np.ndarray, at: int) -> list[pa.Array]:
+    """Columns of the matches (n, places in the text) in pages that start at ``starts``, the first of which is number ``at``."""
+    spans = np.array([s for _, found in part for s in found], np.int64)
+    page = np.searchsorted(starts, spans[:, 0], side="right") - 1
+    numbers = np.repeat([n for n, _ in part], [len(found) for _, found in part]).astype(np.int32)
+    first, count = (spans[:, 0] - starts[page]).astype(np.int32), (spans[:, 1] - spans[:, 0]).astype(np.int32)
+    match = pa.array([text[i:j] for _, found in part for i, j in found], pa.string())
+    return [*owned.take(pa.array(page + at)).columns, pa.array(numbers), pa.array(first), pa.array(count), match]
