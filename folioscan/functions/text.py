@@ -51,10 +51,10 @@ def one_line(text: Column) -> Column:
     return F.regexp_replace(text, r"[\p{Cc}" + UNSAFE + "]", " ")
 
 
-def comparable(text: Column, most: int = LIMITS.compare_chars) -> Column:
-    """Ligatures expanded; white space, controls, soft hyphens, zero-width spaces and replacement characters gone; cut."""
+def comparable(text: Column, most: int | None = LIMITS.compare_chars) -> Column:
+    """Ligatures expanded; white space, controls, soft hyphens, zero-width spaces and replacement characters gone; cut, unless ``most`` is None."""
     bare = F.regexp_replace(ligatures_expanded(text), r"(?U)[\s\p{Cc}\x{00AD}\x{200B}\x{FFFD}]+", "")
-    return F.substring(bare, 1, most)
+    return bare if most is None else F.substring(bare, 1, most)
 
 
 def truncated(text: Column, most: int = LIMITS.item_chars) -> Column:

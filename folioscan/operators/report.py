@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -239,18 +240,30 @@ def text_distance(a: Column, b: Column, least: int = 30) -> Column:
     return F.when(longer >= least, F.levenshtein(a, b) / longer)
 
 
-#: Pairs whose texts are held as Python strings at once, besides those of a group of distance.WORDS.
-SOME = 64
+#: Pairs whose texts are held as Python strings at once, and their bytes if they are several, besides those of a group of distance.WORDS.
+SOME, SOME_BYTES = 64, 1 << 20
 
 
 def _texts(batch: pa.RecordBatch) -> list[tuple[str, str]]:
     return list(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True))
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(sum(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b")))
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SOME_BYTES, side="right"))
+        to = max(at + 1, min(to, at + SOME))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _distances(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = (_texts(batch.slice(at, SOME)) for at in range(0, batch.num_rows, SOME))
+            some = map(_texts, _slices(batch))
             known = np.array([(max(len(a), len(b)), *trimmed(a, b)) for pairs in some for a, b in pairs], np.int64).reshape(-1, 6)
             longer, _, out, n, _, letters = known.T.copy()
             left = np.flatnonzero(n)
@@ -278,9 +291,13 @@ def neighbours(rows: DataFrame, by: list[str], order: str, value: str, then: dic
     return out.drop("_p", "_r", "_q", "_edge", *(f"_{c}" for c in by))
 
 
-def text_distances(docs: DataFrame, least: int = 30) -> DataFrame:
-    """doc_id, distance: each document and the one before it in its language and source, by all comparable characters up to the published bound."""
-    pairs = neighbours(docs.select("doc_id", "lang", "source", F.col("text").alias("a")), ["lang", "source"], "doc_id", "a", {"a": comparable(F.col("a"))})
+def text_distances(docs: DataFrame, least: int = 30, whole: bool = False) -> DataFrame:
+    """doc_id, distance: each document and the one before it in its language and source, by all comparable characters up to the published bound, or by all of them.
+
+    One task takes a pair, in memory of the order of its texts; its time grows with the product of their lengths.
+    """
+    bare = comparable(F.col("a"), None) if whole else comparable(F.col("a"))
+    pairs = neighbours(docs.select("doc_id", "lang", "source", F.col("text").alias("a")), ["lang", "source"], "doc_id", "a", {"a": bare})
     pairs = pairs.where("a is not null and previous is not null").select("doc_id", "a", F.col("previous").alias("b"))
     return pairs.mapInArrow(_distances(least), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, distance double")
 
