@@ -649,5 +649,9 @@ def gate_text_distances_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.text_distances(X.table(spark, sf_dir, "documents"), whole=True)
 
 
+def gate_text_report_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.text_report(gate_text_distances_whole(spark, sf_dir))
+
+
 #: Queries without SQL.
-WITHOUT_SQL = {q.__name__: q for q in (gate_text_distances, gate_text_report, gate_text_distances_whole)} | {"gate_text_report_whole": gate_text_report}  # the last one: its name of round 1
+WITHOUT_SQL = {q.__name__: q for q in (gate_text_distances, gate_text_report, gate_text_distances_whole, gate_text_report_whole)}

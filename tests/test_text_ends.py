@@ -26,6 +26,11 @@ def test_distances_to_the_end(spark, folder):
     assert got == {2: 600 / 7000, 3: 39_501 / 46_400, 5: None}
 
 
+def test_report_to_the_end(spark, folder):
+    got = WITHOUT_SQL["gate_text_report_whole"](spark, folder).first()
+    assert (got["measured"], got["too_short"], got["worst_id"], got["failures"], got["passed"]) == (2, 1, 3, 2, False)
+
+
 def test_long_pairs_are_not_held_together():
     rng = random.Random(6)
     a = ["".join(rng.choice("ab") for _ in range(40)) + "x" * 150_000 for _ in range(64)]
